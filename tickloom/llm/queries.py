@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe_codec, chat, licenses, token_count
+from tickloom.llm import bpe_codec, chat, licenses, quality, token_count, toxicity
 from tickloom.llm._common import table
 
 
@@ -14,6 +14,10 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -35,11 +39,17 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_license_scans": op1_license_scans,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_token_counts": op7_token_counts,
     "op8_byte_level_bpe": op8_byte_level_bpe,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scans": licenses.sql(),
