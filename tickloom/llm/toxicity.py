@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,21 +39,23 @@ INSULTS = frozenset(
 #: Characters that stand for letters.
 DISGUISE = str.maketrans("013457@$!|", "oieastasii")
 VOTERS = ["listed", "words_a", "words_b", "begin_4", "begin_5", "begin_6", "disguised", "spaced", "dense", "close", "addressed", "shouting"]
+BEGINNINGS = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 MASKED = re.compile(r"[A-Za-z0-9@$!|]*[A-Za-z][0-9@$!|]+[A-Za-z][A-Za-z0-9@$!|]*")
 SPACED = re.compile(r"(?<!\w)(?:\w[ .*_-]){3,20}\w(?!\w)")
 YOU = frozenset("you your youre u this these such".split())
 
 
-def candidates(text: str) -> set[tuple[str, str]]:
-    """The lexicon entries that a text supports: (kind, word or beginning)."""
-    out = set()
-    for w in set(WORD.findall(text.lower())):
-        if len(w) >= 3:
-            out.add(("word", w))
-            for k in (4, 5, 6):
-                if len(w) > k:
-                    out.add((f"begin_{k}", w[:k]))
+def candidates(text: str) -> set[tuple[str, str, int]]:
+    """The lexicon entries that a text supports: kind, word or beginning, and how often at least (1 to 3)."""
+    seen = Counter(w for w in WORD.findall(text.lower()) if len(w) >= 3)
+    out = {("word", w, 1) for w in seen}
+    for k in BEGINNINGS:
+        begun: Counter[str] = Counter()
+        for w, n in seen.items():
+            if len(w) > k:
+                begun[w[:k]] += n
+        out.update((f"begin_{k}", p, m) for p, n in begun.items() for m in range(1, min(n, 3) + 1))
     return out
 
 
@@ -62,8 +65,8 @@ def fingerprint(text: str) -> int:
     return min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(w, w[1:], strict=False)), default=zlib.crc32(text.encode()))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> dict[str, frozenset[str]]:
-    """Lexicons by kind from labelled rows (doc_id, y).
+def learn(docs: DataFrame, labels: DataFrame) -> dict[str, dict[str, int]]:
+    """Lexicons by kind from labelled rows (doc_id, y): entries with the times from which on they tell.
 
     An entry's support is the number of distinct fingerprints with it, so that copies count about once. It is taken if
     its toxic rate is 30 times its clean rate, and chance alone would give it among all entries with odds below 1 in 100.
@@ -76,15 +79,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[str, frozenset[str]]:
                 n = len(found)
                 yield pa.record_batch(
                     [pa.array([y] * n, pa.int32()), pa.array([fingerprint(t or "")] * n, pa.int64()),
-                     pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())],
-                    names=["y", "f", "kind", "entry"],
+                     *(pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32())))],
+                    names=["y", "f", "kind", "entry", "times"],
                 )
 
     sample = docs.join(F.broadcast(drawn(labels, "y", ROWS)), "doc_id").select("y", "text")
-    rows = sample.mapInArrow(run, "y int, f long, kind string, entry string")
+    rows = sample.mapInArrow(run, "y int, f long, kind string, entry string, times int")
     counts = cut(
-        rows.groupBy("kind", "entry", "y", "f").agg(F.lit(1).alias("n"))
-        .groupBy("kind", "entry")
+        rows.groupBy("kind", "entry", "times", "y", "f").agg(F.lit(1).alias("n"))
+        .groupBy("kind", "entry", "times")
         .agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
     )
     n = {r.y: r["count"] for r in labels.transform(lambda x: drawn(x, "y", ROWS)).groupBy("y").count().collect()}
@@ -96,23 +99,29 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[str, frozenset[str]]:
     least = max(3, int(np.ceil(np.log(1e-2 / entries) / np.log(min(share, 0.5)))))
     rate = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
     taken = (
-        counts.where((F.col("toxic") >= least) & (rate >= 30)).orderBy(F.desc("toxic"), "kind", "entry").limit(WORDS).collect()
+        counts.where((F.col("toxic") >= least) & (rate >= 30)).orderBy(F.desc("toxic"), "kind", "entry", "times").limit(WORDS).collect()
     )
-    out: dict[str, set[str]] = {}
+    out: dict[str, dict[str, int]] = {}
     for r in taken:
-        out.setdefault(r.kind, set()).add(r.entry)
-    return {k: frozenset(v) for k, v in out.items()}
+        kind = out.setdefault(r.kind, {})
+        kind[r.entry] = min(r.times, kind.get(r.entry, r.times))
+    return out
 
 
 def level(n: float, some: float, much: float) -> int:
     return 2 if n >= much else 1 if n >= some else 0
 
 
-def votes(text: str, lexicon: dict[str, frozenset[str]]) -> list[int]:
+def votes(text: str, lexicon: dict[str, dict[str, int]]) -> list[int]:
     """0 (none), 1 (some) or 2 (much) of each voter."""
-    none: frozenset[str] = frozenset()
-    learned, b4, b5, b6 = (lexicon.get(k, none) for k in ("word", "begin_4", "begin_5", "begin_6"))
     words = WORD.findall(text.lower())
+    learned = lexicon.get("word", {})
+    begun = []
+    for k in BEGINNINGS:
+        times = lexicon.get(f"begin_{k}", {})
+        seen = Counter(w[:k] for w in words if len(w) > k and w[:k] in times) if times else {}
+        begun.append({p for p, n in seen.items() if n >= times[p]})
+    b4, b5, b6 = begun
     at = [i for i, w in enumerate(words) if w in INSULTS or w in learned or w[:4] in b4 or w[:5] in b5 or w[:6] in b6]
     hits = [words[i] for i in at]
     listed = sum(w in INSULTS for w in hits)
@@ -138,7 +147,7 @@ def votes(text: str, lexicon: dict[str, frozenset[str]]) -> list[int]:
     ]
 
 
-def vote(docs: DataFrame, lexicon: dict[str, frozenset[str]]) -> DataFrame:
+def vote(docs: DataFrame, lexicon: dict[str, dict[str, int]]) -> DataFrame:
     """doc_id and votes (array of int) for all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
