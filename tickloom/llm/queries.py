@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe_codec, chat, licenses, quality, token_count, toxicity
+from tickloom.llm import bpe_codec, chat, decontam, licenses, quality, token_count, toxicity
 from tickloom.llm._common import table
 
 
@@ -43,6 +43,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op4_quality_classifier": op4_quality_classifier,
@@ -50,6 +54,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_toxicity": op9_toxicity,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scans": licenses.sql(),
