@@ -1,0 +1,69 @@
+"""Base spans against Python's regular expressions, added spans, and redaction."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from tickloom.llm import pii
+
+
+def luhn(s):
+    d = [int(c) for c in reversed(s)]
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
+
+
+def base(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and luhn(d):
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def test_base_spans(spark):
+    rng = random.Random(3)
+    texts = [
+        None, "", "a@b.c_d@e.f x@y", "1.2.3.4.5.6.7.8 300.1.2.3.4 0255.1.01.0000", "4111 1111 1111 1111-", "+1 (555) 010-9999 x",
+        "é😀 a.b@c-d.ef, +49 30 1234567 and 4111-1111-1111-1111 and 1.2.3.4", "1" * 3000, "a" * 3000, "a.b@" * 500, "wörd " * 20_000,
+        "1-" * 1000 + "+1 " * 500, "1.2.3.4 " * 500, "+12345678 (.-) 9", "5 4111111111111111 2", "4111111111111111  4111111111111111",
+    ]
+    texts += ["".join(rng.choice("0123456789.+-@ a(é") for _ in range(300)) for _ in range(60)]
+    texts += ["".join(rng.choice("0123 -4111") for _ in range(300)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, base int, kind string")
+    got = {r.doc_id: r for r in pii.digests(pii.detect(docs)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = base(t or "")
+        said = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert got[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest(), (i, (t or "")[:80], said[:200], got[i].spans[:200])
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x[1] == j for x in want) for j in range(4)]
+        assert set(said.split(",")) - {""} <= set(got[i].spans.split(","))
+    assert pii.digests(pii.detect(docs.limit(0))).count() == 0
+
+
+def test_added_spans_and_redaction(spark):
+    key = "0123456789abcdef0123456789abcdef01234567"
+    rows = [(i, f'w token = "{key}" and a@b.cd', "") for i in range(30)] + [(90 + i, f"commit {key} fixed", "") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    found = pii.detect(docs)
+    got = {r.doc_id: r.spans for r in pii.digests(found).collect()}
+    assert got[0] == "secret:11:51,email:57:63" and got[90] == ""
+    out = docs.join(found, "doc_id").select("doc_id", pii.redact(F.col("text"), F.col("all")).alias("t"))
+    assert {r.doc_id: r.t for r in out.collect()}[0] == 'w token = "<SECRET>" and <EMAIL>'
+    overlapping = docs.limit(1).select(
+        pii.redact(F.lit("+4111111111111111 ok"), F.expr("array(struct(0 as start,3 as kind,17 as end), struct(1 as start,2 as kind,17 as end))")).alias("t")
+    )
+    assert overlapping.first().t == "<PHONE> ok"

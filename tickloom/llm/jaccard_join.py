@@ -200,7 +200,7 @@ def compare(task: pa.Table) -> pa.RecordBatch | None:
         else:
             both = np.add.reduceat(flag[flat].astype(np.int64), cuts)[k]
         flag[span(i)] = False
-        j = j[both >= THRESHOLD * (size[i] + size[j] - both)]
+        j = j[both / (size[i] + size[j] - both) >= THRESHOLD]
         links[i] += copies[j].sum()
         links[j] += copies[i]
         for x in j[label[j] != label[i]].tolist():

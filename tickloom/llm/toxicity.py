@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import _logistic
 from tickloom.llm._common import cut, fold
+from tickloom.llm._labelmodel import LabelModel
 from tickloom.llm.quality import drawn
 
 ROWS, WORDS = 6_000, 5_000
@@ -158,49 +159,6 @@ def vote(docs: DataFrame, lexicon: dict[str, dict[str, int]]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, votes array<int>")
 
 
-class LabelModel:
-    """Class-conditional vote tables with correlation weights, by expectation-maximisation over pattern counts."""
-
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, steps: int = 60):
-        """patterns: (p, voters) of 0..2; counts: (p, 3), rows of unknown label, labelled 0, labelled 1."""
-        p, v = patterns.shape
-        one_hot = np.eye(3)[patterns]
-        total = counts.sum()
-        known = counts[:, 1:].sum(0)
-        self.prior = (known[1] + 1) / (known.sum() + 2) if known.sum() else 0.1
-        strong = (patterns[:, :-1] == 2).sum(1) + 0.5 * (patterns[:, :-1] == 1).sum(1)
-        post = np.where(strong >= 1, 0.9, 0.02)
-        self.weight = np.ones(v)
-        for step in range(steps):
-            mass = np.stack([counts[:, 0] * (1 - post) + counts[:, 1], counts[:, 0] * post + counts[:, 2]])
-            self.table = np.einsum("cp,pvk->cvk", mass, one_hot) + 0.1
-            self.table /= self.table.sum(2, keepdims=True)
-            self.prior = (mass[1].sum() + 0.5) / (total + 1) if total else self.prior
-            if step in (10, 20, 30):
-                self.weight = self.news(patterns, mass)
-            post = self.posterior(patterns)
-        self.post = post
-
-    def news(self, patterns: np.ndarray, mass: np.ndarray) -> np.ndarray:
-        """1 / (1 + sum of a voter's positive residual correlations with the others within the classes)."""
-        v = patterns.shape[1]
-        cov = np.zeros((v, v))
-        for c in (0, 1):
-            if mass[c].sum() > 0:
-                x = patterns - np.average(patterns, axis=0, weights=mass[c])
-                cov += (x * mass[c][:, None]).T @ x
-        scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        rho = np.clip(cov / scale[:, None] / scale[None], 0, 1)
-        np.fill_diagonal(rho, 0)
-        return 1 / (1 + rho.sum(1))
-
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        at = np.arange(patterns.shape[1])
-        gain = np.log(self.table[1][at, patterns]) - np.log(self.table[0][at, patterns])
-        z = np.log(self.prior / (1 - self.prior)) + gain @ self.weight
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
 def classify(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted; labels (doc_id, toxic) with the held-out remainder are not looked at."""
     known = (
@@ -217,7 +175,10 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1,
     )
     patterns = np.array([r.votes for r in table], int).reshape(-1, len(VOTERS))
     counts = np.array([(r.u, r.a, r.b) for r in table], float).reshape(-1, 3)
-    model = LabelModel(patterns, counts)
+    # All voters but the last (shouting) speak for toxicity by themselves.
+    speaks = np.ones(len(VOTERS))
+    speaks[-1] = 0
+    model = LabelModel(patterns, counts, speaks)
     x = np.concatenate([patterns == 1, patterns == 2], axis=1).astype(float)
     beta = _logistic.fit(x, model.post, counts.sum(1), ridge=0.05)
     inputs = [(F.get("votes", F.lit(i)) == k).cast("double") for k in (1, 2) for i in range(len(VOTERS))]
