@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "e2_realized_volatility"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tickloom.plans import tick_queries
+
+MODULES = [tick_queries]
+FLAGSHIP = "d1_bars"
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
