@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tickloom.plans import bar_queries, tick_queries, trade_queries
+from tickloom.plans import bar_queries, ingest_queries, tick_queries, trade_queries
 
-MODULES = [tick_queries, bar_queries, trade_queries]
+MODULES = [tick_queries, bar_queries, trade_queries, ingest_queries]
 FLAGSHIP = "e2_realized_volatility"
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
