@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tickloom.functions.numeric import div, ratio
 
-BY_TOKEN = W.partitionBy("token").orderBy("ts_ns")
-BY_SESSION = W.partitionBy("token", "session_id").orderBy("ts_ns")
 DAY_NS = 86_400_000_000_000
 #: Latest opening of a session in UTC, windows, and the annualisation of one-minute volatility.
 SESSION_OPEN_NS, RV_WINDOW, BAND_WINDOW, BAND_WIDTH, TINY = 13_560_000_000_000, 20, 20, 2.0, 1e-10
@@ -17,18 +16,26 @@ ANNUAL_SIGMA = 307.4085110396682
 BARS_PER_YEAR = {"1m": 94_500, "5m": 18_900, "15m": 6_300, "30m": 3_150, "60m": 1_512}
 
 
+def by_token() -> WindowSpec:
+    return W.partitionBy("token").orderBy("ts_ns")
+
+
+def by_session() -> WindowSpec:
+    return W.partitionBy("token", "session_id").orderBy("ts_ns")
+
+
 def sessions(bars: DataFrame, open_ns: int = SESSION_OPEN_NS) -> DataFrame:
     """session_id: counts, per token, the first bars of a day that come no later than the opening."""
     day = div(F.col("ts_ns"), DAY_NS)
-    starts = (F.pmod("ts_ns", F.lit(DAY_NS)) <= open_ns) & (day != F.coalesce(div(F.lag("ts_ns").over(BY_TOKEN), DAY_NS), F.lit(-1)))
+    starts = (F.pmod("ts_ns", F.lit(DAY_NS)) <= open_ns) & (day != F.coalesce(div(F.lag("ts_ns").over(by_token()), DAY_NS), F.lit(-1)))
     return bars.withColumn("starts", starts.cast("int")).withColumn(
-        "session_id", F.sum("starts").over(BY_TOKEN.rowsBetween(W.unboundedPreceding, 0))
+        "session_id", F.sum("starts").over(by_token().rowsBetween(W.unboundedPreceding, 0))
     ).drop("starts")
 
 
 def log_return(bars: DataFrame) -> DataFrame:
     """log_return of the close within a session; 0 and invalid at its first bar or for prices that aren't positive."""
-    was = F.lag("close").over(BY_SESSION)
+    was = F.lag("close").over(by_session())
     ok = (was > 0) & (F.col("close") > 0)
     return bars.withColumn("log_return", F.when(ok, F.ln(F.col("close") / was)).otherwise(0.0)).withColumn(
         "return_valid", F.coalesce(ok, F.lit(False))
@@ -41,11 +48,11 @@ def realized_volatility(returns: DataFrame, skip_invalid: bool = False, window:
     Batch mode takes an invalid return as 0; with ``skip_invalid`` (live mode) it takes no place in the window, and its
     bar shows the last value.
     """
-    w = BY_TOKEN.rowsBetween(1 - window, 0)
+    w = by_token().rowsBetween(1 - window, 0)
     if skip_invalid:
         used = returns.where("return_valid")
         seen = used.select("token", "ts_ns", F.var_samp("log_return").over(w).alias("v"), F.count("log_return").over(w).alias("n"))
-        carried = lambda c: F.last(c, ignorenulls=True).over(BY_TOKEN.rowsBetween(W.unboundedPreceding, 0))
+        carried = lambda c: F.last(c, ignorenulls=True).over(by_token().rowsBetween(W.unboundedPreceding, 0))
         out = returns.join(seen, ["token", "ts_ns"], "left").withColumns({"v": carried("v"), "n": carried("n")})
     else:
         out = returns.withColumns({"v": F.var_samp("log_return").over(w), "n": F.count("log_return").over(w)})
@@ -61,7 +68,7 @@ def realized_volatility(returns: DataFrame, skip_invalid: bool = False, window:
 
 def bollinger(bars: DataFrame, window: int = BAND_WINDOW, width: float = BAND_WIDTH) -> DataFrame:
     """bb_mid, bb_upper, bb_lower, pct_b, bandwidth over the last closes; valid once the window is full."""
-    w = BY_TOKEN.rowsBetween(1 - window, 0)
+    w = by_token().rowsBetween(1 - window, 0)
     mid, dev, full = F.avg("close").over(w), F.stddev_pop("close").over(w), F.count("close").over(w) == window
     out = bars.withColumns({"bb_mid": mid, "bb_dev": dev, "bb_valid": full})
     out = out.withColumns({"bb_upper": F.col("bb_mid") + width * F.col("bb_dev"), "bb_lower": F.col("bb_mid") - width * F.col("bb_dev")})
@@ -74,7 +81,7 @@ def bollinger(bars: DataFrame, window: int = BAND_WINDOW, width: float = BAND_WI
 
 def vwap_deviation(bars: DataFrame) -> DataFrame:
     """session_vwap and vwap_dev, the close's relative distance from it; invalid zeros at bars without volume."""
-    run = BY_SESSION.rowsBetween(W.unboundedPreceding, 0)
+    run = by_session().rowsBetween(W.unboundedPreceding, 0)
     sv = ratio(F.sum(F.col("vwap") * F.col("volume")).over(run), F.sum("volume").over(run))
     ok = F.col("volume") > 0
     return (
@@ -86,10 +93,10 @@ def vwap_deviation(bars: DataFrame) -> DataFrame:
 
 def buffer_features(candles: DataFrame, interval: str = "1m") -> DataFrame:
     """Rolling features of candles: ofi_proxy, kyle_proxy, run_vwap, ann_vol (the last two of full windows only)."""
-    w20, w19 = BY_TOKEN.rowsBetween(-19, 0), BY_TOKEN.rowsBetween(-18, 0)
-    run = BY_TOKEN.rowsBetween(W.unboundedPreceding, 0)
+    w20, w19 = by_token().rowsBetween(-19, 0), by_token().rowsBetween(-18, 0)
+    run = by_token().rowsBetween(W.unboundedPreceding, 0)
     signed = F.col("volume") * F.when(F.col("close") >= F.col("open"), 1).otherwise(-1)
-    was = F.lag("close").over(BY_TOKEN)
+    was = F.lag("close").over(by_token())
     step = candles.withColumn("dc", F.abs(F.col("close") - was)).withColumn(
         "r", F.when((was > 0) & (F.col("close") > 0), F.ln(F.col("close") / was))
     )

@@ -7,19 +7,23 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tickloom.functions.numeric import clamped, div, ratio
 
-BY_TOKEN = W.partitionBy("token").orderBy("ts_ns")
 #: Windows, gates and cost rates.
 NORM_WINDOW, KELLY_GATE, SIZE, ODDS = 252, 0.10, 100, 1.0
 BAR_YEARS, DECAY_BASE, DECAY_COVERAGE, DECAY_VOLUME, DECAY_VARIANCE = 1 / 94_500, 0.10, 0.01, 0.0, 5.0
 BROKERAGE, SELL_TAX, TICK, SLIP_TICKS = 20.0, 0.00025, 0.05, 2
 
 
+def by_token() -> WindowSpec:
+    return W.partitionBy("token").orderBy("ts_ns")
+
+
 def normalised(bars: DataFrame, signals: list[str], window: int = NORM_WINDOW) -> DataFrame:
     """z_<signal> and norm_valid: rolling z-scores; the raw value where a window has one row, 0 where it has no spread."""
-    w = BY_TOKEN.rowsBetween(1 - window, 0)
+    w = by_token().rowsBetween(1 - window, 0)
     n = F.count(F.lit(1)).over(w)
     out = {}
     for s in signals:
@@ -62,12 +66,12 @@ def alpha_decay(bars: DataFrame, coverage: int = 0) -> DataFrame:
 def position_gate(bars: DataFrame, gate: float = KELLY_GATE, size: int = SIZE) -> DataFrame:
     """position (0 or size) by the sizing gate, and the entry price of the island of bars that it is held for."""
     held = (F.col("kelly_half") >= gate).cast("int")
-    change = F.when(F.col("held") != F.coalesce(F.lag("held").over(BY_TOKEN), F.lit(0)), 1).otherwise(0)
+    change = F.when(F.col("held") != F.coalesce(F.lag("held").over(by_token()), F.lit(0)), 1).otherwise(0)
     island = W.partitionBy("token", "island").orderBy("ts_ns")
     return (
         bars.withColumn("held", held)
         .withColumn("change", change)
-        .withColumn("island", F.sum("change").over(BY_TOKEN.rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("island", F.sum("change").over(by_token().rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("position", F.col("held") * size)
         .withColumn("entry_price", F.when(F.col("held") == 1, F.first("close").over(island.rowsBetween(W.unboundedPreceding, 0))).otherwise(0.0))
         .drop("change", "held")

@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tickloom.functions.numeric import clamped, div, ratio
 
-BY_TOKEN = W.partitionBy("token").orderBy("ts_ns", "seq")
-RUNNING = BY_TOKEN.rowsBetween(W.unboundedPreceding, 0)
 #: Thresholds and windows.
 OFI_SIGNAL, VPIN_ALERT, VPIN_BUCKETS, DEFAULT_BUCKET, KYLE_WINDOW, LEVELS = 50_000, 0.70, 50, 200_000, 20, 5
 
 
-def running(session: bool) -> W:
+def by_token() -> WindowSpec:
+    return W.partitionBy("token").orderBy("ts_ns", "seq")
+
+
+def so_far() -> WindowSpec:
+    return by_token().rowsBetween(W.unboundedPreceding, 0)
+
+
+def running(session: bool) -> WindowSpec:
     keys = ["token", "session_id"] if session else ["token"]
     return W.partitionBy(*keys).orderBy("ts_ns", "seq").rowsBetween(W.unboundedPreceding, 0)
 
@@ -24,7 +31,7 @@ def trade_direction(ticks: DataFrame, session: bool = False) -> DataFrame:
 
     With ``session`` the sum restarts in each session_id; the last quotes stay known.
     """
-    ask, bid = F.lag("ask_price").over(BY_TOKEN), F.lag("bid_price").over(BY_TOKEN)
+    ask, bid = F.lag("ask_price").over(by_token()), F.lag("bid_price").over(by_token())
     d = F.when(F.col("last_price") >= ask, 1).when(F.col("last_price") <= bid, -1).otherwise(0)
     return (
         ticks.withColumn("direction", d)
@@ -35,7 +42,7 @@ def trade_direction(ticks: DataFrame, session: bool = False) -> DataFrame:
 
 def order_flow(ticks: DataFrame, session: bool = False) -> DataFrame:
     """ofi, its validity, its running sum, and the imbalance normalised by the quoted size and clamped to [-1, 1]."""
-    was = lambda c: F.lag(c).over(BY_TOKEN)
+    was = lambda c: F.lag(c).over(by_token())
 
     def flow(price: str, size: str, better: Column, worse: Column) -> Column:
         return F.when(better, F.col(size)).when(worse, -was(size)).otherwise(F.col(size) - was(size))
@@ -58,7 +65,7 @@ def bucket_size(adv: int) -> int:
 
 def volume_clock(directed: DataFrame, size: int) -> DataFrame:
     """Per tick: buckets completed so far, and whether this tick closed one."""
-    done = F.sum("last_quantity").over(RUNNING)
+    done = F.sum("last_quantity").over(so_far())
     return (
         directed.withColumn("filled", done)
         .withColumn("buckets_completed", div(F.col("filled"), size))
@@ -72,7 +79,7 @@ def vpin(directed: DataFrame, size: int) -> DataFrame:
     In closed form: a tick covers the shares from its running volume before to after it, so its part of each bucket is
     an overlap of intervals; buckets are then a plain aggregate, and the metric a rolling sum over closed ones.
     """
-    c = F.sum("last_quantity").over(RUNNING)
+    c = F.sum("last_quantity").over(so_far())
     traded = directed.withColumn("hi", c).withColumn("lo", c - F.col("last_quantity")).where("last_quantity > 0")
     parts = traded.select(
         "token", "direction", "lo", "hi", F.explode(F.sequence(div(F.col("lo"), size), div(F.col("hi") - 1, size))).alias("bucket")
@@ -97,8 +104,8 @@ def vpin_by_tick(directed: DataFrame, size: int) -> DataFrame:
 
 def kyle_lambda(flow: DataFrame, window: int = KYLE_WINDOW) -> DataFrame:
     """kyle_lambda: price change on order flow through the origin over the last contributions; valid once they are full."""
-    w = BY_TOKEN.rowsBetween(1 - window, 0)
-    moved = flow.withColumn("dp", F.col("last_price") - F.lag("last_price").over(BY_TOKEN))
+    w = by_token().rowsBetween(1 - window, 0)
+    moved = flow.withColumn("dp", F.col("last_price") - F.lag("last_price").over(by_token()))
     x = F.when(F.col("dp").isNotNull(), F.col("ofi").cast("double"))
     return (
         moved.withColumn("kyle_lambda", F.coalesce(ratio(F.sum(F.col("dp") * x).over(w), F.sum(x * x).over(w)), F.lit(0.0)))
@@ -121,7 +128,7 @@ def depth_entropy(ticks: DataFrame, sizes: list[Column]) -> DataFrame:
 
 def snapshot(signals: DataFrame) -> DataFrame:
     """The signals as they stand after each tick: values that come only at times are carried forward."""
-    carried = lambda c: F.last(c, ignorenulls=True).over(RUNNING)
+    carried = lambda c: F.last(c, ignorenulls=True).over(so_far())
     return signals.select(
         "token", "seq", "ts_ns", F.col("ofi_norm").alias("snap_ofi"), F.col("cum_direction").alias("snap_direction"),
         F.coalesce(carried(F.when(F.col("bucket_closed"), F.col("vpin"))), F.lit(0.0)).alias("snap_vpin"),

@@ -69,7 +69,7 @@ def trades(s, d):
 
 
 def equity(s, d):
-    w = T.RUNNING
+    w = T.so_far()
     return A.ticks(s, d).select("token", "ts_ns", "seq", (F.sum(F.col("last_price") - 250.0).over(w) + 100_000.0).alias("equity"))
 
 
