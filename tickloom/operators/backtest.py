@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -165,12 +166,12 @@ EVENTS = (
 def simulate(joined: DataFrame, strategy, cfg: Config = Config()) -> DataFrame:  # noqa: B008
     """Trades and equity points of every token, replayed in order; tokens run in parallel, and an open position is closed at the end."""
     needed = ["token", "ts_ns", "seq", "last_price", "volume", *strategy.columns]
+    Row = namedtuple("Row", needed)  # noqa: N806
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         account, act, row = Account(cfg, cfg.capital), strategy(), None
-        frame = pdf.sort_values(["ts_ns", "seq"]).astype(object)
-        frame = frame.where(frame.notna(), None)
-        for i, row in enumerate(frame.itertuples()):
+        frame = pdf.sort_values(["ts_ns", "seq"], kind="stable")
+        for i, row in enumerate(map(Row._make, zip(*(frame[c].tolist() for c in needed), strict=True))):
             if (order := act(row)) is not None and order[1]:
                 account.order(row.token, row.ts_ns, row.last_price, *order)
             if account.quantity and i % BATCH in SAMPLES:

@@ -129,11 +129,23 @@ class Macd:
 
 
 def advance(folds, states, row: dict) -> dict:
-    """One row through all folds in order; each sees what those before it put out."""
-    out: dict = {}
+    """The row with the outputs of all folds in order; each sees what those before it put out."""
     for fold, state in zip(folds, states, strict=True):
-        out |= fold.step(state, row | out)
-    return out
+        row.update(fold.step(state, row))
+    return row
+
+
+def replayed(pdf, folds, states, order: list[str], columns: list[str]):
+    """The rows of a frame in order, folded, with the given columns."""
+    import pandas as pd
+
+    frame = pdf.sort_values(order, kind="stable")
+    names = list(frame.columns)
+    out = [
+        [row[c] for c in columns]
+        for row in (advance(folds, states, dict(zip(names, values, strict=True))) for values in zip(*(frame[c].tolist() for c in names), strict=True))
+    ]
+    return pd.DataFrame(out, columns=columns)
 
 
 def run(df: DataFrame, folds: list, keep: list[str], order: list[str], key: str = "token", finish: Callable | None = None) -> DataFrame:
@@ -148,10 +160,7 @@ def run(df: DataFrame, folds: list, keep: list[str], order: list[str], key: str
     columns = [part.strip().split(" ")[0] for part in schema.split(", ")]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable").to_dict("records")
-        states = [f.init() for f in folds]
-        out = [{**{c: r[c] for c in keep}, **advance(folds, states, r)} for r in rows]
-        return pd.DataFrame(out, columns=columns)
+        return replayed(pdf, folds, [f.init() for f in folds], order, columns)
 
     return df.groupBy(key).applyInPandas(one, schema)
 

@@ -40,9 +40,8 @@ def stream_fold(rows: DataFrame, made: list, keep: list[str], order: list[str],
 
     def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         states = folds.load(state.get[0]) if state.exists else [f.init() for f in made]
-        batch = pd.concat(list(frames)).sort_values(order, kind="stable")
-        out = [{**{c: r[c] for c in keep}, **folds.advance(made, states, r)} for r in batch.to_dict("records")]
+        out = folds.replayed(pd.concat(list(frames)), made, states, order, columns)
         state.update((folds.dump(states),))
-        yield pd.DataFrame(out, columns=columns)
+        yield out
 
     return rows.groupBy(key).applyInPandasWithState(step, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
