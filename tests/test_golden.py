@@ -171,3 +171,10 @@ def test_csv_ingest(spark, tmp_path):
     path.write_text('SYMBOL, SERIES, OPEN_PRICE, HIGH_PRICE, LOW_PRICE, CLOSE_PRICE, TTL_TRD_QNTY, DELIV_QTY\nAAA, EQ, 1, 2, 0.5, "1,001.5", 100, -\n, EQ, 1, 1, 1, 1, 1, 1\nBBB, EQ, 1, 1, 1, x, 1, 1\n')
     out = ingest.equity_rows(readers.csv_rows(spark, str(path)), F.to_date(F.lit("2024-01-25"))).collect()
     assert [(r.symbol, r.close, r.volume, r.delivery_volume) for r in out] == [("AAA", 1001.5, 100, None)]
+
+
+def test_full_charge_backtest(spark):
+    rows = [(1, 0, 0, 10, 1, 1, 100.0), (1, 1, 1, 10, -1, 2, 110.0)]
+    made = spark.createDataFrame(rows, "token long, ts_ns long, seq long, qty long, side int, reason int, price double")
+    out = portfolio.full_charge_trades(made).collect()
+    assert len(out) == 1 and out[0].quantity == 0 and 90 < out[0].pnl < 100

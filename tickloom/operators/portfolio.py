@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.operators import folds
+from tickloom.operators import charges, folds
 
 CAPITAL = 1_000_000.0
 
@@ -104,3 +104,18 @@ def square_off(history: DataFrame, prices: DataFrame, intraday: DataFrame) -> Da
         "token", F.when(closes, 0).otherwise(F.col("quantity")).alias("quantity"),
         (F.col("realized") + F.when(closes, gain).otherwise(0.0)).alias("realized"), F.when(closes, gain).otherwise(0.0).alias("cash_change"),
     )
+
+
+def full_charge_trades(intents: DataFrame, segment: int = 1) -> DataFrame:
+    """Trades of intents filled with slippage and all charges: fills that realise something, or leave or reverse a position."""
+    orders = intents.select(
+        "token", "ts_ns", "seq", "side", F.col("qty").alias("units"), F.col("qty").cast("double").alias("quantity"), "price",
+        F.lit(segment).alias("segment"), "reason",
+    )
+    fills = charges.simulate(orders).withColumn("price", F.col("fill"))
+    w = W.partitionBy("token").orderBy("ts_ns", "seq")
+    booked = positions(fills).withColumn("pnl", F.col("realized") - F.coalesce(F.lag("realized").over(w), F.lit(0.0)))
+    joined = booked.join(fills.select("token", "ts_ns", "seq", "side", "units", "price", "reason", "total_charges"), ["token", "ts_ns", "seq"])
+    return joined.where((F.col("pnl") != 0) | F.col("reason").isin(2, 5)).select(
+        "token", "ts_ns", "seq", "side", "units", "price", "reason", "total_charges", "pnl", "quantity"
+    )

@@ -133,6 +133,7 @@ QUERIES = {
     ),
     "h28_max_drawdown": lambda s, d: money(K.max_drawdown(equity(s, d)), ["token"], ["max_drawdown", "max_drawdown_pct"], 3),
     "h29_risk_ratios": lambda s, d: K.risk_ratios(equity(s, d)),
+    "h30_full_charge_backtest": lambda s, d: P.full_charge_trades(S.intents(signals(s, d))),
     "h31_total_return": lambda s, d: equity(s, d).groupBy("token").agg(
         q(K.total_return(F.max_by("equity", "seq"), F.lit(100_000.0)), 3).alias("return_pct")
     ),
