@@ -81,6 +81,24 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch):
     assert jaccard_join.join(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shared", [55, 100])
+def test_jaccard_join_of_a_chained_group(spark, monkeypatch, shared):
+    """Texts around one passage chain into one wide group: compared by bands, or by blocks where that is less."""
+    rng = random.Random(shared)
+    passage = [f"p{i}" for i in range(shared)]
+    rows = [(i, " ".join([*passage, *(f"x{rng.randrange(10**6)}" for _ in range(30 if shared == 55 else 4))])) for i in range(160)]
+    rows += [(200 + i, rows[i][1] + " more") for i in range(20)]
+    monkeypatch.setattr(jaccard_join, "BLOCK", 6)
+    monkeypatch.setattr(jaccard_join, "WIDE", 2)
+    seen = []
+    dealt = jaccard_join.dealt
+    monkeypatch.setattr(jaccard_join, "dealt", lambda *a: seen.append(dealt(*a)) or seen[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_links, r.component_id) for r in jaccard_join.join(docs).collect())
+    assert got == brute(rows)
+    assert seen[0].where("tasks[0].band >= 0").isEmpty() == (shared == 100)
+
+
 def test_posterior_bound():
     least = jaccard_join.least_equal()
     assert least == sorted(least) and 0 < least[-1] < 0.8 * jaccard_join.HASHES

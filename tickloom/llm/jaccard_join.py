@@ -4,13 +4,15 @@
    for it, so copies never meet in a join.
 2. Representatives get MinHash values; BANDS bands of ROWS values are keys. Keys that two or more share link their
    members, and connected components of those links are the groups within which pairs are compared.
-3. A group is cut into blocks of at most BLOCK members and every pair of its blocks is one task. There, pairs that share
-   a band compare their MinHash values STEP at a time, and are dropped as soon as the posterior probability that their
+3. A group is cut into blocks of about BLOCK members and every pair of its blocks is one task. Where texts that merely
+   have a passage in common have chained a group of more than WIDE blocks together, and its bands' own members, cut
+   likewise, make fewer rows to deal, these are the tasks instead; a pair then counts in the first band that it shares.
+   Within a task, pairs that share a band compare their MinHash values STEP at a time, and are dropped as soon as the posterior probability that their
    similarity reaches the threshold (uniform prior) is under TOLERANCE. The rest are verified exactly by their sets.
    A task returns, for each member, the documents it is linked with by number, and a spanning forest of the links.
 4. Components of the forests are the near-duplicate groups.
 
-No pair is dropped but by the posterior, no group is capped, and no task holds more than two blocks.
+No pair is dropped but by the posterior, no group is capped, and no task holds more than about two blocks.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; texts of one to four words
 have one shingle of all their words; repeated rows count as copies; rows of one id with different texts are told apart
@@ -34,7 +36,7 @@ from tickloom.llm._common import components, cut, grouped
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 40, 7, 40, 1e-5
 HASHES = BANDS * ROWS
-BLOCK, PIECE = 512, 1 << 20
+BLOCK, WIDE, PIECE = 512, 8, 1 << 20
 
 
 def coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -142,13 +144,14 @@ def loaded(members: DataFrame) -> DataFrame:
                 sig = signatures(s, ends)
                 at_rows = pa.array(lo + some[own])
                 yield pa.record_batch(
-                    [*(batch.column(c).take(at_rows) for c in ("node", "copies", "grp", "blk", "blks")),
+                    [*(batch.column(c).take(at_rows) for c in ("node", "copies", "grp", "tasks")),
                      pa.array([x.tobytes() for x in sig[own]], pa.binary()),
                      pa.array([s[ends[i] : ends[i + 1]].tobytes() for i in np.flatnonzero(own)], pa.binary())],
-                    names=["node", "copies", "grp", "blk", "blks", "sig", "set"],
+                    names=["node", "copies", "grp", "tasks", "sig", "set"],
                 )
 
-    return members.mapInArrow(run, "node long, copies long, grp long, blk int, blks int, sig binary, set binary")
+    tasks = "array<struct<band:int,key:bigint,blk:int,blks:int>>"
+    return members.mapInArrow(run, f"node long, copies long, grp long, tasks {tasks}, sig binary, set binary")
 
 
 def compare(task: pa.Table) -> pa.RecordBatch | None:
@@ -156,7 +159,7 @@ def compare(task: pa.Table) -> pa.RecordBatch | None:
     nodes = task.column("node").to_numpy()
     node, one = np.unique(nodes, return_index=True)  # a row may be there twice, as its document was
     copies = task.column("copies").to_numpy()[one]
-    low, high = task.column("lo")[0].as_py(), task.column("hi")[0].as_py()
+    low, high, band = (task.column(c)[0].as_py() for c in ("lo", "hi", "band"))
     first = task.column("blk").to_numpy()[one] == low
     if len(node) < 2:
         return None
@@ -182,7 +185,12 @@ def compare(task: pa.Table) -> pa.RecordBatch | None:
         k = np.flatnonzero(right > i) if low == high else np.arange(len(right))
         j = right[k]
         a, b = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        ok = (a >= THRESHOLD * b) & (keys[j] == keys[i]).any(1)
+        ok = a >= THRESHOLD * b
+        j, k = j[ok], k[ok]
+        if band < 0:
+            ok = (keys[j] == keys[i]).any(1)
+        else:
+            ok = (keys[j, band] == keys[i, band]) & ~(keys[j, :band] == keys[i, :band]).any(1)
         j, k = j[ok], k[ok]
         equal = np.zeros(len(j), np.int64)
         for at, least in enumerate(least_equal()):
@@ -218,6 +226,39 @@ def compare(task: pa.Table) -> pa.RecordBatch | None:
     )
 
 
+def blocks(rows):
+    """The number of blocks that ``rows`` members are cut into."""
+    return F.ceil(rows / BLOCK).cast("int")
+
+
+def block(blks):
+    """The block of a node, by its hash."""
+    return F.pmod(F.xxhash64("node"), blks).cast("int")
+
+
+def dealt(bands: DataFrame, groups: DataFrame) -> DataFrame:
+    """node, grp, tasks: what each member of a group is compared in, as (band or -1, its key or 0, block, blocks)."""
+    whole = groups.unionAll(groups.select(F.col("component").alias("node"), "component").distinct())
+    sizes = whole.groupBy("component").agg(F.count(F.lit(1)).alias("rows")).withColumn("blks", blocks(F.col("rows")))
+    one = F.array(F.struct(F.lit(-1).alias("band"), F.lit(0).cast("long").alias("key"), block(F.col("blks")).alias("blk"), "blks"))
+    by_group = whole.join(sizes, "component").select("node", F.col("component").alias("grp"), one.alias("tasks"))
+    wide = cut(sizes.where(F.col("blks") > WIDE))
+    if wide.isEmpty():
+        return by_group
+    inside = cut(bands.join(whole.join(wide, "component").select("node", "component"), "node"))
+    buckets = (
+        inside.groupBy("component", "band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blks", blocks(F.col("n")))
+    )
+    cost = buckets.groupBy("component").agg(F.sum(F.col("n") * F.col("blks")).alias("cost"))
+    loose = cut(wide.join(cost, "component").where("cost < rows * blks").select("component"))
+    by_band = (
+        inside.join(buckets.join(loose, "component").select("band", "key", "blks"), ["band", "key"])
+        .groupBy("node", F.col("component").alias("grp"))
+        .agg(F.collect_list(F.struct("band", "key", block(F.col("blks")).alias("blk"), "blks")).alias("tasks"))  # BANDS at most
+    )
+    return by_group.join(loose.withColumnRenamed("component", "grp"), "grp", "left_anti").select("node", "grp", "tasks").unionAll(by_band)
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_links, component_id, kept, class_id: one row for each row of ``docs``.
 
@@ -231,23 +272,19 @@ def join(docs: DataFrame) -> DataFrame:
         found.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     )
     heads = found.join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", *same])
-    bands = heads.select(F.col("a").alias("node"), F.explode("keys").alias("key"))
+    bands = heads.select(F.col("a").alias("node"), F.posexplode("keys").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w")
     near = bands.join(shared, "key").where("node <> v").select(F.col("node").alias("a"), F.col("v").alias("b"))
-    groups = components(near)
-    whole = groups.unionAll(groups.select(F.col("component").alias("node"), "component").distinct())
-    sizes = whole.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blks"))
-    members = (
-        whole.join(sizes, "component")
-        .join(classes.select(F.col("a").alias("node"), "class_id", "copies"), "node")
-        .select("node", "class_id", "copies", F.col("component").alias("grp"),
-                F.pmod(F.xxhash64("node"), F.col("blks")).cast("int").alias("blk"), "blks")
-    )
+    members = dealt(bands, components(near)).join(classes.select(F.col("a").alias("node"), "class_id", "copies"), "node")
     data = loaded(rows.join(members, rows.doc_id == members.class_id).drop("doc_id", "class_id"))
-    dealt = data.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blks") - 1))).select(
-        "node", "copies", "grp", "blk", F.least("blk", "with").alias("lo"), F.greatest("blk", "with").alias("hi"), "sig", "set"
+    tasks = (
+        data.select("node", "copies", "grp", "sig", "set", F.inline("tasks"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blks") - 1)))
+        .withColumn("lo", F.least("blk", "with"))
+        .withColumn("hi", F.greatest("blk", "with"))
+        .select("node", "copies", "grp", "band", "key", "blk", "lo", "hi", "sig", "set")
     )
-    parts = cut(grouped(dealt, ["grp", "lo", "hi"], compare, "node long, links long, other long"))
+    parts = cut(grouped(tasks, ["grp", "band", "key", "lo", "hi"], compare, "node long, links long, other long"))
     links = parts.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     tops = components(parts.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     tied = (
