@@ -77,6 +77,13 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str], updated: list[str
     return joined.select(*[F.col(c) if c in keys else value(c) for c in table.columns])
 
 
+def append(table: DataFrame, *parts: DataFrame) -> DataFrame:
+    """All rows of all parts after those of the table, by name; columns that a part lacks are null."""
+    for part in parts:
+        table = table.unionByName(part.select([c for c in part.columns if c in table.columns]), allowMissingColumns=True)
+    return table
+
+
 def insert_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of unknown keys are added; known keys keep their row."""
     fresh = rows.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti")

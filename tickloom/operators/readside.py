@@ -59,6 +59,35 @@ def count_between(rows: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
     return rows.where((F.col("ts_ns") >= start_ns) & (F.col("ts_ns") < end_ns)).agg(F.count(F.lit(1)).alias("n"))
 
 
+def range_scan(rows: DataFrame, column: str, values: list, start_ns: int, end_ns: int) -> DataFrame:
+    """Rows of the given values in an inclusive range, in order of time: both predicates reach the Parquet scan."""
+    return rows.where(F.col(column).isin(values) & F.col("ts_ns").between(start_ns, end_ns)).orderBy("ts_ns")
+
+
+def updated_where(table: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
+    """The table with ``values`` in the rows that the condition is true of."""
+    return table.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def flat_positions(portfolios: DataFrame) -> DataFrame:
+    """A row for each open position of portfolios with an array of them; a portfolio without any gives none."""
+    plain = [c for c in portfolios.columns if c != "positions"]
+    return portfolios.select(*plain, F.inline("positions"))
+
+
+def injected(token: int, price: float, start_ns: int, step_ns: int, n: int, spark) -> DataFrame:
+    """n synthetic ticks of one token at a fixed price, step_ns apart."""
+    return spark.range(n).select(
+        F.lit(token).cast("long").alias("token"), F.col("id").alias("seq"), (F.col("id") * step_ns + start_ns).alias("ts_ns"),
+        F.lit(price).alias("last_price"), F.lit(price - 0.05).alias("bid_price"), F.lit(price + 0.05).alias("ask_price"),
+    )
+
+
+def return_pct(equity: Column, capital: Column) -> Column:
+    """Per cent gained on the capital; 0 without any."""
+    return ratio((equity - capital) * 100.0, capital)
+
+
 def progress(done: Column, total: Column) -> Column:
     """Per cent done, from 0 to 100."""
     return F.least(F.lit(100.0), ratio(done * 100.0, total))

@@ -161,6 +161,15 @@ _KALMAN = f"""WITH RECURSIVE {VOL[5:]}, {_ORDERED}, kf AS (
             SELECT x.token, x.ts_ns, x.n, k.alpha, x.log_return AS lr, k.p + CASE WHEN x.rv_valid AND x.rv_var > 0 THEN x.rv_var * 0.01::DOUBLE ELSE 1e-5::DOUBLE END AS ahead,
                    CASE WHEN x.rv_valid AND x.rv_var > 0 THEN x.rv_var ELSE 1e-3::DOUBLE END AS rn
             FROM kf k JOIN x0 x ON x.token = k.token AND x.n = k.n + 1)))"""
+_CUSUM = f"""{_KALMAN}, lv AS (SELECT kf.token, kf.n, kf.ts_ns, alpha, log_return AS r, rv_var AS va, rv_var > 0 AND alpha <> 0 AS live FROM kf JOIN x0 USING (token, n)),
+    st AS (SELECT token, n, ts_ns, live, CASE WHEN live THEN alpha * r / va END AS score, CASE WHEN live THEN alpha * alpha / (2 * va) END AS pen,
+        CASE WHEN live THEN ln(abs(CASE WHEN live THEN alpha ELSE 1 END) / {folds.CUSUM_COST!r}::DOUBLE) - {folds.CUSUM_PENALTY!r}::DOUBLE * va / (alpha * alpha) ELSE -1.0::DOUBLE END AS h FROM lv),
+    cu AS (SELECT DISTINCT token, 0::BIGINT AS n, 0::BIGINT AS ts_ns, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0 AS fired, false AS ok FROM st
+        UNION ALL SELECT token, n, ts_ns, CASE WHEN fired = 1 THEN 0.0::DOUBLE ELSE u END, CASE WHEN fired = -1 THEN 0.0::DOUBLE ELSE d END, fired, ok FROM (
+            SELECT *, h > 0 AS ok, CASE WHEN h > 0 AND u >= h THEN 1 WHEN h > 0 AND d >= h THEN -1 ELSE 0 END AS fired FROM (
+                SELECT s.token, s.n, s.ts_ns, s.h, CASE WHEN s.live THEN greatest(0.0::DOUBLE, c.up + s.score - s.pen) ELSE c.up END AS u,
+                    CASE WHEN s.live THEN greatest(0.0::DOUBLE, c.down - s.score - s.pen) ELSE c.down END AS d
+                FROM cu c JOIN st s ON s.token = c.token AND s.n = c.n + 1)))"""
 _RSI = f"""WITH RECURSIVE {VOL[5:]}, {_ORDERED}, ch AS (SELECT token, ts_ns, n, greatest(close - lag(close) OVER w, 0.0::DOUBLE) AS up, greatest(lag(close) OVER w - close, 0.0::DOUBLE) AS dn FROM x0
         WINDOW w AS (PARTITION BY token ORDER BY n)),
     rs AS (SELECT token, 15::BIGINT AS n, sum(up) / 14 AS g, sum(dn) / 14 AS l FROM ch WHERE n BETWEEN 2 AND 15 GROUP BY token HAVING count(*) = 14
@@ -184,6 +193,7 @@ ORACLES = {
         SELECT token, ts_ns, coalesce(nn >= 2, false) AS rv_valid, {P('greatest(coalesce(vv, 0.0::DOUBLE), 0.0::DOUBLE)', 6)} AS rv_var,
         {P('sqrt(greatest(coalesce(vv, 0.0::DOUBLE), 0.0::DOUBLE))', 6)} AS rv_sigma FROM j""",
     "e3_kalman_filter": f"{_KALMAN} SELECT token, ts_ns, n > 1 AS kalman_valid, {ROUND('alpha', 'kalman_gain')} FROM kf",
+    "e4_cusum": f"""{_CUSUM} SELECT token, ts_ns, fired AS cusum_fired, ok AS cusum_valid, {P('up', 3)} AS cusum_up, {P('down', 3)} AS cusum_down FROM cu WHERE n > 0""",
     "e5_rsi": f"""{_RSI} SELECT x0.token, ts_ns, rs.n IS NOT NULL AS rsi_valid,
         {P('CASE WHEN rs.n IS NULL THEN 0.0::DOUBLE WHEN l < 1e-10::DOUBLE THEN 100.0::DOUBLE ELSE 100 - 100 / (1 + g / l) END', 6)} AS rsi FROM x0 LEFT JOIN rs ON rs.token = x0.token AND rs.n = x0.n""",
     "e6_macd": f"""{_MACD} SELECT x0.token, ts_ns, s IS NOT NULL AS macd_valid, {P('coalesce(macd, 0.0::DOUBLE)', 6)} AS macd, {P('coalesce(s, 0.0::DOUBLE)', 6)} AS macd_signal,

@@ -69,6 +69,40 @@ def books(s, d):
     return A.read(s, d, "events").select("event_id", F.array_repeat(level, (F.col("event_id") % 8).cast("int")).alias("bids"))
 
 
+def binary_rows(s, d):
+    t = A.ticks(s, d).select("ts_ns", "token", "last_price", "bid_price", "ask_price", F.col("last_price").alias("vwap"), F.col("last_quantity").alias("volume"))
+    return S.decoded_ticks(sinks.binary_files(t).select(F.col("token").cast("string").alias("path"), "content"))
+
+
+def end_of_day(s, d):
+    """Raw rows as text under the newer headers; every tenth lacks its close."""
+    price = F.format_number("p_retailprice", 2)
+    return A.read(s, d, "part").select(
+        F.concat(F.lit(" S"), F.col("p_partkey"), F.lit(" ")).alias("TckrSymb"), F.lit("EQ").alias("SctySrs"), price.alias("OpnPric"), price.alias("HghPric"),
+        price.alias("LwPric"), F.when(F.col("p_partkey") % 10 != 0, price).otherwise("").alias("ClsPric"), F.col("p_size").cast("string").alias("TtlTradgVol"),
+    )
+
+
+def contracts(s, d):
+    """Raw rows as text under the older headers; expiries in both forms, every seventh unreadable."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size"))
+    expiry = F.when(F.col("p_partkey") % 7 == 0, "soon").when(F.col("p_partkey") % 2 == 0, F.upper(F.date_format(day, "dd-MMM-yyyy"))).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    return A.read(s, d, "part").select(
+        F.col("p_partkey").cast("string").alias("SYMBOL"), expiry.alias("EXPIRY_DT"), F.format_number("p_retailprice", 2).alias("STRIKE_PR"),
+        F.lit("CE").alias("OPTION_TYP"), F.lit("1.5").alias("CLOSE"), F.format_number(F.col("p_partkey") * 1000, 0).alias("OPEN_INT"),
+    )
+
+
+def deals(s, d, kind):
+    o = A.read(s, d, "orders").where(F.col("o_orderpriority") < "3" if kind == "bulk" else F.col("o_orderpriority") > "4")
+    return o.select(F.lit(kind).alias("kind"), F.col("o_custkey").alias("client"), F.col("o_orderkey").alias("quantity"))
+
+
+def portfolios(s, d):
+    p = F.struct("seq", "last_price")
+    return A.ticks(s, d).groupBy("token").agg(F.sum("last_quantity").alias("units"), F.filter(F.collect_list(p), lambda x: x["seq"] % 3 == 0).alias("positions"))
+
+
 def by_day(ticks):
     return ticks.withColumn("session_id", F.floor(F.col("ts_ns") / DAY).cast("long"))
 
@@ -82,6 +116,12 @@ QUERIES = {
         "event_id", F.size("b").alias("levels"), F.aggregate("b", F.lit(0).cast("long"), lambda t, x: t + x["quantity"]).alias("quantity")
     ),
     "a5_candle_json": lambda s, d: S.candle_rows(candle_json(s, d)),
+    "a6_candle_times": lambda s, d: A.read(s, d, "events").select("event_id", F.when(F.col("event_id") % 10 == 0, "bad").otherwise(iso("+00:00")).alias("t")).select(
+        "event_id", S.iso_ns_or_zero(F.col("t")).alias("ts_ns"), S.stamped(S.iso_ns_or_zero(F.col("t")), F.lit(T0)).alias("written_ns")
+    ),
+    "a9_binary_scan": lambda s, d: binary_rows(s, d).select("token", "ts_ns", "volume", *[q(F.col(c).cast("double"), 2).alias(c) for c in ("last_price", "bid_price", "ask_price")]),
+    "a15_equity_csv": lambda s, d: I.equity_rows(end_of_day(s, d), F.lit("2024-01-25").cast("date")).select("date", "symbol", "series", "open", "close", "volume"),
+    "a15_derivatives_csv": lambda s, d: I.derivative_rows(contracts(s, d), F.lit("2024-01-25").cast("date")).select("symbol", "expiry", "strike", "option_type", "close", "open_interest"),
     "a7_iso_times": lambda s, d: A.read(s, d, "events").select("event_id", S.iso_ns(iso("Z")).alias("utc_ns"), S.iso_ns(iso("")).alias("local_ns")),
     "a8_request_chunks": lambda s, d: I.chunks(ranges(s, d), "15m"),
     "a10_tick_scan": lambda s, d: S.tick_scan(A.ticks(s, d), 7, T0, T0 + 10 * DAY).select("token", "seq", "ts_ns"),
@@ -103,6 +143,11 @@ QUERIES = {
         "o_orderkey", I.a_date(F.when(F.col("o_orderkey") % 2 == 0, F.upper(F.date_format("o_orderdate", "dd-MMM-yyyy"))).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("d")
     ),
     "i4_numbers": lambda s, d: A.read(s, d, "orders").select("o_orderkey", q(I.number(F.format_number("o_totalprice", 2)), 2).alias("price")),
+    "i5_deals": lambda s, d: I.append(deals(s, d, "bulk"), deals(s, d, "block")),
+    "i10_margin": lambda s, d: I.insert_ignore(
+        *(A.read(s, d, "part").where(w).select(F.col("p_brand").alias("symbol"), F.col("p_size").alias("band"), v.alias("margin")).distinct()
+          for w, v in (("p_partkey % 2 = 0", F.lit(1)), ("p_partkey % 3 = 0", F.lit(2)))), ["symbol", "band"],
+    ),
     "i6_partial_update": lambda s, d: I.partial_update(*table_and_rows(s, d), ["c_custkey"], ["c_acctbal"]),
     "i7_corporate_actions": lambda s, d: I.actions(A.read(s, d, "part").select(
         F.col("p_partkey").alias("symbol"), F.lit("2024-01-25").alias("ex_date"), (F.col("p_size") - 25).cast("double").alias("dividend"),
@@ -125,6 +170,13 @@ QUERIES = {
     "j2_newest": lambda s, d: J.newest(A.ticks(s, d), 50).select("token", "seq"),
     "j3_price_moves": lambda s, d: J.price_moves(A.ticks(s, d).where("bid_price > 0")).select("token", "seq", "move", q(F.col("spread_bps"), 4).alias("spread_bps")),
     "j4_stream_depth": lambda s, d: J.depth_share(A.ticks(s, d), 50_000),
+    "j5_equity_return": lambda s, d: A.ticks(s, d).groupBy("token").agg(q(J.return_pct(F.max_by("last_price", "seq"), F.min_by("last_price", "seq")), 3).alias("return_pct")),
+    "j10_range_scan": lambda s, d: J.range_scan(A.ticks(s, d), "token", [3, 5, 7], T0, T0 + 10 * DAY).select("token", "seq", "ts_ns"),
+    "j12_update_where": lambda s, d: J.updated_where(
+        customers(s, d), F.col("c_mktsegment") == "BUILDING", {"c_acctbal": F.col("c_acctbal") * 2, "c_mktsegment": F.lit("DONE")}
+    ),
+    "j14_flat_positions": lambda s, d: J.flat_positions(portfolios(s, d)),
+    "j14_injected_ticks": lambda s, d: J.injected(99, 100.25, T0, 1_000_000_000, 25, s).select("token", "seq", "ts_ns", "last_price"),
     "j6_tail": lambda s, d: J.tail(A.ticks(s, d), 900).select("token", "seq"),
     "j7_latest_date": lambda s, d: J.of_latest_date(A.read(s, d, "orders"), "o_orderdate").select("o_orderkey"),
     "j8_distinct_times": lambda s, d: A.read(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct().orderBy("day"),
@@ -145,6 +197,25 @@ ORACLES = {
     "a4_depth_mapping": "SELECT event_id, 5 AS levels, event_id * least(5, event_id % 8) AS quantity FROM events",
     "a5_candle_json": """SELECT event_type AS symbol, (epoch_us(date_trunc('second', ts)) - 19800000000) * 1000 AS ts_ns, 1.5::DOUBLE AS open, 2.5::DOUBLE AS high, 0.5::DOUBLE AS low,
         event_id::DOUBLE AS close, user_id::BIGINT AS volume, 0::BIGINT AS open_interest FROM events WHERE event_id % 10 <> 0""",
+    "a6_candle_times": f"""SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 0 ELSE epoch_us(date_trunc('second', ts)) * 1000 END AS ts_ns,
+        CASE WHEN event_id % 10 = 0 THEN {T0} ELSE epoch_us(date_trunc('second', ts)) * 1000 END AS written_ns FROM events""",
+    "a9_binary_scan": f"{TK} SELECT token, ts_ns, last_quantity AS volume, " + ", ".join(f"{R(f'{c}::FLOAT::DOUBLE', 2)} AS {c}" for c in ("last_price", "bid_price", "ask_price")) + " FROM ticks",
+    "a15_equity_csv": """SELECT DATE '2024-01-25' AS date, 'S' || p_partkey AS symbol, 'EQ' AS series, round(p_retailprice, 2)::DOUBLE AS open, round(p_retailprice, 2)::DOUBLE AS close,
+        p_size::BIGINT AS volume FROM part WHERE p_partkey % 10 <> 0""",
+    "a15_derivatives_csv": """SELECT p_partkey::VARCHAR AS symbol, DATE '2024-01-01' + p_size::INT AS expiry, round(p_retailprice, 2)::DOUBLE AS strike, 'CE' AS option_type, 1.5::DOUBLE AS close,
+        (p_partkey * 1000)::BIGINT AS open_interest FROM part WHERE p_partkey % 7 <> 0""",
+    "i5_deals": """SELECT CASE WHEN o_orderpriority < '3' THEN 'bulk' ELSE 'block' END AS kind, o_custkey AS client, o_orderkey AS quantity FROM orders
+        WHERE o_orderpriority < '3' OR o_orderpriority > '4'""",
+    "i10_margin": """WITH o AS (SELECT DISTINCT p_brand AS symbol, p_size AS band, 1 AS margin FROM part WHERE p_partkey % 2 = 0),
+        n AS (SELECT DISTINCT p_brand AS symbol, p_size AS band, 2 AS margin FROM part WHERE p_partkey % 3 = 0)
+        SELECT * FROM o UNION ALL SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.symbol = n.symbol AND o.band = n.band)""",
+    "j5_equity_return": f"""{TK} SELECT token, {R('CASE WHEN arg_min(last_price, seq) <> 0 THEN (arg_max(last_price, seq) - arg_min(last_price, seq)) * 100.0::DOUBLE / arg_min(last_price, seq) ELSE 0.0::DOUBLE END', 3)}
+        AS return_pct FROM ticks GROUP BY token""",
+    "j10_range_scan": f"{TK} SELECT token, seq, ts_ns FROM ticks WHERE token IN (3, 5, 7) AND ts_ns BETWEEN {T0} AND {T0 + 10 * DAY}",
+    "j12_update_where": """SELECT c_custkey, c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal,
+        CASE WHEN c_mktsegment = 'BUILDING' THEN 'DONE' ELSE c_mktsegment END AS c_mktsegment FROM customer""",
+    "j14_flat_positions": f"{TK} SELECT token, (sum(last_quantity) OVER (PARTITION BY token))::BIGINT AS units, seq, last_price FROM ticks QUALIFY seq % 3 = 0",
+    "j14_injected_ticks": f"SELECT 99::BIGINT AS token, i AS seq, {T0} + i * 1000000000 AS ts_ns, 100.25::DOUBLE AS last_price FROM range(25) t(i)",
     "a7_iso_times": """SELECT event_id, epoch_us(date_trunc('second', ts)) * 1000 AS utc_ns, (epoch_us(date_trunc('second', ts)) - 19800000000) * 1000 AS local_ns FROM events""",
     "a8_request_chunks": f"WITH {_CHUNKS} SELECT symbol, chunk_first, chunk_last FROM ch",
     "a10_tick_scan": f"{TK} SELECT token, seq, ts_ns FROM ticks WHERE token = 7 AND ts_ns BETWEEN {T0} AND {T0 + 10 * DAY}",

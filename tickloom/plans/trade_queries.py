@@ -155,6 +155,13 @@ _CHARGED = f"""f1 AS (SELECT *, price * (1 + side * {_case(C.SLIPPAGE, 0.0001)})
 SIM = f"WITH {A.ORDERS_TO_FILL}, {SCHED}, {_CHARGED % 'fills'}"
 EVENT_FILLS = f"""WITH {A.TICKS}, ef AS (SELECT token, ts_ns, seq, CASE WHEN seq % 3 = 0 THEN -1 ELSE 1 END AS side, last_quantity AS units,
     last_quantity::DOUBLE AS quantity, last_price AS price, 1 AS segment FROM ticks), {SCHED}, {_CHARGED % 'ef'}"""
+POSITIONS = f"""WITH RECURSIVE {EVENT_FILLS[5:]}, o AS MATERIALIZED (SELECT token, seq, side * units AS n, units AS size, price, total_charges AS fee,
+        row_number() OVER (PARTITION BY token ORDER BY ts_ns, seq) AS k FROM sim),
+    ps AS (SELECT DISTINCT token, 0::BIGINT AS k, 0::BIGINT AS seq, 0::BIGINT AS held, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS won, 0.0::DOUBLE AS paid FROM o
+        UNION ALL SELECT o.token, o.k, o.seq, held + n, CASE WHEN held + n = 0 THEN 0.0::DOUBLE WHEN held * n >= 0 THEN (cost * abs(held) + (price + fee / size) * size) / (abs(held) + size)
+                WHEN (held + n) * held < 0 THEN price + fee / size ELSE cost END,
+            CASE WHEN held * n < 0 THEN won + (least(size, abs(held)) * (price - cost) * sign(held) - fee) ELSE won END, paid + fee
+        FROM ps JOIN o ON o.token = ps.token AND o.k = ps.k + 1)"""
 TRADES = f"WITH {A.TICKS}, tr AS (SELECT token, last_price - 45.0::DOUBLE AS gross_pnl, last_price - 45.0::DOUBLE - 2.0::DOUBLE AS net_pnl FROM ticks)"
 EQUITY = f"WITH {A.TICKS}, eq AS (SELECT token, ts_ns, seq, sum(last_price - 250.0::DOUBLE) OVER (PARTITION BY token ORDER BY ts_ns, seq) + 100000.0::DOUBLE AS equity FROM ticks)"
 _margin = lambda i: _case({k: v[i] for k, v in C.MARGIN.items()}, 0.20)
@@ -179,6 +186,7 @@ ORACLES = {
     "h11_fills": f"{SIM} SELECT segment, side, count(*) AS n, {R('sum(turnover)', 1)} AS turnover, {R('sum(net_amount)', 1)} AS net_amount FROM sim GROUP BY segment, side",
     "h12_margin": f"""WITH {A.ORDERS_TO_FILL} SELECT segment, side, {R(f'sum(quantity * price * CASE WHEN side > 0 THEN {_margin(0)} ELSE {_margin(1)} END)', 1)} AS margin
         FROM fills GROUP BY segment, side""",
+    "h13_positions": f"{POSITIONS} SELECT token, seq, held AS quantity, {R('cost', 2)} AS avg_cost, {R('won', 2)} AS realized, {R('paid', 2)} AS fees FROM ps WHERE k > 0",
     "h14_funds_check": f"{EVENT_FILLS} SELECT token, seq, 1000000.0::DOUBLE - sum(net_amount) OVER (ORDER BY ts_ns, seq) < 0 AS insufficient_funds FROM sim",
     "h15_cash_ledger": f"{EVENT_FILLS} SELECT token, seq, {R('1000000.0::DOUBLE - sum(net_amount) OVER (ORDER BY ts_ns, seq)', 2)} AS cash FROM sim",
     "h17_last_prices": f"WITH {A.TICKS} SELECT token, arg_max(last_price, seq) AS last_price FROM ticks WHERE last_price > 0 GROUP BY token",

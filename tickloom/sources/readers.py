@@ -21,6 +21,17 @@ def iso_ns(text: Column) -> Column:
     return F.unix_micros(F.try_to_timestamp(zoned)) * 1000
 
 
+def iso_ns_or_zero(text: Column) -> Column:
+    """As ``iso_ns``, with 0 for what can't be read; ``stamped`` gives such rows the time of writing."""
+    return F.coalesce(iso_ns(text), F.lit(0).cast("long"))
+
+
+def stamped(ts_ns: Column, now: Column | None = None) -> Column:
+    """The time, or that of writing where it is 0."""
+    written = F.unix_micros(F.current_timestamp()) * 1000 if now is None else now
+    return F.when(ts_ns == 0, written).otherwise(ts_ns)
+
+
 def candle_rows(raw: DataFrame) -> DataFrame:
     """Candles from answers (symbol, json) of the form {status, data: {candles: [[ts, o, h, l, c, v, oi?], ...]}}, oldest first."""
     kind = "struct<status:string,data:struct<candles:array<array<string>>>>"
@@ -69,6 +80,11 @@ def with_tokens(keys: DataFrame, dim: DataFrame) -> DataFrame:
 
 def binary_ticks(spark: SparkSession, path: str) -> DataFrame:
     """Records of binary tick files, a file a task; a bad header or a cut file raises."""
+    return decoded_ticks(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def decoded_ticks(files: DataFrame) -> DataFrame:
+    """Records of binary tick files given as rows (path, content)."""
 
     def decode(frames):
         import pandas as pd
@@ -91,7 +107,7 @@ def binary_ticks(spark: SparkSession, path: str) -> DataFrame:
                 columns = ["ts_ns", "token", "last_price", "bid_price", "ask_price", "vwap", "volume"]
                 yield pd.DataFrame(rows, columns=columns).assign(path=name)[["path", *columns]]
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, TICK_SCHEMA)
+    return files.select("path", "content").mapInPandas(decode, TICK_SCHEMA)
 
 
 def tick_scan(ticks: DataFrame, token: int, first_ns: int, last_ns: int) -> DataFrame:
