@@ -107,6 +107,30 @@ def test_decontamination(spark):
     assert decontam.find(frame(spark, []), bench).count() == 0
 
 
+def test_decontamination_of_items_in_many_documents(spark):
+    rng = random.Random(7)
+    often, seldom, plain = prose(rng, 40, 0.2), prose(rng, 30, 0.2), " ".join(SYLLABLES[:12])
+    short = " ".join(SYLLABLES[5:11])
+    texts, planted = [prose(rng, rng.randrange(20, 120)) for _ in range(300)], set()
+    for i in range(len(texts)):
+        base = texts[i].split()
+        if i % 3 == 0:
+            w = [x for j, x in enumerate(often.split()) if i % 2 or j % 7]
+            base[len(base) // 2 : len(base) // 2] = w
+            planted.add((i, 0))
+        if i in (4, 7):
+            base += [seldom, plain, short][:: 1 if i == 4 else -1]
+            planted |= {(i, 1), (i, 2), (i, 3)}
+        texts[i] = " ".join(base)
+    bench = spark.createDataFrame(list(enumerate([often, seldom, plain, short])), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find(frame(spark, texts), bench).collect()}
+    items = decontam.Words(decontam.pa.array([often, seldom, plain, short]))
+    count, passages = decontam.counted(frame(spark, texts).select("text"))
+    weight = decontam.weights(count, passages)
+    assert not weight[decontam.bucket(items.hash[items.row == 0])].any() and planted <= got
+    assert {p for p in got if p[1] in (0, 1)} == {p for p in planted if p[1] in (0, 1)}
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):

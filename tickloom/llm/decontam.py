@@ -9,6 +9,11 @@ Three passes over all documents, each on the words of whole Arrow batches:
 3. cosine of every passage with every benchmark passage in that space; candidates from COSINE on are checked by shared
    rare words (SHARED of those of the passage or of the item), by the longest common subsequence with the whole item around the passage, and by the item's answer.
 
+Words that leaked often weigh 0 like any common word, so the same pass has a second, exact way to the last two checks: where
+LCS_LIKELY of an item's different words must be there, one of its rarest must be, as many as may be missing and one more.
+Every passage that begins in the half of such a word is a candidate, if enough of the item's words stand around it. This
+finds any leak within a span of the item's length and 8 words, however many documents share it.
+
 An item is found in a document if the common subsequence holds at least LCS_SURE of its words, or LCS_LIKELY of them with
 ANSWER_SHARE of its answer, its last quarter. Items under SHORT words must be there whole.
 
@@ -33,6 +38,7 @@ BUCKETS, RANK, PASSAGE, STEP = 1 << 15, 48, 32, 16
 COMMON, RARE, COSINE, SHARED = 0.001, 50, 0.33, 0.3
 LCS_SURE, LCS_LIKELY, ANSWER_SHARE, SHORT = 0.75, 0.6, 0.75, 8
 BLOCK_BYTES, PIECE, SLICE, CODES = 4 << 20, 1 << 20, 512, 1 << 12
+MARKS, SLOTS, GATHER = 1 << 20, 1 << 21, 1 << 20
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -121,8 +127,13 @@ def emit(total: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def weights(texts: DataFrame) -> np.ndarray:
-    """Weight of each bucket, from all documents."""
+def slot(h: np.ndarray, item: np.ndarray, size: int) -> np.ndarray:
+    """Place of an item's word in a table of ``size`` (a power of two)."""
+    return (_text.mix(h + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def counted(texts: DataFrame) -> tuple[np.ndarray, float]:
+    """How often the words of each bucket stand in all documents, and how many passages there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((BUCKETS, 2))
@@ -133,9 +144,13 @@ def weights(texts: DataFrame) -> np.ndarray:
         yield emit(seen)
 
     counts = summed(texts.mapInArrow(run, "block int, data binary"), 2)
-    passages = max(1.0, counts[0, 1])
-    out = np.log1p(passages / (1 + counts[:, 0]))
-    out[2 * counts[:, 0] > max(COMMON * passages, RARE)] = 0
+    return counts[:, 0], max(1.0, counts[0, 1])
+
+
+def weights(count: np.ndarray, passages: float) -> np.ndarray:
+    """Weight of each bucket."""
+    out = np.log1p(passages / (1 + count))
+    out[2 * count > max(COMMON * passages, RARE)] = 0
     return out.astype(np.float32)
 
 
@@ -179,7 +194,7 @@ def latent(texts: DataFrame, weight: np.ndarray) -> np.ndarray:
 class Items:
     """A block of the benchmark: its words, answers, and its passages in the latent space."""
 
-    def __init__(self, ids: list, texts: list[str | None], space: np.ndarray, weight: np.ndarray):
+    def __init__(self, ids: list, texts: list[str | None], space: np.ndarray, weight: np.ndarray, count: np.ndarray):
         w = Words(pa.array(texts, pa.string()))
         self.ids = ids
         self.words = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(ids))]
@@ -195,6 +210,66 @@ class Items:
         self.rare = self.codes.sum(1, dtype=np.int64)
         self.masks = [masks(x) for x in self.lists]
         self.sets = [np.unique(x) for x in self.words]
+        self.size = np.array([len(x) for x in self.words], np.int64)
+        self.index(count)
+
+    def index(self, count: np.ndarray) -> None:
+        """keys, items: the words one of which must be there, by hash; bits: up to 64 words of each item; least: how many of these must be there."""
+        key, of, bits, bit_of = [], [], [], []
+        self.least = np.ones(len(self.ids), np.int64)
+        for i, x in enumerate(self.sets):
+            if not len(x):
+                continue
+            x = x[np.argsort(count[bucket(x)], kind="stable")]
+            missing = len(x) - int(np.ceil(LCS_LIKELY * len(x) - 1e-9)) if self.size[i] >= SHORT else 0
+            key.append(x[: missing + 1])
+            of.append(np.full(missing + 1, i))
+            bits.append(x[:64])
+            bit_of.append(np.full(len(bits[-1]), i))
+            self.least[i] = max(1, len(bits[-1]) - missing)
+        keys, items = (np.concatenate([z, *a]) for z, a in ((np.zeros(0, np.uint64), key), (np.zeros(0, np.int64), of)))
+        order = np.argsort(keys, kind="stable")
+        self.items = items[order]
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.key_first = np.r_[first, len(keys)]
+        self.marks = np.zeros(MARKS, bool)
+        self.marks[(self.keys & np.uint64(MARKS - 1)).astype(np.int64)] = True
+        n = sum(len(x) for x in bits)
+        self.bits = np.zeros(min(SLOTS, 1 << max(12, (32 * n).bit_length())), np.uint64)
+        for x, i in zip(bits, bit_of, strict=True):
+            np.bitwise_or.at(self.bits, slot(x, i, len(self.bits)), np.uint64(1) << np.arange(len(x), dtype=np.uint64))
+
+    def region(self, w: Words, half: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First word and end of the item's length and 8 words around the passages that begin with the halves."""
+        row, n = w.half_row[half], self.size[item] + 8
+        start = w.first[row] + (half - w.half_first[row]) * STEP
+        return np.maximum(start - n, w.first[row]), np.minimum(start + PASSAGE + n, w.first[row + 1])
+
+    def exact(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Halves and items with one of the item's rarest words in the half and enough of its words around."""
+        at = np.flatnonzero(self.marks[(w.hash & np.uint64(MARKS - 1)).astype(np.int64)])
+        if not len(at) or not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        k = np.minimum(np.searchsorted(self.keys, w.hash[at]), len(self.keys) - 1)
+        hit = self.keys[k] == w.hash[at]
+        at, k = at[hit], k[hit]
+        halves, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        many = self.key_first[k + 1] - self.key_first[k]
+        for lo, hi in _text.pieces(np.r_[0, np.cumsum(many)], GATHER):
+            each = many[lo:hi]
+            nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            item = self.items[np.repeat(self.key_first[k[lo:hi]], each) + nth]
+            half, item = np.divmod(np.unique(np.repeat(w.half[at[lo:hi]], each) * len(self.ids) + item), len(self.ids))
+            first, end = self.region(w, half, item)
+            for a, b in _text.pieces(np.r_[0, np.cumsum(end - first)], GATHER):
+                size = (end - first)[a:b]
+                start = np.cumsum(size) - size
+                word = w.hash[np.arange(size.sum()) + np.repeat(first[a:b] - start, size)]
+                there = self.bits[slot(word, np.repeat(item[a:b], size), len(self.bits))]
+                enough = np.bitwise_count(np.bitwise_or.reduceat(there, start)) >= self.least[item[a:b]]
+                halves.append(half[a:b][enough])
+                items.append(item[a:b][enough])
+        return np.concatenate(halves), np.concatenate(items)
 
     def sharing(self, coded: np.ndarray, rare: np.ndarray, passage: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Which candidate pairs share enough rare words; coded: codes of each passage's rare words, CODES for none."""
@@ -253,7 +328,8 @@ def find(docs: DataFrame, bench: DataFrame) -> DataFrame:
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if not size:
         return spark.createDataFrame([], schema)
-    weight = weights(texts)
+    count, passages = counted(texts)
+    weight = weights(count, passages)
     space = latent(texts, weight)
     blocks = -(-int(size) // BLOCK_BYTES)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
@@ -261,7 +337,7 @@ def find(docs: DataFrame, bench: DataFrame) -> DataFrame:
     for k in range(blocks):
         rows = bench.where(block == k).select("item_id", "text").orderBy("item_id", "text").collect()
         shared = spark.sparkContext.broadcast(
-            (space, weight, Items([r.item_id for r in rows], [r.text for r in rows], space, weight))
+            (space, weight, Items([r.item_id for r in rows], [r.text for r in rows], space, weight, count))
         )
         found = docs.select("doc_id", "text").mapInArrow(search(shared), schema)
         out = found if out is None else out.unionAll(found)
@@ -273,27 +349,31 @@ def search(shared):
         space, weight, items = shared.value
         for batch in batches:
             for part, w in pieces(batch, "text"):
+                if not len(w.hash):
+                    continue
                 b = bucket(w.hash)
                 use = np.flatnonzero(weight[b] > 0)
-                if not len(use):
-                    continue
                 z = unit(w.passages(space[b[use]], use))
                 coded, rare = w.coded(use)
                 best: dict[tuple[int, int], tuple[float, float]] = {}
+
+                def check(half: np.ndarray, item: np.ndarray, cosine) -> None:
+                    first, end = items.region(w, half, item)
+                    row = w.half_row[half]
+                    for j, (r, i, lo, hi) in enumerate(zip(row.tolist(), item.tolist(), first.tolist(), end.tolist(), strict=True)):
+                        known = best.get((r, i), (0, 0))[1]
+                        if known < 1 and (share := items.found(i, w.hash[lo:hi])) > known:
+                            best[r, i] = (float(cosine(j)), share)
+
                 step = max(1, (4 << 20) // max(1, items.vectors.shape[1]))
                 for lo in range(0, len(z), step):
                     cosine = z[lo : lo + step] @ items.vectors
                     p, v = np.nonzero(cosine >= COSINE)
                     kept = items.sharing(coded, rare, lo + p, items.of[v])
-                    for p, v in zip(p[kept].tolist(), v[kept].tolist(), strict=True):
-                        row, item = int(w.half_row[lo + p]), int(items.of[v])
-                        if best.get((row, item), (0, 0))[1] == 1:
-                            continue
-                        start = int(w.first[row] + (lo + p - w.half_first[row]) * STEP)
-                        n = len(items.lists[item]) + 8
-                        region = w.hash[max(start - n, w.first[row]) : min(start + PASSAGE + n, w.first[row + 1])]
-                        if (share := items.found(item, region)) > best.get((row, item), (0, 0))[1]:
-                            best[row, item] = (float(cosine[p, v]), share)
+                    p, v = p[kept], v[kept]
+                    check(lo + p, items.of[v], lambda j: cosine[p[j], v[j]])
+                half, item = items.exact(w)
+                check(half, item, lambda j: (z[half[j]] @ items.vectors[:, items.of == item[j]]).max())
                 if best:
                     at = pa.array([r for r, _ in best], pa.int64())
                     yield pa.record_batch(
