@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import pytest
+
 from tickloom.llm import licenses
 
 
@@ -21,3 +25,18 @@ def test_variants_of_whole_texts(spark):
     ]
     assert licenses.scan(docs).where("doc_id = 8").first().license_id == "CC-BY-NC-4.0"
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_whole_texts_of_long_licenses(spark):
+    folder = Path("/usr/share/common-licenses")
+    want = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1",
+            "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    if not all((folder / f).exists() for f in want):
+        pytest.skip("license texts aren't installed")
+    texts = {f: (folder / f).read_text() for f in want}
+    apache = texts["Apache-2.0"].split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS"
+    rows = [(f, t.upper().replace("\n", " \r\n")) for f, t in texts.items()] + [("terms", apache), ("more", texts["GPL-3"] + "more")]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {**want, "terms": "Apache-2.0", "more": None}
+    own = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string"), (("X", apache),)).where("license_id is not null")
+    assert [(r.doc_id, r.license_id) for r in own.collect()] == [("terms", "X")]

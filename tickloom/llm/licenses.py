@@ -2,7 +2,7 @@
 
 A text is lower-cased, everything but letters, digits and line ends becomes a blank, and variant spellings become one.
 Its lines without the copyright lines, joined, are its canonical form; the SHA-256 of that is joined to the digests of
-known license texts, so that a whole text matches whatever its layout, case, year or holder. Lines that are known short
+known license texts (whole texts here, digests alone for long licenses), so that a whole text matches whatever its layout, case, year or holder. Lines that are known short
 notices are named beside that.
 
 Defined results: a null text counts as empty; an empty canonical form has the digest of the empty string and no license;
@@ -90,6 +90,22 @@ TEXTS = (
     ("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) year, holder\n\n{_BSD}{_BSD_3}{_BSD_END}"),
     *((name, text) for name, text in NOTICES if name != "LicenseRef-reserved"),
 )
+#: Canonical digests of long licenses, from the copies in /usr/share/common-licenses; Apache-2.0 with and without its appendix.
+DIGESTS = (
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
+    ("Apache-2.0", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+)
 
 
 def canonical_lines(text: Column) -> Column:
@@ -105,12 +121,15 @@ def canonical(lines: Column) -> Column:
 
 
 def known(spark, texts=TEXTS) -> DataFrame:
-    """digest, license_id of the known texts: a constant table."""
+    """digest, license_id of the known texts, and of DIGESTS beside this module's own: a constant table."""
     if len(texts) > MOST:
         raise ValueError(f"more than {MOST} known texts; store their digests as a table and join that")
     rows = spark.createDataFrame(list(texts), "license_id string, text string")
     digest = F.sha2(canonical(canonical_lines(F.col("text"))).cast("binary"), 256)
-    return rows.select(digest.alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    rows = rows.select(digest.alias("digest"), "license_id")
+    if texts is TEXTS:
+        rows = rows.unionByName(spark.createDataFrame(list(DIGESTS), "license_id string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def canonical_notices(spark) -> list[tuple[str, str]]:
