@@ -176,3 +176,29 @@ def test_pipeline(spark, corpus, tmp_path):
     whole = {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == {tuple(r) for r in stage.collect()} and len(whole) == seen[-1]
     assert pii.detect(docs.limit(0)).count() == 0
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, corpus, tmp_path):
+    docs, labels, _ = corpus
+    rng = random.Random(6)
+    item, twin, bad = prose(rng, 30, 0.2), prose(rng, 40), prose(rng, 20) + " idiot scum zorkly zorkum idiot scum"
+    single, leak, mail, other = prose(rng, 40), prose(rng, 40) + " " + item, "write a@b.cd " + prose(rng, 9), prose(rng, 20) + " to e@f.gh now"
+    extra = [(None, bad), (None, twin), (2000, twin), (None, leak), (2001, leak), (2001, single), (None, mail), (2002, mail + " x"), (2002, other),
+             (2003, twin), (2003, prose(rng, 50))]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in extra], DOC)
+    docs.unionByName(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def run(stage):
+        out = stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()
+        return sorted((r.doc_id or 0, r.text) for r in out if r.doc_id is None or r.doc_id >= 2000)
+
+    given = sorted((i or 0, t) for i, t in extra)
+    assert (0, bad) not in run(corpus_pipeline.toxic)
+    near = run(corpus_pipeline.near_duplicates)
+    assert (2000, twin) in near and sum(t == twin for _, t in near) == 1 and (2003, extra[-1][1]) in near and (2001, single) in near
+    assert sum(t == leak for _, t in near) == 1
+    assert run(corpus_pipeline.benchmark_passages) == [x for x in given if x[1] != leak]
+    hidden = lambda t: t.replace("a@b.cd", "<EMAIL>").replace("e@f.gh", "<EMAIL>")
+    assert run(corpus_pipeline.personal_data) == sorted((i, hidden(t)) for i, t in given)
