@@ -40,3 +40,11 @@ def test_whole_texts_of_long_licenses(spark):
     assert got == {**want, "terms": "Apache-2.0", "more": None}
     own = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string"), (("X", apache),)).where("license_id is not null")
     assert [(r.doc_id, r.license_id) for r in own.collect()] == [("terms", "X")]
+
+
+def test_every_known_text_and_a_table_of_digests(spark):
+    docs = spark.createDataFrame([(i, t.upper()) for i, (_, t) in enumerate(licenses.TEXTS)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(licenses.TEXTS)}
+    digests = licenses.scan(docs).where("license_id = 'Zlib'").selectExpr("digest", "'own' AS license_id")
+    assert licenses.scan(docs, digests).where("license_id = 'own'").count() == 1

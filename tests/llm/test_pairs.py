@@ -81,6 +81,14 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch):
     assert jaccard_join.join(docs.limit(0)).count() == 0
 
 
+def test_jaccard_join_with_text_ids_and_without_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [("x-2", a), ("x-1", a + " more"), (None, b), (None, b), (None, a), ("x-1", b + " end"), ("z", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r.doc_id or "", r.n_links, r.component_id or "") for r in jaccard_join.join(docs).collect())
+    assert got == [("", 2, "x-1"), ("", 2, "x-1"), ("", 2, "x-1"), ("x-1", 2, "x-1"), ("x-1", 2, "x-1"), ("x-2", 2, "x-1"), ("z", 0, "z")]
+
+
 @pytest.mark.parametrize("shared", [55, 100])
 def test_jaccard_join_of_a_chained_group(spark, monkeypatch, shared):
     """Texts around one passage chain into one wide group: compared by bands, or by blocks where that is less."""
@@ -132,6 +140,19 @@ def test_components(spark):
     assert got[160] == 100 and got[9] == 5 and got[7] == 5 and got[200] == 3 and len({*got.values()}) == 3
 
 
+def test_components_with_a_hub(spark):
+    edges = [(7, i) for i in range(1000, 6000)] + [(i, i + 1) for i in range(100, 140)] + [(5999, 139)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(got) == 5041 and set(got.values()) == {7}
+
+
+def test_embeddings_with_text_ids(spark):
+    rows = [("b", [1.0, 2.0]), ("a", [1.0, 2.01]), (None, [1.0, 2.0]), ("c", [-2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    got = sorted((r.vec_id or "", r.n_links, r.component_id, r.kept) for r in embed_dedup.dedup(df).collect())
+    assert got == [("", 2, "a", False), ("a", 2, "a", True), ("b", 2, "a", False), ("c", 0, "c", True)]
+
+
 @pytest.mark.parametrize("n", [1, 512, 60_000, 10**7])
 def test_plan_keeps_recall(n):
     bits, tables = embed_dedup.plan(n)

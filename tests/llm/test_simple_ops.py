@@ -47,6 +47,9 @@ def test_codec_round_trip_equals_the_library(spark, monkeypatch):
     text = "one two, three\n four's five  six " * 40
     assert [i for p in own.cuts(text, 50) for i in library.encode_ordinary(p)] == library.encode_ordinary(text)
     assert len(own.cuts(text, 50)) > 3
+    cjk = "漢字、かな。12 3!? ひ\n한국어 'll d's " * 60
+    assert [i for p in own.cuts(cjk, 30) for i in library.encode_ordinary(p)] == library.encode_ordinary(cjk)
+    assert len(own.cuts("漢字、かな。" * 100, 30)) > 10
     pairs = bpe_codec.decode(bpe_codec.encode(docs(spark), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
     assert {r.doc_id: bytes(r.data) for r in pairs.collect()} == {i: (t or "").encode() for i, t in enumerate(TEXTS)}
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HUBS, SALTS = 1000, 64
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by Spark's own reader, so that any file system works."""
@@ -16,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The reliable folder that all executors share: the session's, or one of our own where none is set (local runs)."""
+    """The reliable folder that all executors share: the session's, or, in a local run without one, one of our own."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tickloom-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = folder or tempfile.mkdtemp(prefix="tickloom-")
         context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -83,30 +88,38 @@ def grouped(
     return dealt.sortWithinPartitions(*keys).mapInArrow(runs, schema)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def met(edges: DataFrame, at: DataFrame, total: int) -> DataFrame:
+    """``edges`` (u, v) joined with ``at`` (u, m, n) on u, where n is how many edges u has in all and ``total`` their number.
+
+    A node with over a HUBS-th of all edges is a hub: there are at most HUBS of them, so their list is broadcast, and each
+    one's edges are salted over SALTS keys.
+    """
+    hub = F.col("n") > max(total // HUBS, 64)
+    hubs = F.broadcast(at.where(hub).select("u", F.lit(True).alias("_hub")))
+    left = edges.join(hubs, "u", "left").withColumn("_salt", F.when(F.col("_hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = F.explode(F.when(hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    return left.join(at.select("u", "m", salts.alias("_salt")), ["u", "_salt"]).select("u", "v", "m")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b): rows (node, component), component the smallest node.
 
-    Alternating large-star and small-star steps over edges only; each round is a few shuffles of id pairs and keeps one
-    edge for each node at the end. Nodes without an edge (or with loops only) don't appear. Nothing goes to the driver
-    but one checksum a round.
+    Alternating large-star and small-star steps over edges only, until nothing changes; each round is a few shuffles of id
+    pairs and keeps one edge for each node at the end. Nodes without an edge (or with loops only) don't appear. Nothing goes
+    to the driver but one checksum a round.
     """
     star = cut(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     )
-    before = None
-    for _ in range(rounds):
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**40))).alias("h")]
+    before, now = None, star.agg(*sums).first()
+    while now != before and now.n:
+        before = now
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+        large = cut(met(both.where("v > u"), least, 2 * now.n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = met(large, low, now.n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         star = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = star.agg(
-            F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**40)))
-        ).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        now = star.agg(*sums).first()
     return star.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -60,10 +60,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hash, row, first byte and end of every word, in order."""
+    return hashed(raw, offsets)[:4]
+
+
+def hashed(raw: np.ndarray, offsets: np.ndarray):
+    """As ``words``, and a function that gives the hashes of parts of words by their first bytes and ends."""
     n = len(raw)
     if not n:
         z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z, z
+        return np.zeros(0, np.uint64), z, z, z, lambda a, b: np.zeros(len(a), np.uint64)
     is_word, low = _WORD[raw], _LOWER[raw]
     if (raw >= 0x80).any():
         lead = np.flatnonzero(raw == 0xC2)
@@ -95,9 +100,12 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     total[0] = 0
     np.multiply(_VALUE[low], p[:n], out=total[1:])
     np.cumsum(total[1:], out=total[1:])
-    h = mix((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64))
+
+    def part(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((total[b] - total[a]) * q[a] + (b - a).astype(np.uint64))
+
     row = np.searchsorted(offsets, start, side="right") - 1
-    return h, row, start, end
+    return part(start, end), row, start, end, part
 
 
 def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,10 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Long texts are cut before they reach the library, at boundaries where no match of the split pattern can cross: before a
-single blank or a letter that follows a line of other text. There every match ends anyway, so identifiers are the same.
+Long texts are cut before they reach the library, where no match of the split pattern can cross: after a letter that no
+letter follows, after a digit that no digit follows, and after a sign that white space follows. There every match ends anyway
+and the next begins, so identifiers are the same; this holds for split patterns of runs of letters, digits and signs with at
+most one blank before them. Only a run of one kind longer than LONG stays in one piece. Characters of the cut are such as all
+versions of Unicode class alike.
 Decoding joins the raw bytes of the identifiers.
 
 Defined results: null text counts as empty; an empty text has no identifiers; special strings inside texts are ordinary
@@ -30,8 +33,10 @@ class Codec:
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
         self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        # Between a letter and a blank that a letter follows: the letters' match ends there, and the next one begins.
-        self.boundary = regex.compile(r"(?<=\p{L})(?= \p{L})")
+        letter = "A-Za-zÀ-ÖØ-öø-ɏА-яぁ-ゖァ-ヺ一-龥가-힣"
+        self.boundary = regex.compile(
+            rf"(?<=[{letter}])(?=[\x00-@\[-`{{-\x7f、。！？，：；「」])|(?<=[0-9])(?=[\x00-/:-\x7f、。])|(?<=[!-/:-@\[-`{{-~、。！？，：；「」])(?=[ \t\r\n])"
+        )
 
     def cuts(self, text: str, size: int = LONG) -> list[str]:
         out, lo = [], 0

@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only.
 
-A conversation's turns are collected as structs, sorted, runs of one role are merged into a block, and blocks are
-concatenated under a template. Control strings inside texts are escaped reversibly: ``&``, ``<`` and ``[`` become
+A conversation's turns are collected as structs and sorted; each run of one role is sliced out and its texts aggregated into
+a block; and blocks are concatenated under a template. Control strings inside texts are escaped reversibly: ``&``, ``<`` and ``[`` become
 ``&amp;``, ``&lt;`` and ``&lb;``, so no mark of the template can occur in a text, and the output can be read back.
 
 Template: ``<s>`` block ... ``</s>``; a block is ``<|role|>`` + turn (``<|and|>`` turn)* + ``<|end|>``; roles are escaped
@@ -51,19 +51,21 @@ def format_chats(turns: DataFrame) -> DataFrame:
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     sorted_turns = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("t"))
-    # A turn after one of the same role goes on in its block; any other turn closes the block before and opens its own.
-    marked = F.transform(
-        F.col("t"),
-        lambda x, i: F.concat(
-            F.when((i > 0) & (F.get(F.col("t"), i - 1)["role"] == x["role"]), F.lit(AND)).otherwise(
-                F.concat(
-                    F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(HEAD), escape_role(x["role"]), F.lit(TAIL)
-                )
-            ),
-            escape(x["text"]),
-        ),
+    t = F.col("t")
+    first = F.filter(
+        F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.get(t, i - 1)["role"] != F.get(t, i - 2)["role"])
     )
-    return sorted_turns.select("conv_id", F.concat(F.lit(OPEN), join(marked), F.lit(END + CLOSE)).alias("formatted"))
+
+    def block(run: Column) -> Column:
+        texts = join(F.transform(run, lambda x: escape(x["text"])), AND)
+        return F.concat(F.lit(HEAD), escape_role(F.get(run, F.lit(0))["role"]), F.lit(TAIL), texts, F.lit(END))
+
+    def blocks(starts: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(starts, i + 1), F.size(t) + 1)
+        return join(F.transform(starts, lambda at, i: block(F.slice(t, at, after(i) - at))))
+
+    merged = F.get(F.transform(F.array(first), blocks), F.lit(0))
+    return sorted_turns.select("conv_id", F.concat(F.lit(OPEN), merged, F.lit(CLOSE)).alias("formatted"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:

@@ -2,25 +2,35 @@
 
 Three passes over all documents, each on the words of whole Arrow batches:
 
-1. how often each of BUCKETS hashed words occurs (weights: log inverse frequency; words in over COMMON of passages, and over RARE, weigh 0);
+1. how often each of BUCKETS hashed words occurs. The weight of a word is the logarithm of one plus passages over
+   occurrences: positive for every word at every size of the data, so nothing is left out of the matrix;
 2. a randomised SVD of the TF-IDF matrix of all passages (PASSAGE words, every STEP words): each task adds up its part of
    A'(A R) for a random R, the parts are summed by blocks on the executors, and a QR of the BUCKETS x RANK sum on the
    driver gives the latent space (its size does not depend on the data), with directions scaled to equal spread;
-3. cosine of every passage with every benchmark passage in that space; candidates from COSINE on are checked by shared
-   rare words (SHARED of those of the passage or of the item), by the longest common subsequence with the whole item around the passage, and by the item's answer.
+3. cosine of every passage with every benchmark passage in that space. Candidates from COSINE on are checked by the
+   item's words around the passage, by the longest common subsequence with the whole item, and by the item's answer.
 
-Words that leaked often weigh 0 like any common word, so the same pass has a second, exact way to the last two checks: where
-LCS_LIKELY of an item's different words must be there, one of its rarest must be, as many as may be missing and one more.
-Every passage that begins in the half of such a word is a candidate, if enough of the item's words stand around it. This
+The DENSE most frequent buckets, which are most of the words, go through small count matrices, the others one by one; the
+sums are the same.
+
+COSINE is calibrated: of benchmark passages with each seventh word dropped or replaced, or with word pairs swapped, 98 % reach
+it. A candidate must also have enough of the item's words around it, first by a bit sketch of SKETCH bits for each half
+passage, then word by word; both only drop pairs that the subsequence check would drop.
+
+A cosine threshold can miss: an item that stands in a large share of all passages has common words only. So the same pass
+has a second, exact way to the same checks: where LCS_LIKELY of an item's different words must be there, one of its rarest
+must be, as many as may be missing and one more. Every passage that begins in the half of such a word is a candidate. This
 finds any leak within a span of the item's length and 8 words, however many documents share it.
 
-An item is found in a document if the common subsequence holds at least LCS_SURE of its words, or LCS_LIKELY of them with
-ANSWER_SHARE of its answer, its last quarter. Items under SHORT words must be there whole.
+An item is found in a document if, around some passage, LCS_LIKELY of its different words stand and the common subsequence
+holds at least LCS_SURE of its words, or LCS_LIKELY of them with ANSWER_SHARE of its answer, its last quarter. Items under SHORT words must be there whole. ``latent`` tells which of the
+found ones the cosine search had among its candidates.
 
-The benchmark is a stated query set: it is taken in blocks of at most BLOCK_BYTES of text, each broadcast in turn.
+The benchmark is a stated query set: it is taken in blocks of at most BLOCK_BYTES of text, each broadcast in turn; all
+items of a block are looked for in one scan of the documents.
 
 Defined results: null or empty texts and items match nothing; repeated documents or items match each for themselves;
-documents of any length are taken whole; extra columns are ignored; empty tables give an empty result.
+documents of any length are taken whole; extra columns are ignored, whatever their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -34,22 +44,18 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import _text
 
-BUCKETS, RANK, PASSAGE, STEP = 1 << 15, 48, 32, 16
-COMMON, RARE, COSINE, SHARED = 0.001, 50, 0.33, 0.3
+BUCKETS, RANK, PASSAGE, STEP, DENSE = 1 << 15, 48, 32, 16, 128
+COSINE = 0.5
+SKETCH = 256
 LCS_SURE, LCS_LIKELY, ANSWER_SHARE, SHORT = 0.75, 0.6, 0.75, 8
-BLOCK_BYTES, PIECE, SLICE, CODES = 4 << 20, 1 << 20, 512, 1 << 12
-MARKS, SLOTS, GATHER = 1 << 20, 1 << 21, 1 << 20
+BLOCK_BYTES, PIECE, SLICE = 8 << 20, 1 << 20, 512
+SLOTS, GATHER = 1 << 23, 1 << 20
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1)
 
 
-def code(h: np.ndarray) -> np.ndarray:
-    """A word's place in the items' tables of rare words."""
-    return (h >> np.uint64(40)).astype(np.int64) & (CODES - 1)
-
-
 class Words:
     """Words of a piece of a batch, with the half passages they stand in."""
 
@@ -69,26 +75,64 @@ class Words:
         if self.n_halves > 1:
             self.same[:-1] = self.half_row[1:] == self.half_row[:-1]
 
-    def passages(self, values: np.ndarray, use: np.ndarray) -> np.ndarray:
-        """Sums over each passage (a half and the next of its row) of the values of the words used."""
-        out = np.zeros((self.n_halves, values.shape[1]), np.float32)
-        half = self.half[use]
-        if len(half):
-            start = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
-            out[half[start]] = np.add.reduceat(values, start, axis=0)
-        joined = out.copy()
-        joined[self.same] += out[1:][self.same[:-1]]
-        return joined
-
-    def coded(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the words used in each passage (CODES where there is none), and how many they are."""
-        half = self.half[use]
-        at = np.arange(len(self.hash)) - self.first[self.row]
-        one = np.full((self.n_halves + 1, STEP), CODES, np.int16)
-        one[half, at[use] % STEP] = code(self.hash[use])
-        after = np.where(self.same, np.arange(1, self.n_halves + 1), self.n_halves)
-        out = np.concatenate([one[:-1], one[after]], axis=1)
-        return out, (out < CODES).sum(1)
+    def joined(self, halves: np.ndarray) -> np.ndarray:
+        """Sums over each passage (a half and the next of its row) from those over the halves."""
+        out = halves.copy()
+        out[self.same] += halves[1:][self.same[:-1]]
+        return out
+
+    def spread(self, passages: np.ndarray) -> np.ndarray:
+        """Sums over the passages that each half is in: its own and the one before."""
+        out = passages.copy()
+        out[1:][self.same[:-1]] += passages[:-1][self.same[:-1]]
+        return out
+
+
+    def sketches(self, radius: int) -> np.ndarray:
+        """Bits (SKETCH for each half, as 64-bit values) of the words of each half and ``radius`` halves on both sides at least."""
+        flags = np.zeros((self.n_halves, SKETCH), np.uint8)
+        flags[self.half, (self.hash & np.uint64(SKETCH - 1)).astype(np.int64)] = 1
+        out = np.packbits(flags, axis=1).view(np.uint64)
+        reach = 0
+        while reach < radius:
+            step = max(1, reach)
+            wider = out.copy()
+            wider[step:] |= out[:-step]
+            wider[:-step] |= out[step:]
+            out, reach = wider, reach + step
+        return out
+
+
+class Matrix:
+    """The passages by buckets matrix of a piece, as counts of the frequent buckets and a list of the other words."""
+
+    def __init__(self, w: Words, dense: np.ndarray):
+        """dense: for each bucket its place among the frequent ones, or -1."""
+        self.words, b = w, bucket(w.hash)
+        place = dense[b]
+        often = np.flatnonzero(place >= 0)
+        size = int(dense.max(initial=-1)) + 1
+        self.counts = np.bincount(w.half[often] * size + place[often], minlength=w.n_halves * size).reshape(w.n_halves, size).astype(np.float32)
+        seldom = np.flatnonzero(place < 0)
+        self.half, self.bucket = w.half[seldom], b[seldom]
+
+    def times(self, values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+        """Passages by columns: the sums of the rows of ``values`` (buckets by columns) over each passage's words."""
+        out = self.counts @ values[frequent]
+        if len(self.half):
+            start = np.flatnonzero(np.r_[True, self.half[1:] != self.half[:-1]])
+            out[self.half[start]] += np.add.reduceat(values[self.bucket], start, axis=0)
+        return self.words.joined(out)
+
+    def add_transposed(self, total: np.ndarray, passages: np.ndarray, frequent: np.ndarray) -> None:
+        """Adds to ``total`` (buckets by columns) the sums of the rows of ``passages`` over each bucket's words."""
+        halves = self.words.spread(passages)
+        total[frequent] += self.counts.T @ halves
+        if len(self.half):
+            order = np.argsort(self.bucket, kind="stable")
+            b = self.bucket[order]
+            first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+            total[b[first]] += np.add.reduceat(halves[self.half[order]], first, axis=0)
 
 
 def pieces(batch: pa.RecordBatch, name: str) -> Iterator[tuple[pa.RecordBatch, Words]]:
@@ -129,7 +173,8 @@ def emit(total: np.ndarray) -> pa.RecordBatch:
 
 def slot(h: np.ndarray, item: np.ndarray, size: int) -> np.ndarray:
     """Place of an item's word in a table of ``size`` (a power of two)."""
-    return (_text.mix(h + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(size - 1)).astype(np.int64)
+    spread = (h + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    return (spread >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def counted(texts: DataFrame) -> tuple[np.ndarray, float]:
@@ -148,38 +193,36 @@ def counted(texts: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def weights(count: np.ndarray, passages: float) -> np.ndarray:
-    """Weight of each bucket."""
-    out = np.log1p(passages / (1 + count))
-    out[2 * count > max(COMMON * passages, RARE)] = 0
-    return out.astype(np.float32)
+    """Weight of each bucket, positive for all."""
+    return np.log1p(passages / (1 + count)).astype(np.float32)
+
+
+def frequents(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent buckets, and each bucket's place among them or -1."""
+    frequent = np.argsort(-count, kind="stable")[:DENSE]
+    dense = np.full(BUCKETS, -1, np.int64)
+    dense[frequent] = np.arange(len(frequent))
+    return frequent, dense
 
 
-def latent(texts: DataFrame, weight: np.ndarray) -> np.ndarray:
+def latent(texts: DataFrame, weight: np.ndarray, count: np.ndarray) -> np.ndarray:
     """BUCKETS x RANK: the latent space of all passages, by one randomised pass."""
-    shared = texts.sparkSession.sparkContext.broadcast(weight)
+    shared = texts.sparkSession.sparkContext.broadcast((weight, *frequents(count)))
 
     def start() -> np.ndarray:
         return np.random.default_rng(41).standard_normal((BUCKETS, RANK), dtype=np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w8, total = shared.value, np.zeros((BUCKETS, RANK), np.float32)
-        random = start() * w8[:, None]
+        w8, frequent, dense = shared.value
+        total = np.zeros((BUCKETS, RANK), np.float32)
+        values = np.concatenate([start() * w8[:, None], (w8**2)[:, None]], axis=1)
         for batch in batches:
             for _, w in pieces(batch, "text"):
-                b = bucket(w.hash)
-                use = np.flatnonzero(w8[b] > 0)
-                b = b[use]
-                if not len(b):
+                if not len(w.hash):
                     continue
-                y = w.passages(random[b], use)
-                size = w.passages((w8[b] ** 2)[:, None], use)
-                y /= np.maximum(size, 1e-6)
-                both = y.copy()  # a word is in its half's passage and in the one before
-                both[1:][w.same[:-1]] += y[:-1][w.same[:-1]]
-                order = np.argsort(b, kind="stable")
-                sorted_b = b[order]
-                first = np.flatnonzero(np.r_[True, sorted_b[1:] != sorted_b[:-1]])
-                total[sorted_b[first]] += np.add.reduceat(both[w.half[use[order]]], first, axis=0)
+                matrix = Matrix(w, dense)
+                y = matrix.times(values, frequent)
+                matrix.add_transposed(total, y[:, :-1] / np.maximum(y[:, -1:], 1e-6), frequent)
         yield emit(total * w8[:, None])
 
     sketch = summed(texts.mapInArrow(run, "block int, data binary"), RANK)
@@ -194,29 +237,27 @@ def latent(texts: DataFrame, weight: np.ndarray) -> np.ndarray:
 class Items:
     """A block of the benchmark: its words, answers, and its passages in the latent space."""
 
-    def __init__(self, ids: list, texts: list[str | None], space: np.ndarray, weight: np.ndarray, count: np.ndarray):
+    def __init__(self, ids: list, texts: list[str | None], space: np.ndarray, count: np.ndarray):
         w = Words(pa.array(texts, pa.string()))
         self.ids = ids
         self.words = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(ids))]
-        self.lists = [x.tolist() for x in self.words]
-        b = bucket(w.hash)
-        use = np.flatnonzero(weight[b] > 0)
-        z = unit(w.passages(space[b[use]], use))
+        self.frequent, self.dense = frequents(count)
+        z = unit(Matrix(w, self.dense).times(space, self.frequent))
         # The last half of an item is in the passage before it, unless it is the only one.
         kept = w.same | (np.diff(w.half_first) == 1)[w.half_row]
         self.vectors, self.of = np.ascontiguousarray(z[kept].T), w.half_row[kept]
-        self.codes = np.zeros((len(ids), CODES + 1), np.uint8)
-        self.codes[w.row[use], code(w.hash[use])] = 1
-        self.rare = self.codes.sum(1, dtype=np.int64)
-        self.masks = [masks(x) for x in self.lists]
         self.sets = [np.unique(x) for x in self.words]
         self.size = np.array([len(x) for x in self.words], np.int64)
+        self.made: dict[int, tuple[list[int], dict[int, int]]] = {}
         self.index(count)
 
     def index(self, count: np.ndarray) -> None:
         """keys, items: the words one of which must be there, by hash; bits: up to 64 words of each item; least: how many of these must be there."""
         key, of, bits, bit_of = [], [], [], []
-        self.least = np.ones(len(self.ids), np.int64)
+        self.least, self.sketch_least = np.ones((2, len(self.ids)), np.int64)
+        self.sketch = np.zeros((len(self.ids), SKETCH // 64), np.uint64)
+        # Halves from a passage's first that hold the words around it, as a power of two.
+        self.radius = 1 << np.ceil(np.log2(-(-(self.size + 8 + PASSAGE) // STEP))).astype(np.int64)
         for i, x in enumerate(self.sets):
             if not len(x):
                 continue
@@ -227,13 +268,16 @@ class Items:
             bits.append(x[:64])
             bit_of.append(np.full(len(bits[-1]), i))
             self.least[i] = max(1, len(bits[-1]) - missing)
+            flags = np.zeros(SKETCH, np.uint8)
+            flags[(x & np.uint64(SKETCH - 1)).astype(np.int64)] = 1
+            self.sketch[i], self.sketch_least[i] = np.packbits(flags).view(np.uint64), flags.sum() - missing
         keys, items = (np.concatenate([z, *a]) for z, a in ((np.zeros(0, np.uint64), key), (np.zeros(0, np.int64), of)))
         order = np.argsort(keys, kind="stable")
         self.items = items[order]
         self.keys, first = np.unique(keys[order], return_index=True)
         self.key_first = np.r_[first, len(keys)]
-        self.marks = np.zeros(MARKS, bool)
-        self.marks[(self.keys & np.uint64(MARKS - 1)).astype(np.int64)] = True
+        self.marks = np.zeros(1 << min(25, max(16, (16 * len(self.keys)).bit_length())), bool)
+        self.marks[(self.keys & np.uint64(len(self.marks) - 1)).astype(np.int64)] = True
         n = sum(len(x) for x in bits)
         self.bits = np.zeros(min(SLOTS, 1 << max(12, (32 * n).bit_length())), np.uint64)
         for x, i in zip(bits, bit_of, strict=True):
@@ -245,49 +289,63 @@ class Items:
         start = w.first[row] + (half - w.half_first[row]) * STEP
         return np.maximum(start - n, w.first[row]), np.minimum(start + PASSAGE + n, w.first[row + 1])
 
-    def exact(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    def exact(self, w: Words, sketches: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Halves and items with one of the item's rarest words in the half and enough of its words around."""
-        at = np.flatnonzero(self.marks[(w.hash & np.uint64(MARKS - 1)).astype(np.int64)])
+        at = np.flatnonzero(self.marks[(w.hash & np.uint64(len(self.marks) - 1)).astype(np.int64)])
         if not len(at) or not len(self.keys):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         k = np.minimum(np.searchsorted(self.keys, w.hash[at]), len(self.keys) - 1)
         hit = self.keys[k] == w.hash[at]
         at, k = at[hit], k[hit]
-        halves, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        pairs = [np.zeros(0, np.int64)]
         many = self.key_first[k + 1] - self.key_first[k]
         for lo, hi in _text.pieces(np.r_[0, np.cumsum(many)], GATHER):
             each = many[lo:hi]
             nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
             item = self.items[np.repeat(self.key_first[k[lo:hi]], each) + nth]
-            half, item = np.divmod(np.unique(np.repeat(w.half[at[lo:hi]], each) * len(self.ids) + item), len(self.ids))
-            first, end = self.region(w, half, item)
-            for a, b in _text.pieces(np.r_[0, np.cumsum(end - first)], GATHER):
-                size = (end - first)[a:b]
-                start = np.cumsum(size) - size
-                word = w.hash[np.arange(size.sum()) + np.repeat(first[a:b] - start, size)]
-                there = self.bits[slot(word, np.repeat(item[a:b], size), len(self.bits))]
-                enough = np.bitwise_count(np.bitwise_or.reduceat(there, start)) >= self.least[item[a:b]]
-                halves.append(half[a:b][enough])
-                items.append(item[a:b][enough])
-        return np.concatenate(halves), np.concatenate(items)
-
-    def sharing(self, coded: np.ndarray, rare: np.ndarray, passage: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Which candidate pairs share enough rare words; coded: codes of each passage's rare words, CODES for none."""
-        keep = np.zeros(len(passage), bool)
-        for lo in range(0, len(passage), 100_000):
-            p, i = passage[lo : lo + 100_000], item[lo : lo + 100_000]
-            n = self.codes[i[:, None], coded[p]].sum(1)
-            keep[lo : lo + len(p)] = n >= np.maximum(1, SHARED * np.minimum(rare[p], self.rare[i]))
+            some = np.unique(np.repeat(w.half[at[lo:hi]], each) * len(self.ids) + item)
+            some = some[self.likely(sketches, *np.divmod(some, len(self.ids)))]
+            pairs.append(some[self.enough(w, *np.divmod(some, len(self.ids)))])
+        return np.divmod(np.unique(np.concatenate(pairs)), len(self.ids))
+
+    def likely(self, sketches: dict[int, np.ndarray], half: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which pairs have enough of the item's bits around the passage; sketches: by radius."""
+        keep = np.zeros(len(half), bool)
+        for radius, bits in sketches.items():
+            own = np.flatnonzero(self.radius[item] == radius)
+            for lo in range(0, len(own), GATHER):
+                at = own[lo : lo + GATHER]
+                n = np.bitwise_count(bits[half[at]] & self.sketch[item[at]]).sum(1, dtype=np.int64)
+                keep[at] = n >= self.sketch_least[item[at]]
+        return keep
+
+    def enough(self, w: Words, half: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which pairs have so many of the item's words around the passage that the item can be found there."""
+        keep = np.zeros(len(half), bool)
+        first, end = self.region(w, half, item)
+        for a, b in _text.pieces(np.r_[0, np.cumsum(end - first)], GATHER):
+            size = (end - first)[a:b]
+            start = np.cumsum(size) - size
+            word = w.hash[np.arange(size.sum()) + np.repeat(first[a:b] - start, size)]
+            there = self.bits[slot(word, np.repeat(item[a:b], size), len(self.bits))]
+            keep[a:b] = np.bitwise_count(np.bitwise_or.reduceat(there, start)) >= self.least[item[a:b]]
         return keep
 
+    def listed(self, item: int) -> tuple[list[int], dict[int, int]]:
+        """The item's words and their bit masks, made when first needed."""
+        if item not in self.made:
+            words = self.words[item].tolist()
+            self.made[item] = words, masks(words)
+        return self.made[item]
+
     def found(self, item: int, region: np.ndarray) -> float:
         """Share of the item that the region holds in order, if that makes it a leak, else 0."""
-        words = self.lists[item]
+        words, mask = self.listed(item)
         n = len(words)
         if np.isin(self.sets[item], region).mean() < LCS_LIKELY:
             return 0.0
         inside = region.tolist()
-        share = lcs(self.masks[item], n, inside) / n
+        share = lcs(mask, n, inside) / n
         if n < SHORT:
             return share if share == 1 and any(inside[i : i + n] == words for i in range(len(inside) - n + 1)) else 0.0
         if share >= LCS_SURE:
@@ -320,66 +378,92 @@ def lcs(mask: dict[int, int], n: int, other: list[int]) -> int:
     return n - v.bit_count()
 
 
-def find(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """doc_id, item_id, cosine, share: every benchmark item found in a document."""
-    spark = docs.sparkSession
-    texts = docs.select("text")
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(bench.dtypes)['item_id']}, cosine double, share double"
+def searches(texts: DataFrame, bench: DataFrame) -> Iterator:
+    """For each block of the benchmark a function from batches with a text to pairs of rows and what is found in them."""
+    context = texts.sparkSession.sparkContext
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if not size:
-        return spark.createDataFrame([], schema)
+        return
     count, passages = counted(texts)
-    weight = weights(count, passages)
-    space = latent(texts, weight)
+    space = latent(texts, weights(count, passages), count)
     blocks = -(-int(size) // BLOCK_BYTES)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    out = None
     for k in range(blocks):
         rows = bench.where(block == k).select("item_id", "text").orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(
-            (space, weight, Items([r.item_id for r in rows], [r.text for r in rows], space, weight, count))
-        )
-        found = docs.select("doc_id", "text").mapInArrow(search(shared), schema)
-        out = found if out is None else out.unionAll(found)
-    return out
+        yield context.broadcast((space, Items([r.item_id for r in rows], [r.text for r in rows], space, count)))
 
 
-def search(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, weight, items = shared.value
-        for batch in batches:
-            for part, w in pieces(batch, "text"):
-                if not len(w.hash):
-                    continue
-                b = bucket(w.hash)
-                use = np.flatnonzero(weight[b] > 0)
-                z = unit(w.passages(space[b[use]], use))
-                coded, rare = w.coded(use)
-                best: dict[tuple[int, int], tuple[float, float]] = {}
-
-                def check(half: np.ndarray, item: np.ndarray, cosine) -> None:
-                    first, end = items.region(w, half, item)
-                    row = w.half_row[half]
-                    for j, (r, i, lo, hi) in enumerate(zip(row.tolist(), item.tolist(), first.tolist(), end.tolist(), strict=True)):
-                        known = best.get((r, i), (0, 0))[1]
-                        if known < 1 and (share := items.found(i, w.hash[lo:hi])) > known:
-                            best[r, i] = (float(cosine(j)), share)
-
-                step = max(1, (4 << 20) // max(1, items.vectors.shape[1]))
-                for lo in range(0, len(z), step):
-                    cosine = z[lo : lo + step] @ items.vectors
-                    p, v = np.nonzero(cosine >= COSINE)
-                    kept = items.sharing(coded, rare, lo + p, items.of[v])
-                    p, v = p[kept], v[kept]
-                    check(lo + p, items.of[v], lambda j: cosine[p[j], v[j]])
-                half, item = items.exact(w)
-                check(half, item, lambda j: (z[half[j]] @ items.vectors[:, items.of == item[j]]).max())
-                if best:
+def find(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """doc_id, item_id, cosine, share, latent: every benchmark item found in a document."""
+    kinds = dict(docs.dtypes)["doc_id"], dict(bench.dtypes)["item_id"]
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, cosine double, share double, latent boolean"
+
+    def run(shared):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            space, items = shared.value
+            for batch in batches:
+                for part, w in pieces(batch, "text"):
+                    best = search(w, space, items)
                     at = pa.array([r for r, _ in best], pa.int64())
-                    yield pa.record_batch(
-                        [part.column("doc_id").take(at), pa.array([items.ids[i] for _, i in best]),
-                         pa.array([c for c, _ in best.values()], pa.float64()), pa.array([s for _, s in best.values()], pa.float64())],
-                        names=["doc_id", "item_id", "cosine", "share"],
-                    )
+                    values = [pa.array(c, k) for c, k in zip(zip(*best.values(), strict=True), (pa.float64(), pa.float64(), pa.bool_()), strict=False)]
+                    if best:
+                        yield pa.record_batch(
+                            [part.column("doc_id").take(at), pa.array([items.ids[i] for _, i in best]), *values],
+                            names=["doc_id", "item_id", "cosine", "share", "latent"],
+                        )
+
+        return each
+
+    out = docs.sparkSession.createDataFrame([], schema)
+    for shared in searches(docs.select("text"), bench):
+        out = out.unionAll(docs.select("doc_id", "text").mapInArrow(run(shared), schema))
+    return out
+
+
+def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark item is found: decided where the row is, without a join."""
+
+    def run(shared):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            space, items = shared.value
+            for batch in batches:
+                for part, w in pieces(batch, "text"):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[r for r, _ in search(w, space, items)]] = False
+                    yield part.filter(pa.array(keep))
+
+        return each
+
+    out = docs
+    for shared in searches(docs.select("text"), bench):
+        out = out.mapInArrow(run(shared), docs.schema)
+    return out
+
 
-    return run
+def search(w: Words, space: np.ndarray, items: Items) -> dict[tuple[int, int], tuple[float, float, bool]]:
+    """Cosine, share and whether the cosine search came upon it, of every (row, item) found in a piece."""
+    if not len(w.hash) or not len(items.keys):
+        return {}
+    z = unit(Matrix(w, items.dense).times(space, items.frequent))
+    near = [np.zeros(0, np.int64)]
+    sketches = {r: w.sketches(r) for r in np.unique(items.radius).tolist()}
+    for lo in range(0, len(z), step := max(1, (4 << 20) // items.vectors.shape[1])):
+        p, v = np.nonzero(z[lo : lo + step] @ items.vectors >= COSINE)
+        likely = items.likely(sketches, lo + p, items.of[v])
+        some = np.unique((lo + p[likely]) * len(items.ids) + items.of[v[likely]])
+        near.append(some[items.enough(w, *np.divmod(some, len(items.ids)))])
+    near = np.concatenate(near)
+    half, item = items.exact(w, sketches)
+    pairs = np.union1d(near, half * len(items.ids) + item)
+    half, item = np.divmod(pairs, len(items.ids))
+    by_cosine = np.isin(pairs, near)
+    first, end = items.region(w, half, item)
+    best: dict[tuple[int, int], tuple[float, float, bool]] = {}
+    for h, i, lo, hi, latent_too in zip(half.tolist(), item.tolist(), first.tolist(), end.tolist(), by_cosine.tolist(), strict=True):
+        key = int(w.half_row[h]), i
+        cosine, known, seen = best.get(key, (0.0, 0.0, False))
+        if known < 1 and (share := items.found(i, w.hash[lo:hi])) > known:
+            cosine, known = float((z[h] @ items.vectors[:, items.of == i]).max()), share
+        if known:
+            best[key] = cosine, known, seen or latent_too
+    return best

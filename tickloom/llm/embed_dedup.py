@@ -1,7 +1,7 @@
 """Near duplicates among embeddings by collision-counting projections.
 
 1. Vectors are scaled to length one; equal ones form a class with one representative.
-2. Each representative gets TABLES signatures of BITS projection signs. A table's signature is a coarse cell in which near
+2. Each representative gets a number of signatures of BITS projection signs. A table's signature is a coarse cell in which near
    vectors meet; BITS grows with the logarithm of the number of vectors, so that a cell holds about CELL of them, and the
    number of tables follows from it: a pair at the threshold misses all of them with probability MISS at most.
 3. Inside a cell, PROJECTIONS one-dimensional projections are sorted, and the window of half-width WIDTH around each
@@ -12,12 +12,15 @@
    and a spanning forest of them, never the pairs; components of the forests give the groups.
 
 Defined results: vectors that are null, empty, of length zero or with null or non-finite components link with nothing;
-vectors of different lengths don't link; rows of one vec_id with different vectors are told apart inside; extra columns
-are ignored; an empty table stays empty. Recall against brute force is tested, as is precision.
+vectors of different lengths don't link; ids may be of any type that sorts, and keep it; rows of one vec_id with different
+vectors, and rows without an id, are told apart inside (a class is known by 128 bits of its vector, and has a number of its
+own); a group without any id has null for its smallest, and its rows are kept; extra columns are ignored; an empty table
+stays empty. Recall against brute force is tested, as is precision.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm._common import components, cut, grouped
 
-THRESHOLD, CELL, MISS, PROJECTIONS, WIDTH, BLOCK = 0.9, 512, 1e-5, 32, 0.7, 1024
+THRESHOLD, CELL, MISS, PROJECTIONS, WIDTH, BLOCK = 0.9, 1024, 1e-4, 32, 0.7, 1024
 
 
 def plan(n: int) -> tuple[int, int]:
@@ -69,19 +72,28 @@ def decoded(raw: bytes, dim: int) -> np.ndarray:
 
 def collisions(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Counts of window collisions, left x right, of their projections (rows by PROJECTIONS), by sorted windows."""
-    out = np.zeros((len(left), len(right)), np.int16)
+    out = np.zeros((len(left), len(right)), np.int8)
     for k in range(left.shape[1]):
-        order = np.argsort(right[:, k], kind="stable")
+        order = np.argsort(right[:, k])
         value = right[order, k]
-        lo = np.searchsorted(value, left[:, k] - WIDTH, "left")
-        hi = np.searchsorted(value, left[:, k] + WIDTH, "right")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        out += (place >= lo[:, None]) & (place < hi[:, None])
+        lo = np.searchsorted(value, left[:, k] - WIDTH, "left").astype(np.uint16)
+        hi = np.searchsorted(value, left[:, k] + WIDTH, "right").astype(np.uint16)
+        place = np.empty(len(order), np.uint16)
+        place[order] = np.arange(len(order), dtype=np.uint16)
+        # Places before the window wrap around to large numbers.
+        out += (place - lo[:, None] < (hi - lo)[:, None]).view(np.int8)
     return out
 
 
-def compare(task: pa.Table) -> pa.RecordBatch | None:
+def signatures(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """rows x tables: the cell of each vector in each table, by the signs of ``bits`` projections."""
+    if not bits or not tables:
+        return np.zeros((len(x), tables), np.uint32)
+    sign = (x @ directions(x.shape[1], tables * bits, 9) > 0).reshape(len(x), tables, bits)
+    return (sign @ (1 << np.arange(bits, dtype=np.int64))).astype(np.uint32)
+
+
+def compare(task: pa.Table, bits: int, tables: int) -> pa.RecordBatch | None:
     """Links within a cell, or a pair of its blocks: rows (node, links, null) and forest edges (node, 0, other)."""
     dim, low, high = (task.column(c)[0].as_py() for c in ("dim", "lo", "hi"))
     table = task.column("tab")[0].as_py()
@@ -90,7 +102,7 @@ def compare(task: pa.Table) -> pa.RecordBatch | None:
         return None
     copies = task.column("copies").to_numpy()
     x = np.stack([decoded(raw, dim) for raw in task.column("vec").to_pylist()])
-    cells = np.frombuffer(b"".join(task.column("cells").to_pylist()), np.uint32).reshape(len(node), -1)[:, :table]
+    cells = signatures(x, bits, tables)[:, :table]
     h = x @ directions(dim, PROJECTIONS, 5)
     first = task.column("blk").to_numpy() == low
     left = np.flatnonzero(first)
@@ -135,83 +147,81 @@ def compare(task: pa.Table) -> pa.RecordBatch | None:
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
-    """vec_id, node (64 bits that stand for the vector, null if it can't link), dim, vec (its components)."""
+    """vec_id, a, b (128 bits that stand for the vector, null if it can't link), dim, vec (its components)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            node, dims, data = [], [], []
+            marks, dims, data = [], [], []
             for v in batch.column(1).to_pylist():
                 x = np.array(v if v and None not in v else [np.nan], np.float64)
                 if not np.isfinite(x).all() or not x.any():
-                    node.append(None), dims.append(None), data.append(None)
+                    marks.append((None, None)), dims.append(None), data.append(None)
                     continue
                 x += 0.0  # no negative zeros
-                node.append(xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63)
+                mark = xxhash.xxh3_128_intdigest(x.tobytes())
+                marks.append(((mark >> 64) - 2**63, (mark & (2**64 - 1)) - 2**63))
                 dims.append(len(x))
                 data.append(encoded(x))
-            yield pa.record_batch(
-                [batch.column(0), pa.array(node, pa.int64()), pa.array(dims, pa.int32()), pa.array(data, pa.binary())],
-                names=["vec_id", "node", "dim", "vec"],
-            )
+            sides = [pa.array([m[i] for m in marks], pa.int64()) for i in (0, 1)]
+            yield pa.record_batch([batch.column(0), *sides, pa.array(dims, pa.int32()), pa.array(data, pa.binary())], names=["vec_id", "a", "b", "dim", "vec"])
 
-    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, node long, dim int, vec binary")
+    kind = dict(vectors.dtypes)["vec_id"]
+    return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id {kind}, a long, b long, dim int, vec binary")
 
 
-def signed(heads: DataFrame, bits: int, tables: int) -> DataFrame:
-    """The rows with ``cells``: their signatures in all tables."""
-    fields = "node long, copies long, dim int, vec binary, cells binary"
+def celled(heads: DataFrame, bits: int, tables: int) -> DataFrame:
+    """The rows (node, copies, dim, vec) once for each table, with its number ``tab`` and their cell in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        power = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             dims = batch.column("dim").to_numpy()
-            cells: list[bytes] = [b""] * batch.num_rows
-            raw = batch.column("vec").to_pylist()
+            raw = batch.column("vec")
             for dim in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == dim)
-                x = np.stack([decoded(raw[r], dim) for r in rows])
-                sign = (x @ directions(dim, max(1, tables * bits), 9) > 0).reshape(len(rows), -1)
-                code = np.zeros((len(rows), tables), np.uint32)
-                if bits:
-                    code = (sign.reshape(len(rows), tables, bits) @ power).astype(np.uint32)
-                for r, c in zip(rows, code, strict=True):
-                    cells[r] = c.tobytes()
-            yield pa.record_batch([*batch.columns, pa.array(cells, pa.binary())], names=[*batch.schema.names, "cells"])
+                code = signatures(np.stack([decoded(raw[r].as_py(), dim) for r in rows.tolist()]), bits, tables)
+                part = batch.take(pa.array(rows))
+                for t in range(tables):
+                    yield pa.record_batch(
+                        [*part.columns, pa.array(np.full(len(rows), t, np.int32)), pa.array(code[:, t].astype(np.int64))],
+                        names=[*part.schema.names, "tab", "cell"],
+                    )
 
-    return heads.select("node", "copies", "dim", "vec").mapInArrow(run, fields)
+    return heads.select("node", "copies", "dim", "vec").mapInArrow(run, "node long, copies long, dim int, vec binary, tab int, cell long")
 
 
 def dedup(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding)."""
     found = cut(prepared(vectors))
-    good = found.where("node IS NOT NULL")
-    classes = good.groupBy("node").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    heads = good.join(classes.withColumnRenamed("first", "vec_id"), ["vec_id", "node"]).dropDuplicates(["node"])
-    bits, tables = plan(good.count())
-    cell = lambda t: F.conv(F.hex(F.reverse(F.substring(F.col("cells"), t * 4 + 1, F.lit(4)))), 16, 10).cast("long")
-    data = cut(signed(heads, bits, tables))
-    dealt = data.withColumn("tab", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))).withColumn("cell", cell(F.col("tab")))
+    good = found.where("a IS NOT NULL")
+    # The checkpoint keeps the classes' numbers as they are; the components are the same in all rows of a class.
+    classes = cut(
+        good.groupBy("a", "b", "dim").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"))
+        .withColumn("node", F.monotonically_increasing_id())
+    )
+    bits, tables = plan(classes.count())
+    dealt = celled(classes, bits, tables)
     sizes = dealt.groupBy("dim", "tab", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blks"))
+    # Cells come out about even, so their list is 2^bits * tables long for each length of vectors, far fewer than the rows.
     tasks = (
-        dealt.join(sizes, ["dim", "tab", "cell"])
-        .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blks")).cast("int"))
+        dealt.join(sizes, ["dim", "tab", "cell"]).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blks") - 1)))
         .withColumn("lo", F.least("blk", "with"))
         .withColumn("hi", F.greatest("blk", "with"))
-        .select("dim", "tab", "cell", "lo", "hi", "blk", "node", "copies", "vec", "cells")
+        .select("dim", "tab", "cell", "lo", "hi", "blk", "node", "copies", "vec")
     )
-    parts = cut(grouped(tasks, ["dim", "tab", "cell", "lo", "hi"], compare, "node long, links long, other long"))
+    work = functools.partial(compare, bits=bits, tables=tables)
+    parts = cut(grouped(tasks, ["dim", "tab", "cell", "lo", "hi"], work, "node long, links long, other long"))
     links = parts.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     tops = components(parts.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    tied = classes.join(links, "node", "left").join(tops, "node", "left").select(
-        "node", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("top")
+    tied = classes.drop("vec").join(links, "node", "left").join(tops, "node", "left").select(
+        "a", "b", "dim", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("top")
     )
     least = tied.groupBy("top").agg(F.min("first").alias("component_id"))
-    known = tied.join(least, "top").select("node", "n_links", "component_id")
-    linked = good.select("vec_id", "node").join(known, "node").select("vec_id", "n_links", "component_id")
-    alone = found.where("node IS NULL").select(
+    known = tied.join(least, "top").select("a", "b", "dim", "n_links", "component_id")
+    linked = good.select("vec_id", "a", "b", "dim").join(known, ["a", "b", "dim"]).select("vec_id", "n_links", "component_id")
+    alone = found.where("a IS NULL").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
-    return linked.unionAll(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionAll(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -15,8 +15,10 @@
 No pair is dropped but by the posterior, no group is capped, and no task holds more than about two blocks.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; texts of one to four words
-have one shingle of all their words; repeated rows count as copies; rows of one id with different texts are told apart
-inside (a class is known by 64 bits of its set); extra columns are ignored; an empty table stays empty.
+have one shingle of all their words; repeated rows count as copies; ids may be of any type that sorts, and keep it; rows of
+one id with different texts, and rows without an id, are told apart inside (a class is known by the size and 128 bits of its
+set, and has a number of its own); a class or group without any id has null for its smallest, and its rows are kept;
+extra columns are ignored; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -126,7 +128,7 @@ def keyed(texts: DataFrame) -> DataFrame:
                     names=["doc_id", "a", "b", "n", "keys"],
                 )
 
-    return texts.mapInArrow(run, "doc_id long, a long, b long, n long, keys array<long>")
+    return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, a long, b long, n long, keys array<long>")
 
 
 def loaded(members: DataFrame) -> DataFrame:
@@ -138,9 +140,10 @@ def loaded(members: DataFrame) -> DataFrame:
                 some, ends = filled(s, at)
                 if not len(some):
                     continue
-                a, _ = fingerprints(s, ends)
                 # Another text under the same id isn't the member.
-                own = a == batch.column("node").slice(lo, hi - lo).to_numpy()[some]
+                own = np.ones(len(some), bool)
+                for name, values in zip("ab", fingerprints(s, ends), strict=True):
+                    own &= values == batch.column(name).slice(lo, hi - lo).to_numpy()[some]
                 sig = signatures(s, ends)
                 at_rows = pa.array(lo + some[own])
                 yield pa.record_batch(
@@ -265,18 +268,20 @@ def join(docs: DataFrame) -> DataFrame:
     n_links counts the other rows linked directly, copies included; component_id is the smallest id reachable by links;
     kept is doc_id = component_id; class_id is the smallest id with an equal set.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select("doc_id", "text")
     found = cut(keyed(rows))
     same = ["a", "b", "n"]
-    classes = cut(
-        found.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    )
-    heads = found.join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", *same])
-    bands = heads.select(F.col("a").alias("node"), F.posexplode("keys").alias("band", "key"))
+    # The checkpoint keeps the classes' numbers as they are; the keys are the same in all rows of a class.
+    numbered = cut(
+        found.where("n > 0").groupBy(*same)
+        .agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
+        .withColumn("node", F.monotonically_increasing_id())
+    )
+    classes, bands = numbered.drop("keys"), numbered.select("node", F.posexplode("keys").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w")
     near = bands.join(shared, "key").where("node <> v").select(F.col("node").alias("a"), F.col("v").alias("b"))
-    members = dealt(bands, components(near)).join(classes.select(F.col("a").alias("node"), "class_id", "copies"), "node")
-    data = loaded(rows.join(members, rows.doc_id == members.class_id).drop("doc_id", "class_id"))
+    members = dealt(bands, components(near)).join(classes.select("node", "a", "b", "class_id", "copies"), "node")
+    data = loaded(rows.join(members, rows.doc_id.eqNullSafe(members.class_id)).drop("doc_id", "class_id"))
     tasks = (
         data.select("node", "copies", "grp", "sig", "set", F.inline("tasks"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blks") - 1)))
@@ -288,10 +293,8 @@ def join(docs: DataFrame) -> DataFrame:
     links = parts.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     tops = components(parts.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     tied = (
-        classes.join(links.withColumnRenamed("node", "a"), "a", "left")
-        .join(tops.withColumnRenamed("node", "a"), "a", "left")
-        .select(*same, "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                F.coalesce("component", "a").alias("top"))
+        classes.join(links, "node", "left").join(tops, "node", "left")
+        .select(*same, "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("top"))
     )
     least = tied.groupBy("top").agg(F.min("class_id").alias("component_id"))
     known = tied.join(least, "top").drop("top")
@@ -300,4 +303,4 @@ def join(docs: DataFrame) -> DataFrame:
         "doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id")
     )
     out = linked.select("doc_id", "n_links", "component_id", "class_id").unionAll(alone)
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

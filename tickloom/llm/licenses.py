@@ -7,7 +7,8 @@ notices are named beside that.
 
 Defined results: a null text counts as empty; an empty canonical form has the digest of the empty string and no license;
 repeated rows repeat; whole texts of any length are taken; extra columns are ignored; an empty table stays empty.
-The table of known texts is a constant of this module (or the caller's list of at most MOST texts), so it is broadcast.
+The table of known texts is a constant of this module (or the caller's list of at most MOST texts), so it is broadcast; a
+caller's DataFrame of digests is joined as Spark sees fit.
 """
 
 from __future__ import annotations
@@ -80,6 +81,66 @@ SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PRO
 SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
 WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
 THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+_ZLIB = """zlib License
+
+Copyright (c) year holder
+
+This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use
+this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+_BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the
+Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do
+so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the
+following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the
+Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source
+language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR
+ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING
+FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_WTFPL = """DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+Version 2, December 2004
+
+Copyright (C) 2004 Sam Hocevar <sam@hocevar.net>
+
+Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed
+as long as the name is changed.
+
+DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+
+0. You just DO WHAT THE FUCK YOU WANT TO."""
 # License texts.
 TEXTS = (
     ("MIT", f"MIT License\n\nCopyright (c) year holder\n\n{_GRANT}\n\nThe above copyright notice and this permission notice shall be included in all copies or\nsubstantial portions of the Software.\n\n{_MIT_END}"),
@@ -88,6 +149,10 @@ TEXTS = (
     ("0BSD", f"BSD Zero Clause License\n\nCopyright (c) year holder\n\n{_ISC_GRANT}.\n\n{_ISC_END}"),
     ("BSD-2-Clause", f"BSD 2-Clause License\n\nCopyright (c) year, holder\n\n{_BSD}{_BSD_END}"),
     ("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) year, holder\n\n{_BSD}{_BSD_3}{_BSD_END}"),
+    ("Unlicense", _UNLICENSE),
+    ("Zlib", _ZLIB),
+    ("BSL-1.0", _BOOST),
+    ("WTFPL", _WTFPL),
     *((name, text) for name, text in NOTICES if name != "LicenseRef-reserved"),
 )
 #: Canonical digests of long licenses, from the copies in /usr/share/common-licenses; Apache-2.0 with and without its appendix.
@@ -121,9 +186,14 @@ def canonical(lines: Column) -> Column:
 
 
 def known(spark, texts=TEXTS) -> DataFrame:
-    """digest, license_id of the known texts, and of DIGESTS beside this module's own: a constant table."""
+    """digest, license_id of the known texts, and of DIGESTS beside this module's own: a constant table.
+
+    A DataFrame of digests is taken as it is, of any size.
+    """
+    if isinstance(texts, DataFrame):
+        return texts.groupBy("digest").agg(F.min("license_id").alias("license_id"))
     if len(texts) > MOST:
-        raise ValueError(f"more than {MOST} known texts; store their digests as a table and join that")
+        raise ValueError(f"more than {MOST} known texts; give them as a DataFrame of (digest, license_id)")
     rows = spark.createDataFrame(list(texts), "license_id string, text string")
     digest = F.sha2(canonical(canonical_lines(F.col("text"))).cast("binary"), 256)
     rows = rows.select(digest.alias("digest"), "license_id")
@@ -152,7 +222,9 @@ def scan(docs: DataFrame, texts=TEXTS) -> DataFrame:
         F.sha2(canonical(F.col("lines")).cast("binary"), 256).alias("digest"),
         F.array_join(notices, ",").alias("notices"),
     )
-    return digests.join(F.broadcast(known(spark, texts)), "digest", "left").select(
+    licenses = known(spark, texts)
+    licenses = licenses if isinstance(texts, DataFrame) else F.broadcast(licenses)
+    return digests.join(licenses, "digest", "left").select(
         "doc_id", "digest", "license_id", "notices"
     )
 

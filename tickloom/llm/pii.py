@@ -1,15 +1,21 @@
 """Personal data in whole texts, with DataFrame functions only.
 
 Base spans are the matches of four fixed patterns, found independently, leftmost and non-overlapping per kind, with the
-checks of their kind. Beyond them, candidates (credentials, account and identity numbers, titled names) get votes from
-regex, gazetteer and context labelers; expectation-maximisation over the counts of vote patterns of all documents
-estimates what the labelers' votes are worth, and a logistic span classifier trained on the posteriors decides. Only the
-vote-pattern counts (at most 3^6 for each kind) reach the driver.
+checks of their kind. Beyond them, candidates are proposed by regex and gazetteer labelers: credentials by their own form or
+as the value after a credential word, account numbers in IBAN form, identity numbers, and names after a title (English,
+German, French, Spanish) or that begin with a listed given name. They get votes from regex, gazetteer and context labelers;
+expectation-maximisation over the counts of vote patterns of all documents estimates what the labelers' votes are worth, and
+a logistic span classifier on votes and on the span's own shape, trained on the posteriors, decides. Only the pattern
+counts (at most 3^6 votes and 48 shapes for each kind) reach the driver.
 
-Offsets are code points, the end exclusive. Positions come from the lengths of the pieces between matches.
+Rows keep their spans beside them throughout, so that no row is joined to its spans by an id.
 
-Defined results: null text counts as empty; repeated rows repeat; very long texts are taken whole in time linear in their
-length (no pattern can backtrack over more than one run); extra columns are ignored; an empty table stays empty.
+Offsets are code points, the end exclusive. Positions come from the lengths of the pieces between matches, by running sums
+over blocks of BLOCK matches.
+
+Defined results: null text counts as empty; repeated rows and ids repeat, each with the spans of its own text; very long
+texts, and texts with very many matches, are taken whole in time linear in their length (no pattern can backtrack over more
+than one run); extra columns are ignored, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from tickloom.llm import _logistic
 from tickloom.llm._common import cut
 from tickloom.llm._labelmodel import LabelModel
 
+BLOCK, CHUNK = 128, 4096
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("secret", "account", "identity", "name")
 #: The fixed patterns in a form that never runs back over what it has read; a match may begin where the last one ended.
@@ -29,51 +36,91 @@ PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     # Longest runs of digits with single separators, of 12 to 19 digits.
-    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])",
+    "card": r"[0-9](?<![0-9][0-9])(?<![0-9][ -][0-9])(?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 #: What a text holds if the kind can match at all.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])){3}$"
 
+CREDENTIAL = r"(?:token|secret|passw(?:or)?d|passphrase|api.?key|access.?key|auth|bearer|credential|private.?key)"
+# Titles, and common given names in the four languages.
+TITLES = "Mr|Mrs|Ms|Dr|Prof|Sir|Herr|Frau|Monsieur|Madame|Mme|Mlle|M|Señor|Señora|Sr|Sra|Don|Doña"
+NAMES = (
+    "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica "
+    "Thomas Sarah Charles Karen Daniel Nancy Matthew Lisa Anthony Betty Mark Margaret Steven Sandra Andrew Ashley Emily "
+    "Emma Olivia Anna Maria Peter Paul Hans Klaus Ursula Wolfgang Monika Jürgen Sabine Petra Stefan Andreas Claudia Birgit "
+    "Heike Dieter Günter Helga Gisela Uwe Frank Martin Katrin Lukas Leon Marie Jean Pierre Michel Philippe Nathalie Isabelle "
+    "Sylvie Catherine Françoise Jacques Laurent Nicolas Camille Léa Manon Chloé Louis José Juan Carlos Ana Laura Luis Miguel "
+    "Francisco Antonio Manuel Carmen Pilar Lucía Isabel Rosa Javier Diego Sofía Elena Pablo Fernando Alejandro"
+).split()
+GIVEN = r"(?:" + "|".join(NAMES) + r")"
+WORD = r"\p{Lu}\p{Ll}{1,30}+"
+#: A credential word and what stands between it and its value.
+PREFIX = r"(?i:" + CREDENTIAL + r")[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
 CANDIDATE = (
-    r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}"
+    r"(?<![\p{L}\p{N}])(?:(?=[TSPABCtspabc])" + PREFIX + r"[^\s\"',;:=<>(){}\[\]]{6,512}+"
+    r"|[A-Fa-f0-9]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_.-]{10,}+"
     r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?"
     r"|[0-9]{3}-[0-9]{2}-[0-9]{4}"
-    r"|(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?)(?![A-Za-z0-9-])"
+    r"|(?=\p{Lu})(?:(?:" + TITLES + r")\.? " + WORD + "(?: " + WORD + r"){0,2}"
+    r"|" + GIVEN + "(?: " + WORD + r"){1,2}))(?![\p{L}\p{N}-])"
 )
-CREDENTIAL = r"(?:token|secret|passw(?:or)?d|api.?key|access.?key|auth|bearer|credential|private.?key)"
-# Common given names.
-NAMES = (
-    "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica "
-    "Thomas Sarah Anna Maria Peter Paul Hans Marie Jean Pierre Jose Juan Carlos Ana Laura Klaus Ursula Wolfgang Monika"
-).split()
-GIVEN = r"\b(?:" + "|".join(NAMES) + r")\b"
-VOTERS = 6
+VOTERS, SHAPES = 6, 7
 
 
-def located(text: Column, pattern: str, matches: Column) -> Column:
-    """(text, start, end) of the matches of a pattern in a text, in order.
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, where a lambda would work it out for each item."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    The arrays are arguments of the functions, not parts of their lambdas, which would work them out again for each item.
-    """
-    none = F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)")
-    parts = F.zip_with(
-        matches,
-        F.split(text, pattern, -1),
-        lambda m, gap: F.struct(m.alias("text"), F.char_length(gap).alias("gap"), F.char_length(m).alias("length")),
+
+def running(items: Column, plus, zero: Column) -> Column:
+    """What ``plus`` makes of the items before each one: in blocks, since an array that grows by one item is copied each time."""
+
+    def before(values: Column) -> Column:
+        return F.aggregate(values, F.array(zero), lambda done, x: F.concat(done, F.array(plus(F.element_at(done, -1), x))))
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(BLOCK))
+    local = F.transform(starts, lambda i: before(F.slice(items, i, BLOCK)))
+    return let(
+        local,
+        lambda blocks: F.flatten(
+            F.zip_with(
+                blocks,
+                F.slice(before(F.transform(blocks, lambda b: F.element_at(b, -1))), F.lit(1), F.size(blocks)),
+                lambda b, carry: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x: plus(carry, x)),
+            )
+        ),
     )
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + x["gap"]
-        end = start + x["length"]
-        span = F.struct(x["text"].alias("text"), start.alias("start"), end.alias("end"))
-        return F.when(x["text"].isNull(), done).otherwise(
-            F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+
+def located(text: Column, pattern: str, matches: Column) -> Column:
+    """(text, before, start, end) of the matches of a pattern in a text, in order; before: some of what stands before it."""
+    none = F.expr("cast(array() as array<struct<text:string,before:string,start:int,end:int>>)")
+
+    def placed(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda x: x["gap"] + x["length"])
+        return F.zip_with(
+            parts,
+            let(lengths, lambda n: running(n, lambda a, b: a + b, F.lit(0))),
+            lambda x, at: F.struct(
+                x["text"].alias("text"), x["before"].alias("before"), (at + x["gap"]).alias("start"), (at + x["gap"] + x["length"]).alias("end")
+            ),
         )
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda done: done["spans"])
-    return F.when(F.size(matches) > 0, found).otherwise(none)
+    def parts(found: Column, gaps: Column) -> Column:
+        return F.transform(
+            found,
+            lambda m, i: F.struct(
+                m.alias("text"), F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(m).alias("length"),
+                F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gaps, i)), F.lit(31)).alias("before"),
+            ),
+        )
+
+    def found(m: Column) -> Column:
+        return F.when(F.size(m) > 0, let(F.split(text, pattern, -1), lambda gaps: let(parts(m, gaps), placed))).otherwise(none)
+
+    return let(matches, found)
 
 
 def digits(x: Column) -> Column:
@@ -102,75 +149,118 @@ def passes(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def remainder(number: Column) -> Column:
+    """The remainder modulo 97 of an account number in IBAN form; 1 for a valid one."""
+    plain = F.replace(number, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(plain, F.lit(5), F.char_length(plain)), F.substring(plain, 1, 4))
+    value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise((r * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97))
+
+
 def votes(kind: Column, found: Column, before: Column) -> Column:
     """Votes (0 none, 1 some, 2 strong) of the labelers on a candidate; the last speaks against it."""
     low = F.lower(before)
     pick = lambda strong, some: F.when(strong, 2).when(some, 1).otherwise(0)
     return F.array(
         pick(  # shape
-            found.rlike(r"^(?:[A-Fa-f0-9]{32}|[A-Fa-f0-9]{40}|[A-Fa-f0-9]{64}|AKIA.*|gh._.*)$")
-            | (kind == "identity") & ~found.rlike("^(?:000|666|9)"),
+            found.rlike(r"^(?:[A-Fa-f0-9]{32}|[A-Fa-f0-9]{40}|[A-Fa-f0-9]{64,}|AKIA.*|gh._.*|sk-.*|eyJ.*)$")
+            | (kind == "identity") & ~found.rlike("^(?:000|666|9)")
+            | F.when(kind == "account", remainder(found) == 1).otherwise(False)
+            | (kind == "name") & found.rlike(r"^(?:" + TITLES + r")\b"),
             kind.isin("account", "name"),
         ),
-        pick(found.rlike("[0-9]") & found.rlike("[A-Za-z]"), found.rlike("[0-9]")),
-        pick((kind == "name") & found.rlike(GIVEN), (kind == "account") & found.rlike("^(?:DE|FR|ES|GB|IT|NL|AT|BE|CH)")),
-        pick(low.rlike(CREDENTIAL + r"\W{0,6}$"), low.rlike(CREDENTIAL) | low.rlike(r"iban|account|ssn|social|contact|dear|name")),
+        pick(found.rlike("[0-9]") & found.rlike(r"\p{L}"), found.rlike("[0-9]")),
+        pick((kind == "name") & found.rlike(r"(?:^| )" + GIVEN + r"(?: |$)"),
+             (kind == "account") & found.rlike("^(?:DE|FR|ES|GB|IT|NL|AT|BE|CH|LU|PT|PL|IE|DK|SE|NO|FI|CZ|GR|HU|RO)")),
+        pick(low.rlike(CREDENTIAL + r"\W{0,6}$"), low.rlike(CREDENTIAL) | low.rlike(r"iban|account|konto|compte|cuenta|ssn|social|contact|dear|name")),
         pick(low.rlike(r"[=:]\s*[\"']?$"), low.rlike(r"[\"'(]$")),
         pick(low.rlike(r"(?:sha.?\d*|md5|commit|digest|checksum|isbn|revision|hash)\W{0,4}$"), low.rlike(r"version|figure|section")),
-    )
+    )
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id and found: base (kind number, start, end) and candidates (kind, start, end, votes) of each row."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("numbers", F.col("text").rlike("[0-9]"))
-    matched = rows.select(
-        "doc_id",
-        "text",
-        *[
-            F.when(
-                (F.contains("text", F.lit(HINTS[k])) if HINTS[k] else F.lit(True)) & (F.col("numbers") | F.lit(k == "email")),
-                F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0)),
-            ).alias(k)
-            for k in KINDS
-        ],
-        F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("more"),
-    )
-    def valid(i: int, kind: str) -> Column:
-        found = F.filter(located(F.col("text"), PATTERNS[kind], F.col(kind)), lambda x: passes(kind, x["text"]))
+def shape(found: Column) -> Column:
+    """What a span looks like by itself, 0 or 1 each: its length, share of digits, mixed case, and words."""
+    n = F.char_length(found)
+    share = F.char_length(digits(found)) / n
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    return F.array(
+        flag((n >= 8) & (n < 16)), flag((n >= 16) & (n < 32)), flag(n >= 32), flag((share > 0) & (share < 0.5)), flag(share >= 0.5),
+        flag(found.rlike(r"\p{Ll}") & found.rlike(r"\p{Lu}")), flag(found.contains(" ")),
+    )
+
+
+def spans(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, and as a struct ``_pii`` the base (start, kind number, end) and candidates (start, end, kind, votes, shape) of each row."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    numbers = text.rlike("[0-9]")
+
+    def valid(i: int, k: str) -> Column:
+        can = (F.contains(text, F.lit(HINTS[k])) if HINTS[k] else F.lit(True)) & (numbers | F.lit(k == "email"))
+        matches = F.when(can, F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
+        found = F.filter(located(text, PATTERNS[k], matches), lambda x: passes(k, x["text"]))
         return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end")))
 
     base = [valid(i, k) for i, k in enumerate(KINDS)]
 
     def candidate(x: Column) -> Column:
         kind = (
-            F.when(x["text"].rlike("^(?:Mr|Mrs|Ms|Dr|Prof)\\b"), "name")
+            F.when(x["text"].rlike(r"^(?:(?:" + TITLES + r")\b|" + GIVEN + " )"), "name")
             .when(x["text"].rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "identity")
             .when(x["text"].rlike("^[A-Z]{2}[0-9]{2}") & ~x["text"].rlike("^[A-F0-9]{32,}$"), "account")
             .otherwise("secret")
         )
-        first = F.greatest(x["start"] - 31, F.lit(1))
-        before = F.substring(F.col("text"), first, x["start"] - first + 1)
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), votes(kind, x["text"], before).alias("votes"))
+        # The value of a credential word, without the word.
+        value = F.when(kind == "secret", F.regexp_replace(x["text"], "^" + PREFIX, "")).otherwise(x["text"])
 
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    held = matched.select(
-        "doc_id",
-        F.array_sort(F.concat(*[F.coalesce(b, none) for b in base])).alias("base"),
-        F.transform(located(F.col("text"), CANDIDATE, F.col("more")), candidate).alias("more"),
+        def judged(v: Column) -> Column:
+            ahead = F.char_length(x["text"]) - F.char_length(v)
+            before = F.right(F.concat(x["before"], F.left(x["text"], ahead)), F.lit(31))
+            return F.struct(
+                (x["start"] + ahead).alias("start"), x["end"].alias("end"), kind.alias("kind"), votes(kind, v, before).alias("votes"), shape(v).alias("shape")
+            )
+
+        return let(value, judged)
+
+    more = F.transform(located(text, CANDIDATE, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))), candidate)
+    found = let(F.array_sort(F.concat(*base)), lambda b: let(more, lambda m: F.struct(b.alias("base"), untouched(b, m).alias("more"))))
+    return docs.select(*keep, found.alias("_pii"))
+
+
+def untouched(base: Column, more: Column) -> Column:
+    """The candidates that no base span touches: such a one is known already."""
+    far = F.lit(2**31 - 1)
+    entry = lambda x, own, kind, vote, look: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), F.lit(own).alias("own"), kind.alias("kind"), vote.alias("votes"), look.alias("shape")
     )
-    # A candidate that a base span touches is known already.
-    return held.withColumn(
-        "more",
-        F.filter("more", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))),
+    ints = F.expr("cast(null as array<int>)")
+    both = F.array_sort(
+        F.concat(
+            F.transform(base, lambda x: entry(x, 0, F.lit(None).cast("string"), ints, ints)),
+            F.transform(more, lambda x: entry(x, 1, x["kind"], x["votes"], x["shape"])),
+        )
     )
 
+    def judged(all_spans: Column) -> Column:
+        ends = F.transform(all_spans, lambda x: F.when(x["own"] == 0, x["end"]).otherwise(0))
+        starts = F.reverse(F.transform(all_spans, lambda x: F.when(x["own"] == 0, x["start"]).otherwise(far)))
+        reach = let(ends, lambda e: running(e, F.greatest, F.lit(0)))
+        after = F.reverse(let(starts, lambda s: running(s, F.least, far)))
+        marked = F.zip_with(
+            F.zip_with(all_spans, reach, lambda x, r: F.struct(x.alias("x"), r.alias("reach"))), after, lambda x, a: F.struct(x["x"].alias("x"), (
+                (x["x"]["own"] == 1) & (x["reach"] <= x["x"]["start"]) & (a >= x["x"]["end"])).alias("free")),
+        )
+        fields = ("start", "end", "kind", "votes", "shape")
+        return F.transform(F.filter(marked, lambda x: x["free"]), lambda x: F.struct(*[x["x"][c].alias(c) for c in fields]))
+
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), more).otherwise(let(both, judged))
+
 
 def classifier(held: DataFrame) -> dict[str, np.ndarray]:
-    """Coefficients of the span classifier by kind (2 x VOTERS and the intercept), from all candidates' votes."""
+    """Coefficients of the span classifier by kind (2 x VOTERS, SHAPES and the intercept), from all candidates' votes and shapes."""
+    # The outer form, as the plain one has the optimizer work out all candidates once more for a filter.
     table = (
-        held.where(F.size("more") > 0).select(F.explode("more").alias("m"))
-        .groupBy(F.col("m.kind").alias("kind"), F.col("m.votes").alias("votes")).count().collect()
+        held.select(F.explode_outer("_pii.more").alias("m"))
+        .groupBy(F.col("m.kind").alias("kind"), F.col("m.votes").alias("votes"), F.col("m.shape").alias("shape")).count().collect()
     )
     out = {}
     for kind in ADDED:
@@ -181,30 +271,42 @@ def classifier(held: DataFrame) -> dict[str, np.ndarray]:
         counts = np.zeros((len(own), 3))
         counts[:, 0] = [r["count"] for r in own]
         # First guess: shape, gazetteer and context together speak for a span, the last labeler against it.
-        model = LabelModel(patterns, counts, np.array([0.3, 0.1, 0.3, 0.6, 0.4, -0.8]), prior=0.5)
-        x = np.concatenate([patterns == 1, patterns == 2], axis=1).astype(float)
+        speaks = [0.6, 0.0, 0.6, 0.6, 0.4, -0.8] if kind == "name" else [0.3, 0.1, 0.3, 0.6, 0.4, -0.8]
+        model = LabelModel(patterns, counts, np.array(speaks), prior=0.5)
+        x = np.concatenate([patterns == 1, patterns == 2, np.array([r["shape"] for r in own]) == 1], axis=1).astype(float)
         out[kind] = _logistic.fit(x, model.post, counts.sum(1), ridge=0.05)
     return out
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, base and all: arrays of (start, kind number, end), sorted; numbers follow KINDS + ADDED."""
-    held = cut(spans(docs))
+def detect(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (doc_id), base and all: arrays of (start, kind number, end), sorted; numbers follow KINDS + ADDED.
+
+    Spans alone are kept between the two steps; where texts go along, they are searched twice instead.
+    """
+    keep = ["doc_id"] if keep is None else keep
+    held = spans(docs, keep)
+    if "text" not in keep:
+        held = cut(held)
     learned = classifier(held)
 
     def accepted(x: Column) -> Column:
-        inputs = lambda v: [(F.get(v, F.lit(i)) == k).cast("double") for k in (1, 2) for i in range(VOTERS)]
+        inputs = [(F.get(x["votes"], F.lit(i)) == k).cast("double") for k in (1, 2) for i in range(VOTERS)]
+        inputs += [F.get(x["shape"], F.lit(i)).cast("double") for i in range(SHAPES)]
         score = F.lit(0.0)
         for kind, beta in learned.items():
-            score = F.when(x["kind"] == kind, _logistic.score(inputs(x["votes"]), beta)).otherwise(score)
+            score = F.when(x["kind"] == kind, _logistic.score(inputs, beta)).otherwise(score)
         return score >= 0.5
 
     number = lambda kind: F.array_position(F.array(*map(F.lit, ADDED)), kind).cast("int") + len(KINDS) - 1
-    added = F.transform(
-        F.filter("more", accepted),
-        lambda x: F.struct(x["start"].alias("start"), number(x["kind"]).alias("kind"), x["end"].alias("end")),
-    )
-    return held.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("all"))
+
+    def result(p: Column) -> Column:
+        added = F.transform(
+            F.filter(p["more"], accepted),
+            lambda x: F.struct(x["start"].alias("start"), number(x["kind"]).alias("kind"), x["end"].alias("end")),
+        )
+        return F.struct(p["base"].alias("base"), F.array_sort(F.concat(p["base"], added)).alias("all"))
+
+    return held.select(*keep, let(F.col("_pii"), result).alias("_pii")).select(*keep, "_pii.base", "_pii.all")
 
 
 def listed(found: Column) -> Column:
@@ -227,16 +329,33 @@ def digests(found: DataFrame) -> DataFrame:
 
 def redact(text: Column, found: Column) -> Column:
     """The text with each span, or run of overlapping spans, replaced by the kind of its first in angle brackets."""
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
+    names = F.array(*[F.lit(f"<{k.upper()}>") for k in (*KINDS, *ADDED)])
 
-    def merge(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] > x["start"]),
-                      F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(x)))
+    def part(chunks: Column, start: Column, end: Column) -> Column:
+        """A part of the text from its chunks, so that no search for a place runs over more than one of them."""
+        first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+        return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start - first * CHUNK + 1, end - start)
 
-    names = F.array(*[F.lit(f"<{k.upper()}>") for k in (*KINDS, *ADDED)])
-    merged = F.aggregate(found, empty, merge)
-    return F.aggregate(
-        F.reverse(merged), text, lambda t, x: F.overlay(t, F.get(names, x["kind"]), x["start"] + 1, x["end"] - x["start"])
-    )
+    def replaced(chunks: Column, spans: Column) -> Column:
+        reach = let(F.transform(spans, lambda x: x["end"]), lambda e: running(e, F.greatest, F.lit(0)))
+        heads = F.filter(F.zip_with(spans, reach, lambda x, r: F.struct(x.alias("x"), r.alias("reach"))), lambda x: x["x"]["start"] >= x["reach"])
+        texts = F.transform(heads, lambda h: F.concat(part(chunks, h["reach"], h["x"]["start"]), F.get(names, h["x"]["kind"])))
+        tail = part(chunks, F.array_max(F.transform(spans, lambda x: x["end"])), F.aggregate(chunks, F.lit(0), lambda n, c: n + F.char_length(c)))
+        return F.concat(F.array_join(texts, ""), tail)
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.when(F.size(found) > 0, let(chunks, lambda c: let(found, lambda s: replaced(c, s)))).otherwise(text)
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the personal data in their texts replaced, and n_chars, where there is one, to match."""
+    held = detect(docs.withColumnRenamed("base", "_base").withColumnRenamed("all", "_all"), [c for c in _safe(docs.columns)])
+    changed = F.size("all") > 0
+    out = held.withColumn("text", F.when(changed, redact(F.col("text"), F.col("all"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*[F.col(a).alias(b) for a, b in zip(_safe(docs.columns), docs.columns, strict=True)])
+
+
+def _safe(columns: list[str]) -> list[str]:
+    return [f"_{c}" if c in ("base", "all") else c for c in columns]
