@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``, with null
 text kept as it is. Rows that a stage has no evidence against stay.
 
-Decisions come back to the rows by id and text, so that neither null ids nor ids of several texts mix rows up.
+Toxicity, decontamination and personal data are decided where the row is, without a join, so that null ids and ids of
+several texts need no care. Near duplicates are brought back by a key of id and text.
 """
 
 from __future__ import annotations
@@ -15,67 +16,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import bpe_codec, decontam, jaccard_join, pii, toxicity
-from tickloom.llm._common import cut, shared_folder, table
+from tickloom.llm._common import shared_folder, table
 
 #: The near-duplicate stage and the model-based ones have no SQL form; tests hold them against plain versions.
 ORACLE_SQL = None
 
 
-def by_text(docs: DataFrame) -> DataFrame:
-    """The documents with ``_key``, a hash of id and text."""
-    return docs.withColumn("_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
-
-
-def renamed(docs: DataFrame) -> DataFrame:
-    """``by_text`` with the ids as ``_id``; rows without an id, and those of an id of several texts, get one from ``_key``, over 2^62."""
-    docs = by_text(docs)
-    own = F.col("_key").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    several = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a < b").select("doc_id"))
-    shared = F.col("doc_id").isNull()
-    if not several.isEmpty():
-        docs = docs.join(several.withColumnRenamed("doc_id", "_several"), F.col("doc_id") == F.col("_several"), "left")
-        shared |= F.col("_several").isNotNull()
-    return docs.withColumn("_id", F.when(shared, own).otherwise(F.col("doc_id").cast("long")))
-
-
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject. Rows of one id go together; those without an id go by their text."""
-    key = by_text(docs).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.col("_key").bitwiseOR(F.lit(1 << 62))))
-    scored = toxicity.classify(key.select(F.col("_id").alias("doc_id"), "text"), table(spark, sf_dir, "labels"))
-    gone = scored.where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return key.join(gone, "_id", "left_anti").select(docs.columns)
+    """Documents that the toxicity classifier does not reject, each row by its own text."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; copies of a kept row go too."""
-    key = renamed(docs)
-    linked = jaccard_join.join(key.select(F.col("_id").alias("doc_id"), "text"))
-    gone = linked.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    return key.join(gone, "_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """One document of each group of near duplicates: that of the smallest id; copies of a kept row go too.
+
+    Rows are told apart by id, filled up with zeros so that numbers sort as such and before rows without one, and a digest of 128 bits of the text.
+    """
+    name = F.col("doc_id").cast("string")
+    name = F.when(name.isNull(), "~").when(F.char_length(name) < 20, F.lpad(name, 20, "0")).otherwise(name)
+    key = docs.withColumn("_key", F.concat(name, F.lit("-"), F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.col("text").isNull().cast("string")))
+    linked = jaccard_join.join(key.select(F.col("_key").alias("doc_id"), "text"))
+    gone = linked.where("NOT kept").select(F.col("doc_id").alias("_key")).distinct()
+    return key.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    key = by_text(docs)
-    found = decontam.find(key.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return key.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(docs.columns)
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the personal data in their texts replaced by the names of its kinds, and n_chars to match."""
-    found = pii.detect(by_text(docs).select(F.col("_key").alias("doc_id"), "text")).where(F.size("all") > 0)
-    return redacted(docs, found)
-
-
-def redacted(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """found: spans of ``detect`` by ``_key`` in place of doc_id."""
-    spans = found.select(F.col("doc_id").alias("_key"), F.col("all").alias("_spans")).distinct()
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(pii.redact(F.col("text"), F.col("_spans")))
-    out = by_text(docs).join(spans, "_key", "left").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        changed = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))
-        out = out.withColumn("n_chars", changed.cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(docs.columns)
+    return pii.redacted(docs)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
