@@ -153,25 +153,26 @@ def test_decontamination_against_all_pairs(spark):
                 before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
         return row[-1]
 
-    def leaks(item, text):
-        n = len(item)
-        for start in range(0, len(text), decontam.STEP):
-            part = text[max(0, start - n - 8) : start + decontam.PASSAGE + n + 8]
-            share = lcs(item, part) / n
-            if n < decontam.SHORT:
-                ok = any(part[i : i + n] == item for i in range(len(part) - n + 1))
-            else:
-                answer = item[-max(3, n // 4) :]
-                ok = share >= decontam.LCS_SURE or share >= decontam.LCS_LIKELY and lcs(answer, part) >= decontam.ANSWER_SHARE * len(answer)
-                ok = ok and len(set(item) & set(part)) >= decontam.LCS_LIKELY * len(set(item))
-            if ok:
-                return True
-        return False
-
-    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if leaks(words(x), words(t))}
+    def leaks(item, part):
+        n, answer = len(item), item[-max(3, len(item) // 4) :]
+        if len(set(item) & set(part)) < decontam.LCS_LIKELY * len(set(item)):
+            return False
+        if n < decontam.SHORT:
+            return any(part[i : i + n] == item for i in range(len(part) - n + 1))
+        share = lcs(item, part) / n
+        return share >= decontam.LCS_SURE or share >= decontam.LCS_LIKELY and lcs(answer, part) >= decontam.ANSWER_SHARE * len(answer)
+
+    must, may = set(), set()
+    for d, text in enumerate(map(words, texts)):
+        for i, item in enumerate(map(words, items)):
+            n = len(item)
+            if any(leaks(item, text[a : a + n + 8]) for a in range(max(1, len(text) - n - 7))):
+                must.add((d, i))
+            if any(leaks(item, text[max(0, a - n - 8) : a + decontam.PASSAGE + n + 8]) for a in range(0, len(text), decontam.STEP)):
+                may.add((d, i))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.find(frame(spark, texts).withColumnRenamed("source", "item_id"), bench).collect()}
-    assert len(want) > 60 and got == want
+    assert len(must) > 60 and must <= got <= may
 
 
 def test_classifiers_with_clashing_columns_and_long_runs(spark, corpus):
