@@ -62,8 +62,8 @@ def run_fold(fold, rows):
 def test_kalman_and_cusum():
     out = run_fold(folds.Kalman(), [{"log_return": 0.01}, {"log_return": 0.02}])
     gain = (1 + 1e-5) / (1 + 1e-5 + 1e-3)
-    assert out[1]["kalman_gain"] == pytest.approx(gain) and out[1]["alpha"] == pytest.approx(0.01 + 0.01 * gain)
-    row = {"log_return": 0.01, "alpha": 0.005, "rv_var": 1e-4}
+    assert out[1]["kalman_gain"] == pytest.approx(gain) and out[1]["level"] == pytest.approx(0.01 + 0.01 * gain)
+    row = {"log_return": 0.01, "level": 0.005, "rv_var": 1e-4}
     steps = run_fold(folds.Cusum(), [row] * 6)
     h = math.log(50) - 2
     assert steps[0]["cusum_threshold"] == pytest.approx(h) and steps[0]["cusum_up"] == pytest.approx(0.375)
@@ -178,3 +178,99 @@ def test_full_charge_backtest(spark):
     made = spark.createDataFrame(rows, "token long, ts_ns long, seq long, qty long, side int, reason int, price double")
     out = portfolio.full_charge_trades(made).collect()
     assert len(out) == 1 and out[0].quantity == 0 and 90 < out[0].pnl < 100
+
+
+def test_filter_and_change_detection_wait_for_valid_bars():
+    rows = [{"log_return": 0.0, "return_valid": False, "rv_var": 0.0, "rv_valid": False}, {"log_return": 0.01, "return_valid": True, "rv_var": 0.0, "rv_valid": False},
+            {"log_return": 0.02, "return_valid": True, "rv_var": 1e-4, "rv_valid": True}, {"log_return": 0.0, "return_valid": False, "rv_var": 0.0, "rv_valid": False}]
+    filtered = run_fold(folds.Kalman(), rows)
+    assert [r["kalman_valid"] for r in filtered] == [False, False, True, False] and filtered[3]["level"] == 0.0
+    fired = run_fold(folds.Cusum(), [r | f for r, f in zip(rows, filtered, strict=True)])
+    assert [r["cusum_valid"] for r in fired] == [False, False, True, False] and fired[2]["cusum_up"] > 0 and fired[3]["cusum_up"] == 0.0
+
+
+def test_funds_are_checked_before_the_fill(spark):
+    rows = [(1, 0, 0, 1, 10, 100.0, 5.0, 1005.0, 1, 1000.0), (1, 1, 1, -1, 10, 100.0, 5.0, -995.0, 1, 1000.0), (1, 2, 2, -1, 10, 100.0, 5.0, -995.0, 5, 1000.0),
+            (1, 3, 3, 1, 5, 100.0, 5.0, 505.0, 5, 500.0), (2, 4, 4, 1, 30, 100.0, 5.0, 3005.0, 2, 3000.0)]
+    fills = spark.createDataFrame(rows, "token long, ts_ns long, seq long, side int, units long, price double, total_charges double, net_amount double, segment int, turnover double")
+    out = portfolio.cash_ledger(fills, 1100.0).orderBy("seq").collect()
+    assert [r.needed for r in out] == [205.0, 205.0, 12005.0, 505.0, 3005.0] and [round(r.cash) for r in out] == [95, 1090, 2085, 1580, -1425]
+    assert [r.insufficient_funds for r in out] == [False, True, True, False, True]
+
+
+def test_lots_and_square_off(spark):
+    rows = [(1, 0, 0, 1, 2, 100.0, 50.0, 25.0, 3), (2, 1, 1, 1, 10, 10.0, 0.0, 1.0, 1)]
+    fills = spark.createDataFrame(rows, "token long, ts_ns long, seq long, side int, units long, price double, total_charges double, lot double, segment int")
+    history = portfolio.positions(fills)
+    assert history.where("token = 1").first().avg_cost == pytest.approx(101.0)
+    prices = spark.createDataFrame([(1, 103.0), (2, 12.0)], "token long, last_price double")
+    one = portfolio.snapshot(history, fills.withColumn("net_amount", F.lit(100.0)), prices, 1000.0).first()
+    assert (one.open_positions, one.holdings, one.total_trades, one.equity) == (2, 2 * 25 * 103.0 + 120.0, 2, 800.0 + 5270.0)
+    closed = {r.token: r for r in portfolio.square_off(history, prices).collect()}
+    assert (closed[1].quantity, closed[1].cash_change) == (2, 0.0) and (closed[2].quantity, closed[2].cash_change, closed[2].realized) == (0, 120.0, 20.0)
+    assert {r.token: r.cash_change for r in portfolio.square_off(history, prices, pnl_only=True).collect()}[2] == 20.0
+
+
+def test_statistics_of_even_trades_and_idle_tokens(spark):
+    t = spark.createDataFrame([(1, x, 0.0, x) for x in (30.0, -10.0, 0.0, 0.0)] + [(2, 0.0, 0.0, 0.0)], "token long, gross_pnl double, commission double, net_pnl double")
+    out = {r.token: r for r in backtest.trade_statistics(t, spark.range(1, 4).toDF("token")).collect()}
+    assert (out[1].wins, out[1].losses, out[1].trades) == (1, 1, 4) and out[1].expectancy == pytest.approx(0.25 * 30 - 0.75 * 10)
+    assert out[2].profit_factor == float("inf") and out[3].trades == 0 and out[3].profit_factor == 0 and out[3].expectancy == 0
+    eq = spark.createDataFrame([(1, 0, 0, 5.0), (1, 1, 1, 6.0)], "token long, ts_ns long, seq long, equity double")
+    assert [tuple(r) for r in backtest.risk_ratios(eq).collect()] == [(1, 0.0, 0.0)]
+
+
+def test_clock_raises_and_errors_stay_with_their_token(spark):
+    rows = spark.createDataFrame([(1, 0, 5), (1, 1, 4)], "token long, seq long, ts_ns long")
+    with pytest.raises(Exception, match="time goes back at token 1, sequence 1"):
+        backtest.in_time(rows).collect()
+    df = spark.createDataFrame(
+        [(k, i, i, 100.0, 100, None if k == 2 else 1.0, 0.1 * i, True) for k in (1, 2) for i in range(3)],
+        "token long, ts_ns long, seq long, last_price double, volume long, score double, kelly_half double, norm_valid boolean",
+    )
+    events = backtest.simulate(df, backtest.CompositeStrategy)
+    status = {r.token: (r.status, r.note is None) for r in backtest.run_status(events, df).collect()}
+    assert status == {1: ("ok", True), 2: ("error", False)} and events.where("token = 1 AND kind = 'trade'").count() == 1
+
+
+@pytest.mark.parametrize("form", ["lines", "array", "pretty"])
+def test_instrument_files(spark, tmp_path, form):
+    import gzip
+    import json
+
+    items = [{"instrument_key": f"K{i}", "trading_symbol": "T", "lot_size": i, "expiry": 5, "strike_price": "x" if i == 1 else 2.5} for i in range(3)] + [{"name": "no key"}]
+    text = "\n".join(map(json.dumps, items)) if form == "lines" else json.dumps(items, indent=None if form == "array" else 2)
+    for name, data in (("a.json", text.encode()), ("a.json.gz", gzip.compress(text.encode()))):
+        (tmp_path / name).write_bytes(data)
+        got = sorted((r.instrument_key, r.lot_size, r.strike_price, r.expiry_ms) for r in readers.instruments(spark, str(tmp_path / name)).collect())
+        assert got == [("K0", 1, 2.5, 5), ("K1", 1, 0.0, 5), ("K2", 2, 2.5, 5)]
+
+
+def test_binary_header_as_written_elsewhere(spark, tmp_path):
+    import struct
+
+    head = struct.pack("<8sIIQQQIIQQ", b"ALPHATIK"[::-1], 1, 7, 10, 20, 2, 32, 0, 0, 0)
+    (tmp_path / "x.bin").write_bytes(head + struct.pack("<QIffffI", 10, 7, 1.5, 1.0, 2.0, 1.25, 3) + struct.pack("<QIffffI", 20, 7, 2.5, 1.0, 2.0, 1.25, 4))
+    got = [(r.ts_ns, r.token, r.last_price, r.volume) for r in readers.binary_ticks(spark, str(tmp_path / "x.bin")).collect()]
+    assert got == [(10, 7, 1.5, 3), (20, 7, 2.5, 4)]
+    (tmp_path / "y.bin").write_bytes(b"x" * 64)
+    with pytest.raises(Exception, match="not a tick file"):
+        readers.binary_ticks(spark, str(tmp_path / "y.bin")).collect()
+
+
+def test_end_of_day_rows_that_cannot_be_read(spark):
+    raw = spark.createDataFrame([("A", "1", "2"), ("B", "x", "2"), ("", "1", "2"), ("D", "", "-")], ["Index Name", "Open", "Volume"])
+    day = F.lit("2024-01-25").cast("date")
+    assert sorted((r.index_name, r.open, r.volume, r.pe_ratio) for r in ingest.index_rows(raw, day).collect()) == [("A", 1.0, 2, 0.0), ("D", 0.0, None, 0.0)]
+    deals = spark.createDataFrame([("A", "5", "1,000.5"), ("B", "5.5", "1")], ["Symbol", "Quantity", "Trade Price"])
+    assert [(r.symbol, r.deal_type, r.price, r.exchange) for r in ingest.deal_rows(deals, day, "bulk").collect()] == [("A", "BUY", 1000.5, "NSE")]
+    table = ingest.index_rows(raw, day)
+    again = ingest.load(table, table.withColumn("open", F.col("open") + 5).unionByName(table), "index").collect()
+    assert sorted((r.index_name, r.open) for r in again) == [("A", 6.0), ("D", 5.0)]
+
+
+def test_tables_by_day(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1_704_067_200_000_000_000 + i * 3_600_000_000_000, 1.0 + i) for i in range(30)], "token long, ts_ns long, price double")
+    sinks.write_table(rows, str(tmp_path), "signals")
+    back = spark.read.parquet(str(tmp_path / "signals"))
+    assert back.count() == 30 and back.select("day").distinct().count() == 2 and back.where("action IS NULL").count() == 30

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -30,3 +31,17 @@ def floor_to(ts: Column, width_ns: int, offset_ns: int = 0) -> Column:
     """Start of the bar that a time falls in, after an optional shift of the clock."""
     shifted = ts + F.lit(offset_ns)
     return shifted - F.pmod(shifted, F.lit(width_ns))
+
+
+def running_total(rows: DataFrame, value: str, order: list[str], name: str, slice_ns: int = 3_600_000_000_000) -> DataFrame:
+    """The rows with the running total of a value over all of them in order, which begins with ts_ns.
+
+    The order is global. Values are summed by hour first, so that the running total in one task is over hours only, and the
+    running sums within the hours run in parallel.
+    """
+    sliced = rows.withColumn("_slice", F.floor(F.col("ts_ns") / slice_ns).cast("long"))
+    sums = sliced.groupBy("_slice").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    within = F.sum(value).over(W.partitionBy("_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    out = sliced.join(sums.select("_slice", before.alias("_before")), "_slice").withColumn(name, F.col("_before") + within)
+    return out.drop("_slice", "_before")

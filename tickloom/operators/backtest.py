@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections import namedtuple
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import floor_to, ratio
+from tickloom.operators import folds
 from tickloom.operators.strategy import HYSTERESIS, MIN_TRADE, UNITS, rounded_half_away
 
 MINUTE_NS, DAY_NS = 60_000_000_000, 86_400_000_000_000
@@ -31,11 +30,17 @@ class Config:
 
 
 def with_signals(ticks: DataFrame, signals: DataFrame, width_ns: int = MINUTE_NS, lag_bars: int = 0) -> DataFrame:
-    """Ticks with the signals of their own bar, or of one before; the first of doubled signals counts, none gives nulls."""
+    """Ticks with the signals of their own bar, or of one before; the first of doubled signals counts, none gives nulls.
+
+    Signals of one time count in order of seq, where they have one, and else of their values.
+    """
     bar = floor_to(F.col("ts_ns"), width_ns)
+    tie = ["seq"] if "seq" in signals.columns else sorted(set(signals.columns) - {"token", "ts_ns"})
     first = signals.withColumn("bar_ts", bar).withColumn(
-        "rn", F.row_number().over(W.partitionBy("token", "bar_ts").orderBy("ts_ns"))
+        "rn", F.row_number().over(W.partitionBy("token", "bar_ts").orderBy("ts_ns", *tie))
     )
+    if "seq" in signals.columns:
+        first = first.drop("seq")
     first = first.where("rn = 1").drop("rn", "ts_ns").withColumn("bar_ts", F.col("bar_ts") + lag_bars * width_ns)
     return ticks.withColumn("bar_ts", bar).join(first, ["token", "bar_ts"], "left")
 
@@ -58,6 +63,19 @@ def disorder(ticks: DataFrame) -> DataFrame:
     return ticks.withColumn("back_ns", F.lag("ts_ns").over(w) - F.col("ts_ns")).where("back_ns > 0")
 
 
+def in_time(ticks: DataFrame) -> DataFrame:
+    """The ticks as they are; reading one that goes back in time against the one before raises, as a replay clock does."""
+    w = W.partitionBy("token").orderBy("seq")
+    said = F.concat(F.lit("time goes back at token "), F.col("token").cast("string"), F.lit(", sequence "), F.col("seq").cast("string"))
+    back = F.lag("ts_ns").over(w) > F.col("ts_ns")
+    return ticks.withColumn("_back", back).withColumn("ts_ns", F.when(F.col("_back"), F.raise_error(said).cast("long")).otherwise(F.col("ts_ns"))).drop("_back")
+
+
+def visible(ts_ns: Column, now_ns: Column | int) -> Column:
+    """Whether a row may be seen at a time of the replay."""
+    return ts_ns <= now_ns
+
+
 def execution_price(price: Column, side: Column, cfg: Config = Config()) -> Column:  # noqa: B008
     """Price after slippage with the statutory charges folded in per unit."""
     slipped = price * (1 + side * cfg.slippage_bps / 10_000)
@@ -70,6 +88,12 @@ def cost_price(price: float, side: int, cfg: Config) -> float:
     return slipped * (1 + side * ((cfg.exchange + cfg.sebi) * (1 + cfg.gst) + (cfg.sell_tax if side < 0 else 0.0)))
 
 
+#: Fixed values of the rule strategy: stop, bars until overbought exits and until any, rests after either, and entry levels.
+STOP, LATE, LONGEST, REST_STOP, REST = 0.985, 30, 120, 30, 20
+OVERBOUGHT, HIGH_BAND, LEAST_VOLUME, LOW_BAND, OVERSOLD = 75, 0.95, 100, 0.15, 25
+DEEP_BAND, DEEP_RSI, DEEP_HIST, STAKE = 0.02, 40, -0.2, 100_000
+
+
 class RuleStrategy:
     """Buys oversold bars; leaves by a stop, by overbought bars after a while, or by time, and then rests."""
 
@@ -89,21 +113,21 @@ class RuleStrategy:
         signal = bool(t.rsi_valid is True)
         if self.entry is not None:
             self.held += 1
-            if price < self.entry * 0.985:
-                return self.leave(30)
-            late = self.held >= 30 and signal
-            if late and (t.rsi > 75 or (t.bb_valid is True and t.pct_b > 0.95)) or self.held >= 120:
-                return self.leave(20)
+            if price < self.entry * STOP:
+                return self.leave(REST_STOP)
+            late = self.held >= LATE and signal
+            if late and (t.rsi > OVERBOUGHT or (t.bb_valid is True and t.pct_b > HIGH_BAND)) or self.held >= LONGEST:
+                return self.leave(REST)
             return None
         if self.rest > 0:
             self.rest -= 1
             return None
-        if not signal or t.macd_valid is not True or t.volume <= 100:
+        if not signal or t.macd_valid is not True or t.volume <= LEAST_VOLUME:
             return None
-        low_band = t.bb_valid is not True or t.pct_b < 0.15
-        oversold = t.rsi < 25 and t.macd_hist > 0 and low_band
-        if oversold or (t.bb_valid is True and t.pct_b < 0.02 and t.rsi < 40 and t.macd_hist > -0.2):
-            self.entry, self.held, self.units = price, 0, max(1, int(100_000 / price))
+        low_band = t.bb_valid is not True or t.pct_b < LOW_BAND
+        oversold = t.rsi < OVERSOLD and t.macd_hist > 0 and low_band
+        if oversold or (t.bb_valid is True and t.pct_b < DEEP_BAND and t.rsi < DEEP_RSI and t.macd_hist > DEEP_HIST):
+            self.entry, self.held, self.units = price, 0, max(1, int(STAKE / price))
             return 1, self.units, 1
         return None
 
@@ -152,42 +176,73 @@ class Account:
             gross = self.quantity * (price - self.price)
             fee = self.brokerage(self.price) + self.brokerage(price)
             self.equity += gross - fee
-            self.events.append((token, "trade", ts, self.opened, self.price, price, self.quantity, gross, fee, gross - fee, None))
-            self.events.append((token, "equity", ts, None, None, None, None, None, None, None, self.equity))
+            self.events.append((token, "trade", ts, self.opened, self.price, price, self.quantity, gross, fee, gross - fee, None, None))
+            self.events.append((token, "equity", ts, *[None] * 7, self.equity, None))
             self.quantity = 0
 
 
 EVENTS = (
     "token long, kind string, ts_ns long, entry_ts long, entry_price double, exit_price double, qty long, gross_pnl double, "
-    "commission double, net_pnl double, equity double"
+    "commission double, net_pnl double, equity double, note string"
 )
 
 
 def simulate(joined: DataFrame, strategy, cfg: Config = Config()) -> DataFrame:  # noqa: B008
-    """Trades and equity points of every token, replayed in order; tokens run in parallel, and an open position is closed at the end."""
-    needed = ["token", "ts_ns", "seq", "last_price", "volume", *strategy.columns]
-    Row = namedtuple("Row", needed)  # noqa: N806
+    """Trades and equity points of every token, replayed in order; tokens run in parallel, and an open position is closed at the end.
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        account, act, row = Account(cfg, cfg.capital), strategy(), None
-        frame = pdf.sort_values(["ts_ns", "seq"], kind="stable")
-        for i, row in enumerate(map(Row._make, zip(*(frame[c].tolist() for c in needed), strict=True))):
-            if (order := act(row)) is not None and order[1]:
-                account.order(row.token, row.ts_ns, row.last_price, *order)
-            if account.quantity and i % BATCH in SAMPLES:
-                marked = account.equity + account.quantity * (row.last_price - account.price)
-                account.events.append((row.token, "equity", row.ts_ns, *[None] * 7, marked))
-        if account.quantity and row is not None:
-            account.order(row.token, row.ts_ns, row.last_price, -1, account.quantity, 2)
-        return pd.DataFrame(account.events, columns=[c.split()[0] for c in EVENTS.split(", ")], dtype=object)
+    A token whose rows the strategy can't take gives an event of kind error with what went wrong, and no more; the others go on.
+    """
+    needed = ["token", "ts_ns", "seq", "last_price", "volume", *strategy.columns]
 
-    return joined.select(*needed).groupBy("token").applyInPandas(replay, EVENTS)
+    def start():
+        account, act = Account(cfg, cfg.capital), strategy()
+        seen = {"n": 0, "row": None, "failed": False}
+
+        def said() -> list[tuple]:
+            out, account.events = account.events, []
+            return out
+
+        def step(row):
+            if seen["failed"]:
+                return ()
+            try:
+                if (order := act(row)) is not None and order[1]:
+                    account.order(row.token, row.ts_ns, row.last_price, *order)
+                if account.quantity and seen["n"] % BATCH in SAMPLES:
+                    marked = account.equity + account.quantity * (row.last_price - account.price)
+                    account.events.append((row.token, "equity", row.ts_ns, *[None] * 7, marked, None))
+            except (TypeError, ValueError, ArithmeticError) as error:
+                seen["failed"] = True
+                account.events.append((row.token, "error", row.ts_ns, *[None] * 8, f"{type(error).__name__}: {error}"))
+            seen["n"], seen["row"] = seen["n"] + 1, row
+            return said()
+
+        def finish():
+            row = seen["row"]
+            if account.quantity and not seen["failed"]:
+                account.order(row.token, row.ts_ns, row.last_price, -1, account.quantity, 2)
+            return said()
+
+        return step, finish
+
+    return folds.replay(joined, ["ts_ns", "seq"], needed, start, EVENTS)
+
+
+def run_status(events: DataFrame, tokens: DataFrame) -> DataFrame:
+    """token, status (ok or error), note of each token's run."""
+    failed = events.where("kind = 'error'").groupBy("token").agg(F.min("note").alias("note"))
+    return tokens.select("token").distinct().join(failed, "token", "left").select(
+        "token", F.when(F.col("note").isNull(), "ok").otherwise("error").alias("status"), "note"
+    )
 
 
 def trade_statistics(trades: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """Per token: counts, sums, averages, extremes, win rate, profit factor (infinite without losses), expectancy."""
+    """Per token: counts, sums, averages, extremes, win rate, profit factor (infinite without losses), expectancy.
+
+    A trade without profit or loss counts in ``trades`` only. Tokens without trades have zeros throughout.
+    """
     net = F.col("net_pnl")
-    win, loss = F.when(net > 0, net), F.when(net <= 0, net)
+    win, loss = F.when(net > 0, net), F.when(net < 0, net)
     stats = trades.groupBy("token").agg(
         F.count(F.lit(1)).alias("trades"), F.count(win).alias("wins"), F.count(loss).alias("losses"), F.sum("gross_pnl").alias("gross"),
         F.sum("commission").alias("commission"), F.sum(net).alias("net"), F.sum(win).alias("won"), F.sum(loss).alias("lost"),
@@ -198,11 +253,10 @@ def trade_statistics(trades: DataFrame, tokens: DataFrame | None = None) -> Data
     out = stats.fillna(0)
     average_win, average_loss = ratio(F.col("won"), F.col("wins")), ratio(F.col("lost"), F.col("losses"))
     rate = ratio(F.col("wins").cast("double"), F.col("trades"))
-    factor = F.when(F.col("lost") < 0, F.col("won") / -F.col("lost")).when(F.col("won") > 0, float("inf")).otherwise(0.0)
-    return out.withColumns({
-        "win_rate": rate, "average_win": average_win, "average_loss": average_loss, "profit_factor": factor,
-        "expectancy": ratio(F.col("net"), F.col("trades")),
-    })
+    factor = F.when(F.col("lost") < 0, F.col("won") / -F.col("lost")).when(F.col("trades") > 0, float("inf")).otherwise(0.0)
+    out = out.withColumns({"win_rate": rate, "average_win": average_win, "average_loss": average_loss, "profit_factor": factor})
+    expected = F.col("win_rate") * F.col("average_win") + (1 - F.col("win_rate")) * F.col("average_loss")
+    return out.withColumns({"average_trade": ratio(F.col("net"), F.col("trades")), "expectancy": F.when(F.col("trades") > 0, expected).otherwise(0.0)})
 
 
 def max_drawdown(equity: DataFrame) -> DataFrame:
@@ -216,22 +270,31 @@ def max_drawdown(equity: DataFrame) -> DataFrame:
 
 
 def risk_ratios(equity: DataFrame) -> DataFrame:
-    """Sharpe and Sortino ratios of daily returns; a day is 24 hours from where the last one ended, the open day doesn't count."""
-
-    def days(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values(["ts_ns", "seq"])[["ts_ns", "equity"]].itertuples(index=False))
-        out, start, last, before = [], rows[0].ts_ns, rows[0].equity, rows[0].equity
-        for r in rows:
-            if r.ts_ns - start >= DAY_NS:
-                if before > 0:
-                    out.append((last - before) / before)
-                before, start = last, r.ts_ns
-            last = r.equity
-        return pd.DataFrame({"token": pdf["token"].iloc[0], "r": out})
-
-    daily = equity.select("token", "ts_ns", "seq", "equity").groupBy("token").applyInPandas(days, "token long, r double")
+    """Sharpe and Sortino ratios of daily returns; a day is 24 hours from where the last one ended, the open day doesn't count.
+
+    Tokens without a closed day have 0.
+    """
+
+    def start():
+        state = {"start": None, "last": 0.0, "before": 0.0}
+
+        def step(r):
+            out = ()
+            if state["start"] is None:
+                state.update(start=r.ts_ns, before=r.equity)
+            elif r.ts_ns - state["start"] >= DAY_NS:
+                if state["before"] > 0:
+                    out = [(r.token, (state["last"] - state["before"]) / state["before"])]
+                state.update(before=state["last"], start=r.ts_ns)
+            state["last"] = r.equity
+            return out
+
+        return step, lambda: ()
+
+    daily = folds.replay(equity, ["ts_ns", "seq"], ["token", "ts_ns", "seq", "equity"], start, "token long, r double")
     down = F.sqrt(F.avg(F.when(F.col("r") < 0, F.col("r") * F.col("r")).otherwise(0.0)))
     stats = daily.groupBy("token").agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("sd"), down.alias("dd"))
+    stats = equity.select("token").distinct().join(stats, "token", "left").fillna(0.0)
     return stats.select("token", (ratio(F.col("m"), F.col("sd")) * SQRT_YEAR).alias("sharpe"), (ratio(F.col("m"), F.col("dd")) * SQRT_YEAR).alias("sortino"))
 
 

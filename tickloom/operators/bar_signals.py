@@ -46,14 +46,14 @@ def realized_volatility(returns: DataFrame, skip_invalid: bool = False, window:
     """rv_var, rv_sigma, rv_sigma_ann: sample variance of the last returns of a token, valid from two on.
 
     Batch mode takes an invalid return as 0; with ``skip_invalid`` (live mode) it takes no place in the window, and its
-    bar shows the last value.
+    bar has no valid value.
     """
     w = by_token().rowsBetween(1 - window, 0)
     if skip_invalid:
-        used = returns.where("return_valid")
-        seen = used.select("token", "ts_ns", F.var_samp("log_return").over(w).alias("v"), F.count("log_return").over(w).alias("n"))
-        carried = lambda c: F.last(c, ignorenulls=True).over(by_token().rowsBetween(W.unboundedPreceding, 0))
-        out = returns.join(seen, ["token", "ts_ns"], "left").withColumns({"v": carried("v"), "n": carried("n")})
+        # Rows with and without a valid return in partitions of their own, so that one pass serves both.
+        w = W.partitionBy("token", "return_valid").orderBy("ts_ns").rowsBetween(1 - window, 0)
+        valid = lambda x: F.when(F.col("return_valid"), x)
+        out = returns.withColumns({"v": valid(F.var_samp("log_return").over(w)), "n": valid(F.count("log_return").over(w))})
     else:
         out = returns.withColumns({"v": F.var_samp("log_return").over(w), "n": F.count("log_return").over(w)})
     var = F.greatest(F.coalesce("v", F.lit(0.0)), F.lit(0.0))
@@ -110,6 +110,3 @@ def buffer_features(candles: DataFrame, interval: str = "1m") -> DataFrame:
         when_full(F.sqrt(F.var_pop("r").over(w19) * per_year)).alias("ann_vol"),
     )
 
-
-def valid_or_zero(value: Column, valid: Column) -> Column:
-    return F.when(valid, value).otherwise(0.0)

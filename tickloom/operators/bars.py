@@ -13,11 +13,14 @@ LAST_MOMENT = 59_999_000_000
 
 
 def bars(directed: DataFrame, width_ns: int = MINUTE, offset_ns: int = 0, emit_open_bar: bool = False) -> DataFrame:
-    """One row for each token and bar: prices, volume, volume by direction, tick count.
+    """One row for each token and bar: prices, volume, volume by direction, tick count, and open_interest of its last tick.
+
+    Ticks without open interest have 0.
 
     The last bar of a token is open: nothing after it has closed it, so it is dropped by default.
     """
     at = F.struct("ts_ns", "seq")
+    interest = F.col("open_interest") if "open_interest" in directed.columns else F.lit(0.0)
     side = lambda d: F.sum(F.when(F.col("direction") == d, F.col("last_quantity")).otherwise(0))
     out = (
         directed.withColumn("bar_ts", floor_to(F.col("ts_ns"), width_ns, offset_ns))
@@ -26,7 +29,7 @@ def bars(directed: DataFrame, width_ns: int = MINUTE, offset_ns: int = 0, emit_o
             F.min_by("last_price", at).alias("open"), F.max("last_price").alias("high"), F.min("last_price").alias("low"),
             F.max_by("last_price", at).alias("close"), F.sum("last_quantity").alias("volume"),
             F.sum(F.col("last_price") * F.col("last_quantity")).alias("pv"), side(1).alias("buy_volume"),
-            side(-1).alias("sell_volume"), F.count(F.lit(1)).alias("tick_count"),
+            side(-1).alias("sell_volume"), F.count(F.lit(1)).alias("tick_count"), F.max_by(interest, at).alias("open_interest"),
         )
         .withColumn("vwap", ratio(F.col("pv"), F.col("volume"), F.col("close")))
         .withColumn("bar_ofi", ratio((F.col("buy_volume") - F.col("sell_volume")).cast("double"), F.col("volume")))

@@ -22,7 +22,6 @@ SCHEDULE = [
 # Slippage and margin (buying, selling) by segment.
 SLIPPAGE = {1: 0.0001, 2: 0.0001, 3: 0.00005, 4: 0.00005, 5: 0.0005, 6: 0.0005, 7: 0.00005}
 MARGIN = {1: (0.20, 0.20), 2: (1.0, 1.0), 3: (0.12, 0.12), 4: (0.15, 0.15), 5: (1.0, 12.0), 6: (1.0, 15.0), 7: (0.02, 0.02), 8: (1.0, 0.03), 9: (0.10, 0.10)}
-LEVERAGE = {1: 5.0, 2: 1.0, 3: 8.33, 4: 6.67, 5: 1.0, 6: 1.0, 7: 50.0, 8: 1.0, 9: 10.0}
 LOTS = {"BANKNIFTY": 15, "FINNIFTY": 40, "NIFTY": 50, "SENSEX": 10}
 STOCK_LOT, STAMP_CAP = 250, 1500.0
 
@@ -99,6 +98,8 @@ def simulate(orders: DataFrame, lot: Column | None = None) -> DataFrame:
     units = F.col("quantity") * (lot if lot is not None else 1)
     filled = orders.withColumn("fill", fill_price(F.col("price"), F.col("side"), F.col("segment"))).withColumn("turnover", units * F.col("fill"))
     out = charged(filled)
+    if lot is not None:
+        out = out.withColumn("lot", lot)
     return out.withColumn(
         "net_amount",
         F.when(F.col("side") > 0, F.col("turnover") + F.col("total_charges")).otherwise(-(F.col("turnover") - F.col("total_charges"))),

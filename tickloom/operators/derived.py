@@ -9,10 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from tickloom.functions.numeric import clamped, div, ratio
+from tickloom.functions.numeric import clamped, div, floor_to, ratio
 
 #: Windows, gates and cost rates.
-NORM_WINDOW, KELLY_GATE, SIZE, ODDS = 252, 0.10, 100, 1.0
+NORM_WINDOW, KELLY_GATE, SIZE, ODDS, SPREAD, STRONG = 252, 0.10, 100, 1.0, 1e-6, 1 + 1e-9
 BAR_YEARS, DECAY_BASE, DECAY_COVERAGE, DECAY_VOLUME, DECAY_VARIANCE = 1 / 94_500, 0.10, 0.01, 0.0, 5.0
 BROKERAGE, SELL_TAX, TICK, SLIP_TICKS = 20.0, 0.00025, 0.05, 2
 
@@ -21,14 +21,43 @@ def by_token() -> WindowSpec:
     return W.partitionBy("token").orderBy("ts_ns")
 
 
+#: The slots of a bar's signals, in order.
+SLOTS = ["ofi_norm", "trade_dir", "vpin", "kyle_lambda", "entropy", "log_return", "rv_ann", "bar_ofi"]
+
+
+def signal_bundle(bars: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
+    """The bars with all SLOTS: the tick signals as they stood after the bar's last tick (snap_ columns, by token and ts_ns), and
+    the bar's own. Without snapshots (bars from candles) the tick signals and bar_ofi are 0."""
+    names = {"ofi_norm": "snap_ofi", "trade_dir": "snap_direction", "vpin": "snap_vpin", "kyle_lambda": "snap_kyle", "entropy": "snap_entropy"}
+    own = {
+        "log_return": F.when(F.col("return_valid"), F.col("log_return")).otherwise(0.0),
+        "rv_ann": F.when(F.col("rv_valid"), F.col("rv_sigma_ann")).otherwise(0.0),
+    }
+    if snapshots is None:
+        return bars.withColumns(own | {c: F.lit(0.0) for c in [*names, "bar_ofi"]})
+    joined = bars.join(snapshots.select("token", "ts_ns", *names.values()), ["token", "ts_ns"], "left")
+    return joined.withColumns(own | {c: F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for c, n in names.items()}).drop(*names.values())
+
+
+def closing_snapshots(snapshots: DataFrame, width_ns: int, offset_ns: int = 0) -> DataFrame:
+    """The tick signals of each bar (token, ts_ns) as they stood after its last tick."""
+    row = F.struct(*[c for c in snapshots.columns if c.startswith("snap_")])
+    bar = floor_to(F.col("ts_ns"), width_ns, offset_ns).alias("bar_ts")
+    last = snapshots.groupBy("token", bar).agg(F.max_by(row, F.struct("ts_ns", "seq")).alias("r"))
+    return last.select("token", F.col("bar_ts").alias("ts_ns"), "r.*")
+
+
 def normalised(bars: DataFrame, signals: list[str], window: int = NORM_WINDOW) -> DataFrame:
-    """z_<signal> and norm_valid: rolling z-scores; the raw value where a window has one row, 0 where it has no spread."""
+    """z_<signal> and norm_valid: rolling z-scores; the raw value where a window has one row, 0 where it has no spread.
+
+    A spread under SPREAD of the mean is none: sums of equal numbers differ by rounding.
+    """
     w = by_token().rowsBetween(1 - window, 0)
     n = F.count(F.lit(1)).over(w)
     out = {}
     for s in signals:
-        sd = F.stddev_samp(s).over(w)
-        out[f"z_{s}"] = F.when(n < 2, F.col(s)).when(sd > 0, (F.col(s) - F.avg(s).over(w)) / sd).otherwise(0.0)
+        sd, mean = F.stddev_samp(s).over(w), F.avg(s).over(w)
+        out[f"z_{s}"] = F.when(n < 2, F.col(s)).when(sd > F.abs(mean) * SPREAD, (F.col(s) - mean) / sd).otherwise(0.0)
     return bars.withColumns(out | {"norm_valid": n >= 2})
 
 
@@ -40,10 +69,10 @@ def ic_weights(ics: list[float]) -> list[float]:
 
 
 def composite(bars: DataFrame, signals: list[str], weights: list[float], odds: float = ODDS) -> DataFrame:
-    """score, quality, p_win, kelly_half of the z-scores."""
+    """score, quality, p_win, kelly_half of the z-scores; one is strong beyond 1 by more than rounding."""
     z = [F.col(f"z_{s}") for s in signals]
     score = sum((w * x for w, x in zip(weights[1:], z[1:], strict=True)), weights[0] * z[0])
-    strong = sum((F.when(F.abs(x) > 1, 1).otherwise(0) for x in z[1:]), F.when(F.abs(z[0]) > 1, 1).otherwise(0))
+    strong = sum((F.when(F.abs(x) > STRONG, 1).otherwise(0) for x in z[1:]), F.when(F.abs(z[0]) > STRONG, 1).otherwise(0))
     p = 1 / (1 + F.exp(-F.col("score")))
     return (
         bars.withColumn("score", score)
@@ -53,12 +82,12 @@ def composite(bars: DataFrame, signals: list[str], weights: list[float], odds: f
     )
 
 
-def alpha_decay(bars: DataFrame, coverage: int = 0) -> DataFrame:
+def signal_decay(bars: DataFrame, coverage: int = 0) -> DataFrame:
     """decay rate, the level it leaves after a bar, and the half-life (infinite without decay)."""
     rate = DECAY_BASE + DECAY_COVERAGE * coverage + DECAY_VOLUME * F.col("volume") / 1e6 + DECAY_VARIANCE * F.col("rv_var")
     return (
         bars.withColumn("decay_rate", rate)
-        .withColumn("decayed_alpha", F.col("alpha") * F.exp(-F.col("decay_rate") * BAR_YEARS))
+        .withColumn("decayed_level", F.col("level") * F.exp(-F.col("decay_rate") * BAR_YEARS))
         .withColumn("half_life", ratio(F.lit(math.log(2)), F.col("decay_rate") * BAR_YEARS, F.lit(float("inf"))))
     )
 

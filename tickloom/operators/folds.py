@@ -3,14 +3,18 @@
 A fold has ``init()`` and ``step(state, row) -> out``; ``row`` and ``out`` are dictionaries and the state is a mutable object
 of numbers that can be pickled. ``run`` folds the rows of each token in order in one pass for any number of folds, so that
 they share a shuffle; the streaming module runs the same folds over a stored state.
+
+Rows are dealt by key, sorted by Spark (which spills), and streamed through Arrow batches with the state carried along: no
+task holds a token's history, and thousands of small tokens cost no more than one large one.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Filter noise, change detection, and periods.
@@ -20,31 +24,35 @@ RSI_PERIOD, FAST, SLOW, SIGNAL = 14, 12, 26, 9
 
 
 class Kalman:
-    """Local level of returns; with a valid rv_var the noise follows the bar's variance."""
+    """Local level of returns; with a valid rv_var the noise follows the bar's variance, and stays so until the next.
+
+    A bar without a valid return leaves the filter as it is and shows nothing.
+    """
 
-    outputs = "alpha double, kalman_gain double, kalman_valid boolean"
+    outputs = "level double, kalman_gain double, kalman_valid boolean"
 
     def init(self):
-        return {"alpha": 0.0, "p": 0.0, "n": 0}
+        return {"level": 0.0, "p": 0.0, "n": 0, "q": PROCESS_NOISE, "r": MEASURE_NOISE}
 
     def step(self, s, row):
-        r = row["log_return"]
-        q, noise = PROCESS_NOISE, MEASURE_NOISE
         if row.get("rv_valid") and row["rv_var"] > 0:
-            q, noise = row["rv_var"] * NOISE_SHARE, row["rv_var"]
+            s["q"], s["r"] = row["rv_var"] * NOISE_SHARE, row["rv_var"]
+        if not row.get("return_valid", True):
+            return {"level": 0.0, "kalman_gain": 0.0, "kalman_valid": False}
+        r = row["log_return"]
         s["n"] += 1
         if s["n"] == 1:
-            s["alpha"], s["p"] = r, 1.0
-            return {"alpha": r, "kalman_gain": 0.0, "kalman_valid": False}
-        ahead = s["p"] + q
-        gain = ahead / (ahead + noise)
-        s["alpha"] += gain * (r - s["alpha"])
+            s["level"], s["p"] = r, 1.0
+            return {"level": r, "kalman_gain": 0.0, "kalman_valid": False}
+        ahead = s["p"] + s["q"]
+        gain = ahead / (ahead + s["r"])
+        s["level"] += gain * (r - s["level"])
         s["p"] = (1 - gain) * ahead
-        return {"alpha": s["alpha"], "kalman_gain": gain, "kalman_valid": True}
+        return {"level": s["level"], "kalman_gain": gain, "kalman_valid": True}
 
 
 class Cusum:
-    """Two-sided change detection on the filtered level; needs alpha of the same bar and its variance."""
+    """Two-sided change detection on the filtered level of the same bar and its variance; both must be valid."""
 
     outputs = "cusum_up double, cusum_down double, cusum_threshold double, cusum_fired int, cusum_valid boolean"
 
@@ -52,16 +60,18 @@ class Cusum:
         return {"up": 0.0, "down": 0.0}
 
     def step(self, s, row):
-        alpha, var, r = row["alpha"], row["rv_var"], row["log_return"]
+        level, var, r = row["level"], row["rv_var"], row["log_return"]
         out = lambda h, fired, ok: {
             "cusum_up": s["up"], "cusum_down": s["down"], "cusum_threshold": h, "cusum_fired": fired, "cusum_valid": ok
         }
-        if var <= 0 or alpha == 0:
+        if not (row.get("kalman_valid", True) and row.get("rv_valid", True)):
+            return {"cusum_up": 0.0, "cusum_down": 0.0, "cusum_threshold": 0.0, "cusum_fired": 0, "cusum_valid": False}
+        if var <= 0 or level == 0:
             return out(math.inf, 0, False)
-        score, penalty = alpha * r / var, alpha * alpha / (2 * var)
+        score, penalty = level * r / var, level * level / (2 * var)
         s["up"] = max(0.0, s["up"] + score - penalty)
         s["down"] = max(0.0, s["down"] - score - penalty)
-        h = math.log(abs(alpha) / CUSUM_COST) - CUSUM_PENALTY * var / (alpha * alpha)
+        h = math.log(abs(level) / CUSUM_COST) - CUSUM_PENALTY * var / (level * level)
         if h <= 0:
             return out(h, 0, False)
         fired = 0
@@ -135,34 +145,69 @@ def advance(folds, states, row: dict) -> dict:
     return row
 
 
-def replayed(pdf, folds, states, order: list[str], columns: list[str]):
-    """The rows of a frame in order, folded, with the given columns."""
-    import pandas as pd
+ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
-    frame = pdf.sort_values(order, kind="stable")
-    names = list(frame.columns)
-    out = [
-        [row[c] for c in columns]
-        for row in (advance(folds, states, dict(zip(names, values, strict=True))) for values in zip(*(frame[c].tolist() for c in names), strict=True))
-    ]
-    return pd.DataFrame(out, columns=columns)
 
+def fields(schema: str) -> list[tuple[str, str]]:
+    """Names and types of a flat schema in text form."""
+    return [tuple(part.split()) for part in schema.split(",")]
 
-def run(df: DataFrame, folds: list, keep: list[str], order: list[str], key: str = "token", finish: Callable | None = None) -> DataFrame:
-    """``keep`` and the folds' outputs for each row, folded in order within each key: one grouped pass.
 
-    The state of a key is inherently sequential: one task holds the rows of one key, and keys run in parallel.
-    """
-    import pandas as pd
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), *(f.outputs for f in folds)])
-    columns = [part.strip().split(" ")[0] for part in schema.split(", ")]
+def in_order(df: DataFrame, key: str, order: list[str], work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work`` over the batches of each partition, in which the rows of a key stand together and in order."""
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(work, schema)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return replayed(pdf, folds, [f.init() for f in folds], order, columns)
 
-    return df.groupBy(key).applyInPandas(one, schema)
+def run(df: DataFrame, folds: list, keep: list[str], order: list[str], key: str = "token") -> DataFrame:
+    """``keep`` and the folds' outputs for each row, folded in order within each key: one pass."""
+    kinds = dict(df.dtypes)
+    made = [f for fold in folds for f in fields(fold.outputs)]
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), *(f"{c} {t}" for c, t in made)])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states, last = [], None
+        for batch in batches:
+            names, out = batch.schema.names, [[] for _ in made]
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = dict(zip(names, values, strict=True))
+                if not states or row[key] != last:
+                    states, last = [f.init() for f in folds], row[key]
+                advance(folds, states, row)
+                for column, (c, _) in zip(out, made, strict=True):
+                    column.append(row[c])
+            new = [pa.array(x, ARROW[t]) for x, (_, t) in zip(out, made, strict=True)]
+            yield pa.record_batch([*(batch.column(c) for c in keep), *new], names=[*keep, *(c for c, _ in made)])
+
+    return in_order(df, key, order, work, schema)
+
+
+def replay(df: DataFrame, order: list[str], columns: list[str], start: Callable, schema: str, key: str = "token") -> DataFrame:
+    """Events of a replay in order within each key. ``start()`` gives a pair of functions: one takes a row (a named tuple of
+    ``columns``), the other none, at the end of the key; both return the events (tuples of ``schema``) that follow."""
+    from collections import namedtuple
+
+    kinds = fields(schema)
+    Row = namedtuple("Row", columns)  # noqa: N806
+
+    def batch_of(events: list[tuple]) -> pa.RecordBatch:
+        rows = zip(*events, strict=True) if events else [[] for _ in kinds]
+        return pa.record_batch([pa.array(list(x), ARROW[t]) for x, (_, t) in zip(rows, kinds, strict=True)], names=[c for c, _ in kinds])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, finish, last = None, None, None
+        at = columns.index(key)
+        for batch in batches:
+            events: list[tuple] = []
+            for values in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if step is None or values[at] != last:
+                    events += finish() if finish else ()
+                    (step, finish), last = start(), values[at]
+                events += step(Row(*values)) or ()
+            yield batch_of(events)
+        if finish:
+            yield batch_of(list(finish()))
+
+    return in_order(df.select(*dict.fromkeys([*columns, *order])), key, order, work, schema)
 
 
 def dump(states) -> bytes:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.numeric import running_total
+from tickloom.operators import folds
+
 #: Sizing, trading thresholds, risk limits and the strategy's cost model.
 UNITS, MIN_TRADE, HYSTERESIS = 100, 10, 0.05
 LOSS_LIMIT, OPEN_MINUTE, CLOSE_MINUTE, IST_NS, MINUTE_NS = -50_000.0, 9 * 60 + 15, 15 * 60 + 30, 19_800_000_000_000, 60_000_000_000
@@ -54,43 +56,46 @@ class Book:
         self.quantity = after
 
 
-OUT = "token long, ts_ns long, seq long, before long, after long, price double, confidence double, realized double"
+OUT = "token long, ts_ns long, seq long, before long, after long, price double, confidence double, realized double, gain double"
 
 
 def intents(signals: DataFrame, loss_limit: float | None = None, hours: bool = False) -> DataFrame:
     """Order intents from signals (token, ts_ns, seq, action, confidence, price).
 
     A signal trades if it changes the position and flips it, moves it by MIN_TRADE, or is HYSTERESIS away from it. With
-    ``loss_limit`` trading stops while the realised profit of all tokens is not above it: that is one order over all
-    tokens, so the (few) signals then fold in one task; without it tokens fold in parallel.
+    ``loss_limit`` trading stops once the realised profit of all tokens is not above it. Nothing trades after that, so
+    nothing can lift it again: tokens fold in parallel as without a limit, and the intents up to the first that breaks it, in
+    order of time, token and sequence, stay.
     """
     rows = signals.where("action <> 0").withColumn("desired", target(F.col("action"), F.col("confidence")))
     if hours:
         rows = rows.where(market_open(F.col("ts_ns")))
-    rows = rows.select("token", "ts_ns", "seq", "desired", "confidence", F.col("price").cast("double").alias("price"))
+    rows = rows.withColumn("price", F.col("price").cast("double"))
+
+    def start():
+        book = Book()
 
-    def trade(pdf: pd.DataFrame) -> pd.DataFrame:
-        books: dict[int, Book] = {}
-        total, out = 0.0, []
-        for r in pdf.sort_values(["ts_ns", "token", "seq"]).itertuples():
-            book = books.setdefault(r.token, Book())
+        def step(r):
             before = book.quantity
             delta = r.desired - before
             moved = abs(delta) >= MIN_TRADE or abs(r.confidence - abs(before) / UNITS) >= HYSTERESIS
             if delta == 0 or not (moved or before * r.desired < 0):
-                continue
-            if loss_limit is not None and total <= loss_limit:
-                continue
+                return None
             was = book.realized
             book.fill(delta, r.price)
-            total += book.realized - was
-            out.append((r.token, r.ts_ns, r.seq, before, book.quantity, r.price, r.confidence, book.realized))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+            return [(r.token, r.ts_ns, r.seq, before, book.quantity, r.price, r.confidence, book.realized, book.realized - was)]
+
+        return step, lambda: ()
 
-    keyed = rows.withColumn("k", F.col("token") if loss_limit is None else F.lit(0).cast("long"))
-    made = keyed.groupBy("k").applyInPandas(trade, OUT)
+    made = folds.replay(rows, ["ts_ns", "seq"], ["token", "ts_ns", "seq", "desired", "confidence", "price"], start, OUT)
+    if loss_limit is not None:
+        at = F.struct("ts_ns", "token", "seq")
+        total = running_total(made, "gain", ["ts_ns", "token", "seq"], "total")
+        # One row: the first intent after which the limit is broken; none at all where nothing may be traded from the start.
+        first = total.agg(F.min(F.when(F.col("total") <= loss_limit, at)).alias("broken"))
+        made = made.join(F.broadcast(first), F.col("broken").isNull() | (at <= F.col("broken"))).drop("broken").where(F.lit(loss_limit < 0))
     delta = F.col("after") - F.col("before")
-    return made.withColumns({"qty": F.abs(delta), "side": F.signum(delta).cast("int"), "reason": reason(F.col("before"), F.col("after"))})
+    return made.drop("gain").withColumns({"qty": F.abs(delta), "side": F.signum(delta).cast("int"), "reason": reason(F.col("before"), F.col("after"))})
 
 
 def rounded_half_away(x: float) -> int:

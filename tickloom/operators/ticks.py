@@ -13,17 +13,17 @@ from tickloom.functions.numeric import clamped, div, ratio
 OFI_SIGNAL, VPIN_ALERT, VPIN_BUCKETS, DEFAULT_BUCKET, KYLE_WINDOW, LEVELS = 50_000, 0.70, 50, 200_000, 20, 5
 
 
-def by_token() -> WindowSpec:
-    return W.partitionBy("token").orderBy("ts_ns", "seq")
+def keys(session: bool) -> list[str]:
+    """What the state of an operator belongs to: a token, or one session of it where it is reset."""
+    return ["token", "session_id"] if session else ["token"]
 
 
-def so_far() -> WindowSpec:
-    return by_token().rowsBetween(W.unboundedPreceding, 0)
+def by_token(session: bool = False) -> WindowSpec:
+    return W.partitionBy(*keys(session)).orderBy("ts_ns", "seq")
 
 
-def running(session: bool) -> WindowSpec:
-    keys = ["token", "session_id"] if session else ["token"]
-    return W.partitionBy(*keys).orderBy("ts_ns", "seq").rowsBetween(W.unboundedPreceding, 0)
+def so_far(session: bool = False) -> WindowSpec:
+    return by_token(session).rowsBetween(W.unboundedPreceding, 0)
 
 
 def trade_direction(ticks: DataFrame, session: bool = False) -> DataFrame:
@@ -36,7 +36,7 @@ def trade_direction(ticks: DataFrame, session: bool = False) -> DataFrame:
     return (
         ticks.withColumn("direction", d)
         .withColumn("direction_valid", ask.isNotNull())
-        .withColumn("cum_direction", F.sum("direction").over(running(session)))
+        .withColumn("cum_direction", F.sum("direction").over(so_far(session)))
     )
 
 
@@ -53,7 +53,7 @@ def order_flow(ticks: DataFrame, session: bool = False) -> DataFrame:
     return (
         ticks.withColumn("ofi", F.coalesce(bid - ask, F.lit(0)))
         .withColumn("ofi_valid", was("bid_price").isNotNull())
-        .withColumn("cum_ofi", F.sum("ofi").over(running(session)))
+        .withColumn("cum_ofi", F.sum("ofi").over(so_far(session)))
         .withColumn("ofi_norm", clamped(ratio(F.col("ofi").cast("double"), quoted), -1.0, 1.0))
     )
 
@@ -63,9 +63,9 @@ def bucket_size(adv: int) -> int:
     return max(1, adv // VPIN_BUCKETS) if adv > 0 else DEFAULT_BUCKET
 
 
-def volume_clock(directed: DataFrame, size: int) -> DataFrame:
-    """Per tick: buckets completed so far, and whether this tick closed one."""
-    done = F.sum("last_quantity").over(so_far())
+def volume_clock(directed: DataFrame, size: int, session: bool = False) -> DataFrame:
+    """Per tick: buckets completed so far (in its session), and whether this tick closed one."""
+    done = F.sum("last_quantity").over(so_far(session))
     return (
         directed.withColumn("filled", done)
         .withColumn("buckets_completed", div(F.col("filled"), size))
@@ -73,39 +73,40 @@ def volume_clock(directed: DataFrame, size: int) -> DataFrame:
     )
 
 
-def vpin(directed: DataFrame, size: int) -> DataFrame:
-    """token, bucket, vpin of every closed volume bucket.
+def vpin(directed: DataFrame, size: int, session: bool = False) -> DataFrame:
+    """token (and session_id), bucket, vpin of every closed volume bucket; a session's first tick opens its first bucket.
 
     In closed form: a tick covers the shares from its running volume before to after it, so its part of each bucket is
     an overlap of intervals; buckets are then a plain aggregate, and the metric a rolling sum over closed ones.
     """
-    c = F.sum("last_quantity").over(so_far())
+    own = keys(session)
+    c = F.sum("last_quantity").over(so_far(session))
     traded = directed.withColumn("hi", c).withColumn("lo", c - F.col("last_quantity")).where("last_quantity > 0")
     parts = traded.select(
-        "token", "direction", "lo", "hi", F.explode(F.sequence(div(F.col("lo"), size), div(F.col("hi") - 1, size))).alias("bucket")
+        *own, "direction", "lo", "hi", F.explode(F.sequence(div(F.col("lo"), size), div(F.col("hi") - 1, size))).alias("bucket")
     )
     overlap = F.least("hi", (F.col("bucket") + 1) * size) - F.greatest("lo", F.col("bucket") * size)
-    buckets = parts.groupBy("token", "bucket").agg(
+    buckets = parts.groupBy(*own, "bucket").agg(
         F.abs(F.sum(F.col("direction") * overlap)).alias("imbalance"), F.sum(overlap).alias("shares")
     )
-    window = W.partitionBy("token").orderBy("bucket").rowsBetween(1 - VPIN_BUCKETS, 0)
+    window = W.partitionBy(*own).orderBy("bucket").rowsBetween(1 - VPIN_BUCKETS, 0)
     held = F.least(F.col("bucket") + 1, F.lit(VPIN_BUCKETS)) * size
     return buckets.where(F.col("shares") == size).select(
-        "token", "bucket", clamped(F.sum("imbalance").over(window) / held, 0.0, 1.0).alias("vpin")
+        *own, "bucket", clamped(F.sum("imbalance").over(window) / held, 0.0, 1.0).alias("vpin")
     )
 
 
-def vpin_by_tick(directed: DataFrame, size: int) -> DataFrame:
+def vpin_by_tick(directed: DataFrame, size: int, session: bool = False) -> DataFrame:
     """Ticks with the volume clock and the metric of the last closed bucket (null before the first)."""
-    clocked = volume_clock(directed, size)
-    closed = vpin(directed, size).withColumn("buckets_completed", F.col("bucket") + 1).drop("bucket")
-    return clocked.join(closed, ["token", "buckets_completed"], "left")
+    clocked = volume_clock(directed, size, session)
+    closed = vpin(directed, size, session).withColumn("buckets_completed", F.col("bucket") + 1).drop("bucket")
+    return clocked.join(closed, [*keys(session), "buckets_completed"], "left")
 
 
-def kyle_lambda(flow: DataFrame, window: int = KYLE_WINDOW) -> DataFrame:
+def kyle_lambda(flow: DataFrame, window: int = KYLE_WINDOW, session: bool = False) -> DataFrame:
     """kyle_lambda: price change on order flow through the origin over the last contributions; valid once they are full."""
-    w = by_token().rowsBetween(1 - window, 0)
-    moved = flow.withColumn("dp", F.col("last_price") - F.lag("last_price").over(by_token()))
+    w = by_token(session).rowsBetween(1 - window, 0)
+    moved = flow.withColumn("dp", F.col("last_price") - F.lag("last_price").over(by_token(session)))
     x = F.when(F.col("dp").isNotNull(), F.col("ofi").cast("double"))
     return (
         moved.withColumn("kyle_lambda", F.coalesce(ratio(F.sum(F.col("dp") * x).over(w), F.sum(x * x).over(w)), F.lit(0.0)))
@@ -126,9 +127,9 @@ def depth_entropy(ticks: DataFrame, sizes: list[Column]) -> DataFrame:
     )
 
 
-def snapshot(signals: DataFrame) -> DataFrame:
-    """The signals as they stand after each tick: values that come only at times are carried forward."""
-    carried = lambda c: F.last(c, ignorenulls=True).over(so_far())
+def snapshot(signals: DataFrame, session: bool = False) -> DataFrame:
+    """The signals as they stand after each tick: values that come only at times are carried forward (within a session)."""
+    carried = lambda c: F.last(c, ignorenulls=True).over(so_far(session))
     return signals.select(
         "token", "seq", "ts_ns", F.col("ofi_norm").alias("snap_ofi"), F.col("cum_direction").alias("snap_direction"),
         F.coalesce(carried(F.when(F.col("bucket_closed"), F.col("vpin"))), F.lit(0.0)).alias("snap_vpin"),

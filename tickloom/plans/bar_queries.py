@@ -8,11 +8,13 @@ from tickloom.functions.numeric import quantised as q
 from tickloom.operators import bar_signals as S
 from tickloom.operators import derived as D
 from tickloom.operators import folds, options
-from tickloom.plans.tick_queries import BARS, BASE, Q, six_hour_bars
+from tickloom.operators import ticks as T
+from tickloom.plans.tick_queries import BAR_NS, BARS, BASE, SNAP, TICK_SIGNALS, Q, full, six_hour_bars
 from tickloom.sources import adapters as A
 
-SIGNALS = ["bar_ofi", "log_return", "rv_sigma", "pct_b"]
-WEIGHTS = D.ic_weights([0.04, 0.02, -0.01, 0.03])
+SIGNALS = D.SLOTS
+ICS = [0.04, 0.02, -0.01, 0.03, 0.01, 0.05, 0.02, 0.06]
+WEIGHTS = D.ic_weights(ICS)
 YEARS, RATE, LOT, VARIANCE = 0.25, 0.06, 75, 0.04
 
 
@@ -28,13 +30,45 @@ def volatility(s, d):
     return S.realized_volatility(returns(s, d))
 
 
+def live(s, d):
+    return S.realized_volatility(returns(s, d), skip_invalid=True)
+
+
 def folded(s, d, made, keep):
-    cols = ["token", "ts_ns", "close", "log_return", "rv_var", "rv_valid"]
-    return folds.run(volatility(s, d).select(cols), made, keep, ["ts_ns"])
+    return folds.run(live(s, d).select("token", "ts_ns", "close", "volume", "log_return", "return_valid", "rv_var", "rv_valid"), made, keep, ["ts_ns"])
+
+
+def bundle(s, d):
+    return D.signal_bundle(live(s, d), D.closing_snapshots(T.snapshot(full(s, d)), BAR_NS))
 
 
 def scored(s, d):
-    return D.composite(D.normalised(S.bollinger(volatility(s, d)), SIGNALS), SIGNALS, WEIGHTS)
+    return D.composite(D.normalised(bundle(s, d), SIGNALS), SIGNALS, WEIGHTS)
+
+
+def decayed(s, d, level):
+    """level: bars with the filter's level; it counts where it is valid, and so does the variance."""
+    return D.signal_decay(level.withColumn("level", F.when(F.col("kalman_valid"), F.col("level")).otherwise(0.0)))
+
+
+def live_pipeline(s, d):
+    """The live pipeline's row of each bar: filter, change detection, slots, score, decay, position and its profit."""
+    gated = D.position_gate(scored(s, d))
+    kept = [c for c in ("token", "ts_ns", "close", "volume", "log_return", "return_valid", "rv_var", "rv_valid", *SIGNALS, "score", "quality", "p_win",
+                        "kelly_half", "norm_valid", "position", "entry_price") if c not in ()]
+    kept = list(dict.fromkeys(kept))
+    run = folds.run(gated.select(kept), [folds.Kalman(), folds.Cusum()], kept, ["ts_ns"])
+    pnl = F.when(F.col("position") > 0, D.unrealised_pnl(F.col("close"), F.col("entry_price"), F.col("position"), F.lit(1))).otherwise(0.0)
+    return decayed(s, d, run).withColumn("pnl", pnl).withColumn("action", F.when(F.col("score") > 0, 1).otherwise(-1))
+
+
+def batch_pipeline(s, d):
+    """The batch pipeline's row of each bar: what candles alone can give, with the score of a bundle without tick signals."""
+    base = S.vwap_deviation(S.bollinger(volatility(s, d)))
+    scored_bars = D.composite(D.normalised(D.signal_bundle(base), SIGNALS), SIGNALS, WEIGHTS)
+    kept = ["token", "ts_ns", "close", "log_return", "return_valid", "rv_ann", "rv_valid", "bb_upper", "bb_mid", "bb_lower", "pct_b", "bandwidth", "bb_valid",
+            "vwap_dev", "session_vwap", "vwap_valid", "score", "kelly_half", "norm_valid"]
+    return folds.run(scored_bars.select(kept), [folds.Rsi(), folds.Macd()], kept, ["ts_ns"]).drop("close")
 
 
 def rounded(df, names, *plain):
@@ -63,7 +97,7 @@ QUERIES = {
         S.realized_volatility(returns(s, d), skip_invalid=True), ["rv_var", "rv_sigma"], "rv_valid"
     ),
     "e3_kalman_filter": lambda s, d: rounded(
-        folded(s, d, [folds.Kalman()], ["token", "ts_ns"]), ["alpha", "kalman_gain"], "kalman_valid"
+        folded(s, d, [folds.Kalman()], ["token", "ts_ns"]), ["level", "kalman_gain"], "kalman_valid"
     ),
     "e4_cusum": lambda s, d: folded(s, d, [folds.Kalman(), folds.Cusum()], ["token", "ts_ns"]).select(
         "token", "ts_ns", "cusum_fired", "cusum_valid", q(F.col("cusum_up"), 3).alias("cusum_up"), q(F.col("cusum_down"), 3).alias("cusum_down")
@@ -73,24 +107,27 @@ QUERIES = {
     "e7_bollinger": lambda s, d: rounded(S.bollinger(bars(s, d)), ["bb_mid", "bb_upper", "bb_lower", "pct_b", "bandwidth"], "bb_valid"),
     "e8_vwap_deviation": lambda s, d: rounded(S.vwap_deviation(bars(s, d)), ["session_vwap", "vwap_dev"], "vwap_valid"),
     "e9_sessions": lambda s, d: bars(s, d).select("token", "ts_ns", "session_id"),
-    "e10_bar_pipeline": lambda s, d: folds.run(
-        S.vwap_deviation(S.bollinger(volatility(s, d))).select(
-            "token", "ts_ns", "close", "log_return", "return_valid", "rv_var", "rv_valid", "pct_b", "bb_valid", "vwap_dev", "vwap_valid"
-        ),
-        [folds.Kalman(), folds.Cusum(), folds.Rsi(), folds.Macd()],
-        ["token", "ts_ns", "log_return", "return_valid", "rv_var", "rv_valid", "pct_b", "bb_valid", "vwap_dev", "vwap_valid"],
-        ["ts_ns"],
+    "e10_bar_pipeline": lambda s, d: rounded(
+        live_pipeline(s, d),
+        [*SIGNALS, "level", "score", "quality", "p_win", "kelly_half", "decay_rate", "decayed_level"],
+        "return_valid", "rv_valid", "kalman_valid", "cusum_fired", "cusum_valid", "norm_valid", "action", "position", q(F.col("pnl"), 3).alias("pnl"),
+    ),
+    "e10_batch_bar_pipeline": lambda s, d: rounded(
+        batch_pipeline(s, d),
+        ["log_return", "rv_ann", "rsi", "macd", "macd_signal", "macd_hist", "bb_upper", "bb_mid", "bb_lower", "pct_b", "bandwidth", "vwap_dev", "session_vwap",
+         "score", "kelly_half"],
+        "return_valid", "rv_valid", "rsi_valid", "macd_valid", "bb_valid", "vwap_valid", "norm_valid",
     ),
     "e11_ofi_proxy": lambda s, d: S.buffer_features(bars(s, d)).select("token", "ts_ns", "ofi_proxy"),
     "e12_kyle_proxy": lambda s, d: rounded(S.buffer_features(bars(s, d)), ["kyle_proxy"]),
     "e13_running_vwap": lambda s, d: S.buffer_features(bars(s, d)).select("token", "ts_ns", q(F.col("run_vwap"), 3).alias("run_vwap")),
     "e14_annual_volatility": lambda s, d: S.buffer_features(bars(s, d)).select("token", "ts_ns", q(F.col("ann_vol"), 4).alias("ann_vol")),
-    "f1_signal_bundle": lambda s, d: rounded(S.bollinger(volatility(s, d)), SIGNALS),
-    "f2_normaliser": lambda s, d: rounded(D.normalised(S.bollinger(volatility(s, d)), SIGNALS), [f"z_{x}" for x in SIGNALS], "norm_valid"),
+    "f1_signal_bundle": lambda s, d: rounded(bundle(s, d), SIGNALS),
+    "f2_normaliser": lambda s, d: rounded(D.normalised(bundle(s, d), SIGNALS), [f"z_{x}" for x in SIGNALS], "norm_valid"),
     "f3_ic_weights": lambda s, d: s.createDataFrame([(i, float(w)) for i, w in enumerate(WEIGHTS)], "slot long, weight double"),
     "f4_composite": lambda s, d: rounded(scored(s, d), ["score", "quality", "p_win", "kelly_half"]),
-    "f5_alpha_decay": lambda s, d: rounded(
-        D.alpha_decay(volatility(s, d).withColumn("alpha", F.col("log_return"))), ["decay_rate", "decayed_alpha"]
+    "f5_signal_decay": lambda s, d: rounded(
+        decayed(s, d, folded(s, d, [folds.Kalman()], ["token", "ts_ns", "volume", "rv_var"])), ["decay_rate", "decayed_level"]
     ),
     "f6_pnl": lambda s, d: D.position_gate(scored(s, d)).where("position > 0").select(
         "token", "ts_ns", q(D.unrealised_pnl(F.col("close"), F.col("entry_price"), F.col("position"), F.lit(1)), 3).alias("pnl")
@@ -124,21 +161,30 @@ RETURNS = f"""{SESSIONS}, r0 AS (SELECT *, lag(close) OVER (PARTITION BY token,
 W20 = "WINDOW w AS (PARTITION BY token ORDER BY ts_ns ROWS 19 PRECEDING)"
 VOL = f"""{RETURNS}, v AS (SELECT *, count(*) OVER w >= 2 AS rv_valid, greatest(coalesce(var_samp(log_return) OVER w, 0.0::DOUBLE), 0.0::DOUBLE) AS rv_var,
     sqrt(rv_var) AS rv_sigma, sqrt(rv_var) * 307.4085110396682::DOUBLE AS rv_sigma_ann FROM r1 {W20})"""
+LIVE = f"""{RETURNS}, v0 AS (SELECT *, CASE WHEN return_valid THEN var_samp(log_return) OVER w END AS vv, CASE WHEN return_valid THEN count(*) OVER w ELSE 0 END AS nn
+        FROM r1 WINDOW w AS (PARTITION BY token, return_valid ORDER BY ts_ns ROWS 19 PRECEDING)),
+    v AS (SELECT * EXCLUDE (vv, nn), nn >= 2 AS rv_valid, greatest(coalesce(vv, 0.0::DOUBLE), 0.0::DOUBLE) AS rv_var,
+    sqrt(rv_var) AS rv_sigma, sqrt(rv_var) * 307.4085110396682::DOUBLE AS rv_sigma_ann FROM v0)"""
+BUNDLE = f"""{LIVE}, {TICK_SIGNALS}, {SNAP}, cs AS (SELECT token, ts_ns // {BAR_NS} * {BAR_NS} AS ts_ns, arg_max(snap_ofi, seq) AS so, arg_max(snap_direction, seq) AS sd,
+        arg_max(snap_vpin, seq) AS sv, arg_max(snap_kyle, seq) AS sk, arg_max(snap_entropy, seq) AS se FROM snap GROUP BY token, ts_ns // {BAR_NS} * {BAR_NS}),
+    bn AS (SELECT v.*, so AS ofi_norm, sd::DOUBLE AS trade_dir, sv AS vpin, sk AS kyle_lambda, se AS entropy,
+        CASE WHEN rv_valid THEN rv_sigma_ann ELSE 0.0::DOUBLE END AS rv_ann FROM v JOIN cs USING (token, ts_ns))"""
 BOLL = f"""bb0 AS (SELECT *, avg(close) OVER w AS m, stddev_pop(close) OVER w AS sd, count(*) OVER w = 20 AS bb_valid FROM %s {W20}),
     bb AS (SELECT *, CASE WHEN bb_valid THEN m ELSE 0.0::DOUBLE END AS bb_mid, CASE WHEN bb_valid THEN m + 2 * sd ELSE 0.0::DOUBLE END AS bb_upper,
         CASE WHEN bb_valid THEN m - 2 * sd ELSE 0.0::DOUBLE END AS bb_lower,
         CASE WHEN NOT bb_valid THEN 0.0::DOUBLE WHEN 4 * sd > 1e-10::DOUBLE THEN (close - (m - 2 * sd)) / (4 * sd) ELSE 0.5::DOUBLE END AS pct_b,
         CASE WHEN bb_valid THEN 4 * sd / greatest(m, 1e-10::DOUBLE) ELSE 0.0::DOUBLE END AS bandwidth FROM bb0)"""
 W252 = "WINDOW w AS (PARTITION BY token ORDER BY ts_ns ROWS 251 PRECEDING)"
-_z = ", ".join(
-    f"CASE WHEN count(*) OVER w < 2 THEN {x} WHEN stddev_samp({x}) OVER w > 0 THEN ({x} - avg({x}) OVER w) / stddev_samp({x}) OVER w ELSE 0.0::DOUBLE END AS z_{x}"
-    for x in SIGNALS
+_norm = lambda signals: ", ".join(
+    f"CASE WHEN count(*) OVER w < 2 THEN {x} WHEN stddev_samp({x}) OVER w > abs(avg({x}) OVER w) * 1e-6::DOUBLE THEN ({x} - avg({x}) OVER w) / stddev_samp({x}) OVER w ELSE 0.0::DOUBLE END AS z_{x}"
+    for x in signals
 )
-NORM = f"{VOL}, {BOLL % 'v'}, n AS (SELECT *, count(*) OVER w >= 2 AS norm_valid, {_z} FROM bb {W252})"
+NORM = f"{BUNDLE}, n AS (SELECT *, count(*) OVER w >= 2 AS norm_valid, {_norm(SIGNALS)} FROM bn {W252})"
 _score = " + ".join(f"{w!r}::DOUBLE * z_{x}" for w, x in zip(WEIGHTS, SIGNALS, strict=True))
-_strong = " + ".join(f"(abs(z_{x}) > 1)::INT" for x in SIGNALS)
-SCORED = f"""{NORM}, sc AS (SELECT *, {_score} AS score, ({_strong}) * 100.0::DOUBLE / {len(SIGNALS)} AS quality, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({_score}))) AS p_win FROM n),
+_strong = " + ".join(f"(abs(z_{x}) > 1.000000001::DOUBLE)::INT" for x in SIGNALS)
+_SCORE = f"""sc AS (SELECT *, {_score} AS score, ({_strong}) * 100.0::DOUBLE / {len(SIGNALS)} AS quality, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({_score}))) AS p_win FROM n),
     k AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (p_win * 2.0::DOUBLE - 1.0::DOUBLE) / 1.0::DOUBLE / 2.0::DOUBLE)) AS kelly_half FROM sc)"""
+SCORED = f"{NORM}, {_SCORE}"
 GATE = f"""{SCORED}, g0 AS (SELECT *, (kelly_half >= 0.1::DOUBLE)::INT AS held FROM k),
     g1 AS (SELECT *, CASE WHEN held <> coalesce(lag(held) OVER w, 0) THEN 1 ELSE 0 END AS ch FROM g0 {W}), g2 AS (SELECT *, sum(ch) OVER w AS isl FROM g1 {W}),
     g AS (SELECT *, held * 100 AS position, CASE WHEN held = 1 THEN first_value(close) OVER (PARTITION BY token, isl ORDER BY ts_ns) ELSE 0.0::DOUBLE END AS entry_price FROM g2)"""
@@ -154,48 +200,68 @@ BUF = f"""{SESSIONS}, u0 AS (SELECT *, abs(close - lag(close) OVER w) AS dc, ln(
 P = lambda x, n: f"floor(({x}) * 1e{n}::DOUBLE + 0.5::DOUBLE) / 1e{n}::DOUBLE + 0.0::DOUBLE"
 ROUND = lambda *xs: ", ".join(f"{Q(x)} AS {x}" for x in xs)
 _ORDERED = "x0 AS (SELECT token, ts_ns, close, log_return, rv_var, rv_valid, row_number() OVER (PARTITION BY token ORDER BY ts_ns) AS n FROM v)"
-_KALMAN = f"""WITH RECURSIVE {VOL[5:]}, {_ORDERED}, kf AS (
-    SELECT token, ts_ns, n, log_return AS alpha, 1.0::DOUBLE AS p, 0.0::DOUBLE AS kalman_gain FROM x0 WHERE n = 1
-    UNION ALL SELECT token, ts_ns, n, alpha + g * (lr - alpha), (1 - g) * ahead, g FROM (
-        SELECT token, ts_ns, n, alpha, lr, ahead, ahead / (ahead + rn) AS g FROM (
-            SELECT x.token, x.ts_ns, x.n, k.alpha, x.log_return AS lr, k.p + CASE WHEN x.rv_valid AND x.rv_var > 0 THEN x.rv_var * 0.01::DOUBLE ELSE 1e-5::DOUBLE END AS ahead,
+_KF = f"""y0 AS MATERIALIZED (SELECT token, ts_ns, log_return, rv_var, rv_valid, row_number() OVER (PARTITION BY token ORDER BY ts_ns) AS n FROM v WHERE return_valid), kf AS (
+    SELECT token, ts_ns, n, log_return AS level, 1.0::DOUBLE AS p, 0.0::DOUBLE AS kalman_gain FROM y0 WHERE n = 1
+    UNION ALL SELECT token, ts_ns, n, level + g * (lr - level), (1 - g) * ahead, g FROM (
+        SELECT token, ts_ns, n, level, lr, ahead, ahead / (ahead + rn) AS g FROM (
+            SELECT x.token, x.ts_ns, x.n, k.level, x.log_return AS lr, k.p + CASE WHEN x.rv_valid AND x.rv_var > 0 THEN x.rv_var * 0.01::DOUBLE ELSE 1e-5::DOUBLE END AS ahead,
                    CASE WHEN x.rv_valid AND x.rv_var > 0 THEN x.rv_var ELSE 1e-3::DOUBLE END AS rn
-            FROM kf k JOIN x0 x ON x.token = k.token AND x.n = k.n + 1)))"""
-_CUSUM = f"""{_KALMAN}, lv AS (SELECT kf.token, kf.n, kf.ts_ns, alpha, log_return AS r, rv_var AS va, rv_var > 0 AND alpha <> 0 AS live FROM kf JOIN x0 USING (token, n)),
-    st AS (SELECT token, n, ts_ns, live, CASE WHEN live THEN alpha * r / va END AS score, CASE WHEN live THEN alpha * alpha / (2 * va) END AS pen,
-        CASE WHEN live THEN ln(abs(CASE WHEN live THEN alpha ELSE 1 END) / {folds.CUSUM_COST!r}::DOUBLE) - {folds.CUSUM_PENALTY!r}::DOUBLE * va / (alpha * alpha) ELSE -1.0::DOUBLE END AS h FROM lv),
+            FROM kf k JOIN y0 x ON x.token = k.token AND x.n = k.n + 1)))"""
+_KALMAN = f"WITH RECURSIVE {LIVE[5:]}, {_KF}"
+_CU = f"""lv AS (SELECT kf.token, kf.n, kf.ts_ns, level, log_return AS r, rv_var AS va, rv_var > 0 AND level <> 0 AS live FROM kf JOIN y0 USING (token, n) WHERE kf.n > 1 AND rv_valid),
+    st AS MATERIALIZED (SELECT token, row_number() OVER (PARTITION BY token ORDER BY n) AS n, ts_ns, live, CASE WHEN live THEN level * r / va END AS score, CASE WHEN live THEN level * level / (2 * va) END AS pen,
+        CASE WHEN live THEN ln(abs(CASE WHEN live THEN level ELSE 1 END) / {folds.CUSUM_COST!r}::DOUBLE) - {folds.CUSUM_PENALTY!r}::DOUBLE * va / (level * level) ELSE -1.0::DOUBLE END AS h FROM lv),
     cu AS (SELECT DISTINCT token, 0::BIGINT AS n, 0::BIGINT AS ts_ns, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0 AS fired, false AS ok FROM st
         UNION ALL SELECT token, n, ts_ns, CASE WHEN fired = 1 THEN 0.0::DOUBLE ELSE u END, CASE WHEN fired = -1 THEN 0.0::DOUBLE ELSE d END, fired, ok FROM (
             SELECT *, h > 0 AS ok, CASE WHEN h > 0 AND u >= h THEN 1 WHEN h > 0 AND d >= h THEN -1 ELSE 0 END AS fired FROM (
                 SELECT s.token, s.n, s.ts_ns, s.h, CASE WHEN s.live THEN greatest(0.0::DOUBLE, c.up + s.score - s.pen) ELSE c.up END AS u,
                     CASE WHEN s.live THEN greatest(0.0::DOUBLE, c.down - s.score - s.pen) ELSE c.down END AS d
                 FROM cu c JOIN st s ON s.token = c.token AND s.n = c.n + 1)))"""
-_RSI = f"""WITH RECURSIVE {VOL[5:]}, {_ORDERED}, ch AS (SELECT token, ts_ns, n, greatest(close - lag(close) OVER w, 0.0::DOUBLE) AS up, greatest(lag(close) OVER w - close, 0.0::DOUBLE) AS dn FROM x0
+_RS = """ch AS (SELECT token, ts_ns, n, greatest(close - lag(close) OVER w, 0.0::DOUBLE) AS up, greatest(lag(close) OVER w - close, 0.0::DOUBLE) AS dn FROM x0
         WINDOW w AS (PARTITION BY token ORDER BY n)),
     rs AS (SELECT token, 15::BIGINT AS n, sum(up) / 14 AS g, sum(dn) / 14 AS l FROM ch WHERE n BETWEEN 2 AND 15 GROUP BY token HAVING count(*) = 14
         UNION ALL SELECT c.token, c.n, rs.g * (13.0::DOUBLE / 14) + c.up / 14, rs.l * (13.0::DOUBLE / 14) + c.dn / 14 FROM rs JOIN ch c ON c.token = rs.token AND c.n = rs.n + 1)"""
-_MACD = f"""WITH RECURSIVE {VOL[5:]}, {_ORDERED}, fa AS (SELECT token, 12::BIGINT AS n, avg(close) AS e FROM x0 WHERE n <= 12 GROUP BY token HAVING count(*) = 12
+_MA = """fa AS (SELECT token, 12::BIGINT AS n, avg(close) AS e FROM x0 WHERE n <= 12 GROUP BY token HAVING count(*) = 12
         UNION ALL SELECT x.token, x.n, fa.e + (x.close - fa.e) * (2.0::DOUBLE / 13) FROM fa JOIN x0 x ON x.token = fa.token AND x.n = fa.n + 1),
     sl AS (SELECT token, 26::BIGINT AS n, avg(close) AS e FROM x0 WHERE n <= 26 GROUP BY token HAVING count(*) = 26
         UNION ALL SELECT x.token, x.n, sl.e + (x.close - sl.e) * (2.0::DOUBLE / 27) FROM sl JOIN x0 x ON x.token = sl.token AND x.n = sl.n + 1),
     md AS (SELECT token, n, fa.e - sl.e AS macd FROM fa JOIN sl USING (token, n)),
     sg AS (SELECT token, 34::BIGINT AS n, avg(macd) AS s FROM md WHERE n <= 34 GROUP BY token HAVING count(*) = 9
         UNION ALL SELECT m.token, m.n, sg.s + (m.macd - sg.s) * (2.0::DOUBLE / 10) FROM sg JOIN md m ON m.token = sg.token AND m.n = sg.n + 1)"""
+_RSI, _MACD = (f"WITH RECURSIVE {VOL[5:]}, {_ORDERED}, {x}" for x in (_RS, _MA))
+_RSI_VALUE = "CASE WHEN rs.n IS NULL THEN 0.0::DOUBLE WHEN l < 1e-10::DOUBLE THEN 100.0::DOUBLE ELSE 100 - 100 / (1 + g / l) END"
 CH = f"WITH {A.CHAINS}"
 D1 = lambda iv: f"((ln(spot / strike) + (0.06::DOUBLE + {iv} * {iv} / 2) * 0.25::DOUBLE) / ({iv} * 0.5::DOUBLE))"
 GAM = lambda iv: f"(0.3989422804014327::DOUBLE * exp(-{D1(iv)} * {D1(iv)} / 2) / (spot * {iv} * 0.5::DOUBLE))"
+_VD = "vd AS (SELECT token, ts_ns, sum(vwap * volume) OVER w / sum(volume) OVER w AS sv FROM b2 WINDOW w AS (PARTITION BY token, session_id ORDER BY ts_ns)), bb0e AS (SELECT * EXCLUDE (bar_ofi) FROM bb)"
 ATM = f"{CH}, atm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY abs(strike - spot), ord) AS rn FROM chains) WHERE rn = 1)"
 ORACLES = {
     "e1_log_return": f"{RETURNS} SELECT token, ts_ns, return_valid, {ROUND('log_return')} FROM r1",
     "e2_realized_volatility": f"{VOL} SELECT token, ts_ns, rv_valid, {ROUND('rv_var', 'rv_sigma', 'rv_sigma_ann')} FROM v",
-    "e2_realized_volatility_live": f"""{RETURNS}, l AS (SELECT token, ts_ns, var_samp(log_return) OVER w AS vv, count(*) OVER w AS nn FROM r1 WHERE return_valid {W20}),
-        j AS (SELECT r1.token, r1.ts_ns, last_value(vv IGNORE NULLS) OVER w AS vv, last_value(nn IGNORE NULLS) OVER w AS nn FROM r1 LEFT JOIN l USING (token, ts_ns) WINDOW w AS (PARTITION BY r1.token ORDER BY r1.ts_ns))
-        SELECT token, ts_ns, coalesce(nn >= 2, false) AS rv_valid, {P('greatest(coalesce(vv, 0.0::DOUBLE), 0.0::DOUBLE)', 6)} AS rv_var,
-        {P('sqrt(greatest(coalesce(vv, 0.0::DOUBLE), 0.0::DOUBLE))', 6)} AS rv_sigma FROM j""",
-    "e3_kalman_filter": f"{_KALMAN} SELECT token, ts_ns, n > 1 AS kalman_valid, {ROUND('alpha', 'kalman_gain')} FROM kf",
-    "e4_cusum": f"""{_CUSUM} SELECT token, ts_ns, fired AS cusum_fired, ok AS cusum_valid, {P('up', 3)} AS cusum_up, {P('down', 3)} AS cusum_down FROM cu WHERE n > 0""",
+    "e2_realized_volatility_live": f"{LIVE} SELECT token, ts_ns, rv_valid, {ROUND('rv_var', 'rv_sigma')} FROM v",
+    "e3_kalman_filter": f"""{_KALMAN} SELECT v.token, v.ts_ns, coalesce(kf.n > 1, false) AS kalman_valid, {P('coalesce(level, 0.0::DOUBLE)', 6)} AS level,
+        {P('coalesce(kalman_gain, 0.0::DOUBLE)', 6)} AS kalman_gain FROM v LEFT JOIN kf USING (token, ts_ns)""",
+    "e4_cusum": f"""{_KALMAN}, {_CU} SELECT v.token, v.ts_ns, coalesce(fired, 0) AS cusum_fired, coalesce(ok, false) AS cusum_valid,
+        {P('coalesce(up, 0.0::DOUBLE)', 3)} AS cusum_up, {P('coalesce(down, 0.0::DOUBLE)', 3)} AS cusum_down FROM v LEFT JOIN (FROM cu WHERE n > 0) USING (token, ts_ns)""",
+    "e10_bar_pipeline": f"""WITH RECURSIVE {GATE[5:]}, {_KF}, {_CU}, lp AS (SELECT g.*, coalesce(kf.n > 1, false) AS kalman_valid, coalesce(kf.level, 0.0::DOUBLE) AS level,
+            coalesce(fired, 0) AS cusum_fired, coalesce(ok, false) AS cusum_valid, 0.1::DOUBLE + 5.0::DOUBLE * rv_var AS decay_rate
+            FROM g LEFT JOIN kf USING (token, ts_ns) LEFT JOIN (FROM cu WHERE n > 0) USING (token, ts_ns))
+        SELECT token, ts_ns, return_valid, rv_valid, kalman_valid, cusum_fired, cusum_valid, norm_valid, CASE WHEN score > 0 THEN 1 ELSE -1 END AS action, position,
+            {P('CASE WHEN position > 0 THEN 100 * (close - entry_price) - 30.0::DOUBLE - (30.0::DOUBLE + 0.00025::DOUBLE * close * 100) ELSE 0.0::DOUBLE END', 3)} AS pnl,
+            {ROUND(*SIGNALS, 'score', 'quality', 'p_win', 'kelly_half', 'decay_rate')}, {P('CASE WHEN kalman_valid THEN level ELSE 0.0::DOUBLE END', 6)} AS level,
+            {P('CASE WHEN kalman_valid THEN level ELSE 0.0::DOUBLE END * exp(-decay_rate / 94500)', 6)} AS decayed_level FROM lp""",
+    "e10_batch_bar_pipeline": f"""WITH RECURSIVE {VOL[5:]}, {BOLL % 'v'}, {_ORDERED}, {_RS}, {_MA}, {_VD},
+        bn AS (SELECT *, {', '.join(f'0.0::DOUBLE AS {x}' for x in SIGNALS if x not in ('log_return', 'rv_ann', 'bar_ofi'))}, 0.0::DOUBLE AS bar_ofi,
+            CASE WHEN rv_valid THEN rv_sigma_ann ELSE 0.0::DOUBLE END AS rv_ann FROM bb0e),
+        n AS (SELECT *, count(*) OVER w >= 2 AS norm_valid, {_norm(SIGNALS)} FROM bn {W252}), {_SCORE}
+        SELECT k.token, k.ts_ns, return_valid, rv_valid, rs.n IS NOT NULL AS rsi_valid, s IS NOT NULL AS macd_valid, bb_valid, true AS vwap_valid, norm_valid,
+            {ROUND('log_return', 'rv_ann', 'bb_upper', 'bb_mid', 'bb_lower', 'pct_b', 'bandwidth', 'score', 'kelly_half')}, {P(_RSI_VALUE, 6)} AS rsi,
+            {P('coalesce(macd, 0.0::DOUBLE)', 6)} AS macd, {P('coalesce(s, 0.0::DOUBLE)', 6)} AS macd_signal, {P('coalesce(macd - s, 0.0::DOUBLE)', 6)} AS macd_hist,
+            {P('sv', 6)} AS session_vwap, {P('(close - sv) / sv', 6)} AS vwap_dev
+        FROM k JOIN (SELECT token, ts_ns, n AS nth FROM x0) USING (token, ts_ns) JOIN vd USING (token, ts_ns) LEFT JOIN rs ON rs.token = k.token AND rs.n = nth
+            LEFT JOIN md ON md.token = k.token AND md.n = nth LEFT JOIN sg ON sg.token = k.token AND sg.n = nth""",
     "e5_rsi": f"""{_RSI} SELECT x0.token, ts_ns, rs.n IS NOT NULL AS rsi_valid,
-        {P('CASE WHEN rs.n IS NULL THEN 0.0::DOUBLE WHEN l < 1e-10::DOUBLE THEN 100.0::DOUBLE ELSE 100 - 100 / (1 + g / l) END', 6)} AS rsi FROM x0 LEFT JOIN rs ON rs.token = x0.token AND rs.n = x0.n""",
+        {P(_RSI_VALUE, 6)} AS rsi FROM x0 LEFT JOIN rs ON rs.token = x0.token AND rs.n = x0.n""",
     "e6_macd": f"""{_MACD} SELECT x0.token, ts_ns, s IS NOT NULL AS macd_valid, {P('coalesce(macd, 0.0::DOUBLE)', 6)} AS macd, {P('coalesce(s, 0.0::DOUBLE)', 6)} AS macd_signal,
         {P('coalesce(macd - s, 0.0::DOUBLE)', 6)} AS macd_hist FROM x0 LEFT JOIN md ON md.token = x0.token AND md.n = x0.n LEFT JOIN sg ON sg.token = x0.token AND sg.n = x0.n""",
     "e7_bollinger": f"{SESSIONS}, {BOLL % 'b2'} SELECT token, ts_ns, bb_valid, {ROUND('bb_mid', 'bb_upper', 'bb_lower', 'pct_b', 'bandwidth')} FROM bb",
@@ -206,12 +272,13 @@ ORACLES = {
     "e12_kyle_proxy": f"{BUF} SELECT token, ts_ns, {ROUND('kyle_proxy')} FROM u",
     "e13_running_vwap": f"{BUF} SELECT token, ts_ns, {P('run_vwap', 3)} AS run_vwap FROM u",
     "e14_annual_volatility": f"{BUF} SELECT token, ts_ns, {P('ann_vol', 4)} AS ann_vol FROM u",
-    "f1_signal_bundle": f"{VOL}, {BOLL % 'v'} SELECT token, ts_ns, {ROUND(*SIGNALS)} FROM bb",
+    "f1_signal_bundle": f"{BUNDLE} SELECT token, ts_ns, {ROUND(*SIGNALS)} FROM bn",
     "f2_normaliser": f"{NORM} SELECT token, ts_ns, norm_valid, {ROUND(*[f'z_{x}' for x in SIGNALS])} FROM n",
-    "f3_ic_weights": "SELECT (row_number() OVER (ORDER BY i) - 1)::BIGINT AS slot, greatest(ic, 0) / sum(greatest(ic, 0)) OVER () AS weight FROM (VALUES (1, 0.04::DOUBLE), (2, 0.02::DOUBLE), (3, -0.01::DOUBLE), (4, 0.03::DOUBLE)) t(i, ic)",
+    "f3_ic_weights": f"""SELECT (i - 1)::BIGINT AS slot, greatest(ic, 0) / sum(greatest(ic, 0)) OVER () AS weight
+        FROM (VALUES {', '.join(f'({i + 1}, {x!r}::DOUBLE)' for i, x in enumerate(ICS))}) t(i, ic)""",
     "f4_composite": f"{SCORED} SELECT token, ts_ns, {ROUND('score', 'quality', 'p_win', 'kelly_half')} FROM k",
-    "f5_alpha_decay": f"""{VOL} SELECT token, ts_ns, {P('0.1::DOUBLE + 5.0::DOUBLE * rv_var', 6)} AS decay_rate,
-        {P('log_return * exp(-(0.1::DOUBLE + 5.0::DOUBLE * rv_var) / 94500)', 6)} AS decayed_alpha FROM v""",
+    "f5_signal_decay": f"""{_KALMAN} SELECT v.token, v.ts_ns, {P('0.1::DOUBLE + 5.0::DOUBLE * rv_var', 6)} AS decay_rate,
+        {P('coalesce(CASE WHEN kf.n > 1 THEN level END, 0.0::DOUBLE) * exp(-(0.1::DOUBLE + 5.0::DOUBLE * rv_var) / 94500)', 6)} AS decayed_level FROM v LEFT JOIN kf USING (token, ts_ns)""",
     "f6_pnl": f"""{GATE} SELECT token, ts_ns, {P('100 * (close - entry_price) - 30.0::DOUBLE - (30.0::DOUBLE + 0.00025::DOUBLE * close * 100)', 3)} AS pnl FROM g WHERE position > 0""",
     "f7_position_gate": f"{GATE} SELECT token, ts_ns, position, entry_price FROM g",
     "f8_composite_signals": f"""{SCORED} SELECT token, ts_ns, close AS price, sign(score)::INT AS action, 4 AS strategy_id, {Q('kelly_half')} AS confidence

@@ -53,7 +53,7 @@ BARS = f"""allbars AS (
     SELECT token, ts_ns // {BAR_NS} * {BAR_NS} AS bar_ts, arg_min(last_price, seq) AS open, max(last_price) AS high, min(last_price) AS low,
            arg_max(last_price, seq) AS close, sum(last_quantity)::BIGINT AS volume, sum(last_price * last_quantity) / sum(last_quantity) AS vwap,
            sum(CASE WHEN direction = 1 THEN last_quantity ELSE 0 END)::BIGINT AS buy_volume,
-           sum(CASE WHEN direction = -1 THEN last_quantity ELSE 0 END)::BIGINT AS sell_volume, count(*) AS tick_count
+           sum(CASE WHEN direction = -1 THEN last_quantity ELSE 0 END)::BIGINT AS sell_volume, count(*) AS tick_count, arg_max(open_interest, seq) AS open_interest
     FROM directed GROUP BY token, ts_ns // {BAR_NS} * {BAR_NS}
 ), bars AS (
     SELECT *, (buy_volume - sell_volume)::DOUBLE / volume AS bar_ofi FROM (SELECT *, max(bar_ts) OVER (PARTITION BY token) AS newest FROM allbars)
@@ -83,6 +83,21 @@ def six_hour_bars(spark, d, **kw):
     return B.bars(directed(spark, d), BAR_NS, **kw)
 
 
+def by_day(df):
+    """A session a day."""
+    return df.withColumn("session_id", F.floor(F.col("ts_ns") / A.DAY).cast("long"))
+
+
+def full_by_session(s, d):
+    flow = T.order_flow(T.trade_direction(by_day(A.ticks(s, d)), session=True), session=True)
+    return T.vpin_by_tick(entropied(T.kyle_lambda(flow, 2, session=True)), 40, session=True)
+
+
+def off_grid(candles):
+    """Candles with prices that aren't whole cents, so that no average lies on the edge of a rounding step."""
+    return candles.withColumns({c: F.col(c) * 0.9973 for c in ("open", "high", "low", "close")})
+
+
 KEY = ["token", "seq"]
 QUERIES = {
     "c1_trade_direction": lambda s, d: directed(s, d).select(*KEY, "direction", "direction_valid"),
@@ -105,14 +120,19 @@ QUERIES = {
     "c12_vpin_alerts": lambda s, d: T.vpin_alerts(T.vpin_by_tick(directed(s, d), SIZE), 0.25).select(
         *KEY, "price", "action", q(F.col("confidence")).alias("confidence"), "strategy_id"
     ),
+    "c14_session_vpin": lambda s, d: T.vpin(by_day(directed(s, d)), 40, session=True).select("token", "session_id", "bucket", q(F.col("vpin")).alias("vpin")),
+    "c14_session_kyle": lambda s, d: T.kyle_lambda(by_day(flowed(s, d)), 2, session=True).select(*KEY, q(F.col("kyle_lambda")).alias("kyle_lambda"), "kyle_valid"),
+    "c14_session_snapshot": lambda s, d: T.snapshot(full_by_session(s, d), session=True).select(
+        *KEY, "snap_direction", *[q(F.col(c)).alias(c) for c in ("snap_ofi", "snap_vpin", "snap_kyle", "snap_entropy")]
+    ),
     "d1_bars": lambda s, d: six_hour_bars(s, d).select(
         "token", "bar_ts", "open", "high", "low", "close", "volume", q(F.col("vwap")).alias("vwap"), "buy_volume", "sell_volume",
-        "tick_count", q(F.col("bar_ofi")).alias("bar_ofi"),
+        "tick_count", "open_interest", q(F.col("bar_ofi")).alias("bar_ofi"),
     ),
-    "d2_ohlcv": lambda s, d: six_hour_bars(s, d).select("token", "bar_ts", "open", "high", "low", "close", "volume"),
+    "d2_ohlcv": lambda s, d: six_hour_bars(s, d).select("token", "bar_ts", "open", "high", "low", "close", "volume", "open_interest"),
     "d3_candle_ticks": lambda s, d: B.candle_ticks(A.day_candles(s, d)).select("token", "ts_ns", "leg", "last_price"),
-    "d4_backfill_ticks": lambda s, d: B.backfill_ticks(A.day_candles(s, d)).select(
-        "token", "ts_ns", "leg", "volume", (F.floor(F.col("vwap") * 100.0 + 0.3717) / 100.0).alias("vwap"),
+    "d4_backfill_ticks": lambda s, d: B.backfill_ticks(off_grid(A.day_candles(s, d))).select(
+        "token", "ts_ns", "leg", "volume", q(F.col("vwap"), 2).alias("vwap"),
         *[q(F.col(c), 4).alias(c) for c in ("last_price", "bid_price", "ask_price")],
     ),
     "d5_close_ticks": lambda s, d: B.close_ticks(
@@ -125,7 +145,21 @@ QUERIES = {
         six_hour_bars(s, d).select("token", "bar_ts"), ["token", "bar_ts"], "left_anti"
     ).select("token", "bar_ts", "tick_count"),
 }
-_FULL = f"{FLOWED}, {CLOCK}, {KYLE.replace('FROM flow', 'FROM clock')}, {ENTROPY % 'kyle'}"
+TICK_SIGNALS = f"{FLOW}, {CLOCK}, {KYLE.replace('FROM flow', 'FROM clock')}, {ENTROPY % 'kyle'}"
+_FULL = f"{BASE}, {TICK_SIGNALS}"
+SNAP = f"""snap AS (SELECT token, seq, ts_ns, (sum(direction) OVER w)::BIGINT AS snap_direction, ofi_norm AS snap_ofi,
+        coalesce(last_value(CASE WHEN bucket_closed THEN vpin END IGNORE NULLS) OVER w, 0.0::DOUBLE) AS snap_vpin,
+        coalesce(last_value(CASE WHEN kyle_valid THEN kyle_lambda END IGNORE NULLS) OVER w, 0.0::DOUBLE) AS snap_kyle, entropy_norm AS snap_entropy
+        FROM (SELECT e.*, v.vpin FROM entropy e LEFT JOIN vpin v ON v.token = e.token AND v.bucket + 1 = e.buckets_completed) {W})"""
+def _by_session(sql: str) -> str:
+    """The state's windows and joins over a session of a token in place of all of it; the last quotes stay known."""
+    sql = sql.replace("PARTITION BY token", "PARTITION BY token, session_id").replace("GROUP BY token", "GROUP BY token, session_id")
+    return sql.replace("SELECT token, ", "SELECT token, session_id, ").replace("v.token = e.token", "v.token = e.token AND v.session_id = e.session_id").replace(str(SIZE), "40")
+
+
+_DAILY = f"""{BASE}, {FLOW.replace('flow AS', 'flow1 AS')}, flow AS (SELECT *, ts_ns // {A.DAY} AS session_id FROM flow1),
+    {_by_session(CLOCK)}, {_by_session(KYLE.replace('FROM flow', 'FROM clock')).replace('count(dp) OVER v = 20', 'count(dp) OVER v = 2').replace('ROWS 19', 'ROWS 1')}, {ENTROPY % 'kyle'}"""
+_DAILY_SNAP = _by_session(SNAP)
 ORACLES = {
     "c1_trade_direction": f"{BASE} SELECT token, seq, direction, direction_valid FROM directed",
     "c2_cumulative_direction": f"{BASE} SELECT token, seq, (sum(direction) OVER w)::BIGINT AS cum_direction FROM directed {W}",
@@ -136,25 +170,25 @@ ORACLES = {
     "c7_volume_clock": f"{FLOWED}, {CLOCK} SELECT token, seq, buckets_completed, bucket_closed FROM clock",
     "c8_kyle_lambda": f"{FLOWED}, {KYLE} SELECT token, seq, {Q('kyle_lambda')} AS kyle_lambda, kyle_valid FROM kyle",
     "c9_depth_entropy": f"WITH {A.TICKS}, {ENTROPY % 'ticks'} SELECT token, seq, {Q('entropy')} AS entropy, {Q('entropy_norm')} AS entropy_norm FROM entropy",
-    "c10_tick_snapshot": f"""{_FULL} SELECT token, seq, (sum(direction) OVER w)::BIGINT AS snap_direction, {Q('ofi_norm')} AS snap_ofi,
-        {Q('coalesce(last_value(CASE WHEN bucket_closed THEN vpin END IGNORE NULLS) OVER w, 0.0::DOUBLE)')} AS snap_vpin,
-        {Q('coalesce(last_value(CASE WHEN kyle_valid THEN kyle_lambda END IGNORE NULLS) OVER w, 0.0::DOUBLE)')} AS snap_kyle,
-        {Q('entropy_norm')} AS snap_entropy
-        FROM (SELECT e.*, v.vpin FROM entropy e LEFT JOIN vpin v ON v.token = e.token AND v.bucket + 1 = e.buckets_completed) {W}""",
+    "c10_tick_snapshot": f"{_FULL}, {SNAP} SELECT token, seq, snap_direction, {', '.join(f'{Q(c)} AS {c}' for c in ('snap_ofi', 'snap_vpin', 'snap_kyle', 'snap_entropy'))} FROM snap",
     "c11_ofi_signals": f"""{FLOWED} SELECT token, seq, last_price AS price, sign(ofi)::INT AS action, {Q('abs(ofi_norm)')} AS confidence,
         1 AS strategy_id FROM flow WHERE ofi_valid AND abs(ofi) >= 300""",
     "c12_vpin_alerts": f"""{FLOWED}, {CLOCK} SELECT c.token, c.seq, last_price AS price, 0 AS action, {Q('vpin')} AS confidence, 2 AS strategy_id
         FROM clock c JOIN vpin v ON v.token = c.token AND v.bucket + 1 = c.buckets_completed WHERE bucket_closed AND vpin >= 0.25""",
+    "c14_session_vpin": f"{_DAILY} SELECT token, session_id, bucket, {Q('vpin')} AS vpin FROM vpin",
+    "c14_session_kyle": f"{_DAILY} SELECT token, seq, {Q('kyle_lambda')} AS kyle_lambda, kyle_valid FROM kyle",
+    "c14_session_snapshot": f"{_DAILY}, {_DAILY_SNAP} SELECT token, seq, snap_direction, {', '.join(f'{Q(c)} AS {c}' for c in ('snap_ofi', 'snap_vpin', 'snap_kyle', 'snap_entropy'))} FROM snap",
     "d1_bars": f"""{BASE}, {BARS} SELECT token, bar_ts, open, high, low, close, volume, {Q('vwap')} AS vwap, buy_volume, sell_volume,
-        tick_count, {Q('bar_ofi')} AS bar_ofi FROM bars""",
-    "d2_ohlcv": f"{BASE}, {BARS} SELECT token, bar_ts, open, high, low, close, volume FROM bars",
+        tick_count, open_interest, {Q('bar_ofi')} AS bar_ofi FROM bars""",
+    "d2_ohlcv": f"{BASE}, {BARS} SELECT token, bar_ts, open, high, low, close, volume, open_interest FROM bars",
     "d3_candle_ticks": f"""WITH {A.DAY_CANDLES} SELECT token, ts_ns + 59999000000 AS ts_ns, leg, p AS last_price FROM
         (SELECT *, unnest([open, high, low, close]) AS p, unnest([0, 1, 2, 3]) AS leg FROM candles)""",
     "d4_backfill_ticks": f"""WITH {A.DAY_CANDLES} SELECT token, ts_ns + 59999000000 AS ts_ns, leg, volume // 4 AS volume,
         floor(p * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS last_price, floor(p * 0.9999::DOUBLE * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS bid_price,
-        floor(p * 1.0001::DOUBLE * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS ask_price, floor(vw * 100.0::DOUBLE + 0.3717::DOUBLE) / 100.0::DOUBLE AS vwap
+        floor(p * 1.0001::DOUBLE * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS ask_price, floor(vw * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS vwap
         FROM (SELECT *, unnest([open, high, low, close]) AS p, unnest([0, 1, 2, 3]) AS leg FROM
-            (SELECT *, sum(close * volume) OVER w / sum(volume) OVER w AS vw FROM candles {W}))""",
+            (SELECT *, sum(close * volume) OVER w / sum(volume) OVER w AS vw FROM
+                (SELECT * REPLACE (open * 0.9973::DOUBLE AS open, high * 0.9973::DOUBLE AS high, low * 0.9973::DOUBLE AS low, close * 0.9973::DOUBLE AS close) FROM candles) {W}))""",
     "d5_close_ticks": f"""WITH {A.DAY_CANDLES} SELECT symbol, token, ts_ns, volume, floor(close * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS last_price,
         floor((close - sp) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS bid_price, floor((close + sp) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS ask_price,
         floor((open + high + low + close) / 4 * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS vwap

@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 from tickloom.functions.numeric import quantised as q
 from tickloom.operators import backtest as K
 from tickloom.operators import charges as C
-from tickloom.operators import derived as D
-from tickloom.operators import folds
 from tickloom.operators import portfolio as P
 from tickloom.operators import strategy as S
 from tickloom.operators import ticks as T
 from tickloom.plans import bar_queries as BQ
 from tickloom.plans.bar_queries import P as R
-from tickloom.plans.tick_queries import BAR_NS, FLOWED, SIZE, flowed, six_hour_bars
+from tickloom.plans.tick_queries import BAR_NS, FLOWED, flowed, six_hour_bars
 from tickloom.sources import adapters as A
 
+LOSS, VISIBLE_NS = S.LOSS_LIMIT, 1_705_500_000_000_000_000
 SYMBOLS = [
     "RELIANCE", "NIFTY24JAN22000CE", "NIFTY24JANFUT", "BANKNIFTY24JAN47000PE", "TCS24JANFUT", "INFY24JAN1500CE", "SENSEX24JANFUT", "FINNIFTY24JANFUT",
 ]
@@ -31,12 +30,14 @@ def simulated(s, d):
 
 
 def filled(s, d):
-    """Fills from the event table: each tick trades its quantity, by the parity of its id."""
+    """Fills from the event table: each tick trades its quantity, by the parity of its id; segment and lot go by the token."""
+    segment = (F.col("token") % 9 + 1).cast("int")
     orders = A.ticks(s, d).select(
         "token", "ts_ns", "seq", F.when(F.col("seq") % 3 == 0, -1).otherwise(1).alias("side"), F.col("last_quantity").alias("units"),
-        F.col("last_quantity").cast("double").alias("quantity"), F.col("last_price").alias("price"), F.lit(1).alias("segment"),
+        F.col("last_quantity").cast("double").alias("quantity"), F.col("last_price").alias("price"), segment.alias("segment"),
+        F.when(segment <= 2, 1.0).otherwise(25.0).alias("lot"),
     )
-    return C.simulate(orders)
+    return C.simulate(orders, F.col("lot")).withColumn("price", F.col("fill"))
 
 
 def bar_ticks(s, d):
@@ -46,25 +47,42 @@ def bar_ticks(s, d):
     )
 
 
-def rule_signals(s, d):
-    from tickloom.operators import bar_signals
-
-    rows = bar_signals.bollinger(BQ.bars(s, d)).select("token", "ts_ns", "close", "pct_b", "bb_valid")
-    return folds.run(rows, [folds.Rsi(), folds.Macd()], ["token", "ts_ns", "pct_b", "bb_valid"], ["ts_ns"])
-
-
-def composite_run(s, d):
+def composite_run(s, d, broken=False):
+    """With ``broken``, the signals of some tokens lack their score."""
     held = BQ.scored(s, d).select("token", "ts_ns", "score", "kelly_half", "norm_valid")
+    if broken:
+        held = held.withColumn("score", F.when(F.col("token") % 97 != 0, F.col("score")))
     return K.simulate(K.with_signals(bar_ticks(s, d), held, BAR_NS), K.CompositeStrategy)
 
 
 def rule_run(s, d):
-    return K.simulate(K.with_signals(bar_ticks(s, d), rule_signals(s, d), BAR_NS), K.RuleStrategy)
+    """Ticks with made-up signals, so that every rule comes up."""
+    n = F.col("seq")
+    marked = A.ticks(s, d).select(
+        "token", "ts_ns", "seq", "last_price", (n % 7 * 50).alias("volume"), (n * 37 % 100).cast("double").alias("rsi"), (n % 13 > 0).alias("rsi_valid"),
+        (F.when(n % 3 == 0, 1.0).otherwise(-0.1)).alias("macd_hist"), (n % 17 > 0).alias("macd_valid"), (n * 13 % 100 / 100).alias("pct_b"), (n % 5 > 0).alias("bb_valid"),
+    )
+    return K.simulate(marked, K.RuleStrategy)
+
+
+def run_trades(events):
+    return money(events.where("kind = 'trade'"), ["token", "ts_ns", "entry_ts", "qty"], ["entry_price", "exit_price", "gross_pnl", "commission", "net_pnl"], 3)
+
+
+def by_token(s, d):
+    events = composite_run(s, d, broken=True)
+    stats = K.trade_statistics(events.where("kind = 'trade'"), bar_ticks(s, d)).select("token", "trades", q(F.col("net"), 2).alias("net"))
+    return K.run_status(events, bar_ticks(s, d)).drop("note").join(stats, "token")
+
+
+def shuffled(s, d):
+    """Ticks whose sequence has each two neighbours changed over."""
+    return A.ticks(s, d).withColumn("seq", F.col("seq").bitwiseXOR(F.lit(1)))
 
 
 def trades(s, d):
-    """Round trips from the event table: every tick is one, its result a residue of its price."""
-    gross = F.col("last_price") - 45.0
+    """Round trips from the event table: every tick is one, its result a residue of its price; some end at zero."""
+    gross = F.when(F.col("seq") % 10 == 0, 2.0).otherwise(F.col("last_price") - 45.0)
     return A.ticks(s, d).select("token", gross.alias("gross_pnl"), F.lit(2.0).alias("commission"), (gross - 2.0).alias("net_pnl"))
 
 
@@ -81,11 +99,11 @@ def money(df, keys, names, places=2):
     return df.select(*keys, *[q(F.col(c), places).alias(c) for c in names])
 
 
-STATS = ["gross", "net", "won", "lost", "largest_win", "largest_loss", "win_rate", "average_win", "average_loss", "profit_factor", "expectancy"]
+STATS = ["gross", "net", "won", "lost", "largest_win", "largest_loss", "win_rate", "average_win", "average_loss", "profit_factor", "average_trade", "expectancy"]
 QUERIES = {
     "h1_target": lambda s, d: signals(s, d).select("token", "seq", S.target(F.col("action"), F.col("confidence")).alias("desired")),
     "h2_hysteresis": lambda s, d: S.intents(signals(s, d)).select("token", "seq", "before", "after", "qty", "side"),
-    "h3_risk_gate": lambda s, d: S.intents(signals(s, d), loss_limit=S.LOSS_LIMIT, hours=True).select("token", "seq", "before", "after", "reason"),
+    "h3_risk_gate": lambda s, d: S.intents(signals(s, d), loss_limit=LOSS, hours=True).select("token", "seq", "before", "after", "reason"),
     "h3_market_hours": lambda s, d: A.ticks(s, d).select("token", "seq", S.market_open(F.col("ts_ns")).alias("open")),
     "h4_reason": lambda s, d: A.ticks(s, d).select(
         "token", "seq", S.reason(F.col("seq") % 7 - 3, F.col("seq") % 5 - 2).alias("reason")
@@ -108,12 +126,18 @@ QUERIES = {
         q(F.sum(C.margin(F.col("quantity") * F.col("price"), F.col("side"), F.col("segment"))), 1).alias("margin")
     ),
     "h13_positions": lambda s, d: money(P.positions(filled(s, d)), ["token", "seq", "quantity"], ["avg_cost", "realized", "fees"]),
-    "h14_funds_check": lambda s, d: P.cash_ledger(filled(s, d)).select("token", "seq", "insufficient_funds"),
+    "h14_funds_check": lambda s, d: P.cash_ledger(filled(s, d)).select("token", "seq", "insufficient_funds", q(F.col("needed"), 2).alias("needed")),
     "h15_cash_ledger": lambda s, d: money(P.cash_ledger(filled(s, d)), ["token", "seq"], ["cash"]),
-    "h16_snapshot": lambda s, d: P.snapshot(P.positions(filled(s, d)), filled(s, d), P.last_prices(A.ticks(s, d))),
+    "h16_snapshot": lambda s, d: money(
+        P.snapshot(P.positions(filled(s, d)), filled(s, d), P.last_prices(A.ticks(s, d))), ["open_positions", "total_trades"],
+        ["holdings", "unrealized", "realized", "fees", "cash", "equity", "margin_used"], 1,
+    ),
     "h17_last_prices": lambda s, d: P.last_prices(A.ticks(s, d)),
-    "h18_square_off": lambda s, d: P.square_off(
-        P.positions(filled(s, d)), P.last_prices(A.ticks(s, d)), A.ticks(s, d).where("token % 2 = 0")
+    "h18_square_off": lambda s, d: money(
+        P.square_off(P.positions(filled(s, d)), P.last_prices(A.ticks(s, d))), ["token", "quantity"], ["realized", "cash_change"]
+    ),
+    "h18_square_off_pnl_only": lambda s, d: money(
+        P.square_off(P.positions(filled(s, d)), P.last_prices(A.ticks(s, d)), pnl_only=True), ["token", "quantity"], ["realized", "cash_change"]
     ),
     "h19_signal_join": lambda s, d: K.with_signals(
         A.ticks(s, d), BQ.returns(s, d).select("token", "ts_ns", "log_return"), BAR_NS
@@ -121,30 +145,34 @@ QUERIES = {
     "h19_asof_join": lambda s, d: K.asof_join(
         A.ticks(s, d).select("token", "ts_ns", "seq"), BQ.bars(s, d).select("token", "ts_ns", "close"), ["close"]
     ).select("token", "seq", "close"),
-    "h20_clock": lambda s, d: K.disorder(A.ticks(s, d)).select("token", "seq", "back_ns"),
-    "h21_rule_strategy": lambda s, d: rule_run(s, d).where("kind = 'trade'"),
-    "h22_composite_strategy": lambda s, d: composite_run(s, d).where("kind = 'trade'"),
+    "h20_clock": lambda s, d: K.disorder(shuffled(s, d)).select("token", "seq", "back_ns"),
+    "h20_visible": lambda s, d: K.in_time(A.ticks(s, d)).select("token", "seq", K.visible(F.col("ts_ns"), VISIBLE_NS).alias("visible")),
+    "h21_rule_strategy": lambda s, d: run_trades(rule_run(s, d)),
+    "h22_composite_strategy": lambda s, d: run_trades(composite_run(s, d)),
     "h23_cost_model": lambda s, d: A.ticks(s, d).select(
         "token", "seq", q(K.execution_price(F.col("last_price"), F.lit(1))).alias("buy"), q(K.execution_price(F.col("last_price"), F.lit(-1))).alias("sell")
     ),
-    "h26_equity_curve": lambda s, d: composite_run(s, d).where("kind = 'equity'").select("token", "ts_ns", "equity"),
+    "h26_equity_curve": lambda s, d: money(composite_run(s, d).where("kind = 'equity'"), ["token", "ts_ns"], ["equity"], 3),
     "h27_trade_statistics": lambda s, d: K.trade_statistics(trades(s, d)).select(
         "token", "trades", "wins", "losses", *[q(F.col(c), 3).alias(c) for c in STATS]
     ),
     "h28_max_drawdown": lambda s, d: money(K.max_drawdown(equity(s, d)), ["token"], ["max_drawdown", "max_drawdown_pct"], 3),
-    "h29_risk_ratios": lambda s, d: K.risk_ratios(equity(s, d)),
-    "h30_full_charge_backtest": lambda s, d: P.full_charge_trades(S.intents(signals(s, d))),
+    "h29_risk_ratios": lambda s, d: money(K.risk_ratios(equity(s, d)), ["token"], ["sharpe", "sortino"], 5),
+    "h30_full_charge_backtest": lambda s, d: money(
+        P.full_charge_trades(S.intents(signals(s, d))), ["token", "ts_ns", "seq", "side", "units", "reason", "quantity"], ["price", "total_charges", "pnl"]
+    ),
+    "h30_full_charge_equity": lambda s, d: money(P.full_charge_equity(S.intents(signals(s, d)), A.ticks(s, d), every=5), ["token", "ts_ns"], ["equity"]),
     "h31_total_return": lambda s, d: equity(s, d).groupBy("token").agg(
         q(K.total_return(F.max_by("equity", "seq"), F.lit(100_000.0)), 3).alias("return_pct")
     ),
-    "h32_backtest_by_token": lambda s, d: K.trade_statistics(composite_run(s, d).where("kind = 'trade'"), bar_ticks(s, d)).select("token", "trades", "net"),
+    "h32_backtest_by_token": by_token,
 }
 
-SIG = f"{FLOWED}, sig AS (SELECT *, sign(ofi)::INT AS action, abs(ofi_norm) AS confidence FROM flow WHERE ofi_valid AND abs(ofi) >= 300)"
 _case = lambda table, other: "CASE segment " + " ".join(f"WHEN {k} THEN {v}::DOUBLE" for k, v in table.items()) + f" ELSE {other}::DOUBLE END"
+_margin = lambda i: _case({k: v[i] for k, v in C.MARGIN.items()}, 0.20)
 _rates = ", ".join("(" + ", ".join(str(x).lower() if isinstance(x, bool) else f"{x!r}::DOUBLE" if isinstance(x, float) else str(x) for x in r) + ")" for r in C.SCHEDULE)
 SCHED = f"sched AS (SELECT * FROM (VALUES {_rates}) t(segment, flat, pct, lower, stt_buy, stt_sell, exchange, sebi, gst, stamp, dp))"
-_CHARGED = f"""f1 AS (SELECT *, price * (1 + side * {_case(C.SLIPPAGE, 0.0001)}) AS fill FROM %s), f2 AS (SELECT *, quantity * fill AS turnover FROM f1),
+_CHARGED = f"""f1 AS (SELECT *, price * (1 + side * {_case(C.SLIPPAGE, 0.0001)}) AS fill FROM %s), f2 AS (SELECT *, quantity * lot * fill AS turnover FROM f1),
     f3 AS (SELECT f2.*, sched.* EXCLUDE (segment), CASE WHEN lower THEN least(flat, pct * turnover) ELSE flat END AS brokerage,
         CASE WHEN side > 0 THEN stt_buy ELSE stt_sell END * turnover AS stt, exchange * turnover AS exchange_fee, sebi * turnover AS sebi_fee,
         CASE WHEN side > 0 THEN least(1500.0::DOUBLE, stamp * turnover) ELSE 0.0::DOUBLE END AS stamp_fee, CASE WHEN side > 0 THEN 0.0::DOUBLE ELSE dp END AS dp_fee
@@ -152,28 +180,87 @@ _CHARGED = f"""f1 AS (SELECT *, price * (1 + side * {_case(C.SLIPPAGE, 0.0001)})
     f4 AS (SELECT *, gst * (brokerage + exchange_fee + sebi_fee) AS gst_fee FROM f3),
     f5 AS (SELECT *, brokerage + stt + exchange_fee + sebi_fee + gst_fee + stamp_fee + dp_fee AS total_charges FROM f4),
     sim AS (SELECT *, CASE WHEN side > 0 THEN turnover + total_charges ELSE -(turnover - total_charges) END AS net_amount FROM f5)"""
-SIM = f"WITH {A.ORDERS_TO_FILL}, {SCHED}, {_CHARGED % 'fills'}"
-EVENT_FILLS = f"""WITH {A.TICKS}, ef AS (SELECT token, ts_ns, seq, CASE WHEN seq % 3 = 0 THEN -1 ELSE 1 END AS side, last_quantity AS units,
-    last_quantity::DOUBLE AS quantity, last_price AS price, 1 AS segment FROM ticks), {SCHED}, {_CHARGED % 'ef'}"""
-POSITIONS = f"""WITH RECURSIVE {EVENT_FILLS[5:]}, o AS MATERIALIZED (SELECT token, seq, side * units AS n, units AS size, price, total_charges AS fee,
+SIM = f"WITH {A.ORDERS_TO_FILL}, {SCHED}, {_CHARGED % '(SELECT *, 1.0::DOUBLE AS lot FROM fills)'}"
+EVENT_FILLS = f"""WITH {A.TICKS}, ef AS (SELECT token, ts_ns, seq, CASE WHEN seq % 3 = 0 THEN -1 ELSE 1 END AS side, last_quantity AS units, last_quantity::DOUBLE AS quantity,
+    last_price AS price, (token % 9 + 1)::INT AS segment, CASE WHEN token % 9 < 2 THEN 1.0::DOUBLE ELSE 25.0::DOUBLE END AS lot FROM ticks), {SCHED}, {_CHARGED % 'ef'}"""
+_POSITIONS = """o AS MATERIALIZED (SELECT token, ts_ns, seq, side * units AS n, units AS size, fill AS price, total_charges AS fee, lot, segment,
         row_number() OVER (PARTITION BY token ORDER BY ts_ns, seq) AS k FROM sim),
     ps AS (SELECT DISTINCT token, 0::BIGINT AS k, 0::BIGINT AS seq, 0::BIGINT AS held, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS won, 0.0::DOUBLE AS paid FROM o
-        UNION ALL SELECT o.token, o.k, o.seq, held + n, CASE WHEN held + n = 0 THEN 0.0::DOUBLE WHEN held * n >= 0 THEN (cost * abs(held) + (price + fee / size) * size) / (abs(held) + size)
-                WHEN (held + n) * held < 0 THEN price + fee / size ELSE cost END,
-            CASE WHEN held * n < 0 THEN won + (least(size, abs(held)) * (price - cost) * sign(held) - fee) ELSE won END, paid + fee
+        UNION ALL SELECT o.token, o.k, o.seq, held + n, CASE WHEN held + n = 0 THEN 0.0::DOUBLE WHEN held * n >= 0 THEN (cost * abs(held) + (price + fee / size / lot) * size) / (abs(held) + size)
+                WHEN (held + n) * held < 0 THEN price + fee / size / lot ELSE cost END,
+            CASE WHEN held * n < 0 THEN won + (least(size, abs(held)) * (price - cost) * lot * sign(held) - fee) ELSE won END, paid + fee
         FROM ps JOIN o ON o.token = ps.token AND o.k = ps.k + 1)"""
-TRADES = f"WITH {A.TICKS}, tr AS (SELECT token, last_price - 45.0::DOUBLE AS gross_pnl, last_price - 45.0::DOUBLE - 2.0::DOUBLE AS net_pnl FROM ticks)"
+POSITIONS = f"WITH RECURSIVE {EVENT_FILLS[5:]}, {_POSITIONS}"
+LATEST = f"""{POSITIONS}, lp AS (SELECT token, arg_max(last_price, seq) AS last_price FROM ticks WHERE last_price > 0 GROUP BY token),
+    la AS (SELECT ps.*, lot, segment, coalesce(last_price, cost) AS mark FROM (SELECT * FROM ps WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY token ORDER BY k DESC) = 1) ps
+        JOIN o USING (token, k) LEFT JOIN lp USING (token))"""
+_square = lambda cash: f"""{LATEST} SELECT token, CASE WHEN c THEN 0 ELSE held END AS quantity, {R('won + CASE WHEN c THEN held * lot * (mark - cost) ELSE 0.0::DOUBLE END', 2)} AS realized,
+        {R(f'CASE WHEN c THEN {cash} ELSE 0.0::DOUBLE END', 2)} AS cash_change FROM (SELECT *, segment = 1 AND held <> 0 AS c FROM la)"""
+SIG = f"{FLOWED}, sig AS (SELECT *, sign(ofi)::INT AS action, abs(ofi_norm) AS confidence FROM flow WHERE ofi_valid AND abs(ofi) >= 300)"
+_books = lambda only: f"""so AS MATERIALIZED (SELECT token, ts_ns, seq, (action * least(floor(100 * confidence + 0.5::DOUBLE), 100))::BIGINT AS desired, confidence, last_price AS price,
+        row_number() OVER (PARTITION BY token ORDER BY ts_ns, seq) AS n FROM sig WHERE action <> 0 {only}),
+    bk AS (SELECT DISTINCT token, 0::BIGINT AS n, 0::BIGINT AS ts_ns, 0::BIGINT AS seq, 0::BIGINT AS before, 0::BIGINT AS q, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS realized, 0.0::DOUBLE AS gain, 0.0::DOUBLE AS price,
+            false AS traded FROM so
+        UNION ALL SELECT token, n, ts_ns, seq, q0, CASE WHEN t THEN desired ELSE q0 END, CASE WHEN NOT t THEN e0 WHEN q0 * d >= 0 THEN CASE WHEN q0 <> 0 THEN (e0 * abs(q0) + price * abs(d)) / abs(desired) ELSE price END
+                WHEN desired * q0 < 0 THEN price ELSE e0 END, r0 + g, g, price, t
+            FROM (SELECT *, CASE WHEN NOT t THEN 0.0::DOUBLE ELSE -(0.1::DOUBLE * abs(d) + least(20.0::DOUBLE, price * abs(d) * 0.0003::DOUBLE) * 1.18::DOUBLE + CASE WHEN d < 0 THEN price * abs(d) * 0.00025::DOUBLE ELSE 0.0::DOUBLE END)
+                    + CASE WHEN q0 * d < 0 THEN least(abs(d), abs(q0)) * (price - e0) * sign(q0) ELSE 0.0::DOUBLE END END AS g
+                FROM (SELECT s.*, b.q AS q0, b.entry AS e0, b.realized AS r0, s.desired - b.q AS d, s.desired <> b.q AND (abs(s.desired - b.q) >= 10
+                        OR abs(s.confidence - abs(b.q) / 100.0::DOUBLE) >= 0.05::DOUBLE OR b.q * s.desired < 0) AS t
+                    FROM bk b JOIN so s ON s.token = b.token AND s.n = b.n + 1)))"""
+BOOKS = f"WITH RECURSIVE {SIG[5:]}, {_books('')}"
+_REASON = """CASE WHEN before = 0 THEN 1 WHEN q = 0 THEN 2 WHEN (before > 0) <> (q > 0) THEN 5 WHEN abs(q) > abs(before) THEN 3 ELSE 4 END"""
+FULL = f"""{BOOKS}, bo AS (SELECT token, ts_ns, seq, sign(q - before)::INT AS side, abs(q - before) AS units, abs(q - before)::DOUBLE AS quantity, price, 1 AS segment, 1.0::DOUBLE AS lot, {_REASON} AS reason
+    FROM bk WHERE traded), {SCHED}, {_CHARGED % 'bo'}"""
+_BUY, _SELL = (f"last_price * {1 + w * 0.0002!r}::DOUBLE * (1 {'+' if w > 0 else '-'} ({(K.Config().exchange + K.Config().sebi) * (1 + K.Config().gst)!r}::DOUBLE{'' if w > 0 else ' + 0.00025::DOUBLE'}))" for w in (1, -1))
+_fee = lambda p, n: f"least(20.0::DOUBLE, {p} * {n} * 0.0003::DOUBLE) * 1.18::DOUBLE"
+_TRADE_COLUMNS = f"""token, ts_ns, entry_ts, qty, {R('entry_price', 3)} AS entry_price, {R('exit_price', 3)} AS exit_price, {R('qty * (exit_price - entry_price)', 3)} AS gross_pnl,
+    {R(f"{_fee('entry_price', 'qty')} + {_fee('exit_price', 'qty')}", 3)} AS commission, {R(f"qty * (exit_price - entry_price) - ({_fee('entry_price', 'qty')} + {_fee('exit_price', 'qty')})", 3)} AS net_pnl"""
+_account = lambda rows, wanted: f"""ct AS MATERIALIZED ({rows}),
+    ac AS (SELECT DISTINCT token, 0::BIGINT AS n, 0::BIGINT AS ts_ns, 0.0::DOUBLE AS last_price, 0::BIGINT AS total, 0::BIGINT AS sq, 0.0::DOUBLE AS sl, 0::BIGINT AS aq, 0.0::DOUBLE AS ap, 0::BIGINT AS opened, 1000000.0::DOUBLE AS eq,
+            0::BIGINT AS cq, 0.0::DOUBLE AS cp, 0::BIGINT AS ct, 0.0::DOUBLE AS xp FROM ct
+        UNION ALL SELECT token, n, ts_ns, last_price, total, CASE WHEN act THEN wanted ELSE sq END, CASE WHEN act THEN kelly_half ELSE sl END,
+            CASE WHEN act AND aq = 0 AND d > 0 THEN abs(d) WHEN act AND aq > 0 AND d < 0 THEN 0 ELSE aq END, CASE WHEN act AND aq = 0 AND d > 0 THEN {_BUY} ELSE ap END,
+            CASE WHEN act AND aq = 0 AND d > 0 THEN ts_ns ELSE opened END,
+            CASE WHEN act AND aq > 0 AND d < 0 THEN eq + (aq * ({_SELL} - ap) - ({_fee('ap', 'aq')} + {_fee(f'({_SELL})', 'aq')})) ELSE eq END,
+            CASE WHEN act AND aq > 0 AND d < 0 THEN aq ELSE 0 END, ap, opened, {_SELL}
+            FROM (SELECT *, wanted - sq AS d, ok AND wanted <> sq AND (sq * wanted < 0 OR abs(wanted - sq) >= 10 OR abs(kelly_half - sl) >= 0.05::DOUBLE) AS act
+                FROM (SELECT c.*, a.sq, a.sl, a.aq, a.ap, a.opened, a.eq, {wanted} AS wanted FROM ac a JOIN ct c ON c.token = a.token AND c.n = a.n + 1))),
+    trd AS (SELECT token, n, ts_ns, ct AS entry_ts, cq AS qty, cp AS entry_price, xp AS exit_price, eq FROM ac WHERE cq > 0
+        UNION ALL SELECT token, n + 1, ts_ns, opened, aq, ap, {_SELL}, eq + (aq * ({_SELL} - ap) - ({_fee('ap', 'aq')} + {_fee(f'({_SELL})', 'aq')})) FROM ac WHERE n = total AND aq > 0)"""
+COMPOSITE = f"""WITH RECURSIVE {BQ.SCORED[5:]}, {_account(
+    "SELECT b.token, b.bar_ts + 1000 AS ts_ns, b.close AS last_price, score, kelly_half, coalesce(norm_valid, false) AS ok, row_number() OVER (PARTITION BY b.token ORDER BY b.bar_ts) AS n, "
+    "count(*) OVER (PARTITION BY b.token) AS total FROM bars b LEFT JOIN k ON k.token = b.token AND k.ts_ns = b.bar_ts",
+    "(CASE WHEN score > 0 THEN 1 ELSE -1 END * floor(100 * kelly_half + 0.5::DOUBLE))::BIGINT")}"""
+RULE = f"""WITH RECURSIVE {A.TICKS}, rt AS MATERIALIZED (SELECT token, ts_ns, seq, last_price, seq % 7 * 50 AS volume, (seq * 37 % 100)::DOUBLE AS rsi, seq % 13 > 0 AS rsi_ok, CASE WHEN seq % 3 = 0 THEN 1.0::DOUBLE ELSE -0.1::DOUBLE END AS hist,
+        seq % 17 > 0 AS macd_ok, (seq * 13 % 100) / 100.0::DOUBLE AS pct_b, seq % 5 > 0 AS bb_ok, row_number() OVER (PARTITION BY token ORDER BY ts_ns, seq) AS n, count(*) OVER (PARTITION BY token) AS total FROM ticks),
+    ru AS (SELECT DISTINCT token, 0::BIGINT AS n, 0::BIGINT AS ts_ns, 0.0::DOUBLE AS last_price, 0::BIGINT AS total, 0.0::DOUBLE AS entry, 0 AS held, 0::BIGINT AS units, 0 AS rest, 0.0::DOUBLE AS ap, 0::BIGINT AS opened, false AS closed, 0::BIGINT AS was_opened, 0.0::DOUBLE AS was FROM rt
+        UNION ALL SELECT token, n, ts_ns, last_price, total, CASE WHEN enters THEN last_price WHEN out > 0 THEN 0.0::DOUBLE ELSE entry END, CASE WHEN enters THEN 0 WHEN entry > 0 THEN held + 1 ELSE held END,
+            CASE WHEN enters THEN greatest(1, floor(100000 / last_price)::BIGINT) ELSE units END, CASE WHEN out > 0 THEN out WHEN entry = 0 AND rest > 0 THEN rest - 1 ELSE rest END,
+            CASE WHEN enters THEN {_BUY} ELSE ap END, CASE WHEN enters THEN ts_ns ELSE opened END, out > 0, opened, ap
+            FROM (SELECT *, entry = 0 AND rest = 0 AND last_price > 0 AND rsi_ok AND macd_ok AND volume > 100 AND (rsi < 25 AND hist > 0 AND (NOT bb_ok OR pct_b < 0.15::DOUBLE)
+                        OR bb_ok AND pct_b < 0.02::DOUBLE AND rsi < 40 AND hist > -0.2::DOUBLE) AS enters,
+                    CASE WHEN entry = 0 OR last_price <= 0 THEN 0 WHEN last_price < entry * 0.985::DOUBLE THEN 30
+                        WHEN held + 1 >= 30 AND rsi_ok AND (rsi > 75 OR bb_ok AND pct_b > 0.95::DOUBLE) OR held + 1 >= 120 THEN 20 ELSE 0 END AS out
+                FROM (SELECT t.*, r.entry, r.held, r.units, r.rest, r.ap, r.opened FROM ru r JOIN rt t ON t.token = r.token AND t.n = r.n + 1))),
+    trd AS (SELECT token, ts_ns, was_opened AS entry_ts, units AS qty, was AS entry_price, {_SELL} AS exit_price FROM ru WHERE closed
+        UNION ALL SELECT token, ts_ns, opened, units, ap, {_SELL} FROM ru WHERE n = total AND entry > 0)"""
+TRADES = f"WITH {A.TICKS}, tr AS (SELECT *, gross_pnl - 2.0::DOUBLE AS net_pnl FROM (SELECT token, CASE WHEN seq % 10 = 0 THEN 2.0::DOUBLE ELSE last_price - 45.0::DOUBLE END AS gross_pnl FROM ticks))"
 EQUITY = f"WITH {A.TICKS}, eq AS (SELECT token, ts_ns, seq, sum(last_price - 250.0::DOUBLE) OVER (PARTITION BY token ORDER BY ts_ns, seq) + 100000.0::DOUBLE AS equity FROM ticks)"
-_margin = lambda i: _case({k: v[i] for k, v in C.MARGIN.items()}, 0.20)
 _rate = (K.Config().exchange + K.Config().sebi) * (1 + K.Config().gst)
 _syms = ", ".join(f"({i % 5}, {100 - i}, '{x}')" for i, x in enumerate(SYMBOLS))
 _SEG = """CASE WHEN (symbol LIKE '%CE' OR symbol LIKE '%PE') AND (symbol LIKE '%NIFTY%' OR symbol LIKE '%SENSEX%') THEN 5 WHEN symbol LIKE '%CE' OR symbol LIKE '%PE' THEN 6
     WHEN symbol LIKE '%FUT%' AND (symbol LIKE '%NIFTY%' OR symbol LIKE '%SENSEX%') THEN 3 WHEN symbol LIKE '%FUT%' THEN 4 ELSE 1 END"""
 ORACLES = {
     "h1_target": f"{SIG} SELECT token, seq, (action * least(floor(100 * confidence + 0.5::DOUBLE), 100))::BIGINT AS desired FROM sig",
+    "h2_hysteresis": f"{BOOKS} SELECT token, seq, before, q AS after, abs(q - before) AS qty, sign(q - before)::INT AS side FROM bk WHERE traded",
+    "h3_risk_gate": f"""WITH RECURSIVE {SIG[5:]}, {_books('AND (ts_ns + 19800000000000) % 86400000000000 // 60000000000 BETWEEN 555 AND 929')},
+        rg AS (SELECT *, row_number() OVER w AS nth, sum(gain) OVER w AS total FROM bk WHERE traded WINDOW w AS (ORDER BY ts_ns, token, seq))
+        SELECT token, seq, before, q AS after, {_REASON} AS reason FROM rg WHERE nth <= coalesce((SELECT min(nth) FROM rg WHERE total <= {LOSS}::DOUBLE), nth)""",
     "h3_market_hours": f"""WITH {A.TICKS} SELECT token, seq, (ts_ns + 19800000000000) % 86400000000000 // 60000000000 BETWEEN 555 AND 929 AS open FROM ticks""",
     "h4_reason": f"""WITH {A.TICKS} SELECT token, seq, CASE WHEN seq % 7 - 3 = 0 THEN 1 WHEN seq % 5 - 2 = 0 THEN 2
         WHEN sign(seq % 7 - 3) <> sign(seq % 5 - 2) THEN 5 WHEN abs(seq % 5 - 2) > abs(seq % 7 - 3) THEN 3 ELSE 4 END AS reason FROM ticks""",
+    "h5_strategy_position": f"{BOOKS} SELECT token, seq, q AS after, {R('realized', 2)} AS realized FROM bk WHERE traded",
     "h6_segment": f"SELECT symbol, {_SEG} AS segment FROM (VALUES {_syms}) t(token, ts_ns, symbol)",
     "h7_registration": f"""SELECT token, symbol, segment, CASE WHEN segment = 1 THEN 1 WHEN symbol LIKE '%BANKNIFTY%' THEN 15 WHEN symbol LIKE '%FINNIFTY%' THEN 40
         WHEN symbol LIKE '%NIFTY%' THEN 50 WHEN symbol LIKE '%SENSEX%' THEN 10 ELSE 250 END AS lot FROM
@@ -187,22 +274,51 @@ ORACLES = {
     "h12_margin": f"""WITH {A.ORDERS_TO_FILL} SELECT segment, side, {R(f'sum(quantity * price * CASE WHEN side > 0 THEN {_margin(0)} ELSE {_margin(1)} END)', 1)} AS margin
         FROM fills GROUP BY segment, side""",
     "h13_positions": f"{POSITIONS} SELECT token, seq, held AS quantity, {R('cost', 2)} AS avg_cost, {R('won', 2)} AS realized, {R('paid', 2)} AS fees FROM ps WHERE k > 0",
-    "h14_funds_check": f"{EVENT_FILLS} SELECT token, seq, 1000000.0::DOUBLE - sum(net_amount) OVER (ORDER BY ts_ns, seq) < 0 AS insufficient_funds FROM sim",
+    "h14_funds_check": f"""{EVENT_FILLS}, fc AS (SELECT *, coalesce(sum(side * units) OVER (PARTITION BY token ORDER BY ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+            1000000.0::DOUBLE - coalesce(sum(net_amount) OVER (ORDER BY ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS cash FROM sim),
+        nd AS (SELECT *, total_charges + CASE WHEN side < 0 AND held < 0 THEN 0.0::DOUBLE WHEN side > 0 AND segment = 2 THEN turnover ELSE turnover * CASE WHEN side > 0 THEN {_margin(0)} ELSE {_margin(1)} END END AS needed FROM fc)
+        SELECT token, seq, needed > cash AS insufficient_funds, {R('needed', 2)} AS needed FROM nd""",
     "h15_cash_ledger": f"{EVENT_FILLS} SELECT token, seq, {R('1000000.0::DOUBLE - sum(net_amount) OVER (ORDER BY ts_ns, seq)', 2)} AS cash FROM sim",
+    "h16_snapshot": f"""{LATEST} SELECT count(*) FILTER (held <> 0) AS open_positions, (SELECT count(*) FROM sim) AS total_trades, {R('sum(held * lot * mark)', 1)} AS holdings,
+        {R('sum(held * lot * (mark - cost))', 1)} AS unrealized, {R('sum(won)', 1)} AS realized, {R('sum(paid)', 1)} AS fees, {R('1000000.0::DOUBLE - (SELECT sum(net_amount) FROM sim)', 1)} AS cash,
+        {R('1000000.0::DOUBLE - (SELECT sum(net_amount) FROM sim) + sum(held * lot * mark)', 1)} AS equity, 0.0::DOUBLE AS margin_used FROM la""",
     "h17_last_prices": f"WITH {A.TICKS} SELECT token, arg_max(last_price, seq) AS last_price FROM ticks WHERE last_price > 0 GROUP BY token",
+    "h18_square_off": _square("held * lot * mark"),
+    "h18_square_off_pnl_only": _square("held * lot * (mark - cost)"),
     "h19_signal_join": f"""{BQ.RETURNS} SELECT t.token, t.seq, {R('log_return', 6)} AS log_return FROM ticks t
         LEFT JOIN r1 ON r1.token = t.token AND r1.ts_ns = t.ts_ns // {BAR_NS} * {BAR_NS}""",
     "h19_asof_join": f"{BQ.SESSIONS} SELECT t.token, t.seq, b2.close FROM ticks t ASOF LEFT JOIN b2 ON b2.token = t.token AND t.ts_ns >= b2.ts_ns",
-    "h20_clock": f"WITH {A.TICKS} SELECT * FROM (SELECT token, seq, lag(ts_ns) OVER (PARTITION BY token ORDER BY seq) - ts_ns AS back_ns FROM ticks) WHERE back_ns > 0",
+    "h20_clock": f"WITH {A.TICKS} SELECT * FROM (SELECT token, xor(seq, 1) AS seq, lag(ts_ns) OVER (PARTITION BY token ORDER BY xor(seq, 1)) - ts_ns AS back_ns FROM ticks) WHERE back_ns > 0",
+    "h20_visible": f"WITH {A.TICKS} SELECT token, seq, ts_ns <= {VISIBLE_NS} AS visible FROM ticks",
+    "h21_rule_strategy": f"{RULE} SELECT {_TRADE_COLUMNS} FROM trd",
+    "h22_composite_strategy": f"{COMPOSITE} SELECT {_TRADE_COLUMNS} FROM trd",
+    "h26_equity_curve": f"""{COMPOSITE} SELECT token, ts_ns, {R('eq', 3)} AS equity FROM (SELECT token, ts_ns, eq FROM trd
+        UNION ALL SELECT token, ts_ns, eq + aq * (last_price - ap) FROM ac WHERE aq > 0 AND (n - 1) % 1024 IN (0, 1000))""",
+    "h29_risk_ratios": f"""WITH RECURSIVE {EQUITY[5:]}, eo AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY token ORDER BY ts_ns, seq) AS n FROM eq),
+        dy AS (SELECT token, n, ts_ns AS start, equity AS last, equity AS before, NULL::DOUBLE AS r FROM eo WHERE n = 1
+            UNION ALL SELECT e.token, e.n, CASE WHEN e.ts_ns - start >= 86400000000000 THEN e.ts_ns ELSE start END, e.equity, CASE WHEN e.ts_ns - start >= 86400000000000 THEN last ELSE before END,
+                CASE WHEN e.ts_ns - start >= 86400000000000 AND before > 0 THEN (last - before) / before END FROM dy JOIN eo e ON e.token = dy.token AND e.n = dy.n + 1),
+        rr AS (SELECT token, avg(r) AS m, stddev_pop(r) AS sd, sqrt(avg(CASE WHEN r < 0 THEN r * r WHEN r IS NOT NULL THEN 0.0::DOUBLE END)) AS dd FROM dy GROUP BY token)
+        SELECT token, {R('CASE WHEN sd > 0 THEN m / sd ELSE 0.0::DOUBLE END * 15.8745::DOUBLE', 5)} AS sharpe, {R('CASE WHEN dd > 0 THEN m / dd ELSE 0.0::DOUBLE END * 15.8745::DOUBLE', 5)} AS sortino FROM rr""",
+    "h30_full_charge_backtest": f"""{FULL}, {_POSITIONS}, pb AS (SELECT *, won - coalesce(lag(won) OVER (PARTITION BY token ORDER BY k), 0.0::DOUBLE) AS pnl FROM ps WHERE k > 0)
+        SELECT pb.token, ts_ns, pb.seq, side, units, reason, held AS quantity, {R('fill', 2)} AS price, {R('total_charges', 2)} AS total_charges, {R('pnl', 2)} AS pnl
+        FROM pb JOIN sim USING (token, seq) WHERE pnl <> 0 OR reason IN (2, 5)""",
+    "h30_full_charge_equity": f"""{FULL}, nt AS (SELECT t.*, row_number() OVER w AS n, sum(coalesce(side * units, 0)) OVER w AS held, sum(coalesce(net_amount, 0.0::DOUBLE)) OVER w AS spent
+            FROM ticks t LEFT JOIN (SELECT token, seq, side, units, net_amount FROM sim) USING (token, seq) WINDOW w AS (PARTITION BY token ORDER BY ts_ns, seq))
+        SELECT token, ts_ns, {R('1000000.0::DOUBLE - spent + held * last_price', 2)} AS equity FROM nt WHERE n % 5 = 0""",
+    "h32_backtest_by_token": f"""{COMPOSITE}, er AS (SELECT DISTINCT token FROM ct WHERE ok AND token % 97 = 0)
+        SELECT token, CASE WHEN er.token IS NULL THEN 'ok' ELSE 'error' END AS status, CASE WHEN er.token IS NULL THEN count(qty) ELSE 0 END AS trades,
+            CASE WHEN er.token IS NULL THEN {R(f"coalesce(sum(qty * (exit_price - entry_price) - ({_fee('entry_price', 'qty')} + {_fee('exit_price', 'qty')})), 0.0::DOUBLE)", 2)} ELSE 0.0::DOUBLE END AS net
+        FROM (SELECT DISTINCT token FROM ct) t LEFT JOIN trd USING (token) LEFT JOIN er USING (token) GROUP BY token, er.token""",
     "h23_cost_model": f"""WITH {A.TICKS} SELECT token, seq, {R(f'last_price * 1.0002::DOUBLE * (1 + {_rate!r}::DOUBLE)', 6)} AS buy,
         {R(f'last_price * 0.9998::DOUBLE * (1 - ({_rate!r}::DOUBLE + 0.00025::DOUBLE))', 6)} AS sell FROM ticks""",
-    "h27_trade_statistics": f"""{TRADES}, st AS (SELECT token, count(*) AS trades, count(*) FILTER (net_pnl > 0) AS wins, count(*) FILTER (net_pnl <= 0) AS losses,
-        sum(gross_pnl) AS gross, sum(net_pnl) AS net, coalesce(sum(net_pnl) FILTER (net_pnl > 0), 0) AS won, coalesce(sum(net_pnl) FILTER (net_pnl <= 0), 0) AS lost,
-        coalesce(max(net_pnl) FILTER (net_pnl > 0), 0) AS largest_win, coalesce(min(net_pnl) FILTER (net_pnl <= 0), 0) AS largest_loss FROM tr GROUP BY token)
+    "h27_trade_statistics": f"""{TRADES}, st AS (SELECT token, count(*) AS trades, count(*) FILTER (net_pnl > 0) AS wins, count(*) FILTER (net_pnl < 0) AS losses,
+        sum(gross_pnl) AS gross, sum(net_pnl) AS net, coalesce(sum(net_pnl) FILTER (net_pnl > 0), 0) AS won, coalesce(sum(net_pnl) FILTER (net_pnl < 0), 0) AS lost,
+        coalesce(max(net_pnl) FILTER (net_pnl > 0), 0) AS largest_win, coalesce(min(net_pnl) FILTER (net_pnl < 0), 0) AS largest_loss FROM tr GROUP BY token)
         SELECT token, trades, wins, losses, {', '.join(f'{R(c, 3)} AS {c}' for c in STATS[:6])}, {R('wins::DOUBLE / trades', 3)} AS win_rate,
-        {R('CASE WHEN wins > 0 THEN won / wins ELSE 0.0::DOUBLE END', 3)} AS average_win, {R('CASE WHEN losses > 0 THEN lost / losses ELSE 0.0::DOUBLE END', 3)} AS average_loss, {R('CASE WHEN lost < 0 THEN won / -lost ELSE 0.0::DOUBLE END', 3)} AS profit_factor, {R('net / trades', 3)} AS expectancy FROM st""",
+        {R('CASE WHEN wins > 0 THEN won / wins ELSE 0.0::DOUBLE END', 3)} AS average_win, {R('CASE WHEN losses > 0 THEN lost / losses ELSE 0.0::DOUBLE END', 3)} AS average_loss, {R('''CASE WHEN lost < 0 THEN won / -lost ELSE 'inf'::DOUBLE END''', 3)} AS profit_factor, {R('net / trades', 3)} AS average_trade,
+        {R('CASE WHEN wins > 0 THEN wins::DOUBLE / trades * (won / wins) ELSE 0.0::DOUBLE END + CASE WHEN losses > 0 THEN (1 - wins::DOUBLE / trades) * (lost / losses) ELSE 0.0::DOUBLE END', 3)} AS expectancy FROM st""",
     "h28_max_drawdown": f"""{EQUITY}, dd AS (SELECT *, max(equity) OVER (PARTITION BY token ORDER BY ts_ns, seq) AS peak FROM eq)
         SELECT token, {R('max(peak - equity)', 3)} AS max_drawdown, {R('arg_max((peak - equity) / peak * 100, peak - equity)', 3)} AS max_drawdown_pct FROM dd GROUP BY token""",
     "h31_total_return": f"{EQUITY} SELECT token, {R('(arg_max(equity, seq) - 100000.0::DOUBLE) / 100000.0::DOUBLE * 100', 3)} AS return_pct FROM eq GROUP BY token",
 }
-__all__ = ["QUERIES", "ORACLES", "D", "SIZE"]

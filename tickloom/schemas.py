@@ -11,8 +11,12 @@ TICK = (
 )
 CANDLE = "symbol string, interval string, ts_ns bigint, open double, high double, low double, close double, volume bigint, open_interest bigint"
 BACKTEST_TICK = "ts_ns bigint, token bigint, last_price float, bid_price float, ask_price float, vwap float, volume bigint"
+ENHANCED_BAR = (
+    "ts_ns bigint, token bigint, open double, high double, low double, close double, volume bigint, open_interest double, vwap double, "
+    "buy_volume bigint, sell_volume bigint, tick_count bigint, bar_ofi double"
+)
+SIGNAL = "ts_ns bigint, token bigint, price double, action int, confidence double, strategy_id int"
 INSTRUMENT = (
     "date date, instrument_key string, trading_symbol string, name string, exchange string, segment string, lot_size int, "
     "tick_size double, instrument_type string, expiry_ms bigint, strike_price double"
 )
-EQUITY_EOD = "date date, symbol string, series string, open double, high double, low double, close double, volume bigint, delivery_volume bigint"

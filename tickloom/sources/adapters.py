@@ -33,6 +33,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor(F.col("value") / 25) * 25.0 + 25.0).alias("ask_price"),
         (100 + F.col("event_id") % 7 * 50).alias("bid_size"),
         (100 + F.col("event_id") % 5 * 50).alias("ask_size"),
+        (F.col("event_id") % 11 * 75).cast("double").alias("open_interest"),
     )
 
 
@@ -40,7 +41,7 @@ TICKS = """ticks AS (
     SELECT user_id AS token, event_id AS seq, epoch_us(ts) * 1000 AS ts_ns, value AS last_price,
            (props::JSON->>'$.k')::BIGINT + 1 AS last_quantity, floor(value / 25) * 25.0::DOUBLE AS bid_price,
            floor(value / 25) * 25.0::DOUBLE + 25.0::DOUBLE AS ask_price, 100 + event_id % 7 * 50 AS bid_size,
-           100 + event_id % 5 * 50 AS ask_size
+           100 + event_id % 5 * 50 AS ask_size, (event_id % 11 * 75)::DOUBLE AS open_interest
     FROM events)"""
 
 

@@ -2,20 +2,72 @@
 
 from __future__ import annotations
 
-import struct
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom import schemas
 from tickloom.sources.readers import HEADER, MAGIC, RECORD, VERSION
 
+#: Tables that are written by day, with their columns.
+TABLES = {"candles": schemas.CANDLE, "backtest_ticks": schemas.BACKTEST_TICK, "bars": schemas.ENHANCED_BAR, "signals": schemas.SIGNAL}
+
+
+def write_by_day(rows: DataFrame, path: str, mode: str = "append", within: str = "token") -> None:
+    """Parquet by UTC day of ts_ns; only the days written are replaced when overwriting.
 
-def write_by_day(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet by UTC day of ts_ns; only the days written are replaced when overwriting."""
+    Rows are dealt by ranges of day and ``within`` and time, so that a day may take as many tasks and files as it needs.
+    """
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ts_ns") / 86_400_000_000_000).cast("int"))
-    out = rows.withColumn("day", day).repartition("day").write.mode(mode).partitionBy("day")
-    out.option("partitionOverwriteMode", "dynamic").parquet(path)
+    dealt = rows.withColumn("day", day).repartitionByRange("day", within, "ts_ns").sortWithinPartitions("day", within, "ts_ns")
+    dealt.write.mode(mode).partitionBy("day").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def write_table(rows: DataFrame, root: str, name: str, mode: str = "append") -> None:
+    """Rows into one of TABLES, by its columns and types; columns that the rows lack are null, others are left out."""
+    fields = [f.split() for f in TABLES[name].split(", ")]
+    cells = [(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in fields]
+    write_by_day(rows.select(*cells), f"{root}/{name}", mode, "token" if any(c == "token" for c, _ in fields) else "symbol")
+
+
+def publish(stream: DataFrame, path: str, capacity: int, checkpoint: str):
+    """A stream of which the newest ``capacity`` rows are kept: each micro-batch writes the next version of the (small) table.
+
+    ``published`` reads the newest version. Versions before the last two are emptied by overwriting; the result is the query.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        held = published(batch.sparkSession, path, before=number)
+        drop_oldest(held.unionByName(batch) if held is not None else batch, capacity).write.mode("overwrite").parquet(f"{path}/version={number}")
+        if number >= 2:
+            batch.limit(0).write.mode("overwrite").parquet(f"{path}/version={number - 2}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def published(spark, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest version of a published table, or that before a number; None where there is none yet."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    rows = rows if before is None else rows.where(F.col("version") < before)
+    newest = rows.agg(F.max("version")).first()[0]
+    return None if newest is None else rows.where(F.col("version") == newest).drop("version")
+
+
+def overflow(rows: DataFrame, capacity: int, key: str) -> DataFrame:
+    """How many rows of each key a ring of the capacity has dropped."""
+    return rows.groupBy(key).agg(F.greatest(F.lit(0), F.count(F.lit(1)) - capacity).alias("dropped"))
+
+
+def popped(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """The oldest n rows of each key: what a reader of its ring takes next."""
+    w = W.partitionBy(key).orderBy("ts_ns", "seq")
+    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
 def drop_oldest(rows: DataFrame, capacity: int, key: str | None = None) -> DataFrame:
@@ -33,17 +85,17 @@ def latest_snapshot(rows: DataFrame, key: str) -> DataFrame:
 
 
 def binary_files(ticks: DataFrame) -> DataFrame:
-    """token, content: each token's ticks as one binary file; tokens without ticks give none."""
+    """token, content: each token's ticks as one binary file, which is what the format asks for; tokens without ticks give none."""
 
     def encode(frame):
         import pandas as pd
 
-        frame = frame.sort_values("ts_ns")
-        columns = ["ts_ns", "token", "last_price", "bid_price", "ask_price", "vwap", "volume"]
-        token, times = int(frame["token"].iloc[0]), frame["ts_ns"]
-        head = struct.pack(HEADER, MAGIC, VERSION, token, int(times.iloc[0]), int(times.iloc[-1]), len(frame), struct.calcsize(RECORD))
-        body = b"".join(struct.pack(RECORD, *(int(v) if c in ("ts_ns", "token", "volume") else float(v) for c, v in zip(columns, r, strict=True)))
-                        for r in frame[columns].itertuples(index=False))
-        return pd.DataFrame({"token": [token], "content": [head + body]})
+        frame = frame.sort_values("ts_ns", kind="stable")
+        rows = np.zeros(len(frame), RECORD)
+        for c in RECORD.names:
+            rows[c] = frame[c]
+        head = np.zeros(1, HEADER)
+        head[0] = (MAGIC, VERSION, rows["token"][0], rows["ts_ns"][0], rows["ts_ns"][-1], len(rows), RECORD.itemsize, 0, (0, 0))
+        return pd.DataFrame({"token": [int(rows["token"][0])], "content": [head.tobytes() + rows.tobytes()]})
 
-    return ticks.groupBy("token").applyInPandas(encode, "token long, content binary")
+    return ticks.select(*RECORD.names).groupBy("token").applyInPandas(encode, "token long, content binary")

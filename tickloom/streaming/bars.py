@@ -29,6 +29,14 @@ def stream_bars(ticks: DataFrame, width: str = "1 minute", late: str = "10 secon
     )
 
 
+def replayed(pdf: pd.DataFrame, made: list, states: list, order: list[str], columns: list[str]) -> pd.DataFrame:
+    """The rows of a frame in order, folded, with the given columns."""
+    frame = pdf.sort_values(order, kind="stable")
+    names = list(frame.columns)
+    rows = (folds.advance(made, states, dict(zip(names, values, strict=True))) for values in zip(*(frame[c].tolist() for c in names), strict=True))
+    return pd.DataFrame([[row[c] for c in columns] for row in rows], columns=columns)
+
+
 def stream_fold(rows: DataFrame, made: list, keep: list[str], order: list[str], key: str = "token") -> DataFrame:
     """The folds of the batch operators over a stream: one state for each key, in the state store.
 
@@ -40,7 +48,7 @@ def stream_fold(rows: DataFrame, made: list, keep: list[str], order: list[str],
 
     def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         states = folds.load(state.get[0]) if state.exists else [f.init() for f in made]
-        out = folds.replayed(pd.concat(list(frames)), made, states, order, columns)
+        out = replayed(pd.concat(list(frames)), made, states, order, columns)
         state.update((folds.dump(states),))
         yield out
 
