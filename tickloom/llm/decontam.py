@@ -44,11 +44,11 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import _text
 
-BUCKETS, RANK, PASSAGE, STEP, DENSE = 1 << 15, 48, 32, 16, 128
+BUCKETS, RANK, PASSAGE, STEP, DENSE = 1 << 15, 32, 32, 16, 128
 COSINE = 0.5
-SKETCH = 256
+SKETCH = 512
 LCS_SURE, LCS_LIKELY, ANSWER_SHARE, SHORT = 0.75, 0.6, 0.75, 8
-BLOCK_BYTES, PIECE, SLICE = 8 << 20, 1 << 20, 512
+BLOCK_BYTES, PIECE, SLICE = 8 << 20, 1 << 17, 512
 SLOTS, GATHER = 1 << 23, 1 << 20
 
 
@@ -95,7 +95,7 @@ class Words:
         out = np.packbits(flags, axis=1).view(np.uint64)
         reach = 0
         while reach < radius:
-            step = max(1, reach)
+            step = min(max(1, reach), radius - reach)
             wider = out.copy()
             wider[step:] |= out[:-step]
             wider[:-step] |= out[step:]
@@ -114,7 +114,7 @@ class Matrix:
         size = int(dense.max(initial=-1)) + 1
         self.counts = np.bincount(w.half[often] * size + place[often], minlength=w.n_halves * size).reshape(w.n_halves, size).astype(np.float32)
         seldom = np.flatnonzero(place < 0)
-        self.half, self.bucket = w.half[seldom], b[seldom]
+        self.half, self.bucket = w.half[seldom], b[seldom].astype(np.uint16)  # sorted by radix
 
     def times(self, values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         """Passages by columns: the sums of the rows of ``values`` (buckets by columns) over each passage's words."""
@@ -256,8 +256,9 @@ class Items:
         key, of, bits, bit_of = [], [], [], []
         self.least, self.sketch_least = np.ones((2, len(self.ids)), np.int64)
         self.sketch = np.zeros((len(self.ids), SKETCH // 64), np.uint64)
-        # Halves from a passage's first that hold the words around it, as a power of two.
-        self.radius = 1 << np.ceil(np.log2(-(-(self.size + 8 + PASSAGE) // STEP))).astype(np.int64)
+        # Halves from a passage's first that hold the words around it; large ones as a power of two, so that there are few.
+        halves = -(-(self.size + 8 + PASSAGE) // STEP)
+        self.radius = np.where(halves <= 8, halves, 1 << np.ceil(np.log2(halves)).astype(np.int64))
         for i, x in enumerate(self.sets):
             if not len(x):
                 continue
