@@ -88,17 +88,18 @@ def grouped(
     return dealt.sortWithinPartitions(*keys).mapInArrow(runs, schema)
 
 
-def met(edges: DataFrame, at: DataFrame, total: int) -> DataFrame:
-    """``edges`` (u, v) joined with ``at`` (u, m, n) on u, where n is how many edges u has in all and ``total`` their number.
+def met(left: DataFrame, right: DataFrame, key: str, spread: str, total: int) -> DataFrame:
+    """``left`` joined with ``right`` on a key that is unique there; right's n is how many rows of left have it, ``total`` of all.
 
-    A node with over a HUBS-th of all edges is a hub: there are at most HUBS of them, so their list is broadcast, and each
-    one's edges are salted over SALTS keys.
+    A key with over a HUBS-th of all rows is a hub: there are at most HUBS of them, so their list is broadcast, and each one's
+    rows are salted by ``spread`` over SALTS keys.
     """
     hub = F.col("n") > max(total // HUBS, 64)
-    hubs = F.broadcast(at.where(hub).select("u", F.lit(True).alias("_hub")))
-    left = edges.join(hubs, "u", "left").withColumn("_salt", F.when(F.col("_hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).cast("int"))
+    hubs = F.broadcast(right.where(hub).select(key, F.lit(True).alias("_hub")))
+    salt = F.when(F.col("_hub"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")
     salts = F.explode(F.when(hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    return left.join(at.select("u", "m", salts.alias("_salt")), ["u", "_salt"]).select("u", "v", "m")
+    salted = left.join(hubs, key, "left").withColumn("_salt", salt).drop("_hub")
+    return salted.join(right.withColumn("_salt", salts).drop("n"), [key, "_salt"]).drop("_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -117,9 +118,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
-        large = cut(met(both.where("v > u"), least, 2 * now.n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = cut(met(both.where("v > u"), least, "u", "v", 2 * now.n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = met(large, low, now.n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = met(large, low, "u", "v", now.n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         star = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = star.agg(*sums).first()
     return star.select(F.col("u").alias("node"), F.col("v").alias("component"))

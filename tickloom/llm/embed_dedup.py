@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm._common import components, cut, grouped
+from tickloom.llm._common import components, cut, grouped, met
 
 THRESHOLD, CELL, MISS, PROJECTIONS, WIDTH, BLOCK = 0.9, 1024, 1e-4, 32, 0.7, 1024
 
@@ -218,8 +218,9 @@ def dedup(vectors: DataFrame) -> DataFrame:
     tied = classes.drop("vec").join(links, "node", "left").join(tops, "node", "left").select(
         "a", "b", "dim", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("top")
     )
-    least = tied.groupBy("top").agg(F.min("first").alias("component_id"))
-    known = tied.join(least, "top").select("a", "b", "dim", "n_links", "component_id")
+    tied = cut(tied)
+    least = tied.groupBy("top").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    known = met(tied, least, "top", "a", tied.count()).select("a", "b", "dim", "n_links", "component_id")
     linked = good.select("vec_id", "a", "b", "dim").join(known, ["a", "b", "dim"]).select("vec_id", "n_links", "component_id")
     alone = found.where("a IS NULL").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")

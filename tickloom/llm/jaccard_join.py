@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import _text
-from tickloom.llm._common import components, cut, grouped
+from tickloom.llm._common import components, cut, grouped, met
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 40, 7, 40, 1e-5
@@ -296,8 +296,9 @@ def join(docs: DataFrame) -> DataFrame:
         classes.join(links, "node", "left").join(tops, "node", "left")
         .select(*same, "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("top"))
     )
-    least = tied.groupBy("top").agg(F.min("class_id").alias("component_id"))
-    known = tied.join(least, "top").drop("top")
+    tied = cut(tied)
+    least = tied.groupBy("top").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    known = met(tied.withColumnRenamed("n", "size"), least, "top", "a", tied.count()).drop("top").withColumnRenamed("size", "n")
     linked = found.where("n > 0").select("doc_id", *same).join(known, same)
     alone = found.where("n = 0").select(
         "doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id")
