@@ -138,6 +138,97 @@ class Macd:
         return {"macd": macd, "macd_signal": s["signal"], "macd_hist": macd - s["signal"], "macd_valid": True}
 
 
+class Volatility:
+    """Sample variance of the last valid returns, as the live window operator gives it, with bounded state."""
+
+    outputs = "rv_var double, rv_sigma_ann double, rv_valid boolean"
+
+    def __init__(self, window: int = 20, annual: float = 307.4085110396682):
+        self.window, self.annual = window, annual
+
+    def init(self):
+        return {"r": []}
+
+    def step(self, s, row):
+        if not row["return_valid"]:
+            return {"rv_var": 0.0, "rv_sigma_ann": 0.0, "rv_valid": False}
+        s["r"] = [*s["r"][1 - self.window :], row["log_return"]]
+        var = sample_variance(s["r"])
+        return {"rv_var": var, "rv_sigma_ann": math.sqrt(var) * self.annual, "rv_valid": len(s["r"]) >= 2}
+
+
+class Normaliser:
+    """Rolling z-scores of signals, as the window operator gives them, with bounded state."""
+
+    def __init__(self, signals: list[str], window: int = 252, spread: float = 1e-6):
+        self.signals, self.window, self.spread = signals, window, spread
+        self.outputs = ", ".join([*(f"z_{s} double" for s in signals), "norm_valid boolean"])
+
+    def init(self):
+        return {"rows": []}
+
+    def step(self, s, row):
+        s["rows"] = [*s["rows"][1 - self.window :], [row[x] for x in self.signals]]
+        n, out = len(s["rows"]), {}
+        for i, name in enumerate(self.signals):
+            column = [r[i] for r in s["rows"]]
+            mean, sd = math.fsum(column) / n, math.sqrt(sample_variance(column))
+            out[f"z_{name}"] = column[-1] if n < 2 else (column[-1] - mean) / sd if sd > abs(mean) * self.spread else 0.0
+        return out | {"norm_valid": n >= 2}
+
+
+class KyleLambda:
+    """Price change on order flow through the origin over the last contributions, with bounded state."""
+
+    outputs = "kyle_lambda double, kyle_valid boolean"
+
+    def __init__(self, window: int = 20):
+        self.window = window
+
+    def init(self):
+        return {"price": None, "pairs": []}
+
+    def step(self, s, row):
+        pair = None if s["price"] is None else (row["last_price"] - s["price"], float(row["ofi"]))
+        s["price"] = row["last_price"]
+        s["pairs"] = [*s["pairs"][1 - self.window :], pair]
+        held = [p for p in s["pairs"] if p is not None]
+        square = sum(x * x for _, x in held)
+        return {"kyle_lambda": sum(d * x for d, x in held) / square if square else 0.0, "kyle_valid": len(held) == self.window}
+
+
+class Vpin:
+    """The volume clock and the metric of the last closed bucket (null before the first), with bounded state."""
+
+    outputs = "buckets_completed long, bucket_closed boolean, vpin double"
+
+    def __init__(self, size: int, buckets: int = 50):
+        self.size, self.buckets = size, buckets
+
+    def init(self):
+        return {"filled": 0, "signed": 0, "done": 0, "held": [], "vpin": None}
+
+    def step(self, s, row):
+        left, before = row["last_quantity"], s["done"]
+        while left > 0:
+            part = min(left, self.size - s["filled"])
+            s["filled"] += part
+            s["signed"] += row["direction"] * part
+            left -= part
+            if s["filled"] == self.size:
+                s["held"] = [*s["held"][1 - self.buckets :], abs(s["signed"])]
+                s["filled"], s["signed"], s["done"] = 0, 0, s["done"] + 1
+                s["vpin"] = min(1.0, max(0.0, sum(s["held"]) / (len(s["held"]) * self.size)))
+        return {"buckets_completed": s["done"], "bucket_closed": s["done"] > before, "vpin": s["vpin"]}
+
+
+def sample_variance(values: list[float]) -> float:
+    if len(values) < 2:
+        return 0.0
+    mean = math.fsum(values) / len(values)
+    return math.fsum((x - mean) ** 2 for x in values) / (len(values) - 1)
+
+
 def advance(folds, states, row: dict) -> dict:
     """The row with the outputs of all folds in order; each sees what those before it put out."""
     for fold, state in zip(folds, states, strict=True):
