@@ -226,3 +226,13 @@ def dedup(vectors: DataFrame) -> DataFrame:
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
     return linked.unionAll(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+#: DuckDB SQL for ``dedup`` over embeddings, by all pairs: for small tables.
+SQL = f"""
+    WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    n AS (SELECT * FROM v WHERE list_count(e) = len(e) AND len(e) > 0 AND list_bool_and(list_transform(e, lambda x: isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+    l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+    r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT r.vec_id, l.y FROM r JOIN l ON l.x = r.c)
+    SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = vec_id) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept FROM r GROUP BY vec_id
+"""

@@ -305,3 +305,21 @@ def join(docs: DataFrame) -> DataFrame:
     )
     out = linked.select("doc_id", "n_links", "component_id", "class_id").unionAll(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+_UPPER = "".join(c for c in map(chr, (*range(65, 91), *range(0xC0, 0xDF))) if c != "×")
+_WORDS = "[0-9A-Za-zÀ-῿₀-⿿぀-\\x{10ffff}]+"
+#: DuckDB SQL for ``join`` over documents, by all shingles that two texts share: for small tables.
+SQL = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_WORDS}') AS w FROM documents),
+    s AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i : i + {SHINGLE - 1}], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+    k AS MATERIALIZED (SELECT s, min(doc_id) AS k, count(*) AS copies, len(s) AS size FROM s WHERE len(s) > 0 GROUP BY s),
+    e AS MATERIALIZED (SELECT k, size, unnest(s) AS h FROM k),
+    l AS MATERIALIZED (SELECT a.k AS x, b.k AS y FROM e a JOIN e b ON a.h = b.h AND a.k <> b.k GROUP BY a.k, b.k, a.size, b.size HAVING count(*) / (a.size + b.size - count(*)) >= {THRESHOLD}),
+    r AS (SELECT k, k AS c FROM k UNION SELECT r.k, l.y FROM r JOIN l ON l.x = r.c),
+    g AS (SELECT k, min(c) AS component_id FROM r GROUP BY k),
+    n AS (SELECT k.k, k.copies - 1 + coalesce(sum(o.copies), 0) AS n_links FROM k LEFT JOIN (SELECT l.x, k.copies FROM l JOIN k ON k.k = l.y) o ON o.x = k.k GROUP BY k.k, k.copies)
+    SELECT s.doc_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, s.doc_id) AS component_id, coalesce(k.k, s.doc_id) AS class_id, s.doc_id = coalesce(component_id, s.doc_id) AS kept
+    FROM s LEFT JOIN k ON k.s = s.s LEFT JOIN g ON g.k = k.k LEFT JOIN n ON n.k = k.k
+"""

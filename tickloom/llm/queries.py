@@ -73,6 +73,8 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_license_scans": licenses.sql(),
+    "op2_embedding_near_dedup": embed_dedup.SQL,
+    "op3_ngram_jaccard_join": jaccard_join.SQL,
     "op5_chat_formatting": """
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
