@@ -132,6 +132,22 @@ def load(table: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     return insert_ignore(table, once, keys) if updated is None else upsert(table, once, keys, updated)
 
 
+#: The end-of-day jobs by name: how each reads its file, and the table it loads. When they run is for a scheduler outside.
+JOBS = {
+    "equity_bhavcopy": (equity_rows, "equity"),
+    "fno_bhavcopy": (derivative_rows, "derivatives"),
+    "index_bhavcopy": (index_rows, "index"),
+    "margin_data": (margin_rows, "margin"),
+    "stock_master": (lambda raw, _: stock_rows(raw), "stock_master"),
+}
+
+
+def run_job(name: str, table: DataFrame, raw: DataFrame, day: Column) -> DataFrame:
+    """The next state of a job's table after its file of a day; a KeyError for an unknown name."""
+    read, loaded = JOBS[name]
+    return load(table, read(raw, day), loaded)
+
+
 def last_of_key(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each key, the greatest by its other cells, so that the choice does not hang on the order of reading."""
     rest = [c for c in rows.columns if c not in keys]

@@ -25,13 +25,23 @@ def gamma(spot: Column, strike: Column, rate: float, sigma: Column, years: float
     return F.when(good, NORMAL * F.exp(-x * x / 2) / (spot * sigma * math.sqrt(years))).otherwise(0.0)
 
 
-def gamma_exposure(strikes: DataFrame, thresholds: DataFrame, rate: float, years: float, lot: int) -> DataFrame:
-    """chain, gex, regime (1 above the upper threshold, -1 under the lower, else 0)."""
+def gamma_exposure(strikes: DataFrame, thresholds: DataFrame, rate: float, years: float, lot: int, chains: DataFrame | None = None) -> DataFrame:
+    """chain, gex, low, high, regime (1 above the upper threshold, -1 under the lower, else 0), valid.
+
+    With ``chains`` (chain, spot) every one of these has a row. A chain without strikes or spot, or at its expiry, is invalid: its
+    exposure, thresholds and regime are 0.
+    """
     side = lambda s: F.sum(F.when(F.col("strike") > 0, F.col(f"oi_{s}") * gamma(F.col("spot"), F.col("strike"), rate, F.col(f"iv_{s}"), years)))
-    out = strikes.groupBy("chain").agg((lot * (F.coalesce(side("call"), F.lit(0.0)) - F.coalesce(side("put"), F.lit(0.0)))).alias("gex"))
-    return out.join(thresholds, "chain", "left").withColumn(
-        "regime", F.when(F.col("gex") > F.col("high"), 1).when(F.col("gex") < F.col("low"), -1).otherwise(0)
+    out = strikes.groupBy("chain").agg(
+        (lot * (F.coalesce(side("call"), F.lit(0.0)) - F.coalesce(side("put"), F.lit(0.0)))).alias("gex"), F.max("spot").alias("_spot")
     )
+    if chains is not None:
+        out = chains.select("chain").distinct().join(out, "chain", "left")
+    good = F.coalesce(F.col("_spot") > 0, F.lit(False)) & F.lit(years > 0)
+    zero = lambda c: F.when(F.col("valid"), c).otherwise(0.0)
+    out = out.join(thresholds, "chain", "left").withColumn("valid", good).withColumns({"gex": zero(F.col("gex")), "low": zero(F.col("low")), "high": zero(F.col("high"))})
+    regime = F.when(F.col("valid") & (F.col("gex") > F.col("high")), 1).when(F.col("valid") & (F.col("gex") < F.col("low")), -1).otherwise(0)
+    return out.drop("_spot").withColumn("regime", regime)
 
 
 def at_the_money(strikes: DataFrame) -> DataFrame:

@@ -91,3 +91,33 @@ def return_pct(equity: Column, capital: Column) -> Column:
 def progress(done: Column, total: Column) -> Column:
     """Per cent done, from 0 to 100."""
     return F.least(F.lit(100.0), ratio(done * 100.0, total))
+
+
+#: The fields of a run's result: numbers are 0 and names empty where they are missing.
+RESULT = {
+    "double": "total_net_pnl total_gross_pnl total_commission starting_capital final_equity total_return_pct sharpe_ratio sortino_ratio calmar_ratio max_drawdown "
+    "max_drawdown_pct win_rate profit_factor avg_trade_pnl avg_win avg_loss largest_win largest_loss expectancy",
+    "bigint": "total_trades winning_trades losing_trades instrument_token run_timestamp_ns",
+    "string": "symbol",
+}
+STATUS = {"int": "state", "bigint": "instrument_token ticks_processed total_ticks timestamp_ns", "double": "progress_pct", "string": "symbol message"}
+#: States of a run, by number.
+STATES = ("BACKTEST_IDLE", "BACKTEST_LOADING", "BACKTEST_RUNNING", "BACKTEST_DONE", "BACKTEST_ERROR")
+
+
+def decoded(raw: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Rows of ``fields`` from JSON text (payload); what isn't JSON is left out."""
+    typed = [(c, kind) for kind, names in fields.items() for c in names.split()]
+    parsed = F.from_json("payload", ", ".join(f"{c} {kind}" for c, kind in typed) + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = raw.select(parsed.alias("r")).where("r IS NOT NULL AND r._bad IS NULL")
+    return rows.select(*[F.coalesce(f"r.{c}", F.lit("" if kind == "string" else 0).cast(kind)).alias(c) for c, kind in typed])
+
+
+def results(raw: DataFrame) -> DataFrame:
+    return decoded(raw, RESULT)
+
+
+def statuses(raw: DataFrame) -> DataFrame:
+    """Statuses of runs with the name of their state and their progress worked out anew."""
+    name = F.coalesce(F.get(F.array(*map(F.lit, STATES)), F.col("state")), F.lit("UNKNOWN"))
+    return decoded(raw, STATUS).withColumns({"state_name": name, "progress_pct": progress(F.col("ticks_processed"), F.col("total_ticks"))})

@@ -82,7 +82,8 @@ def atm(s, d):
 def exposures(s, d):
     """History for the thresholds: each chain's strikes as single exposures."""
     history = A.chains(s, d).withColumn("one", (F.col("oi_call") - F.col("oi_put")).cast("double") * LOT * 0.01)
-    return options.gamma_exposure(A.chains(s, d), D.exposure_thresholds(history, "chain", "one"), RATE, YEARS, LOT)
+    listed = A.chains(s, d).select("chain", "spot").distinct().unionByName(s.createDataFrame([("none listed", 100.0)], "chain string, spot double"))
+    return options.gamma_exposure(A.chains(s, d), D.exposure_thresholds(history, "chain", "one"), RATE, YEARS, LOT, listed)
 
 
 def parameters(s, d):
@@ -145,7 +146,7 @@ QUERIES = {
     ),
     "g1_d1": lambda s, d: A.chains(s, d).select("chain", "ord", q(options.d1(F.col("spot"), F.col("strike"), RATE, F.col("iv_call"), YEARS)).alias("d1")),
     "g2_gamma": lambda s, d: A.chains(s, d).select("chain", "ord", q(options.gamma(F.col("spot"), F.col("strike"), RATE, F.col("iv_call"), YEARS), 9).alias("gamma")),
-    "g3_gamma_exposure": lambda s, d: exposures(s, d).select("chain", "regime", q(F.col("gex"), 4).alias("gex")),
+    "g3_gamma_exposure": lambda s, d: exposures(s, d).select("chain", "regime", "valid", q(F.col("gex"), 4).alias("gex")),
     "g4_atm_strike": lambda s, d: atm(s, d).select("chain", "ord", "strike"),
     "g5_variance_premium": lambda s, d: options.variance_premium(atm(s, d), F.lit(VARIANCE)).select(
         "chain", "vrp_valid", *[q(F.col(c)).alias(c) for c in ("atm_iv", "vrp", "vrp_norm")]
@@ -290,7 +291,8 @@ ORACLES = {
     "g2_gamma": f"{CH} SELECT chain, ord, {P(GAM('iv_call'), 9)} AS gamma FROM chains",
     "g3_gamma_exposure": f"""{CH}, e AS (SELECT chain, 75 * (sum(oi_call * {GAM('iv_call')}) - sum(oi_put * {GAM('iv_put')})) AS gex FROM chains GROUP BY chain),
         t AS (SELECT chain, quantile_cont((oi_call - oi_put)::DOUBLE * 75 * 0.01::DOUBLE, 0.05) AS low, quantile_cont((oi_call - oi_put)::DOUBLE * 75 * 0.01::DOUBLE, 0.95) AS high FROM chains GROUP BY chain)
-        SELECT chain, CASE WHEN gex > high THEN 1 WHEN gex < low THEN -1 ELSE 0 END AS regime, {P('gex', 4)} AS gex FROM e JOIN t USING (chain)""",
+        SELECT chain, CASE WHEN gex > high THEN 1 WHEN gex < low THEN -1 ELSE 0 END AS regime, true AS valid, {P('gex', 4)} AS gex FROM e JOIN t USING (chain)
+        UNION ALL SELECT 'none listed', 0, false, 0.0::DOUBLE""",
     "g4_atm_strike": f"{ATM} SELECT chain, ord, strike FROM atm",
     "g5_variance_premium": f"""{ATM} SELECT chain, true AS vrp_valid, {P('(iv_call + iv_put) / 2', 6)} AS atm_iv, {P('((iv_call + iv_put) / 2) ^ 2 - 0.04::DOUBLE', 6)} AS vrp,
         {P('(((iv_call + iv_put) / 2) ^ 2 - 0.04::DOUBLE) / 0.04::DOUBLE', 6)} AS vrp_norm FROM atm""",

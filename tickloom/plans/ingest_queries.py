@@ -183,6 +183,15 @@ def feeds(s, d):
     return S.wire_ticks(raw, tokens)
 
 
+def run_text(s, d):
+    """Results and statuses of runs as JSON text; every fifth is cut off."""
+    body = F.to_json(F.struct(
+        F.col("user_id").alias("instrument_token"), F.col("event_type").alias("symbol"), (F.col("event_id") % 9).alias("total_trades"), F.col("value").alias("total_net_pnl"),
+        (F.col("event_id") % 6).alias("state"), F.col("event_id").alias("ticks_processed"), F.when(F.col("event_id") % 7 > 0, 8000).alias("total_ticks"),
+    ))
+    return A.read(s, d, "events").select(F.when(F.col("event_id") % 5 == 0, F.substring(body, 1, 9)).otherwise(body).alias("payload"))
+
+
 def requests(s, d):
     return A.ticks(s, d).select(F.col("token").alias("source"), "seq", "ts_ns")
 
@@ -284,6 +293,11 @@ QUERIES = {
     "j8_distinct_times": lambda s, d: A.read(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct().orderBy("day"),
     "j9_count_between": lambda s, d: J.count_between(A.ticks(s, d), T0, T0 + 7 * DAY),
     "j11_day_bounds": lambda s, d: A.read(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct().select("day", J.day_bounds(F.col("day")).alias("b")).select("day", "b.*"),
+    "j13_results": lambda s, d: J.results(run_text(s, d)).select("instrument_token", "symbol", "total_trades", "total_net_pnl", "sharpe_ratio", "winning_trades"),
+    "j13_statuses": lambda s, d: J.statuses(run_text(s, d)).select("instrument_token", "state_name", "ticks_processed", q(F.col("progress_pct"), 3).alias("progress_pct")),
+    "i12_jobs": lambda s, d: I.run_job(
+        "index_bhavcopy", I.index_rows(index_file(s, d, "p_partkey % 2 = 0", 0), loaded_on()), index_file(s, d, "p_partkey % 3 = 0", 1), loaded_on()
+    ).select("index_name", "close"),
     "j13_progress": lambda s, d: A.ticks(s, d).groupBy("token").agg(q(J.progress(F.count(F.lit(1)), F.lit(80)), 3).alias("pct")),
 }
 
@@ -393,5 +407,10 @@ ORACLES = {
     "j9_count_between": f"{TK} SELECT count(*) AS n FROM ticks WHERE ts_ns >= {T0} AND ts_ns < {T0 + 7 * DAY}",
     "j11_day_bounds": """SELECT DISTINCT o_orderdate::DATE AS day, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT * 86400000000000 AS start_ns,
         (date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT + 1) * 86400000000000 AS end_ns FROM orders""",
+    "j13_results": """SELECT user_id AS instrument_token, event_type AS symbol, event_id % 9 AS total_trades, value AS total_net_pnl, 0.0::DOUBLE AS sharpe_ratio, 0::BIGINT AS winning_trades
+        FROM events WHERE event_id % 5 > 0""",
+    "j13_statuses": f"""SELECT user_id AS instrument_token, CASE event_id % 6 WHEN 0 THEN 'BACKTEST_IDLE' WHEN 1 THEN 'BACKTEST_LOADING' WHEN 2 THEN 'BACKTEST_RUNNING' WHEN 3 THEN 'BACKTEST_DONE' WHEN 4 THEN 'BACKTEST_ERROR' ELSE 'UNKNOWN' END AS state_name,
+        event_id AS ticks_processed, {R('CASE WHEN event_id % 7 > 0 THEN least(100.0::DOUBLE, event_id * 100.0::DOUBLE / 8000) ELSE 0.0::DOUBLE END', 3)} AS progress_pct FROM events WHERE event_id % 5 > 0""",
+    "i12_jobs": f"{_LOAD('1', 'p_partkey')} SELECT 'IX' || k AS index_name, p AS close FROM j",
     "j13_progress": f"{TK} SELECT token, {R('least(100.0::DOUBLE, count(*) * 100.0::DOUBLE / 80)', 3)} AS pct FROM ticks GROUP BY token",
 }
