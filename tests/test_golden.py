@@ -249,7 +249,7 @@ def test_instrument_files(spark, tmp_path, form):
 def test_binary_header_as_written_elsewhere(spark, tmp_path):
     import struct
 
-    head = struct.pack("<8sIIQQQIIQQ", b"ALPHATIK"[::-1], 1, 7, 10, 20, 2, 32, 0, 0, 0)
+    head = struct.pack("<QIIQQQIIQQ", 0x414C50484154494B, 1, 7, 10, 20, 2, 32, 0, 0, 0)
     (tmp_path / "x.bin").write_bytes(head + struct.pack("<QIffffI", 10, 7, 1.5, 1.0, 2.0, 1.25, 3) + struct.pack("<QIffffI", 20, 7, 2.5, 1.0, 2.0, 1.25, 4))
     got = [(r.ts_ns, r.token, r.last_price, r.volume) for r in readers.binary_ticks(spark, str(tmp_path / "x.bin")).collect()]
     assert got == [(10, 7, 1.5, 3), (20, 7, 2.5, 4)]
