@@ -32,7 +32,7 @@ from tickloom.llm._common import cut, fold
 from tickloom.llm._labelmodel import LabelModel
 from tickloom.llm.quality import drawn
 
-ROWS, PIECE = 6_000, 1 << 20
+ROWS, PIECE = 6_000, 1 << 17
 #: Insults.
 INSULTS = frozenset(
     """idiot idiots moron morons scum trash stupid loser losers clown clowns pathetic worthless disgusting imbecile
@@ -119,11 +119,12 @@ class Piece:
         starts_of_rows = self.offsets[:-1][self.offsets[:-1] < len(both)]
         edge[starts_of_rows] |= both[starts_of_rows]
         starts = np.flatnonzero(edge)
-        gaps = np.unique(np.r_[np.flatnonzero(~both), self.offsets[1:]])
+        gaps = np.r_[np.flatnonzero(~both), len(both)]
         begin, one = np.unique(starts[np.searchsorted(starts, first, side="right") - 1], return_index=True)
+        end = np.minimum(gaps[np.searchsorted(gaps, begin, side="right")], self.offsets[row[one] + 1])
         texts, rows = [], []
         data = self.raw.tobytes()
-        for lo, hi, r in zip(begin.tolist(), gaps[np.searchsorted(gaps, begin, side="right")].tolist(), row[one].tolist(), strict=True):
+        for lo, hi, r in zip(begin.tolist(), end.tolist(), row[one].tolist(), strict=True):
             plain = data[lo:hi].decode("ascii").translate(DISGUISE).lower()
             texts += [plain, plain.rstrip("i")]
             rows += [r, r]
