@@ -17,6 +17,7 @@ from tickloom.sources import sinks
 
 DAY = 86_400_000_000_000
 T0 = 1_704_067_200_000_000_000
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 CANDLES_FROM, CANDLES_TO = 9000 * DAY, 9900 * DAY
 
 
@@ -267,7 +268,7 @@ QUERIES = {
     ).alias("json"))),
     "i13_gap_planner": lambda s, d: I.gaps(I.chunks(ranges(s, d), "15m"), new_years(s), traded_days(s, d), "day"),
     "i14_learned_holidays": lambda s, d: I.learned_holidays(
-        I.chunks(ranges(s, d), "15m"), traded_days(s, d).groupBy("date").agg(F.lit(1)).crossJoin(F.broadcast(ranges(s, d).select("symbol"))).select("symbol", "date")
+        I.chunks(ranges(s, d), "15m"), traded_days(s, d).select("date").distinct().select(F.explode(F.array(*map(F.lit, PRIORITIES))).alias("symbol"), "date")
     ),
     "i15_throttle": lambda s, d: I.throttled(A.ticks(s, d).select(F.col("token").alias("source"), "seq", "ts_ns"), 3, DAY).select("source", "seq", "sent", "waits"),
     "i15_sliding_window": lambda s, d: folds.run(requests(s, d), [I.SlidingWindow(3, 20 * DAY, DAY)], ["source", "seq"], ["ts_ns", "seq"], key="source"),
