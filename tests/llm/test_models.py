@@ -189,6 +189,50 @@ def test_classifiers_with_clashing_columns_and_long_runs(spark, corpus):
     assert p.spaced() == (["idiotb"], [0])
 
 
+def plain_votes(text, lexicon):
+    """The voters one by one, on strings; lexicon: kind -> {entry: times}."""
+    found = [(m.start(), "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" else c for c in m[0])) for m in re.finditer("[0-9A-Za-zÀ-῿₀-⿿぀-\U0010ffff]+", text)]
+    ws = [w for _, w in found]
+    level = lambda n, some=1, much=2: (n >= some) + (n >= much)
+    tells = lambda w: w in toxicity.INSULTS or w in lexicon[0]
+    begun = []
+    for k in toxicity.BEGINNINGS:
+        n = {}
+        for w in ws:
+            if len(w) > k:
+                n[w[:k]] = n.get(w[:k], 0) + 1
+        begun.append([len(w) > k and n[w[:k]] >= lexicon[k].get(w[:k], 10**9) for w in ws])
+    insult, own = [w in toxicity.INSULTS for w in ws], [w in lexicon[0] for w in ws]
+    half = [o and int(h) & 1 for o, h in zip(own, toxicity.hashes(ws), strict=True)]
+    at = [i for i in range(len(ws)) if insult[i] or own[i] or any(b[i] for b in begun)]
+    runs = [m[0] for m in re.finditer(r"[A-Za-z0-9@$!|]+", text) if re.search(r"[A-Za-z][0-9@$!|]+[A-Za-z]", m[0])]
+    plain = [r.translate(toxicity.DISGUISE).lower() for r in runs]
+    masked = sum(tells(p) for p in plain) + sum(tells(p.rstrip("i")) for p in plain)
+    spaced, i = 0, 0
+    while i < len(ws):
+        j = i
+        while j + 1 < len(ws) and len(ws[j]) == len(ws[j + 1]) == 1 and found[j + 1][0] == found[j][0] + 2 and text[found[j][0] + 1] in " .*_-":
+            j += 1
+        spaced += j - i >= 3 and tells("".join(ws[i : j + 1]))
+        i = j + 1
+    loud = len(ws) > 0 and text.count("!") * 20 >= len(ws)
+    return [level(sum(insult)), level(sum(map(bool, half))), level(sum(own) - sum(map(bool, half))), *(level(sum(b)) for b in begun), level(masked), level(spaced),
+            level(len(at) / max(20, len(ws)), 0.002, 0.01), level(sum(b - a <= 40 for a, b in zip(at, at[1:]))), level(sum(i > 0 and ws[i - 1] in toxicity.YOU for i in at)),
+            level(sum("A" <= c <= "Z" for c in text) / max(1, len(text)), 0.3, 0.6) if loud else 0]
+
+
+def test_votes_against_plain_ones():
+    rng = random.Random(5)
+    lexicon = {0: {"zorkly": 1, "ünfug": 1, "w1": 1}, 4: {"bela": 2, "éaéa": 1}, 5: {"stoll": 1}, 6: {"ßtraße"[:6]: 1}}
+    hashed = {k: {int(toxicity.hashes([w]).view("int64")[0]): n for w, n in v.items()} for k, v in lexicon.items()}
+    parts = ["zorkly", "ünfug", "Ünfug", "w1", "belast", "BELANG", "éaéaéa", "stoll", "stolles", "idiot", "you", "YOU", "i d i o t", "i.d-i*o_t", "1d10t", "z0rkly", "idiot!",
+             "ab1", "1ab", "a@b", "the", "word", ",", "!", "!!", "x y", "ßtraßen", "s c u m x", "漢", "\n"]
+    texts = ["", None, "!", "idiot", "1d10t"] + [rng.choice([" ", " ", "  ", "-"]).join(rng.choice(parts) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    got = toxicity.Lexicon(hashed).votes(toxicity.Piece(toxicity.pa.array(texts)))
+    for row, t in zip(got.tolist(), texts, strict=True):
+        assert row == [int(x) for x in plain_votes(t or "", lexicon)], t
+
+
 def test_toxicity_ignores_held_out_labels(spark, corpus):
     docs, labels, _ = corpus
     flipped = labels.selectExpr("doc_id", "quality", "CASE WHEN pmod(crc32(cast(cast(doc_id AS string) AS binary)), 3) = 1 THEN 1 - toxic ELSE toxic END AS toxic")
