@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from tickloom.llm._common import components, cut, grouped, met
 
 THRESHOLD, CELL, MISS, PROJECTIONS, WIDTH, BLOCK = 0.9, 1024, 1e-4, 32, 0.7, 1024
+LISTED = 200_000
 
 
 def plan(n: int) -> tuple[int, int]:
@@ -203,7 +204,9 @@ def dedup(vectors: DataFrame) -> DataFrame:
     bits, tables = plan(classes.count())
     dealt = celled(classes, bits, tables)
     sizes = dealt.groupBy("dim", "tab", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blks"))
-    # Cells come out about even, so their list is 2^bits * tables long for each length of vectors, far fewer than the rows.
+    # The list of cells is known to be no longer than this; a short one needs no shuffle of the vectors.
+    if classes.select("dim").distinct().count() * (tables << bits) <= LISTED:
+        sizes = F.broadcast(sizes)
     tasks = (
         dealt.join(sizes, ["dim", "tab", "cell"]).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blks") - 1)))
