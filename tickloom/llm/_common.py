@@ -124,3 +124,14 @@ def components(edges: DataFrame) -> DataFrame:
         star = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = star.agg(*sums).first()
     return star.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+#: A CTE of DuckDB with the 256 remainders that ``crc_sql`` needs.
+CRC_TABLE = """crc AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)),
+    lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of the UTF-8 of a string of characters under U+0800, with ``crc`` joined in."""
+    size = f"list_transform(string_split({text}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x)::BIGINT >> 6), 128 + (unicode(x)::BIGINT & 63)] END)"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], flatten({size})), lambda c, b: xor(c >> 8, crc.t[xor(c & 255, b) + 1])))"

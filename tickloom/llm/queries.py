@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe_codec, chat, decontam, embed_dedup, jaccard_join, licenses, pii, quality, token_count, toxicity
+from tickloom.llm import bpe_codec, chat, decontam, embed_dedup, jaccard_join, licenses, periodic_runs, pii, quality, spelling, substring_dedup, token_count, toxicity
 from tickloom.llm._common import table
 
 
@@ -59,6 +59,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), typos=True)
+
+
+def op13_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.detect(table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES = {
     "op1_license_scans": op1_license_scans,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -70,11 +82,17 @@ QUERIES = {
     "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_spelling_variant_grouping": op12_spelling_variant_grouping,
+    "op13_periodic_run_detection": op13_periodic_run_detection,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scans": licenses.sql(),
     "op2_embedding_near_dedup": embed_dedup.SQL,
     "op3_ngram_jaccard_join": jaccard_join.SQL,
+    "op11_substring_dedup": substring_dedup.SQL,
+    "op12_spelling_variant_grouping": spelling.SQL,
+    "op13_periodic_run_detection": periodic_runs.SQL,
     "op5_chat_formatting": """
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
