@@ -217,7 +217,8 @@ def dedup(docs: DataFrame) -> DataFrame:
         .select(F.monotonically_increasing_id().alias("class"), *same, F.col("least.doc_id").alias("id"), F.col("least.text_hash").alias("text_hash"), "nodes.*")
     )
     nodes = occurrences(classes)
-    repeated = (
+    # Written, as the keys' totals: a join in one stage with its own aggregate can't be split where a key is hot.
+    repeated = cut(
         nodes.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("context").alias("c"), F.max("context").alias("d"))
         .where("lo < hi").select("key", (F.col("c") != F.col("d")).alias("branching"))
     )
@@ -226,7 +227,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     texts = hashed_texts(docs).withColumnRenamed("doc_id", "id")
     marked = cut(texts.join(own, ["id", "text_hash"]).select("class", "id", "text", "marks"))
     found = cut(repeats(marked))
-    owner = found.groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("h1", "h2", "owner")
+    owner = cut(found.groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("h1", "h2", "owner"))
     lost = (
         found.join(owner, ["h1", "h2"]).where("id > owner")
         .groupBy("class").agg(F.collect_list(F.struct("first", "windows")).alias("lost"))
