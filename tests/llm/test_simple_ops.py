@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import public_tokenizers
 import tiktoken
@@ -71,3 +72,16 @@ def test_chat_format_reads_back(spark):
     assert one[1].loss_sha256 == hashlib.sha256(b"<|end|></s>&amp;two").hexdigest()
     assert formatted.where("conv_id = 1").first().formatted.count("<|user|>") == 1
     assert chat.digests(chat.format_chats(turns.limit(0))).count() == 0
+
+
+def test_codec_on_very_long_runs(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = bpe_codec.codec(path, public_tokenizers.PATTERN)
+    for text in (" " * 10_000_000, "\n" * 3_000_000 + "x", "x" + " " * 2_000_000 + "y" + "\t" * 1_500_000, "a" * 3_000_000, "!?" * 1_000_000, "\r\n" * 600_000):
+        assert own.decode(own.encode(text)) == text.encode()
+    monkeypatch.setattr(bpe_codec, "LONG", 40)
+    small, rng = bpe_codec.Codec(path, public_tokenizers.PATTERN), random.Random(2)
+    for _ in range(1500):
+        runs = [" " * rng.randint(1, 90), "\n" * rng.randint(1, 90), "\u3000" * rng.randint(1, 80), "\t\r\n" * rng.randint(1, 30), "ab", "x1", "é", "! ", "'s"]
+        text = "".join(rng.choice(runs) for _ in range(rng.randint(1, 9)))
+        assert small.encode(text) == small.encoding.encode_ordinary(text)

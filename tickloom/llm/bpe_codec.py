@@ -3,8 +3,12 @@
 Long texts are cut before they reach the library, where no match of the split pattern can cross: after a letter that no
 letter follows, after a digit that no digit follows, and after a sign that white space follows. There every match ends anyway
 and the next begins, so identifiers are the same; this holds for split patterns of runs of letters, digits and signs with at
-most one blank before them. Only a run of one kind longer than LONG stays in one piece. Characters of the cut are such as all
-versions of Unicode class alike.
+most one blank before them. Characters of the cut are such as all versions of Unicode class alike.
+
+Where the pattern ends in RESTS, a run of white space longer than LONG, which the library's search can't hold, is matched by
+rule: all of it at the end of a text, else all but its last character, which goes with what follows. The piece is then merged
+by the library as any other. Runs of letters, digits or signs stay in one piece of any length; other patterns get texts with
+their white space as it is.
 Decoding joins the raw bytes of the identifiers.
 
 Defined results: null text counts as empty; an empty text has no identifiers; special strings inside texts are ordinary
@@ -23,6 +27,9 @@ from pyspark.sql import functions as F
 
 #: Characters of a text from which it is cut, and of a piece at least.
 LONG = 1 << 16
+#: How a split pattern ends that takes white space up to the last of it, and the characters that it means.
+RESTS = r"\s+(?!\S)|\s+"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Codec:
@@ -37,6 +44,16 @@ class Codec:
         self.boundary = regex.compile(
             rf"(?<=[{letter}])(?=[\x00-@\[-`{{-\x7f、。！？，：；「」])|(?<=[0-9])(?=[\x00-/:-\x7f、。])|(?<=[!-/:-@\[-`{{-~、。！？，：；「」])(?=[ \t\r\n])"
         )
+        self.white = regex.compile(f"[{WHITE}]{{{LONG},}}+") if pattern.endswith(RESTS) else None
+
+    def parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """Parts of a text, and whether each is one match of the pattern: a long run of white space."""
+        lo = 0
+        for m in self.white.finditer(text) if self.white else ():
+            yield text[lo : m.start()], False
+            lo = m.end() - (m.end() < len(text))
+            yield text[m.start() : lo], True
+        yield text[lo:], False
 
     def cuts(self, text: str, size: int = LONG) -> list[str]:
         out, lo = [], 0
@@ -51,7 +68,14 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         if len(text) <= LONG:
             return self.encoding.encode_ordinary(text)
-        return [i for piece in self.cuts(text) for i in self.encoding.encode_ordinary(piece)]
+        ids: list[int] = []
+        for part, whole in self.parts(text):
+            if whole:
+                ids += self.encoding._core_bpe.encode_single_piece(part.encode())
+            else:
+                for piece in self.cuts(part):
+                    ids += self.encoding.encode_ordinary(piece)
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
         return self.encoding.decode_bytes(ids)
