@@ -158,3 +158,15 @@ def test_plan_keeps_recall(n):
     bits, tables = embed_dedup.plan(n)
     meet = (1 - np.arccos(0.9) / np.pi) ** bits
     assert bits == 0 or (1 - meet) ** tables <= embed_dedup.MISS
+
+
+def test_jaccard_join_of_very_many_rows_without_ids(spark):
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrst") * 3 + str(rng.randrange(40)) for _ in range(30)) for _ in range(3000)]
+    texts += [t + " more" for t in texts[:50]]
+    rows = [(None, t) for t in texts] + [(7, t + " seven") for t in texts[100:400]] + [(8, texts[0])] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = jaccard_join.join(docs).groupBy("n_links").count().collect()
+    counts = {r.n_links: r["count"] for r in out}
+    # Texts 1 to 49 and 100 to 399 have one partner; text 0 has its longer form, and 500 copies of its own.
+    assert counts == {0: 3000 - 50 - 300, 1: 2 * 49 + 2 * 300, 501: 502}

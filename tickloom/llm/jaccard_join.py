@@ -109,11 +109,12 @@ def filled(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(texts: DataFrame) -> DataFrame:
-    """doc_id, a, b (128 bits that stand for the row's set), n (its size) and keys (of its bands; none if it is empty)."""
+    """doc_id, row (a hash of id and text), a, b (128 bits that stand for the row's set), n (its size) and keys (of its bands;
+    none if it is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, s, at in sets(batch.column(1)):
+            for lo, hi, s, at in sets(batch.column(2)):
                 some, ends = filled(s, at)
                 a, b = np.zeros((2, hi - lo), np.int64)
                 size = np.diff(at)
@@ -124,11 +125,11 @@ def keyed(texts: DataFrame) -> DataFrame:
                 offsets = np.r_[0, np.cumsum((size > 0) * BANDS)]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64)))
                 yield pa.record_batch(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(a), pa.array(b), pa.array(size, pa.int64()), lists],
-                    names=["doc_id", "a", "b", "n", "keys"],
+                    [*(batch.column(c).slice(lo, hi - lo) for c in (0, 1)), pa.array(a), pa.array(b), pa.array(size, pa.int64()), lists],
+                    names=["doc_id", "row", "a", "b", "n", "keys"],
                 )
 
-    return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, a long, b long, n long, keys array<long>")
+    return texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, row long, a long, b long, n long, keys array<long>")
 
 
 def loaded(members: DataFrame) -> DataFrame:
@@ -140,7 +141,7 @@ def loaded(members: DataFrame) -> DataFrame:
                 some, ends = filled(s, at)
                 if not len(some):
                     continue
-                # Another text under the same id isn't the member.
+                # Another text of the same hash isn't the member.
                 own = np.ones(len(some), bool)
                 for name, values in zip("ab", fingerprints(s, ends), strict=True):
                     own &= values == batch.column(name).slice(lo, hi - lo).to_numpy()[some]
@@ -268,20 +269,22 @@ def join(docs: DataFrame) -> DataFrame:
     n_links counts the other rows linked directly, copies included; component_id is the smallest id reachable by links;
     kept is doc_id = component_id; class_id is the smallest id with an equal set.
     """
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     found = cut(keyed(rows))
     same = ["a", "b", "n"]
-    # The checkpoint keeps the classes' numbers as they are; the keys are the same in all rows of a class.
+    # The checkpoint keeps the classes' numbers as they are; the keys are the same in all rows of a class, and any of its texts does.
     numbered = cut(
         found.where("n > 0").groupBy(*same)
-        .agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
+        .agg(F.min("doc_id").alias("class_id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     classes, bands = numbered.drop("keys"), numbered.select("node", F.posexplode("keys").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w")
     near = bands.join(shared, "key").where("node <> v").select(F.col("node").alias("a"), F.col("v").alias("b"))
-    members = dealt(bands, components(near)).join(classes.select("node", "a", "b", "class_id", "copies"), "node")
-    data = loaded(rows.join(members, rows.doc_id.eqNullSafe(members.class_id)).drop("doc_id", "class_id"))
+    members = dealt(bands, components(near)).join(classes.select("node", "row", "a", "b", "copies"), "node")
+    # A text that stands in many rows of one id comes once: the join has dealt and sorted the rows by their hash already.
+    texts = rows.select("row", "text").join(members, "row").groupBy("row").agg(*[F.first(c).alias(c) for c in ("text", "node", "a", "b", "copies", "grp", "tasks")])
+    data = loaded(texts)
     tasks = (
         data.select("node", "copies", "grp", "sig", "set", F.inline("tasks"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blks") - 1)))
@@ -308,7 +311,9 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 _UPPER = "".join(c for c in map(chr, (*range(65, 91), *range(0xC0, 0xDF))) if c != "×")
-_WORDS = "[0-9A-Za-zÀ-῿₀-⿿぀-\\x{10ffff}]+"
+#: A character of a word (after which more may come), for Java and for DuckDB.
+WORD = "[0-9A-Za-zÀ-῿₀-⿿぀-\\x{10ffff}]"
+_WORDS = f"{WORD}+"
 #: DuckDB SQL for ``join`` over documents, by all shingles that two texts share: for small tables.
 SQL = f"""
     WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_WORDS}') AS w FROM documents),
