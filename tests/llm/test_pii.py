@@ -85,6 +85,20 @@ def test_names_and_values_after_credential_words(spark):
     assert all(r.n_chars == len(r.text) for r in out.where("doc_id = 1").collect())
 
 
+def test_values_and_words_of_any_length(spark):
+    rows = [(n, f"see password: {'x1' * n} and Dr. A{'b' * n} said token=gho_{'a1' * (n // 2)}") for n in (18, 31, 32, 256, 257, 5000)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.digests(pii.detect(docs)).collect():
+        n, k = r.doc_id, 2 * r.doc_id
+        assert r.spans.split(",")[:2] == [f"secret:14:{14 + k}", f"name:{19 + k}:{24 + k + n}"], n
+        assert r.spans.split(",")[2] == f"secret:{36 + k + n}:{40 + k + n + 2 * (n // 2)}"
+
+
+def test_redaction_with_names_of_its_own(spark):
+    docs = spark.createDataFrame([(1, "a@b.cd", "x", "y", "z", 6, "u")], "doc_id long, text string, _pii string, base string, _base string, n_chars long, all string")
+    assert tuple(pii.redacted(docs).first()) == (1, "<EMAIL>", "x", "y", "z", 7, "u") and pii.redacted(docs).columns == docs.columns
+
+
 def test_very_many_matches_in_one_text(spark):
     n = 100_000
     docs = spark.createDataFrame([(1, "a@b.cd 4111111111111111 Dr. Who, " * n), (1, "a@b.cd"), (None, "e@f.gh")], "doc_id long, text string")

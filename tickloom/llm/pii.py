@@ -55,12 +55,12 @@ NAMES = (
     "Francisco Antonio Manuel Carmen Pilar Lucía Isabel Rosa Javier Diego Sofía Elena Pablo Fernando Alejandro"
 ).split()
 GIVEN = r"(?:" + "|".join(NAMES) + r")"
-WORD = r"\p{Lu}\p{Ll}{1,30}+"
+WORD = r"\p{Lu}\p{Ll}++"
 #: A credential word and what stands between it and its value.
 PREFIX = r"(?i:" + CREDENTIAL + r")[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
 CANDIDATE = (
-    r"(?<![\p{L}\p{N}])(?:(?=[TSPABCtspabc])" + PREFIX + r"[^\s\"',;:=<>(){}\[\]]{6,512}+"
-    r"|[A-Fa-f0-9]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_.-]{10,}+"
+    r"(?<![\p{L}\p{N}])(?:(?=[TSPABCtspabc])" + PREFIX + r"[^\s\"',;:=<>(){}\[\]]{6,}+"
+    r"|[A-Fa-f0-9]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_.-]{10,}+"
     r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?"
     r"|[0-9]{3}-[0-9]{2}-[0-9]{4}"
     r"|(?=\p{Lu})(?:(?:" + TITLES + r")\.? " + WORD + "(?: " + WORD + r"){0,2}"
@@ -348,14 +348,15 @@ def redact(text: Column, found: Column) -> Column:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the personal data in their texts replaced, and n_chars, where there is one, to match."""
-    held = detect(docs.withColumnRenamed("base", "_base").withColumnRenamed("all", "_all"), [c for c in _safe(docs.columns)])
+    """The rows of ``docs`` with the personal data in their texts replaced, and n_chars, where there is one, to match.
+
+    Inside, columns go by their place, so that no name of the input's can clash.
+    """
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    held = detect(docs.toDF(*names), names)
     changed = F.size("all") > 0
     out = held.withColumn("text", F.when(changed, redact(F.col("text"), F.col("all"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*[F.col(a).alias(b) for a, b in zip(_safe(docs.columns), docs.columns, strict=True)])
-
-
-def _safe(columns: list[str]) -> list[str]:
-    return [f"_{c}" if c in ("base", "all") else c for c in columns]
+        n = names[docs.columns.index("n_chars")]
+        out = out.withColumn(n, F.when(changed, F.char_length("text")).otherwise(F.col(n)).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*names).toDF(*docs.columns)
