@@ -31,13 +31,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates: that of the smallest id; copies of a kept row go too.
 
     Rows are told apart by id, filled up with zeros so that numbers sort as such and before rows without one, and a digest of 128 bits of the text.
+    Null texts and texts without words link with nothing, and all stay.
     """
+    key = "_key"
+    while key in docs.columns:
+        key = f"_{key}"
     name = F.col("doc_id").cast("string")
     name = F.when(name.isNull(), "~").when(F.char_length(name) < 20, F.lpad(name, 20, "0")).otherwise(name)
-    key = docs.withColumn("_key", F.concat(name, F.lit("-"), F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.col("text").isNull().cast("string")))
-    linked = jaccard_join.join(key.select(F.col("_key").alias("doc_id"), "text"))
-    gone = linked.where("NOT kept").select(F.col("doc_id").alias("_key")).distinct()
-    return key.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).select(docs.columns)
+    worded = F.coalesce(F.col("text").rlike(jaccard_join.WORD), F.lit(False))
+    rows = docs.where(worded).withColumn(key, F.concat(name, F.lit("-"), F.md5(F.col("text").cast("binary"))))
+    linked = jaccard_join.join(rows.select(F.col(key).alias("doc_id"), "text"))
+    gone = linked.where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(gone, key, "left_anti").dropDuplicates([key]).select(docs.columns).unionByName(docs.where(~worded))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
