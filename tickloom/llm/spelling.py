@@ -34,7 +34,7 @@ from tickloom.llm._common import CRC_TABLE, crc_sql, cut, grouped
 
 RUN = re.compile("[a-zÀ-ÿ]+")
 SHORTEST, RAREST, TYPO, TWICE = 5, 3, 97, 2
-MOST, BUCKETS, HELD = 20_000, 64, 400_000
+MOST, BUCKETS, HELD = 20_000, 16, 400_000
 
 
 def tally(text: str, doc_id, counts: dict[str, int], typos: bool) -> None:
@@ -197,13 +197,17 @@ def matched(task: pa.Table) -> pa.RecordBatch | None:
     )
 
 
+def buckets_of(total: int, most: int) -> int:
+    return max(BUCKETS, -(-4 * total // most))
+
+
 def dealt(words: DataFrame, back: bool, total: int, most: int) -> DataFrame:
     """word, n, role (0 asks, 1 is asked for, 2 both), back, key, a, b: the words by bucket, or by pair of blocks."""
     turned = F.reverse("word") if back else F.col("word")
     rows = words.withColumn("turned", turned).withColumn("two", F.left("turned", F.lit(2)))
     large = rows.groupBy("two").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).select("two", F.lit(True).alias("large"))
     rows = cut(rows.join(large, "two", "left"))
-    buckets = max(BUCKETS, -(-4 * total // most))
+    buckets = buckets_of(total, most)
     zero = F.lit(0).alias("a"), F.lit(0).alias("b")
     small = rows.where("large is null").select(
         "word", "n", F.lit(2).alias("role"), F.concat(F.lit("#"), F.pmod(F.xxhash64("two"), F.lit(buckets)).cast("string")).alias("key"), *zero
@@ -235,7 +239,8 @@ def near_pairs(words: DataFrame, most: int = MOST) -> DataFrame:
     """word, near, near_n: all ordered pairs of words that differ by exactly one error, each once."""
     total = words.count()
     tasks = dealt(words, False, total, most).unionByName(dealt(words, True, total, most))
-    pairs = grouped(tasks, ["back", "key", "a", "b"], matched, "word string, near string, near_n long")
+    # A task for each bucket and direction: their work is in the search, not in the bytes that they read.
+    pairs = grouped(tasks, ["back", "key", "a", "b"], matched, "word string, near string, near_n long", 2 * buckets_of(total, most))
     return pairs.groupBy("word", "near").agg(F.first("near_n").alias("near_n"))
 
 
