@@ -1,7 +1,7 @@
 """Sequential operators as folds: one interface for batch and streams.
 
-A fold has ``init()`` and ``step(state, row) -> out``; ``row`` and ``out`` are dictionaries and the state is a mutable object
-of numbers that can be pickled. ``run`` folds the rows of each token in order in one pass for any number of folds, so that
+A fold has ``init()`` and ``step(state, row) -> out``; ``row`` and ``out`` are dictionaries. Its state is a dictionary of the
+numbers that ``state`` lists with their types, and of the ``lists``, whose items are a number or a row of numbers. ``run`` folds the rows of each token in order in one pass for any number of folds, so that
 they share a shuffle; the streaming module runs the same folds over a stored state.
 
 Rows are dealt by key, sorted by Spark (which spills), and streamed through Arrow batches with the state carried along: no
@@ -30,6 +30,7 @@ class Kalman:
     """
 
     outputs = "level double, kalman_gain double, kalman_valid boolean"
+    state, lists = "level double, p double, n long, q double, r double", {}
 
     def init(self):
         return {"level": 0.0, "p": 0.0, "n": 0, "q": PROCESS_NOISE, "r": MEASURE_NOISE}
@@ -55,6 +56,7 @@ class Cusum:
     """Two-sided change detection on the filtered level of the same bar and its variance; both must be valid."""
 
     outputs = "cusum_up double, cusum_down double, cusum_threshold double, cusum_fired int, cusum_valid boolean"
+    state, lists = "up double, down double", {}
 
     def init(self):
         return {"up": 0.0, "down": 0.0}
@@ -86,6 +88,7 @@ class Rsi:
     """Relative strength with Wilder's smoothing, seeded by the mean of the first changes."""
 
     outputs = "rsi double, rsi_valid boolean"
+    state, lists = "last double, n long, gain double, loss double", {}
 
     def init(self):
         return {"last": None, "n": 0, "gain": 0.0, "loss": 0.0}
@@ -114,6 +117,7 @@ class Macd:
     """Difference of two exponential means and its signal line, each seeded by a simple mean."""
 
     outputs = "macd double, macd_signal double, macd_hist double, macd_valid boolean"
+    state, lists = "n long, fast double, slow double, m long, signal double", {}
 
     def init(self):
         return {"n": 0, "fast": 0.0, "slow": 0.0, "m": 0, "signal": 0.0}
@@ -142,6 +146,7 @@ class Volatility:
     """Sample variance of the last valid returns, as the live window operator gives it, with bounded state."""
 
     outputs = "rv_var double, rv_sigma_ann double, rv_valid boolean"
+    state, lists = "", {"r": "x double"}
 
     def __init__(self, window: int = 20, annual: float = 307.4085110396682):
         self.window, self.annual = window, annual
@@ -163,6 +168,7 @@ class Normaliser:
     def __init__(self, signals: list[str], window: int = 252, spread: float = 1e-6):
         self.signals, self.window, self.spread = signals, window, spread
         self.outputs = ", ".join([*(f"z_{s} double" for s in signals), "norm_valid boolean"])
+        self.state, self.lists = "", {"rows": ", ".join(f"x{i} double" for i in range(len(signals)))}
 
     def init(self):
         return {"rows": []}
@@ -177,10 +183,38 @@ class Normaliser:
         return out | {"norm_valid": n >= 2}
 
 
+class Flow:
+    """Direction of trades and order flow against the quotes of the tick before, with their running sums."""
+
+    outputs = "direction int, direction_valid boolean, cum_direction long, ofi long, ofi_valid boolean, cum_ofi long, ofi_norm double"
+    state, lists = "bid double, ask double, bid_size long, ask_size long, directions long, flows long", {}
+
+    def init(self):
+        return {"bid": None, "ask": None, "bid_size": 0, "ask_size": 0, "directions": 0, "flows": 0}
+
+    def step(self, s, row):
+        known = s["bid"] is not None
+        way = flow = 0
+        if known:
+            way = 1 if row["last_price"] >= s["ask"] else -1 if row["last_price"] <= s["bid"] else 0
+            bid = row["bid_size"] if row["bid_price"] > s["bid"] else -s["bid_size"] if row["bid_price"] < s["bid"] else row["bid_size"] - s["bid_size"]
+            ask = row["ask_size"] if row["ask_price"] < s["ask"] else -s["ask_size"] if row["ask_price"] > s["ask"] else row["ask_size"] - s["ask_size"]
+            flow = bid - ask
+        s.update(bid=row["bid_price"], ask=row["ask_price"], bid_size=row["bid_size"], ask_size=row["ask_size"])
+        s["directions"] += way
+        s["flows"] += flow
+        quoted = row["bid_size"] + row["ask_size"]
+        return {
+            "direction": way, "direction_valid": known, "cum_direction": s["directions"], "ofi": flow, "ofi_valid": known, "cum_ofi": s["flows"],
+            "ofi_norm": min(1.0, max(-1.0, flow / quoted)) if quoted else 0.0,
+        }
+
+
 class KyleLambda:
     """Price change on order flow through the origin over the last contributions, with bounded state."""
 
     outputs = "kyle_lambda double, kyle_valid boolean"
+    state, lists = "price double", {"pairs": "dp double, x double"}
 
     def __init__(self, window: int = 20):
         self.window = window
@@ -201,6 +235,7 @@ class Vpin:
     """The volume clock and the metric of the last closed bucket (null before the first), with bounded state."""
 
     outputs = "buckets_completed long, bucket_closed boolean, vpin double"
+    state, lists = "filled long, signed long, done long, vpin double", {"held": "x long"}
 
     def __init__(self, size: int, buckets: int = 50):
         self.size, self.buckets = size, buckets

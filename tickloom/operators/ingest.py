@@ -285,6 +285,7 @@ class SlidingWindow:
     """When each request of a source may go: ``gap_ns`` after the one before, and with at most ``most`` in any ``window_ns``."""
 
     outputs = "sent_ns long"
+    state, lists = "", {"sent": "x long"}
 
     def __init__(self, most: int, window_ns: int = 60_000_000_000, gap_ns: int = 0):
         self.most, self.window, self.gap = most, window_ns, gap_ns
@@ -307,6 +308,7 @@ class TokenBucket:
     """When each request of a source may go, with tokens that fill at a rate up to a burst; each takes one."""
 
     outputs = "sent_ns long, tokens double"
+    state, lists = "tokens double, last long", {}
 
     def __init__(self, rate_per_second: float, burst: float):
         self.rate, self.burst = rate_per_second / 1e9, burst

@@ -24,6 +24,7 @@ class Position:
     """
 
     outputs = "quantity long, avg_cost double, realized double, fees double"
+    state, lists = "q long, cost double, real double, fees double, lot double", {}
 
     def init(self):
         return {"q": 0, "cost": 0.0, "real": 0.0, "fees": 0.0, "lot": 1.0}

@@ -38,8 +38,8 @@ def reason(before: Column, after: Column) -> Column:
 class Book:
     """A strategy's position of one token: entry price by volume, profit after the costs of every leg."""
 
-    def __init__(self):
-        self.quantity, self.entry, self.realized = 0, 0.0, 0.0
+    def __init__(self, quantity: int = 0, entry: float = 0.0, realized: float = 0.0):
+        self.quantity, self.entry, self.realized = quantity, entry, realized
 
     def fill(self, n: int, price: float) -> None:
         size = abs(n)
@@ -56,9 +56,49 @@ class Book:
         self.quantity = after
 
 
+def trades(before: int, desired: int, confidence: float) -> bool:
+    """Whether a signal changes the position, and flips it, moves it by MIN_TRADE, or is HYSTERESIS away from it."""
+    delta = desired - before
+    moved = abs(delta) >= MIN_TRADE or abs(confidence - abs(before) / UNITS) >= HYSTERESIS
+    return delta != 0 and (moved or before * desired < 0)
+
+
+class Intents:
+    """The position of a token after each signal, as a fold: ``traded`` tells the signals that become intents."""
+
+    outputs = "before long, after long, realized double, traded boolean"
+    state, lists = "quantity long, entry double, realized double", {}
+
+    def init(self):
+        return {"quantity": 0, "entry": 0.0, "realized": 0.0}
+
+    def step(self, s, row):
+        before = s["quantity"]
+        go = trades(before, row["desired"], row["confidence"])
+        if go:
+            book = Book(**s)
+            book.fill(row["desired"] - before, row["price"])
+            s.update(vars(book))
+        return {"before": before, "after": s["quantity"], "realized": s["realized"], "traded": go}
+
+
 OUT = "token long, ts_ns long, seq long, before long, after long, price double, confidence double, realized double, gain double"
 
 
+def wanted(signals: DataFrame, hours: bool = False) -> DataFrame:
+    """The signals that may trade, with the units that they want to hold."""
+    rows = signals.where("action <> 0").withColumn("desired", target(F.col("action"), F.col("confidence")))
+    if hours:
+        rows = rows.where(market_open(F.col("ts_ns")))
+    return rows.withColumn("price", F.col("price").cast("double"))
+
+
+def explained(made: DataFrame) -> DataFrame:
+    """Intents with quantity, side and reason of their change from before to after."""
+    delta = F.col("after") - F.col("before")
+    return made.withColumns({"qty": F.abs(delta), "side": F.signum(delta).cast("int"), "reason": reason(F.col("before"), F.col("after"))})
+
+
 def intents(signals: DataFrame, loss_limit: float | None = None, hours: bool = False) -> DataFrame:
     """Order intents from signals (token, ts_ns, seq, action, confidence, price).
 
@@ -67,22 +107,17 @@ def intents(signals: DataFrame, loss_limit: float | None = None, hours: bool = F
     nothing can lift it again: tokens fold in parallel as without a limit, and the intents up to the first that breaks it, in
     order of time, token and sequence, stay.
     """
-    rows = signals.where("action <> 0").withColumn("desired", target(F.col("action"), F.col("confidence")))
-    if hours:
-        rows = rows.where(market_open(F.col("ts_ns")))
-    rows = rows.withColumn("price", F.col("price").cast("double"))
+    rows = wanted(signals, hours)
 
     def start():
         book = Book()
 
         def step(r):
             before = book.quantity
-            delta = r.desired - before
-            moved = abs(delta) >= MIN_TRADE or abs(r.confidence - abs(before) / UNITS) >= HYSTERESIS
-            if delta == 0 or not (moved or before * r.desired < 0):
+            if not trades(before, r.desired, r.confidence):
                 return None
             was = book.realized
-            book.fill(delta, r.price)
+            book.fill(r.desired - before, r.price)
             return [(r.token, r.ts_ns, r.seq, before, book.quantity, r.price, r.confidence, book.realized, book.realized - was)]
 
         return step, lambda: ()
@@ -94,8 +129,7 @@ def intents(signals: DataFrame, loss_limit: float | None = None, hours: bool = F
         # One row: the first intent after which the limit is broken; none at all where nothing may be traded from the start.
         first = total.agg(F.min(F.when(F.col("total") <= loss_limit, at)).alias("broken"))
         made = made.join(F.broadcast(first), F.col("broken").isNull() | (at <= F.col("broken"))).drop("broken").where(F.lit(loss_limit < 0))
-    delta = F.col("after") - F.col("before")
-    return made.drop("gain").withColumns({"qty": F.abs(delta), "side": F.signum(delta).cast("int"), "reason": reason(F.col("before"), F.col("after"))})
+    return explained(made.drop("gain"))
 
 
 def rounded_half_away(x: float) -> int:

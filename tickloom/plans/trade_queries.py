@@ -31,9 +31,13 @@ def simulated(s, d):
 
 def filled(s, d):
     """Fills from the event table: each tick trades its quantity, by the parity of its id; segment and lot go by the token."""
+    return fills_of(A.ticks(s, d))
+
+
+def fills_of(ticks, *more):
     segment = (F.col("token") % 9 + 1).cast("int")
-    orders = A.ticks(s, d).select(
-        "token", "ts_ns", "seq", F.when(F.col("seq") % 3 == 0, -1).otherwise(1).alias("side"), F.col("last_quantity").alias("units"),
+    orders = ticks.select(
+        *more, "token", "ts_ns", "seq", F.when(F.col("seq") % 3 == 0, -1).otherwise(1).alias("side"), F.col("last_quantity").alias("units"),
         F.col("last_quantity").cast("double").alias("quantity"), F.col("last_price").alias("price"), segment.alias("segment"),
         F.when(segment <= 2, 1.0).otherwise(25.0).alias("lot"),
     )

@@ -22,8 +22,16 @@ def epoch_ns(ts: Column) -> Column:
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks from ``events``: one token a user, quotes on a grid of 25 around the price."""
-    e = read(spark, sf_dir, "events")
-    return e.select(
+    return tick_rows(read(spark, sf_dir, "events"))
+
+
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    return spark.readStream.schema(read(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
+
+
+def tick_rows(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("user_id").alias("token"),
         F.col("event_id").alias("seq"),
         epoch_ns(F.col("ts")).alias("ts_ns"),
