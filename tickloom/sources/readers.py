@@ -1,11 +1,8 @@
-"""Sources: candle and instrument JSON, CSV, binary tick files, tick scans and wire ticks."""
+"""Sources: candle and instrument JSON, CSV, tick scans and wire ticks; the form of binary tick files."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,39 +144,6 @@ def with_tokens(keys: DataFrame, dim: DataFrame) -> DataFrame:
     )
 
 
-def binary_ticks(spark: SparkSession, path: str) -> DataFrame:
-    """Records of binary tick files, a file a task; a bad header or a cut file raises."""
-    return decoded_ticks(spark.read.format("binaryFile").load(path).select("path", "content"))
-
-
-def decoded_ticks(files: DataFrame) -> DataFrame:
-    """Records of binary tick files given as rows (path, content)."""
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data = content.as_buffer()
-                if len(data) < HEADER.itemsize:
-                    raise ValueError(f"{name}: no header")
-                head = np.frombuffer(data, HEADER, 1)[0]
-                if head["magic"] != MAGIC:
-                    raise ValueError(f"{name}: not a tick file")
-                if head["version"] != VERSION:
-                    raise ValueError(f"{name}: version {head['version']}")
-                if head["size"] != RECORD.itemsize:
-                    raise ValueError(f"{name}: records of {head['size']} bytes")
-                n = int(head["count"])
-                if len(data) < HEADER.itemsize + n * RECORD.itemsize:
-                    raise ValueError(f"{name}: cut off")
-                rows = np.frombuffer(data, RECORD, n, HEADER.itemsize)
-                for lo in range(0, n, CHUNK_RECORDS):
-                    part = rows[lo : lo + CHUNK_RECORDS]
-                    columns = [pa.array(part[c].astype(np.int64 if c in ("ts_ns", "token", "volume") else np.float32)) for c in RECORD.names]
-                    yield pa.record_batch([pa.array([name] * len(part)), *columns], names=["path", *RECORD.names])
-
-    return files.select("path", "content").mapInArrow(decode, TICK_SCHEMA)
-
-
 def candle_scan(candles: DataFrame, symbol: str, interval: str, first_ns: int, last_ns: int) -> DataFrame:
     """Candles of a symbol and interval in an inclusive range, in order, with their typical price as vwap."""
     rows = candles.where((F.col("symbol") == symbol) & (F.col("interval") == interval) & F.col("ts_ns").between(first_ns, last_ns))

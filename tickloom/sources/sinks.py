@@ -1,14 +1,13 @@
-"""Sinks: partitioned tables, keyed snapshots, bounded streams, binary tick files."""
+"""Sinks: partitioned tables, keyed snapshots, bounded streams."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom import schemas
-from tickloom.sources.readers import HEADER, MAGIC, RECORD, VERSION
+from tickloom.sources.published import Published
 
 #: Tables that are written by day, with their columns.
 TABLES = {"candles": schemas.CANDLE, "backtest_ticks": schemas.BACKTEST_TICK, "bars": schemas.ENHANCED_BAR, "signals": schemas.SIGNAL}
@@ -32,31 +31,12 @@ def write_table(rows: DataFrame, root: str, name: str, mode: str = "append") ->
 
 
 def publish(stream: DataFrame, path: str, capacity: int, checkpoint: str):
-    """A stream of which the newest ``capacity`` rows are kept: each micro-batch writes the next version of the (small) table.
+    """A stream of which the newest ``capacity`` rows are kept, by a sink that commits each micro-batch once; the result is the query.
 
-    ``published`` reads the newest version. Versions before the last two are emptied by overwriting; the result is the query.
+    ``published.newest`` reads it.
     """
-
-    def write(batch: DataFrame, number: int) -> None:
-        held = published(batch.sparkSession, path, before=number)
-        drop_oldest(held.unionByName(batch) if held is not None else batch, capacity).write.mode("overwrite").parquet(f"{path}/version={number}")
-        if number >= 2:
-            batch.limit(0).write.mode("overwrite").parquet(f"{path}/version={number - 2}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
-
-
-def published(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of a published table, or that before a number; None where there is none yet."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        rows = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    rows = rows if before is None else rows.where(F.col("version") < before)
-    newest = rows.agg(F.max("version")).first()[0]
-    return None if newest is None else rows.where(F.col("version") == newest).drop("version")
+    stream.sparkSession.dataSource.register(Published)
+    return stream.writeStream.format("published").option("path", path).option("capacity", capacity).option("checkpointLocation", checkpoint).start()
 
 
 def overflow(rows: DataFrame, capacity: int, key: str) -> DataFrame:
@@ -82,20 +62,3 @@ def latest_snapshot(rows: DataFrame, key: str) -> DataFrame:
     """The newest row of each key, as a keyed store would hold it."""
     row = F.struct(*[c for c in rows.columns if c != key])
     return rows.groupBy(key).agg(F.max_by(row, F.struct("ts_ns", "seq")).alias("r")).select(key, "r.*")
-
-
-def binary_files(ticks: DataFrame) -> DataFrame:
-    """token, content: each token's ticks as one binary file, which is what the format asks for; tokens without ticks give none."""
-
-    def encode(frame):
-        import pandas as pd
-
-        frame = frame.sort_values("ts_ns", kind="stable")
-        rows = np.zeros(len(frame), RECORD)
-        for c in RECORD.names:
-            rows[c] = frame[c]
-        head = np.zeros(1, HEADER)
-        head[0] = (MAGIC, VERSION, rows["token"][0], rows["ts_ns"][0], rows["ts_ns"][-1], len(rows), RECORD.itemsize, 0, (0, 0))
-        return pd.DataFrame({"token": [int(rows["token"][0])], "content": [head.tobytes() + rows.tobytes()]})
-
-    return ticks.select(*RECORD.names).groupBy("token").applyInPandas(encode, "token long, content binary")

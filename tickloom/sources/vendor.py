@@ -1,8 +1,10 @@
-"""Data vendors as a Spark data source: history as a batch, with a task for each symbol, and live ticks as a stream.
+"""Data vendors as a Spark data source: history as a batch and live ticks as a stream, with a task for each symbol.
 
 A vendor is a class with ``authenticate(options)``, ``connect()``, ``subscribe(symbols)``, ``fetch_historical(symbol, first_ns,
-last_ns)`` (rows) and ``poll(after)`` (rows after a position, and the next position). It is named by the option ``adapter`` as
-module:Class, and made and authenticated where it is used, so that no connection is sent anywhere.
+last_ns)`` (rows), ``fetch_live(symbol, after, until)`` (rows after one position and up to another) and, as a static method,
+``position(options)``: how far a batch may read, by the clock for instance. It is named by the option ``adapter`` as module:Class,
+and made and authenticated on the executor that reads a symbol, so that no connection is sent anywhere; the driver calls
+``position`` alone. Each symbol has its own offset, which a restart goes on from; a symbol that is new begins at ``after``.
 
     spark.dataSource.register(VendorSource)
     spark.read.format("vendor").options(adapter="my.module:Feed", symbols="A,B", first_ns=0, last_ns=10**18).load()
@@ -13,18 +15,22 @@ from __future__ import annotations
 import importlib
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "symbol string, ts_ns bigint, last_price double, last_quantity bigint"
 
 
-def vendor(options: dict):
-    """The vendor of the options, authenticated, connected and subscribed."""
+def adapter(options: dict):
     module, name = options["adapter"].split(":")
-    made = getattr(importlib.import_module(module), name)()
+    return getattr(importlib.import_module(module), name)
+
+
+def vendor(options: dict, wanted: list[str]):
+    """The vendor of the options, authenticated, connected and subscribed."""
+    made = adapter(options)()
     made.authenticate(options)
     made.connect()
-    made.subscribe(symbols(options))
+    made.subscribe(wanted)
     return made
 
 
@@ -43,7 +49,7 @@ class VendorSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return History(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return Live(dict(self.options))
 
 
@@ -55,26 +61,32 @@ class History(DataSourceReader):
         return [InputPartition(s) for s in symbols(self.options)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        rows = vendor(self.options).fetch_historical(partition.value, int(self.options["first_ns"]), int(self.options["last_ns"]))
-        yield from map(tuple, rows)
+        made = vendor(self.options, [partition.value])
+        yield from map(tuple, made.fetch_historical(partition.value, int(self.options["first_ns"]), int(self.options["last_ns"])))
+
+
+class Span(InputPartition):
+    def __init__(self, symbol: str, after: int, until: int):
+        self.symbol, self.after, self.until = symbol, after, until
 
 
-class Live(SimpleDataSourceStreamReader):
+class Live(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.options, self.made = options, None
+        self.options = options
+
+    def begin(self) -> int:
+        return int(self.options.get("after", 0))
 
     def initialOffset(self) -> dict:
-        return {"after": int(self.options.get("after", 0))}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        if self.made is None:
-            self.made = vendor(self.options)
-        rows, after = self.made.poll(start["after"])
-        return iter([tuple(r) for r in rows]), {"after": after}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        rows, after = self.read(start)
-        while after["after"] < end["after"]:
-            more, after = self.read(after)
-            rows = iter([*rows, *more])
-        return rows
+        return {s: self.begin() for s in symbols(self.options)}
+
+    def latestOffset(self) -> dict:
+        now = int(adapter(self.options).position(self.options))
+        return {s: now for s in symbols(self.options)}
+
+    def partitions(self, start: dict, end: dict) -> list[Span]:
+        spans = [Span(s, start.get(s, self.begin()), until) for s, until in end.items()]
+        return [x for x in spans if x.after < x.until]
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        yield from map(tuple, vendor(self.options, [partition.symbol]).fetch_live(partition.symbol, partition.after, partition.until))
