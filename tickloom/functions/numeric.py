@@ -33,15 +33,21 @@ def floor_to(ts: Column, width_ns: int, offset_ns: int = 0) -> Column:
     return shifted - F.pmod(shifted, F.lit(width_ns))
 
 
-def running_total(rows: DataFrame, value: str, order: list[str], name: str, slice_ns: int = 3_600_000_000_000) -> DataFrame:
+SECOND, HOUR = 1_000_000_000, 3_600_000_000_000
+
+
+def running_total(rows: DataFrame, value: str, order: list[str], name: str) -> DataFrame:
     """The rows with the running total of a value over all of them in order, which begins with ts_ns.
 
-    The order is global. Values are summed by hour first, so that the running total in one task is over hours only, and the
-    running sums within the hours run in parallel.
+    The order is global. Values are summed by second and by hour first: a task holds the rows of a second, or the seconds of an
+    hour, and only the hours come together in one.
     """
-    sliced = rows.withColumn("_slice", F.floor(F.col("ts_ns") / slice_ns).cast("long"))
-    sums = sliced.groupBy("_slice").agg(F.sum(value).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    within = F.sum(value).over(W.partitionBy("_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    out = sliced.join(sums.select("_slice", before.alias("_before")), "_slice").withColumn(name, F.col("_before") + within)
-    return out.drop("_slice", "_before")
+    sliced = rows.withColumns({"_second": F.floor(F.col("ts_ns") / SECOND).cast("long"), "_hour": F.floor(F.col("ts_ns") / HOUR).cast("long")})
+    before = lambda w: F.coalesce(F.sum("_sum").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    seconds = sliced.groupBy("_hour", "_second").agg(F.sum(value).alias("_sum"))
+    hours = seconds.groupBy("_hour").agg(F.sum("_sum").alias("_sum")).select("_hour", before(W.orderBy("_hour")).alias("_hours"))
+    within = seconds.select("_hour", "_second", before(W.partitionBy("_hour").orderBy("_second")).alias("_seconds"))
+    carried = within.join(hours, "_hour").select("_second", (F.col("_hours") + F.col("_seconds")).alias("_before"))
+    run = F.sum(value).over(W.partitionBy("_second").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    out = sliced.join(carried, "_second").withColumn(name, F.col("_before") + run)
+    return out.drop("_second", "_hour", "_before")

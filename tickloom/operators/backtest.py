@@ -191,6 +191,7 @@ def simulate(joined: DataFrame, strategy, cfg: Config = Config()) -> DataFrame:
     """Trades and equity points of every token, replayed in order; tokens run in parallel, and an open position is closed at the end.
 
     A token whose rows the strategy can't take gives an event of kind error with what went wrong, and no more; the others go on.
+    Each token's last event is of kind end, with what its account holds.
     """
     needed = ["token", "ts_ns", "seq", "last_price", "volume", *strategy.columns]
 
@@ -221,6 +222,7 @@ def simulate(joined: DataFrame, strategy, cfg: Config = Config()) -> DataFrame:
             row = seen["row"]
             if account.quantity and not seen["failed"]:
                 account.order(row.token, row.ts_ns, row.last_price, -1, account.quantity, 2)
+            account.events.append((row.token, "end", row.ts_ns, *[None] * 7, account.equity, None))
             return said()
 
         return step, finish
@@ -236,20 +238,38 @@ def run_status(events: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
-def trade_statistics(trades: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """Per token: counts, sums, averages, extremes, win rate, profit factor (infinite without losses), expectancy.
+def run_summary(events: DataFrame) -> DataFrame:
+    """As ``run_status`` and ``trade_statistics`` in one aggregation over the events of all tokens, each of which has one at its end."""
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    own = events.select("token", "kind", "note", *[of("trade", c).alias(c) for c in ("net_pnl", "gross_pnl", "commission")])
+    failed = F.min(of("error", "note"))
+    stats = own.groupBy("token").agg(F.when(failed.isNull(), "ok").otherwise("error").alias("status"), failed.alias("note"), *trade_sums())
+    return derived_statistics(stats)
 
-    A trade without profit or loss counts in ``trades`` only. Tokens without trades have zeros throughout.
-    """
+
+def trade_sums() -> list[Column]:
+    """Sums over the rows that have a net_pnl."""
     net = F.col("net_pnl")
     win, loss = F.when(net > 0, net), F.when(net < 0, net)
-    stats = trades.groupBy("token").agg(
-        F.count(F.lit(1)).alias("trades"), F.count(win).alias("wins"), F.count(loss).alias("losses"), F.sum("gross_pnl").alias("gross"),
+    return [
+        F.count(net).alias("trades"), F.count(win).alias("wins"), F.count(loss).alias("losses"), F.sum("gross_pnl").alias("gross"),
         F.sum("commission").alias("commission"), F.sum(net).alias("net"), F.sum(win).alias("won"), F.sum(loss).alias("lost"),
         F.max(win).alias("largest_win"), F.min(loss).alias("largest_loss"),
-    )
+    ]
+
+
+def trade_statistics(trades: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """Per token: counts, sums, averages, extremes, win rate, profit factor (infinite without losses), expectancy.
+
+    A trade without profit or loss counts in ``trades`` only. Tokens without trades have zeros throughout.
+    """
+    stats = trades.groupBy("token").agg(*trade_sums())
     if tokens is not None:
         stats = tokens.select("token").distinct().join(stats, "token", "left")
+    return derived_statistics(stats)
+
+
+def derived_statistics(stats: DataFrame) -> DataFrame:
     out = stats.fillna(0)
     average_win, average_loss = ratio(F.col("won"), F.col("wins")), ratio(F.col("lost"), F.col("losses"))
     rate = ratio(F.col("wins").cast("double"), F.col("trades"))

@@ -12,7 +12,7 @@ from pyspark.sql.window import WindowSpec
 from tickloom.functions.numeric import clamped, div, floor_to, ratio
 
 #: Windows, gates and cost rates.
-NORM_WINDOW, KELLY_GATE, SIZE, ODDS, SPREAD, STRONG = 252, 0.10, 100, 1.0, 1e-6, 1 + 1e-9
+NORM_WINDOW, KELLY_GATE, SIZE, ODDS, SPREAD, STRONG = 252, 0.10, 100, 1.0, 1e-12, 1 + 1e-9
 BAR_YEARS, DECAY_BASE, DECAY_COVERAGE, DECAY_VOLUME, DECAY_VARIANCE = 1 / 94_500, 0.10, 0.01, 0.0, 5.0
 BROKERAGE, SELL_TAX, TICK, SLIP_TICKS = 20.0, 0.00025, 0.05, 2
 
@@ -50,7 +50,7 @@ def closing_snapshots(snapshots: DataFrame, width_ns: int, offset_ns: int = 0) -
 def normalised(bars: DataFrame, signals: list[str], window: int = NORM_WINDOW) -> DataFrame:
     """z_<signal> and norm_valid: rolling z-scores; the raw value where a window has one row, 0 where it has no spread.
 
-    A spread under SPREAD of the mean is none: sums of equal numbers differ by rounding.
+    A spread under SPREAD of the mean, the size of rounding, is none: numbers that are equal but for it have no spread.
     """
     w = by_token().rowsBetween(1 - window, 0)
     n = F.count(F.lit(1)).over(w)
@@ -61,6 +61,24 @@ def normalised(bars: DataFrame, signals: list[str], window: int = NORM_WINDOW) -
     return bars.withColumns(out | {"norm_valid": n >= 2})
 
 
+def information_coefficients(bars: DataFrame, signals: list[str]) -> DataFrame:
+    """slot, signal, ic: the correlation of each signal's z-score with the return of the token's next bar; 0 where there is none."""
+    ahead = F.lead("log_return").over(by_token())
+    rows = bars.withColumn("_next", ahead).where(F.col("norm_valid") & F.col("_next").isNotNull())
+    each = rows.agg(*[F.coalesce(F.nanvl(F.corr(f"z_{s}", "_next"), F.lit(None)), F.lit(0.0)).alias(s) for s in signals])
+    return each.select(F.posexplode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("ic")) for s in signals])).alias("slot", "_s")).select(
+        F.col("slot").cast("long").alias("slot"), "_s.*"
+    )
+
+
+def weights_of(ics: DataFrame) -> DataFrame:
+    """The coefficients (one row a slot) with their weight, as ``ic_weights`` gives it."""
+    every = W.partitionBy()
+    kept = F.greatest(F.col("ic"), F.lit(0.0))
+    total = F.sum(kept).over(every)
+    return ics.withColumn("weight", F.when(total > 0, kept / total).otherwise(1 / F.count(F.lit(1)).over(every)))
+
+
 def ic_weights(ics: list[float]) -> list[float]:
     """Weights from information coefficients: negative ones count 0; equal weights if none is positive."""
     kept = [max(0.0, x) for x in ics]

@@ -165,7 +165,7 @@ class Volatility:
 class Normaliser:
     """Rolling z-scores of signals, as the window operator gives them, with bounded state."""
 
-    def __init__(self, signals: list[str], window: int = 252, spread: float = 1e-6):
+    def __init__(self, signals: list[str], window: int = 252, spread: float = 1e-12):
         self.signals, self.window, self.spread = signals, window, spread
         self.outputs = ", ".join([*(f"z_{s} double" for s in signals), "norm_valid boolean"])
         self.state, self.lists = "", {"rows": ", ".join(f"x{i} double" for i in range(len(signals)))}

@@ -44,6 +44,26 @@ def gamma_exposure(strikes: DataFrame, thresholds: DataFrame, rate: float, years
     return out.drop("_spot").withColumn("regime", regime)
 
 
+def exposure_profile(strikes: DataFrame, single: Column, rate: float, years: float, lot: int, chains: DataFrame | None = None) -> DataFrame:
+    """As ``gamma_exposure`` with the thresholds of ``single``, the exposure of each strike: all in one aggregation by chain.
+
+    ``chains`` (chain) may be named that have no strikes.
+    """
+    both, n = F.percentile(single, F.array(F.lit(0.05), F.lit(0.95))), F.count(single)
+    side = lambda s: F.coalesce(F.sum(F.when(F.col("strike") > 0, F.col(f"oi_{s}") * gamma(F.col("spot"), F.col("strike"), rate, F.col(f"iv_{s}"), years))), F.lit(0.0))
+    out = strikes.groupBy("chain").agg(
+        (lot * (side("call") - side("put"))).alias("gex"), F.max("spot").alias("_spot"),
+        F.when(n >= 2, both[0]).otherwise(-1e6).alias("low"), F.when(n >= 2, both[1]).otherwise(1e6).alias("high"),
+    )
+    if chains is not None:
+        out = out.join(chains.select("chain").distinct(), "chain", "full")
+    good = F.coalesce(F.col("_spot") > 0, F.lit(False)) & F.lit(years > 0)
+    zero = lambda c: F.when(good, F.col(c)).otherwise(0.0)
+    out = out.select("chain", *[zero(c).alias(c) for c in ("gex", "low", "high")], good.alias("valid"))
+    regime = F.when(F.col("valid") & (F.col("gex") > F.col("high")), 1).when(F.col("valid") & (F.col("gex") < F.col("low")), -1).otherwise(0)
+    return out.withColumn("regime", regime)
+
+
 def at_the_money(strikes: DataFrame) -> DataFrame:
     """The strike nearest to the spot of each chain, the first in order on a tie."""
     rank = F.struct(F.abs(F.col("strike") - F.col("spot")), "ord")

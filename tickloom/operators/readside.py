@@ -75,6 +75,17 @@ def flat_positions(portfolios: DataFrame) -> DataFrame:
     return portfolios.select(*plain, F.inline("positions"))
 
 
+def injected_after(ticks: DataFrame, step_ns: int, n: int) -> DataFrame:
+    """n synthetic ticks of each token at its newest price, step_ns apart, after its newest tick; seq goes on from there."""
+    last = ticks.groupBy("token").agg(F.max_by(F.struct("ts_ns", "seq", "last_price"), F.struct("ts_ns", "seq")).alias("r")).select("token", "r.*")
+    each = last.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
+    price = F.col("last_price")
+    return each.select(
+        "token", (F.col("seq") + F.col("_k")).alias("seq"), (F.col("ts_ns") + F.col("_k") * step_ns).alias("ts_ns"), price.alias("last_price"),
+        (price - 0.05).alias("bid_price"), (price + 0.05).alias("ask_price"),
+    )
+
+
 def injected(token: int, price: float, start_ns: int, step_ns: int, n: int, spark) -> DataFrame:
     """n synthetic ticks of one token at a fixed price, step_ns apart."""
     return spark.range(n).select(

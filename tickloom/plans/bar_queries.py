@@ -80,10 +80,9 @@ def atm(s, d):
 
 
 def exposures(s, d):
-    """History for the thresholds: each chain's strikes as single exposures."""
-    history = A.chains(s, d).withColumn("one", (F.col("oi_call") - F.col("oi_put")).cast("double") * LOT * 0.01)
-    listed = A.chains(s, d).select("chain", "spot").distinct().unionByName(s.createDataFrame([("none listed", 100.0)], "chain string, spot double"))
-    return options.gamma_exposure(A.chains(s, d), D.exposure_thresholds(history, "chain", "one"), RATE, YEARS, LOT, listed)
+    """The thresholds are those of each chain's strikes as single exposures."""
+    single = (F.col("oi_call") - F.col("oi_put")).cast("double") * LOT * 0.01
+    return options.exposure_profile(A.chains(s, d), single, RATE, YEARS, LOT, s.createDataFrame([("none listed",)], "chain string"))
 
 
 def parameters(s, d):
@@ -125,7 +124,9 @@ QUERIES = {
     "e14_annual_volatility": lambda s, d: S.buffer_features(bars(s, d)).select("token", "ts_ns", q(F.col("ann_vol"), 4).alias("ann_vol")),
     "f1_signal_bundle": lambda s, d: rounded(bundle(s, d), SIGNALS),
     "f2_normaliser": lambda s, d: rounded(D.normalised(bundle(s, d), SIGNALS), [f"z_{x}" for x in SIGNALS], "norm_valid"),
-    "f3_ic_weights": lambda s, d: s.createDataFrame([(i, float(w)) for i, w in enumerate(WEIGHTS)], "slot long, weight double"),
+    "f3_ic_weights": lambda s, d: D.weights_of(D.information_coefficients(D.normalised(bundle(s, d), SIGNALS), SIGNALS)).select(
+        "slot", "signal", q(F.col("ic"), 4).alias("ic"), q(F.col("weight"), 4).alias("weight")
+    ),
     "f4_composite": lambda s, d: rounded(scored(s, d), ["score", "quality", "p_win", "kelly_half"]),
     "f5_signal_decay": lambda s, d: rounded(
         decayed(s, d, folded(s, d, [folds.Kalman()], ["token", "ts_ns", "volume", "rv_var"])), ["decay_rate", "decayed_level"]
@@ -177,7 +178,7 @@ BOLL = f"""bb0 AS (SELECT *, avg(close) OVER w AS m, stddev_pop(close) OVER w AS
         CASE WHEN bb_valid THEN 4 * sd / greatest(m, 1e-10::DOUBLE) ELSE 0.0::DOUBLE END AS bandwidth FROM bb0)"""
 W252 = "WINDOW w AS (PARTITION BY token ORDER BY ts_ns ROWS 251 PRECEDING)"
 _norm = lambda signals: ", ".join(
-    f"CASE WHEN count(*) OVER w < 2 THEN {x} WHEN stddev_samp({x}) OVER w > abs(avg({x}) OVER w) * 1e-6::DOUBLE THEN ({x} - avg({x}) OVER w) / stddev_samp({x}) OVER w ELSE 0.0::DOUBLE END AS z_{x}"
+    f"CASE WHEN count(*) OVER w < 2 THEN {x} WHEN stddev_samp({x}) OVER w > abs(avg({x}) OVER w) * 1e-12::DOUBLE THEN ({x} - avg({x}) OVER w) / stddev_samp({x}) OVER w ELSE 0.0::DOUBLE END AS z_{x}"
     for x in signals
 )
 NORM = f"{BUNDLE}, n AS (SELECT *, count(*) OVER w >= 2 AS norm_valid, {_norm(SIGNALS)} FROM bn {W252})"
@@ -275,8 +276,10 @@ ORACLES = {
     "e14_annual_volatility": f"{BUF} SELECT token, ts_ns, {P('ann_vol', 4)} AS ann_vol FROM u",
     "f1_signal_bundle": f"{BUNDLE} SELECT token, ts_ns, {ROUND(*SIGNALS)} FROM bn",
     "f2_normaliser": f"{NORM} SELECT token, ts_ns, norm_valid, {ROUND(*[f'z_{x}' for x in SIGNALS])} FROM n",
-    "f3_ic_weights": f"""SELECT (i - 1)::BIGINT AS slot, greatest(ic, 0) / sum(greatest(ic, 0)) OVER () AS weight
-        FROM (VALUES {', '.join(f'({i + 1}, {x!r}::DOUBLE)' for i, x in enumerate(ICS))}) t(i, ic)""",
+    "f3_ic_weights": f"""{NORM}, nx AS (SELECT *, lead(log_return) OVER (PARTITION BY token ORDER BY ts_ns) AS next FROM n),
+        ics AS (SELECT unnest([{", ".join(f"coalesce(corr(z_{x}, next), 0.0::DOUBLE)" for x in SIGNALS)}]) AS ic, unnest([{", ".join(f"'{x}'" for x in SIGNALS)}]) AS signal,
+            unnest(range({len(SIGNALS)})) AS slot FROM nx WHERE norm_valid AND next IS NOT NULL)
+        SELECT slot, signal, {P('ic', 4)} AS ic, {P('CASE WHEN sum(greatest(ic, 0)) OVER () > 0 THEN greatest(ic, 0) / sum(greatest(ic, 0)) OVER () ELSE 1.0::DOUBLE / count(*) OVER () END', 4)} AS weight FROM ics""",
     "f4_composite": f"{SCORED} SELECT token, ts_ns, {ROUND('score', 'quality', 'p_win', 'kelly_half')} FROM k",
     "f5_signal_decay": f"""{_KALMAN} SELECT v.token, v.ts_ns, {P('0.1::DOUBLE + 5.0::DOUBLE * rv_var', 6)} AS decay_rate,
         {P('coalesce(CASE WHEN kf.n > 1 THEN level END, 0.0::DOUBLE) * exp(-(0.1::DOUBLE + 5.0::DOUBLE * rv_var) / 94500)', 6)} AS decayed_level FROM v LEFT JOIN kf USING (token, ts_ns)""",

@@ -297,7 +297,7 @@ QUERIES = {
         customers(s, d), F.col("c_mktsegment") == "BUILDING", {"c_acctbal": F.col("c_acctbal") * 2, "c_mktsegment": F.lit("DONE")}
     ),
     "j14_flat_positions": lambda s, d: J.flat_positions(portfolios(s, d)),
-    "j14_injected_ticks": lambda s, d: J.injected(99, 100.25, T0, 1_000_000_000, 25, s).select("token", "seq", "ts_ns", "last_price"),
+    "j14_injected_ticks": lambda s, d: J.injected_after(A.ticks(s, d), 1_000_000_000, 25).select("token", "seq", "ts_ns", "last_price"),
     "j6_tail": lambda s, d: J.tail(A.ticks(s, d), 900).select("token", "seq"),
     "j7_latest_date": lambda s, d: J.of_latest_date(A.read(s, d, "orders"), "o_orderdate").select("o_orderkey"),
     "j8_distinct_times": lambda s, d: A.read(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct().orderBy("day"),
@@ -364,7 +364,8 @@ ORACLES = {
     "j12_update_where": """SELECT c_custkey, c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal,
         CASE WHEN c_mktsegment = 'BUILDING' THEN 'DONE' ELSE c_mktsegment END AS c_mktsegment FROM customer""",
     "j14_flat_positions": f"{TK} SELECT token, (sum(last_quantity) OVER (PARTITION BY token))::BIGINT AS units, seq, last_price FROM ticks QUALIFY seq % 3 = 0",
-    "j14_injected_ticks": f"SELECT 99::BIGINT AS token, i AS seq, {T0} + i * 1000000000 AS ts_ns, 100.25::DOUBLE AS last_price FROM range(25) t(i)",
+    "j14_injected_ticks": f"""{TK}, l AS (SELECT * FROM ticks QUALIFY row_number() OVER (PARTITION BY token ORDER BY ts_ns DESC, seq DESC) = 1)
+        SELECT token, seq + i AS seq, ts_ns + i * 1000000000 AS ts_ns, last_price FROM l, range(1, 26) t(i)""",
     "a7_iso_times": """SELECT event_id, epoch_us(date_trunc('second', ts)) * 1000 AS utc_ns, (epoch_us(date_trunc('second', ts)) - 19800000000) * 1000 AS local_ns FROM events""",
     "a8_request_chunks": f"WITH {_CHUNKS} SELECT symbol, chunk_first, chunk_last FROM ch",
     "a10_tick_scan": f"{TK} SELECT token, seq, ts_ns FROM ticks WHERE token = 7 AND ts_ns BETWEEN {T0} AND {T0 + 10 * DAY}",

@@ -16,9 +16,7 @@ from tickloom.plans.tick_queries import BAR_NS, FLOWED, flowed, six_hour_bars
 from tickloom.sources import adapters as A
 
 LOSS, VISIBLE_NS = S.LOSS_LIMIT, 1_705_500_000_000_000_000
-SYMBOLS = [
-    "RELIANCE", "NIFTY24JAN22000CE", "NIFTY24JANFUT", "BANKNIFTY24JAN47000PE", "TCS24JANFUT", "INFY24JAN1500CE", "SENSEX24JANFUT", "FINNIFTY24JANFUT",
-]
+NAMES = ["RELIANCE", "NIFTY", "BANKNIFTY", "TCS", "INFY", "SENSEX", "FINNIFTY"]
 
 
 def signals(s, d):
@@ -74,9 +72,7 @@ def run_trades(events):
 
 
 def by_token(s, d):
-    events = composite_run(s, d, broken=True)
-    stats = K.trade_statistics(events.where("kind = 'trade'"), bar_ticks(s, d)).select("token", "trades", q(F.col("net"), 2).alias("net"))
-    return K.run_status(events, bar_ticks(s, d)).drop("note").join(stats, "token")
+    return K.run_summary(composite_run(s, d, broken=True)).select("token", "status", "trades", q(F.col("net"), 2).alias("net"))
 
 
 def shuffled(s, d):
@@ -95,8 +91,13 @@ def equity(s, d):
     return A.ticks(s, d).select("token", "ts_ns", "seq", (F.sum(F.col("last_price") - 250.0).over(w) + 100_000.0).alias("equity"))
 
 
-def symbols(s):
-    return s.createDataFrame([(i % 5, 100 - i, x) for i, x in enumerate(SYMBOLS)], "token long, ts_ns long, symbol string")
+def symbols(s, d):
+    """Symbols of shares, futures and options from the parts: of an index or a share, by the part's size and key."""
+    name = F.get(F.array(*[F.lit(x) for x in NAMES]), (F.col("p_size") % len(NAMES)).cast("int"))
+    kind = F.col("p_partkey") % 4
+    strike = F.concat(F.lit("24JAN"), F.col("p_size").cast("string"))
+    tail = F.when(kind == 0, "").when(kind == 1, "24JANFUT").when(kind == 2, F.concat(strike, F.lit("CE"))).otherwise(F.concat(strike, F.lit("PE")))
+    return A.read(s, d, "part").select((F.col("p_partkey") % 97).alias("token"), (10**9 - F.col("p_partkey")).alias("ts_ns"), F.concat(name, tail).alias("symbol"))
 
 
 def money(df, keys, names, places=2):
@@ -113,12 +114,14 @@ QUERIES = {
         "token", "seq", S.reason(F.col("seq") % 7 - 3, F.col("seq") % 5 - 2).alias("reason")
     ),
     "h5_strategy_position": lambda s, d: money(S.intents(signals(s, d)), ["token", "seq", "after"], ["realized"]),
-    "h6_segment": lambda s, d: symbols(s).select("symbol", C.segment(F.col("symbol")).alias("segment")),
-    "h7_registration": lambda s, d: C.registered(symbols(s)),
+    "h6_segment": lambda s, d: symbols(s, d).select("token", "symbol", C.segment(F.col("symbol")).alias("segment")),
+    "h7_registration": lambda s, d: C.registered(symbols(s, d)),
     "h8_slippage": lambda s, d: A.orders_to_fill(s, d).groupBy("segment", "side").agg(
         q(F.avg(C.fill_price(F.col("price"), F.col("side"), F.col("segment"))), 3).alias("fill")
     ),
-    "h9_schedule": lambda s, d: s.createDataFrame(C.SCHEDULE, C.SCHEDULE_COLUMNS),
+    "h9_schedule": lambda s, d: A.orders_to_fill(s, d).groupBy("segment").agg(F.count(F.lit(1)).alias("orders")).join(
+        s.createDataFrame(C.SCHEDULE, C.SCHEDULE_COLUMNS), "segment"
+    ),
     "h10_charges": lambda s, d: simulated(s, d).groupBy("segment", "side").agg(
         *[q(F.sum(F.col(f"charges.{c}")), 1).alias(c) for c in ("brokerage", "stt", "exchange_fee", "sebi_fee", "gst_fee", "stamp_fee", "dp_fee")],
         q(F.sum("total_charges"), 1).alias("total_charges"),
@@ -252,7 +255,8 @@ RULE = f"""WITH RECURSIVE {A.TICKS}, rt AS MATERIALIZED (SELECT token, ts_ns, se
 TRADES = f"WITH {A.TICKS}, tr AS (SELECT *, gross_pnl - 2.0::DOUBLE AS net_pnl FROM (SELECT token, CASE WHEN seq % 10 = 0 THEN 2.0::DOUBLE ELSE last_price - 45.0::DOUBLE END AS gross_pnl FROM ticks))"
 EQUITY = f"WITH {A.TICKS}, eq AS (SELECT token, ts_ns, seq, sum(last_price - 250.0::DOUBLE) OVER (PARTITION BY token ORDER BY ts_ns, seq) + 100000.0::DOUBLE AS equity FROM ticks)"
 _rate = (K.Config().exchange + K.Config().sebi) * (1 + K.Config().gst)
-_syms = ", ".join(f"({i % 5}, {100 - i}, '{x}')" for i, x in enumerate(SYMBOLS))
+_syms = f"""(SELECT p_partkey % 97 AS token, 1000000000 - p_partkey AS ts_ns, [{", ".join(f"'{x}'" for x in NAMES)}][p_size % {len(NAMES)} + 1] ||
+    CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '24JANFUT' WHEN 2 THEN '24JAN' || p_size || 'CE' ELSE '24JAN' || p_size || 'PE' END AS symbol FROM part) t"""
 _SEG = """CASE WHEN (symbol LIKE '%CE' OR symbol LIKE '%PE') AND (symbol LIKE '%NIFTY%' OR symbol LIKE '%SENSEX%') THEN 5 WHEN symbol LIKE '%CE' OR symbol LIKE '%PE' THEN 6
     WHEN symbol LIKE '%FUT%' AND (symbol LIKE '%NIFTY%' OR symbol LIKE '%SENSEX%') THEN 3 WHEN symbol LIKE '%FUT%' THEN 4 ELSE 1 END"""
 ORACLES = {
@@ -265,12 +269,12 @@ ORACLES = {
     "h4_reason": f"""WITH {A.TICKS} SELECT token, seq, CASE WHEN seq % 7 - 3 = 0 THEN 1 WHEN seq % 5 - 2 = 0 THEN 2
         WHEN sign(seq % 7 - 3) <> sign(seq % 5 - 2) THEN 5 WHEN abs(seq % 5 - 2) > abs(seq % 7 - 3) THEN 3 ELSE 4 END AS reason FROM ticks""",
     "h5_strategy_position": f"{BOOKS} SELECT token, seq, q AS after, {R('realized', 2)} AS realized FROM bk WHERE traded",
-    "h6_segment": f"SELECT symbol, {_SEG} AS segment FROM (VALUES {_syms}) t(token, ts_ns, symbol)",
+    "h6_segment": f"SELECT token, symbol, {_SEG} AS segment FROM {_syms}",
     "h7_registration": f"""SELECT token, symbol, segment, CASE WHEN segment = 1 THEN 1 WHEN symbol LIKE '%BANKNIFTY%' THEN 15 WHEN symbol LIKE '%FINNIFTY%' THEN 40
         WHEN symbol LIKE '%NIFTY%' THEN 50 WHEN symbol LIKE '%SENSEX%' THEN 10 ELSE 250 END AS lot FROM
-        (SELECT token::BIGINT AS token, symbol, {_SEG} AS segment FROM (VALUES {_syms}) t(token, ts_ns, symbol) QUALIFY row_number() OVER (PARTITION BY token ORDER BY ts_ns) = 1)""",
+        (SELECT token::BIGINT AS token, symbol, {_SEG} AS segment FROM {_syms} QUALIFY row_number() OVER (PARTITION BY token ORDER BY ts_ns) = 1)""",
     "h8_slippage": f"{SIM} SELECT segment, side, {R('avg(fill)', 3)} AS fill FROM sim GROUP BY segment, side",
-    "h9_schedule": f"WITH {SCHED} SELECT * FROM sched",
+    "h9_schedule": f"WITH {A.ORDERS_TO_FILL}, {SCHED} SELECT sched.*, orders FROM sched JOIN (SELECT segment, count(*) AS orders FROM fills GROUP BY segment) USING (segment)",
     "h10_charges": SIM + " SELECT segment, side, " + ", ".join(
         f"{R(f'sum({c})', 1)} AS {c}" for c in ("brokerage", "stt", "exchange_fee", "sebi_fee", "gst_fee", "stamp_fee", "dp_fee", "total_charges")
     ) + " FROM sim GROUP BY segment, side",
