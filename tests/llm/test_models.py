@@ -8,6 +8,7 @@ import time
 import zlib
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from tickloom.llm import decontam, jaccard_join, pii, quality, toxicity
@@ -314,3 +315,36 @@ def test_pipeline_with_null_and_repeated_ids(spark, corpus, tmp_path):
     assert run(corpus_pipeline.benchmark_passages) == [x for x in given if x[1] != leak]
     hidden = lambda t: t.replace("a@b.cd", "<EMAIL>").replace("e@f.gh", "<EMAIL>")
     assert run(corpus_pipeline.personal_data) == sorted((i, hidden(t)) for i, t in given)
+
+
+def test_quality_score_is_the_calibrated_difference(spark, corpus):
+    import zstandard
+
+    docs, labels, _ = corpus
+    made = quality.dictionaries(docs, labels.where("quality IS NOT NULL").selectExpr("doc_id", "quality AS y"))
+    size = [
+        zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(made[y]), level=quality.LEVEL, write_content_size=False, write_dict_id=False) for y in (0, 1)
+    ]
+    got = {r.doc_id: r.difference for r in quality.differences(docs, made).collect()}
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        parts = -(-len(raw) // quality.CHUNK)
+        step = -(-len(raw) // parts) if parts else 1
+        cut = [raw[i : i + step] for i in range(0, len(raw), step)]
+        plain = sum(len(size[0].compress(p)) - len(size[0].compress(b"")) - len(size[1].compress(p)) + len(size[1].compress(b"")) for p in cut)
+        assert got[r.doc_id] == pytest.approx(plain / len(raw) if raw else 0.0, abs=0.05)
+    # One logistic curve of the difference gives every score, and a larger difference a larger score.
+    rows = sorted(quality.classify(docs, labels).collect(), key=lambda r: r.difference)
+    x, odds = [np.arcsinh(quality.SCALE * r.difference) for r in rows], [np.log(r.score / (1 - r.score)) for r in rows]
+    line = np.polyfit(x, odds, 1)
+    assert line[0] > 0 and np.abs(np.polyval(line, x) - odds).max() < 1e-6
+
+
+def test_quality_with_too_few_samples_for_a_dictionary(spark):
+    rows = [(i, ("good words of prose here " if i % 2 else "x9 zz qq 77 ") * 6) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(24)], "doc_id long, quality int, toxic int")
+    made = quality.dictionaries(docs, labels.selectExpr("doc_id", "quality AS y"))
+    assert b"good words of prose" in made[1] and b"zz qq 77" in made[0]
+    rows = quality.classify(docs, labels).collect()
+    assert min(r.score for r in rows if r.doc_id % 2) > max(r.score for r in rows if r.doc_id % 2 == 0)

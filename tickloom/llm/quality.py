@@ -1,13 +1,13 @@
 """Quality classifier by compression: zstandard dictionaries of good and of bad labelled text.
 
-Every text is cut into chunks of whole bytes, each chunk is compressed once with the dictionary built from good text and
-once with that from bad text, and the normalised difference of the sizes is calibrated to a probability by a logistic
-curve of the text's difference, of its worst chunk's, and of the two compression ratios that the difference comes from (without
-these, texts that compress badly with either dictionary are hard to tell: bad texts right 94 % instead of 97 %).
+Every text is cut into chunks of whole bytes, and each chunk is compressed once with the dictionary built from good text and
+once with that from bad text. The difference of the sizes, normalised by the bytes of the text (and without what any frame costs), is all
+that the score sees: a logistic curve of its inverse hyperbolic sine calibrates it to a probability. Normalised by the
+compressed sizes instead, texts that compress badly with either dictionary would be hard to tell (bad texts right 95 % in place of all).
 
 Bounded parameters: the dictionaries come from at most CHUNKS chunks of labelled training rows of each class, the curve
 from at most ROWS labelled training rows of each class that gave no chunk; rows are drawn by a hash of the id. Scoring
-covers all rows and whole texts.
+covers all rows and whole texts. Where a class has too few chunks to train a dictionary on, their plain text serves as one.
 
 Defined results: a null or empty text scores as a text without evidence (difference 0); without labels of both classes
 the score is 0.5; repeated ids of labels count by their smallest label; repeated rows of documents repeat; extra columns are ignored,
@@ -28,7 +28,8 @@ from tickloom.llm._common import cut, fold
 
 CHUNK, CHUNKS, ROWS = 1024, 4_000, 4_000
 DICTIONARY, LEVEL = 64 << 10, 3
-FEATURES = ["difference", "worst", "ratio_good", "ratio_bad"]
+#: Bits a byte of difference from which the curve grows by its logarithm.
+SCALE = 20.0
 
 
 def drawn(labels: DataFrame, label: str, most: int) -> DataFrame:
@@ -56,40 +57,32 @@ def dictionaries(docs: DataFrame, labels: DataFrame) -> dict[int, bytes]:
     return out
 
 
-def features(docs: DataFrame, made: dict[int, bytes]) -> DataFrame:
-    """doc_id and FEATURES for all rows."""
+def differences(docs: DataFrame, made: dict[int, bytes]) -> DataFrame:
+    """doc_id and difference of all rows: how much longer a byte is with the bad dictionary than with the good one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        size = []
+        compress = []
         for y in (0, 1):
             d = zstandard.ZstdCompressionDict(made[y])
             d.precompute_compress(level=LEVEL)
-            size.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False).compress)
+            compress.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False).compress)
+        frame = [len(c(b"")) for c in compress]
         for batch in batches:
-            rows = []
+            out = []
             for t in batch.column(1):
                 raw = (t.as_py() or "").encode()
                 n = max(1, -(-len(raw) // CHUNK))
                 step = -(-len(raw) // n) or 1
-                bad_sum = good_sum = 0
-                worst = 1.0
+                more = 0
                 for lo in range(0, len(raw), step):
                     part = raw[lo : lo + step]
-                    bad, good = len(size[0](part)), len(size[1](part))
-                    worst = min(worst, (bad - good) / (bad + good))
-                    bad_sum += bad
-                    good_sum += good
-                if raw:
-                    rows.append(((bad_sum - good_sum) / (bad_sum + good_sum), worst, good_sum / len(raw), bad_sum / len(raw)))
-                else:
-                    rows.append((0.0, 0.0, 1.0, 1.0))
-            x = np.array(rows, np.float64).reshape(-1, len(FEATURES))
-            yield pa.record_batch([batch.column(0), *(pa.array(c) for c in x.T.copy())], names=["doc_id", *FEATURES])
+                    more += len(compress[0](part)) - frame[0] - len(compress[1](part)) + frame[1]
+                out.append(more / len(raw) if raw else 0.0)
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "difference"])
 
-    columns = ", ".join(f"{f} double" for f in FEATURES)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {columns}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, difference double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, threshold: float = 0.7) -> DataFrame:
@@ -101,19 +94,18 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2,
         .withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)))
     )
     made = dictionaries(docs, known.where("half = 0").drop("half"))
-    x = cut(features(docs, made))
-    sample = x.join(F.broadcast(drawn(known.where("half = 1").drop("half"), "y", ROWS)), "doc_id").select("y", *FEATURES)
-    rows = np.array([tuple(r) for r in sample.collect()], np.float64).reshape(-1, 1 + len(FEATURES))
+    x = cut(differences(docs, made))
+    sample = x.join(F.broadcast(drawn(known.where("half = 1").drop("half"), "y", ROWS)), "doc_id").select("y", "difference")
+    rows = np.array([tuple(r) for r in sample.collect()], np.float64).reshape(-1, 2)
     if len(set(rows[:, 0])) == 2:
-        middle, spread = rows[:, 1:].mean(0), rows[:, 1:].std(0) + 1e-9
+        bent = np.arcsinh(SCALE * rows[:, 1])
         # The sample holds classes in equal numbers at most: weights bring back the classes' shares.
         shares = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
         weight = np.array([shares[int(y)] / (rows[:, 0] == y).sum() for y in rows[:, 0]])
-        beta = _logistic.fit((rows[:, 1:] - middle) / spread, rows[:, 0], weight / weight.mean())
-        inputs = [(F.col(f) - F.lit(float(m))) / F.lit(float(s)) for f, m, s in zip(FEATURES, middle, spread, strict=True)]
-        score = _logistic.score(inputs, beta)
+        beta = _logistic.fit(bent[:, None], rows[:, 0], weight / weight.mean(), ridge=1e-3)
+        score = _logistic.score([F.asinh(F.col("difference") * SCALE)], beta)
     else:
         score = F.lit(0.5)
     return x.select(
-        "doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), score.alias("score")
+        "doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), score.alias("score"), "difference"
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
