@@ -229,3 +229,18 @@ def test_publish_stream(spark, tmp_path):
     query.stop()
     assert sorted(r.seq for r in published.newest(spark, str(tmp_path / "out"), 12).collect()) == list(range(18, 30))
     assert len(os.listdir(tmp_path / "out" / "rows")) == 2
+
+
+def test_predicates_of_a_tick_scan_reach_the_files(spark, tmp_path):
+    from tickloom.sources import readers
+
+    ticks(spark, 100).write.parquet(str(tmp_path / "t"))
+    scan = readers.tick_scan(spark.read.parquet(str(tmp_path / "t")), 7, 10, 19)
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(token,7)" in plan and "GreaterThanOrEqual(ts_ns,10)" in plan and "LessThanOrEqual(ts_ns,19)" in plan and scan.count() == 10
+
+
+def test_upsert_of_a_table_with_any_names(spark):
+    table = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "k long, is_old string, is_new string")
+    rows = spark.createDataFrame([(2, "e", "f"), (3, "g", "h")], table.schema)
+    assert sorted(map(tuple, ingest.upsert(table, rows, ["k"]).collect())) == [(1, "a", "b"), (2, "e", "f"), (3, "g", "h")]

@@ -190,6 +190,8 @@ EVENTS = (
 def simulate(joined: DataFrame, strategy, cfg: Config = Config()) -> DataFrame:  # noqa: B008
     """Trades and equity points of every token, replayed in order; tokens run in parallel, and an open position is closed at the end.
 
+    Rows are put in order of time first, so that a replay never goes back; ``in_time`` before it raises where they come out of order.
+
     A token whose rows the strategy can't take gives an event of kind error with what went wrong, and no more; the others go on.
     Each token's last event is of kind end, with what its account holds.
     """

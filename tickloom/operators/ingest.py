@@ -177,15 +177,23 @@ def last_of_key(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_r")).select(*keys, "_r.*").select(*rows.columns)
 
 
+def unused(table: DataFrame, name: str) -> str:
+    """The name, or, where the table has it, a longer one that it hasn't."""
+    while name in table.columns:
+        name = f"_{name}"
+    return name
+
+
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], updated: list[str] | None = None) -> DataFrame:
     """New keys are added; known ones take the ``updated`` columns (all by default) of the new row."""
     change = set(updated if updated is not None else [c for c in table.columns if c not in keys])
-    old = table.withColumn("_old", F.lit(True)).alias("o")
-    new = rows.select(*table.columns).withColumn("_new", F.lit(True)).alias("n")
+    is_old, is_new = unused(table, "is_old"), unused(table, "is_new")
+    old = table.withColumn(is_old, F.lit(True)).alias("o")
+    new = rows.select(*table.columns).withColumn(is_new, F.lit(True)).alias("n")
     joined = old.join(new, keys, "full")
     have = lambda c: F.coalesce(F.col(c), F.lit(False))
     value = lambda c: (
-        F.when(have("_new") & (~have("_old") | F.lit(c in change)), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
+        F.when(have(is_new) & (~have(is_old) | F.lit(c in change)), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
     )
     return joined.select(*[F.col(c) if c in keys else value(c) for c in table.columns])
 
@@ -205,8 +213,9 @@ def insert_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
 
 def replace_members(table: DataFrame, rows: DataFrame, keys: list[str], scope: list[str]) -> DataFrame:
     """Members of the scopes in ``rows`` that aren't in them become inactive; those in them are upserted as active."""
-    touched = rows.select(*scope).distinct().withColumn("_hit", F.lit(True))
-    off = table.join(touched, scope, "left").withColumn("is_active", F.col("is_active") & F.col("_hit").isNull()).select(*table.columns)
+    hit = unused(table, "is_hit")
+    touched = rows.select(*scope).distinct().withColumn(hit, F.lit(True))
+    off = table.join(touched, scope, "left").withColumn("is_active", F.col("is_active") & F.col(hit).isNull()).select(*table.columns)
     return upsert(off, rows.withColumn("is_active", F.lit(True)), keys)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.folders import shared_folder
 from tickloom.functions.numeric import quantised as q
+from tickloom.operators import bars as B
 from tickloom.operators import ingest as I  # noqa: E741
 from tickloom.operators import schedule
 from tickloom.plans.ingest_queries import DAY, T0, tick_folder
@@ -39,6 +40,18 @@ def newest_ticks(s, d):
     return published.newest(s, f"{folder}/out", 700)
 
 
+def written_tables(s, d):
+    """Candles and backtest ticks in tables by day, as their sinks write them, read back."""
+    folder = shared_folder(s, "tables")
+    sinks.write_table(A.day_candles(s, d).withColumn("interval", F.lit("day")), folder, "candles")
+    sinks.write_table(B.close_ticks(A.day_candles(s, d).drop("token"), A.day_candles(s, d).select("symbol", "token").distinct()), folder, "backtest_ticks")
+    candles, ticks = (s.read.parquet(f"{folder}/{name}") for name in ("candles", "backtest_ticks"))
+    day = lambda df: df.groupBy("day")
+    return day(candles).agg(F.count(F.lit(1)).alias("candles"), F.sum("volume").alias("volume"), q(F.max("high"), 2).alias("high")).join(
+        day(ticks).agg(F.count(F.lit(1)).alias("ticks"), F.count_distinct("token").alias("tokens")), "day"
+    )
+
+
 def by_day(s, d):
     e = A.read(s, d, "events")
     return e.groupBy(F.col("ts").cast("date").alias("date"), F.col("user_id").alias("symbol")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
@@ -94,6 +107,7 @@ QUERIES = {
     "a18_vendor_history": lambda s, d: vendor_rows(s, d, False),
     "a18_vendor_live": lambda s, d: vendor_rows(s, d, True),
     "b1_published_stream": lambda s, d: newest_ticks(s, d),
+    "b4_written_tables": written_tables,
     "b8_merge_days": merged_days,
     "a15_zip_members": lambda s, d: archives.table_of(archives.member_rows(zip_archives(s, d)), ["SYMBOL", "NAME", "CLOSE"]).select(
         "member", F.col("SYMBOL").cast("long").alias("symbol"), F.col("NAME").alias("name"), q(F.col("CLOSE").cast("double"), 2).alias("close")
@@ -110,6 +124,8 @@ ORACLES = {
     "a18_vendor_history": _HISTORY(FIRST_NS, LAST_NS),
     "a18_vendor_live": _HISTORY(T0, END - 1000),
     "b1_published_stream": f"{_TICKS} SELECT token, seq, ts_ns, last_price FROM ticks ORDER BY ts_ns DESC, seq DESC LIMIT 700",
+    "b4_written_tables": f"""WITH {A.DAY_CANDLES} SELECT DATE '1970-01-01' + (ts_ns // {DAY})::INT AS day, count(*) AS candles, sum(volume)::BIGINT AS volume,
+        floor(max(high) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS high, count(*) AS ticks, count(DISTINCT token) AS tokens FROM candles GROUP BY day""",
     "b8_merge_days": f"""WITH r AS (SELECT ts::DATE AS date, user_id AS symbol, count(*) AS n, max(value) AS top FROM events GROUP BY ALL)
         SELECT date, symbol, n, {Q('CASE WHEN day(date) % 5 = 0 AND symbol % 3 = 0 THEN top + 1 ELSE top END')} AS top FROM r
         WHERE symbol % 2 = 0 OR day(date) % 5 = 0 AND symbol % 3 = 0""",
