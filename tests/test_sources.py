@@ -236,7 +236,7 @@ def test_predicates_of_a_tick_scan_reach_the_files(spark, tmp_path):
 
     ticks(spark, 100).write.parquet(str(tmp_path / "t"))
     scan = readers.tick_scan(spark.read.parquet(str(tmp_path / "t")), 7, 10, 19)
-    plan = scan._jdf.queryExecution().executedPlan().toString()
+    plan = spark._jvm.PythonSQLUtils.explainString(scan._jdf.queryExecution(), "formatted")
     assert "EqualTo(token,7)" in plan and "GreaterThanOrEqual(ts_ns,10)" in plan and "LessThanOrEqual(ts_ns,19)" in plan and scan.count() == 10
 
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.folders import shared_folder
 from tickloom.functions.numeric import quantised as q
-from tickloom.operators import bars as B
 from tickloom.operators import ingest as I  # noqa: E741
 from tickloom.operators import schedule
+from tickloom.operators import ticks as T
 from tickloom.plans.ingest_queries import DAY, T0, tick_folder
-from tickloom.plans.tick_queries import Q
+from tickloom.plans.tick_queries import FLOWED, Q, flowed
 from tickloom.sources import adapters as A
 from tickloom.sources import archives, binary, merging, published, sinks, vendor
 from tickloom.streaming.replay import replayed
@@ -41,14 +41,14 @@ def newest_ticks(s, d):
 
 
 def written_tables(s, d):
-    """Candles and backtest ticks in tables by day, as their sinks write them, read back."""
+    """Backtest ticks and signals in tables by day, as their sinks write them, read back."""
     folder = shared_folder(s, "tables")
-    sinks.write_table(A.day_candles(s, d).withColumn("interval", F.lit("day")), folder, "candles")
-    sinks.write_table(B.close_ticks(A.day_candles(s, d).drop("token"), A.day_candles(s, d).select("symbol", "token").distinct()), folder, "backtest_ticks")
-    candles, ticks = (s.read.parquet(f"{folder}/{name}") for name in ("candles", "backtest_ticks"))
-    day = lambda df: df.groupBy("day")
-    return day(candles).agg(F.count(F.lit(1)).alias("candles"), F.sum("volume").alias("volume"), q(F.max("high"), 2).alias("high")).join(
-        day(ticks).agg(F.count(F.lit(1)).alias("ticks"), F.count_distinct("token").alias("tokens")), "day"
+    ticks = A.ticks(s, d).select("token", "ts_ns", "last_price", "bid_price", "ask_price", F.col("last_price").alias("vwap"), F.col("last_quantity").alias("volume"))
+    sinks.write_table(ticks, folder, "backtest_ticks")
+    sinks.write_table(T.ofi_signals(flowed(s, d), 300), folder, "signals")
+    back, signals = (s.read.parquet(f"{folder}/{name}").groupBy("day") for name in ("backtest_ticks", "signals"))
+    return back.agg(F.count(F.lit(1)).alias("ticks"), F.sum("volume").alias("volume"), F.count_distinct("token").alias("tokens")).join(
+        signals.agg(F.count(F.lit(1)).alias("signals"), F.sum("action").alias("net_action")), "day"
     )
 
 
@@ -124,8 +124,9 @@ ORACLES = {
     "a18_vendor_history": _HISTORY(FIRST_NS, LAST_NS),
     "a18_vendor_live": _HISTORY(T0, END - 1000),
     "b1_published_stream": f"{_TICKS} SELECT token, seq, ts_ns, last_price FROM ticks ORDER BY ts_ns DESC, seq DESC LIMIT 700",
-    "b4_written_tables": f"""WITH {A.DAY_CANDLES} SELECT DATE '1970-01-01' + (ts_ns // {DAY})::INT AS day, count(*) AS candles, sum(volume)::BIGINT AS volume,
-        floor(max(high) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS high, count(*) AS ticks, count(DISTINCT token) AS tokens FROM candles GROUP BY day""",
+    "b4_written_tables": f"""{FLOWED}, s AS (SELECT ts_ns // {DAY} AS d, count(*) AS signals, sum(sign(ofi))::BIGINT AS net_action FROM flow WHERE ofi_valid AND abs(ofi) >= 300 GROUP BY d),
+        t AS (SELECT ts_ns // {DAY} AS d, count(*) AS ticks, sum(last_quantity)::BIGINT AS volume, count(DISTINCT token) AS tokens FROM ticks GROUP BY d)
+        SELECT DATE '1970-01-01' + d::INT AS day, ticks, volume, tokens, signals, net_action FROM t JOIN s USING (d)""",
     "b8_merge_days": f"""WITH r AS (SELECT ts::DATE AS date, user_id AS symbol, count(*) AS n, max(value) AS top FROM events GROUP BY ALL)
         SELECT date, symbol, n, {Q('CASE WHEN day(date) % 5 = 0 AND symbol % 3 = 0 THEN top + 1 ELSE top END')} AS top FROM r
         WHERE symbol % 2 = 0 OR day(date) % 5 = 0 AND symbol % 3 = 0""",
