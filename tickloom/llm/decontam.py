@@ -183,9 +183,11 @@ def counted(texts: DataFrame) -> tuple[np.ndarray, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((BUCKETS, 2))
         for batch in batches:
-            for _, w in pieces(batch, "text"):
-                seen[:, 0] += np.bincount(bucket(w.hash), minlength=BUCKETS)
-                seen[0, 1] += w.n_halves
+            _, offsets = _text.utf8(batch.column("text"))
+            for lo, hi in _text.pieces(offsets, PIECE):
+                h, row, _, _ = _text.words(*_text.utf8(batch.column("text").slice(lo, hi - lo)))
+                seen[:, 0] += np.bincount(bucket(h), minlength=BUCKETS)
+                seen[0, 1] += (-(-np.bincount(row) // STEP)).sum()
         yield emit(seen)
 
     counts = summed(texts.mapInArrow(run, "block int, data binary"), 2)
@@ -449,7 +451,8 @@ def search(w: Words, space: np.ndarray, items: Items) -> dict[tuple[int, int], t
     near = [np.zeros(0, np.int64)]
     sketches = {r: w.sketches(r) for r in np.unique(items.radius).tolist()}
     for lo in range(0, len(z), step := max(1, (4 << 20) // items.vectors.shape[1])):
-        p, v = np.nonzero(z[lo : lo + step] @ items.vectors >= COSINE)
+        # Flat, as the places of a two-dimensional array take several times as long to list.
+        p, v = np.divmod(np.flatnonzero((z[lo : lo + step] @ items.vectors).ravel() >= COSINE), items.vectors.shape[1])
         likely = items.likely(sketches, lo + p, items.of[v])
         some = np.unique((lo + p[likely]) * len(items.ids) + items.of[v[likely]])
         near.append(some[items.enough(w, *np.divmod(some, len(items.ids)))])
