@@ -135,3 +135,13 @@ def test_no_task_of_a_sliced_scan_holds_a_token(spark):
     windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
     # Windows over a token alone run over one row for each slice: what a join has already summed up.
     assert windows and all("_slice" in line.split("windowspecdefinition")[1] for line in windows)
+
+
+def test_sessions_of_typed_state_without_event_time(spark, tmp_path):
+    rows = [(1, 0, 0, 5, 1), (1, 1, 0, 5, 1), (1, 3, 1, 5, 1), (1, 4, 1, 5, -1)]
+    df = spark.createDataFrame(rows, "token long, ts_ns long, day long, last_quantity long, direction int")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    run(S.folded(source, [folds.Vpin(10)], ["token", "ts_ns"], ["ts_ns"], session="day"), tmp_path, "out")
+    got = rows_of(spark.read.parquet(str(tmp_path / "out")), "ts_ns", "buckets_completed", "vpin")
+    assert [tuple(r) for r in got] == [(0, 0, None), (1, 1, 1.0), (3, 0, None), (4, 1, 0.0)]
