@@ -36,7 +36,7 @@ def prices(*values, token=1, n=3):
     return [(6 * i, token, float(v), n + i % 2) for i, v in enumerate(values)]
 
 
-@pytest.mark.parametrize("name", ["e8_vwap_deviation"])
+@pytest.mark.parametrize("name", ["e8_vwap_deviation", "e10_batch_bar_pipeline"])
 def test_sessions_without_a_price(spark, tmp_path, name):
     """A session whose prices are all zero has a deviation of NaN, before and after it there are numbers."""
     made = events(spark, tmp_path, prices(10, 11, 12, 11, 0, 0, 13, 12, 11, 12, 13, 12) + prices(5, 6, 5, 6, 7, 6, token=2))
