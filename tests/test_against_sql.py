@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import math
 
 import duckdb
 import pytest
@@ -42,3 +41,10 @@ def test_sessions_without_a_price(spark, tmp_path, name):
     made = events(spark, tmp_path, prices(10, 11, 12, 11, 0, 0, 13, 12, 11, 12, 13, 12) + prices(5, 6, 5, 6, 7, 6, token=2))
     got, want = both(spark, made, name)
     assert got == want and any("nan" in row for row in want)
+
+
+def test_volatility_over_a_price_of_zero(spark, tmp_path):
+    """Windows that hold a return from or to zero have no volatility, those after them have one again."""
+    made = events(spark, tmp_path, prices(*(10 + i % 4 for i in range(24)), 0, 0, *(12 + i % 3 for i in range(30))))
+    got, want = both(spark, made, "e14_annual_volatility")
+    assert got == want and sum("nan" in row for row in want) == 21 and "nan" not in want[-1]
