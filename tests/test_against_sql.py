@@ -48,3 +48,10 @@ def test_volatility_over_a_price_of_zero(spark, tmp_path):
     made = events(spark, tmp_path, prices(*(10 + i % 4 for i in range(24)), 0, 0, *(12 + i % 3 for i in range(30))))
     got, want = both(spark, made, "e14_annual_volatility")
     assert got == want and sum("nan" in row for row in want) == 21 and "nan" not in want[-1]
+
+
+def test_rules_at_prices_of_zero(spark, tmp_path):
+    """Bars without a price count as held and as rested."""
+    made = events(spark, tmp_path, [(i, 1, 0.0 if i % 2 else 100.0 + i % 7, 2) for i in range(600)])
+    got, want = both(spark, made, "h21_rule_strategy")
+    assert got == want and want
