@@ -145,3 +145,35 @@ def test_sessions_of_typed_state_without_event_time(spark, tmp_path):
     run(S.folded(source, [folds.Vpin(10)], ["token", "ts_ns"], ["ts_ns"], session="day"), tmp_path, "out")
     got = rows_of(spark.read.parquet(str(tmp_path / "out")), "ts_ns", "buckets_completed", "vpin")
     assert [tuple(r) for r in got] == [(0, 0, None), (1, 1, 1.0), (3, 0, None), (4, 1, 0.0)]
+
+
+class Store:
+    """A handle to a store that counts the messages which go to it."""
+
+    def __init__(self):
+        self.calls, self.value = 0, None
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    getListState = getValueState  # noqa: N815
+
+    def said(self, *args):
+        self.calls += 1
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    exists = put = update = clear = said
+
+
+def test_messages_to_the_store():
+    """A key without state costs a message to load, and one to save it and for each list that holds something."""
+    store = Store()
+    cells = S.Cells(store, [folds.Flow(), folds.Vpin(10), folds.KyleLambda()], "at_seq long")
+    assert cells.load() == (None, None) and store.calls == 1
+    states = cells.fresh()
+    states[2]["pairs"] = [None]
+    cells.save([1], states)
+    assert store.calls == 3

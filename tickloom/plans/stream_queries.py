@@ -28,12 +28,12 @@ def ticks(s, d):
 
 def tick_state(s, d):
     """All tick signals of a stream, from one state for each token."""
-    return S.folded(ticks(s, d), [folds.Flow(), folds.Vpin(SIZE), folds.KyleLambda()], ["token", "seq", "ts_ns", "last_price"], ["ts_ns", "seq"], at="ts")
+    return S.folded(ticks(s, d).drop("open_interest"), [folds.Flow(), folds.Vpin(SIZE), folds.KyleLambda()], ["token", "seq", "ts_ns", "last_price"], ["ts_ns", "seq"], at="ts")
 
 
 def signals(s, d):
     """Signals of strong imbalance, as the batch has them, from the same state."""
-    flow = S.folded(ticks(s, d), [folds.Flow()], ["token", "seq", "ts_ns", "last_price"], ["ts_ns", "seq"], at="ts")
+    flow = S.folded(ticks(s, d).drop("last_quantity", "open_interest"), [folds.Flow()], ["token", "seq", "ts_ns", "last_price"], ["ts_ns", "seq"], at="ts")
     return flow.where(F.col("ofi_valid") & (F.abs("ofi") >= 300)).select(
         "token", "seq", "ts_ns", "ts", F.col("last_price").alias("price"), F.signum("ofi").cast("int").alias("action"), F.abs("ofi_norm").alias("confidence")
     )
@@ -46,7 +46,7 @@ def arrived(df):
 
 def arrival_bars(s, d):
     """Bars of a stream as ticks arrive; the last one of a token stays open."""
-    out = S.folded(arrived(ticks(s, d)), [folds.ArrivalBars(BAR_NS)], ["token", "seq"], ["seq"], at="ts")
+    out = S.folded(arrived(ticks(s, d)).drop("bid_price", "ask_price", "bid_size", "ask_size"), [folds.ArrivalBars(BAR_NS)], ["token", "seq"], ["seq"], at="ts")
     return out.where("bar_closed")
 
 

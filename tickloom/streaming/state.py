@@ -7,10 +7,11 @@ the state of idle keys and close positions at the end of a session.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,22 +27,6 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
-def plain(frame: pd.DataFrame, whole: set[str]) -> list[dict]:
-    """Rows as dictionaries of Python values, missing ones as None, and those of the ``whole`` columns as integers.
-
-    (Integers with missing values among them come as floating point.)
-    """
-    columns = {}
-    for c in frame.columns:
-        values = frame[c].tolist()
-        columns[c] = [None if v is None or v != v else int(v) if c in whole else v for v in values]
-    return [dict(zip(columns, row, strict=True)) for row in zip(*columns.values(), strict=True)]
-
-
-def whole_columns(rows: DataFrame) -> set[str]:
-    return {c for c, t in rows.dtypes if t in ("bigint", "int", "smallint", "tinyint")}
-
-
 def typed(schema: str):
     """A function that makes a tuple of values fit a schema: the store takes a whole number in a column of doubles for a missing one."""
     makers = [{"double": float, "long": int, "bigint": int, "int": int}.get(t, lambda x: x) for _, t in folds.fields(schema)]
@@ -60,30 +45,33 @@ class Cells:
         self.fits = [{n: typed(t) for n, t in f.lists.items()} for f in made]
         self.lists = [{n: handle.getListState(f"f{i}_{n}", t) for n, t in f.lists.items()} for i, f in enumerate(made)]
 
-    def exists(self) -> bool:
-        return self.row.exists()
-
     def fresh(self) -> list[dict]:
         return [f.init() for f in self.made]
 
-    def load(self) -> tuple[list, list[dict]]:
-        row = list(self.row.get())
+    def load(self) -> tuple[list | None, list[dict] | None]:
+        """What is held of the key, or None twice. Each call to the store is a message to it, so none is made for what can't be there."""
+        self.held, row = set(), self.row.get()
+        if row is None:
+            return None, None
+        row = list(row)
         extra, rest = row[: self.extra], iter(row[self.extra :])
         states = [{n: next(rest) for n in names} for names in self.names]
-        for state, own in zip(states, self.lists, strict=True):
+        for i, (state, own) in enumerate(zip(states, self.lists, strict=True)):
             for n, cell in own.items():
-                state[n] = [r[0] if len(r) == 1 else None if all(x is None for x in r) else tuple(r) for r in cell.get()] if cell.exists() else []
+                state[n] = [r[0] if len(r) == 1 else None if all(x is None for x in r) else tuple(r) for r in cell.get()]
+                if state[n]:
+                    self.held.add((i, n))
         return extra, states
 
     def save(self, extra: list, states: list[dict]) -> None:
         self.row.update(self.fit([*extra, *(s[n] for s, names in zip(states, self.names, strict=True) for n in names)]))
-        for fold, state, own, fits in zip(self.made, states, self.lists, self.fits, strict=True):
+        for i, (fold, state, own, fits) in enumerate(zip(self.made, states, self.lists, self.fits, strict=True)):
             for n, cell in own.items():
                 width = len(folds.fields(fold.lists[n]))
                 items = [fits[n](x if isinstance(x, (tuple, list)) else [x] * width if x is None else [x]) for x in state[n]]
                 if items:
                     cell.put(items)
-                elif cell.exists():
+                elif (i, n) in self.held:
                     cell.clear()
 
     def drop(self) -> None:
@@ -93,41 +81,45 @@ class Cells:
                 cell.clear()
 
 
+def in_order(rows: Iterator[Row], order: list[str]) -> list[dict]:
+    """A key's rows of a micro-batch as dictionaries, in order."""
+    return sorted((row.asDict() for row in rows), key=itemgetter(*order))
+
+
 class Folded(StatefulProcessor):
     """The folds over the rows of a key in order; rows before the last one folded are left out."""
 
-    def __init__(self, made: list, columns: list[str], whole: set[str], order: dict[str, str], session: tuple[str, str] | None, idle_ms: int | None):
-        self.made, self.columns, self.whole, self.order, self.session, self.idle = made, columns, whole, order, session, idle_ms
+    def __init__(self, made: list, columns: list[str], order: dict[str, str], session: tuple[str, str] | None, idle_ms: int | None):
+        self.made, self.columns, self.order, self.session, self.idle = made, columns, order, session, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         extra = [f"at_{c} {t}" for c, t in self.order.items()] + ([f"session {self.session[1]}"] if self.session else [])
         self.cells = Cells(handle, self.made, ", ".join(extra))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(list(self.order), kind="stable")
-        out = []
-        extra, states = self.cells.load() if self.cells.exists() else (None, None)
-        for row in plain(frame, self.whole):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        made, n, last = Row(*self.columns), len(self.order), None
+        extra, states = self.cells.load()
+        for row in in_order(rows, list(self.order)):
+            last = row["at_ms"] if self.idle and (last is None or row["at_ms"] > last) else last
             now = [row[c] for c in self.order] + ([row[self.session[0]]] if self.session else [])
-            if extra is not None and now[: len(self.order)] < extra[: len(self.order)]:
+            if extra is not None and now[:n] < extra[:n]:
                 continue
             if states is None or self.session and now[-1] != extra[-1]:
                 states = self.cells.fresh()
             extra = now
             folds.advance(self.made, states, row)
-            out.append([row[c] for c in self.columns])
+            yield made(*(row[c] for c in self.columns))
         if extra is not None:
             self.cells.save(extra, states)
         if self.idle:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(frame["at_ms"].max()) + self.idle)
-        yield pd.DataFrame(out, columns=self.columns)
+            self.handle.registerTimer(last + self.idle)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.cells.drop()
-        yield pd.DataFrame([], columns=self.columns)
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -147,10 +139,10 @@ def folded(
     keep = [*keep, *([at] if at and at not in keep else [])]
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), *(f.outputs for f in made)])
     columns = [*keep, *(c for f in made for c, _ in folds.fields(f.outputs))]
-    processor = Folded(made, columns, whole_columns(rows), {c: kinds[c] for c in order}, (session, kinds[session]) if session else None, idle_ms)
+    processor = Folded(made, columns, {c: kinds[c] for c in order}, (session, kinds[session]) if session else None, idle_ms)
     source = rows.withWatermark(at, late) if at and late else rows
-    source = source.withColumn("at_ms", F.unix_millis(at)) if at else source
-    return source.groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime" if at else "None", eventTimeColumnName=at or "")
+    source = source.withColumn("at_ms", F.unix_millis(at)) if idle_ms else source
+    return source.groupBy(key).transformWithState(processor, schema, "append", "EventTime" if at else "None", eventTimeColumnName=at or "")
 
 
 def intents(signals: DataFrame, at: str = "ts", late: str | None = "10 seconds", hours: bool = False) -> DataFrame:
@@ -189,27 +181,27 @@ class Accounts(StatefulProcessor):
         """The end of the session that a time falls in: the next close of the clock."""
         return ms + (self.close_ms - ms - 1) % self.every + 1
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts_ns", "seq"], kind="stable")
-        out = []
-        extra, states = self.cells.load() if self.cells.exists() else ([None, None, None, None], self.cells.fresh())
-        fold = self.cells.made[0]
-        for row in plain(frame, {"side", "units", "segment", "ts_ns", "seq"}):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        made, fold = Row(*self.COLUMNS), self.cells.made[0]
+        extra, states = self.cells.load()
+        if extra is None:
+            extra, states = [None, None, None, None], self.cells.fresh()
+        for row in in_order(rows, ["ts_ns", "seq"]):
+            newest = row["ts_ns"]
             if row["side"] is None:  # a tick
                 if row["price"] > 0:
                     extra[0] = row["price"]
                 continue
             extra[1:] = row["segment"], row["ts_ns"], row["seq"]
             now = fold.step(states[0], row)
-            out.append([key[0], row["ts"], row["ts_ns"], row["seq"], "fill", now["quantity"], now["avg_cost"], now["realized"], now["fees"], row["lot"], row["segment"], 0.0])
+            yield made(key[0], row["ts"], row["ts_ns"], row["seq"], "fill", now["quantity"], now["avg_cost"], now["realized"], now["fees"], row["lot"], row["segment"], 0.0)
         self.cells.save(extra, states)
-        self.handle.registerTimer(self.ends(int(frame["ts_ns"].max()) // 1_000_000))
-        yield pd.DataFrame(out, columns=self.COLUMNS)
+        self.handle.registerTimer(self.ends(newest // 1_000_000))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.cells.exists():
-            (price, segment, ts_ns, seq), (s,) = self.cells.load()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        extra, states = self.cells.load()
+        if extra is not None:
+            (price, segment, ts_ns, seq), (s,) = extra, states
             if segment is not None:
                 closes = segment == self.intraday and s["q"] != 0
                 mark = s["cost"] if price is None else price
@@ -219,9 +211,8 @@ class Accounts(StatefulProcessor):
                     s["q"], s["cost"] = 0, 0.0
                     self.cells.save([price, segment, ts_ns, seq], [s])
                 cash = (shares * (mark - cost) if self.pnl_only else shares * mark) if closes else 0.0
-                at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms", tz="UTC")
-                out.append([key[0], at, ts_ns, seq, "square_off", s["q"], s["cost"], s["real"], s["fees"], lot, segment, cash])
-        yield pd.DataFrame(out, columns=self.COLUMNS)
+                at = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(milliseconds=expiredTimerInfo.getExpiryTimeInMs())
+                yield Row(*self.COLUMNS)(key[0], at, ts_ns, seq, "square_off", s["q"], s["cost"], s["real"], s["fees"], lot, segment, cash)
 
     def close(self) -> None:
         pass
@@ -245,4 +236,4 @@ def accounts(
     )
     processor = Accounts(close_ms, every_ms, intraday, pnl_only)
     source = both.withWatermark("ts", late) if late else both
-    return source.groupBy("token").transformWithStateInPandas(processor, ACCOUNT, "append", "EventTime", eventTimeColumnName="ts")
+    return source.groupBy("token").transformWithState(processor, ACCOUNT, "append", "EventTime", eventTimeColumnName="ts")
