@@ -55,3 +55,20 @@ def test_rules_at_prices_of_zero(spark, tmp_path):
     made = events(spark, tmp_path, [(i, 1, 0.0 if i % 2 else 100.0 + i % 7, 2) for i in range(600)])
     got, want = both(spark, made, "h21_rule_strategy")
     assert got == want and want
+
+
+#: Ticks (id, time, token, price, quantity) of two tokens whose second bars' scores cancel out but for rounding.
+CANCELLING = [
+    (746, "2024-01-01 00:53:42.779211", 1412, 0.98, 13), (4863, "2024-01-01 05:47:48.843322", 1412, 1.69, 20),
+    (7188, "2024-01-01 08:31:23.262631", 1412, 0.33, 33), (11098, "2024-01-01 13:11:46.323226", 1412, 22.15, 25),
+    (7626, "2024-01-01 09:00:52.954420", 8020, 2.1, 44), (8213, "2024-01-01 09:41:57.171688", 8020, 19.75, 33),
+    (31771, "2024-01-02 13:57:15.961945", 8020, 2.79, 20), (41280, "2024-01-03 01:26:51.002528", 8020, 126.25, 81),
+]
+
+
+def test_scores_that_cancel_out(spark, tmp_path):
+    """The action of a second bar whose score is zero but for rounding is that of its SQL."""
+    made = [(i, dt.datetime.fromisoformat(at), token, "view", price, f'{{"k": {n - 1}}}') for i, at, token, price, n in CANCELLING]
+    spark.createDataFrame(made, EVENT).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got, want = both(spark, str(tmp_path), "e10_bar_pipeline")
+    assert got == want and len(want) == 4
