@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 import statistics
 
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as contract
-from tickloom.operators import derived
+from tickloom.operators import blocked, derived
 
 
 def test_scores_of_short_and_long_tokens(spark):
@@ -30,3 +31,25 @@ def test_bars_are_made_once_for_scores_and_trades(spark, name):
     """The event table is read for the bars, the tick signals and the buckets, and not again for the bars that are traded."""
     plan = contract.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 3
+
+
+class Dealt:
+    """Stands for a data frame; keeps what a task runs over its batches."""
+
+    def select(self, *_):
+        return self
+
+    repartition = sortWithinPartitions = select
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_slices_of_a_batch_leave_together():
+    """A batch of many small slices gives one batch, not one for each; a slice may go over batches."""
+    work = lambda held: [(held[0]["token"], held[0]["_slice"], [float(len(held))])]
+    run = blocked.by_slice(Dealt(), ["ts_ns"], ["token", "_slice", "ts_ns"], work, "token long, _slice long, map array<double>")
+    parts = [[(1, 1, 1), (1, 2, 2), (1, 2, 3), (2, 2, 1)], [(2, 2, 2), (2, 3, 3), (3, 1, 1)]]
+    made = list(run(iter(pa.RecordBatch.from_pylist([dict(zip(("token", "_slice", "ts_ns"), r, strict=True)) for r in p]) for p in parts)))
+    assert [b.num_rows for b in made] == [2, 2, 1]
+    assert [tuple(r.values()) for b in made for r in b.to_pylist()] == [(1, 1, [1.0]), (1, 2, [2.0]), (2, 2, [2.0]), (2, 3, [1.0]), (3, 1, [1.0])]

@@ -134,24 +134,25 @@ def by_slice(rows: DataFrame, order: list[str], columns: list[str], work: Callab
     """What ``work`` makes (a list of tuples) of the rows of each key, which come in order as a list of dictionaries."""
     kinds = folds.fields(schema)
 
+    def batch_of(made: list[tuple]) -> pa.RecordBatch:
+        out = list(zip(*made, strict=True)) or [()] * len(kinds)
+        return pa.record_batch([pa.array(x, ARROW.get(t) or folds.ARROW[t]) for x, (_, t) in zip(out, kinds, strict=True)], names=[c for c, _ in kinds])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
-
-        def made() -> pa.RecordBatch:
-            out = list(zip(*work(held), strict=True)) or [()] * len(kinds)
-            return pa.record_batch([pa.array(x, ARROW.get(t) or folds.ARROW[t]) for x, (_, t) in zip(out, kinds, strict=True)], names=[c for c, _ in kinds])
-
         for batch in batches:
-            for values in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                row = dict(zip(columns, values, strict=True))
-                key = [row[k] for k in keys]
+            made, lists = [], [batch.column(c).to_pylist() for c in columns]
+            at = zip(*(lists[columns.index(k)] for k in keys), strict=True)
+            for key, values in zip(at, zip(*lists, strict=True), strict=True):
                 if held and key != last:
-                    yield made()
+                    made += work(held)
                     held = []
-                held.append(row)
+                held.append(dict(zip(columns, values, strict=True)))
                 last = key
+            # The slices that end within a batch go out together: there may be millions of small ones.
+            yield batch_of(made)
         if held:
-            yield made()
+            yield batch_of(work(held))
 
     return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
@@ -244,20 +245,25 @@ def kalman(bars: DataFrame, keep: list[str], width_ns: int = HOUR, order: list[s
     rows = carried_on(sliced(bars, width_ns), "_var", F.when(F.col("rv_valid") & (F.col("rv_var") > 0), F.col("rv_var")), order)
     rows = running_sums(rows, {"_n": F.when(F.col("return_valid"), 1).otherwise(0)}, order)
     noise = lambda v: (folds.PROCESS_NOISE, folds.MEASURE_NOISE) if v is None else (v * folds.NOISE_SHARE, v)
-    columns = list(dict.fromkeys([*KEY, *order, *keep, "log_return", "return_valid", "rv_var", "rv_valid", "_var", "_n"]))
+    used = list(dict.fromkeys([*KEY, *order, "return_valid", "_var", "_n"]))
+    columns = list(dict.fromkeys([*used, "log_return", *keep]))
     kinds = dict(rows.dtypes)
 
     def variances(held: list[dict]) -> list[tuple]:
-        m = np.eye(2)
+        a, b, c, d = 1.0, 0.0, 0.0, 1.0
         for row in held:
             if row["return_valid"]:
                 q, r = noise(row["_var"])
-                m = (np.array([[0.0, 1.0], [0.0, 1.0]]) if row["_n"] == 1 else np.array([[r, r * q], [1.0, q + r]])) @ m
-                m /= np.abs(m).max()
-        return [(held[0]["token"], held[0]["_slice"], m.ravel().tolist())]
+                if row["_n"] == 1:
+                    a, b, c, d = c, d, c, d
+                else:
+                    a, b, c, d = r * a + r * q * c, r * b + r * q * d, a + (q + r) * c, b + (q + r) * d
+                top = max(abs(a), abs(b), abs(c), abs(d))
+                a, b, c, d = a / top, b / top, c / top, d / top
+        return [(held[0]["token"], held[0]["_slice"], [a, b, c, d])]
 
     maps = "token long, _slice long, map array<double>"
-    first = carried_states(by_slice(rows, order, columns, variances, maps), [0.0], fractional=True)
+    first = carried_states(by_slice(rows, order, used, variances, maps), [0.0], fractional=True)
     rows = rows.join(first.select(*KEY, F.get("state", F.lit(0)).alias("_p")), KEY)
 
     def begun(row: dict, level: float) -> dict:
@@ -266,7 +272,8 @@ def kalman(bars: DataFrame, keep: list[str], width_ns: int = HOUR, order: list[s
 
     def noted(row: dict) -> dict:
         """The row with the noise that holds at it, also where its own variance is not valid."""
-        return row | {"rv_valid": row["_var"] is not None, "rv_var": row["_var"] or 0.0}
+        row["rv_valid"], row["rv_var"] = row["_var"] is not None, row["_var"] or 0.0
+        return row
 
     fold = folds.Kalman()
 
@@ -278,14 +285,15 @@ def kalman(bars: DataFrame, keep: list[str], width_ns: int = HOUR, order: list[s
                 factor *= 0.0 if row["_n"] == 1 else 1 - made["kalman_gain"]
         return [(held[0]["token"], held[0]["_slice"], [factor, state["level"]])]
 
-    second = carried_states(by_slice(rows, order, [*columns, "_p"], levels, maps), [0.0])
+    second = carried_states(by_slice(rows, order, [*used, "log_return", "_p"], levels, maps), [0.0])
     rows = rows.join(second.select(*KEY, F.get("state", F.lit(0)).alias("_level")), KEY)
 
     def applied(held: list[dict]) -> list[tuple]:
         state, out = begun(held[0], held[0]["_level"]), []
         for row in held:
+            kept = [row[c] for c in keep]
             made = fold.step(state, noted(row))
-            out.append(tuple([*(row[c] for c in keep), made["level"], made["kalman_gain"], made["kalman_valid"]]))
+            out.append(tuple([*kept, made["level"], made["kalman_gain"], made["kalman_valid"]]))
         return out
 
     return by_slice(rows, order, [*columns, "_p", "_level"], applied, ", ".join([*(f"{c} {kinds[c]}" for c in keep), fold.outputs]))
