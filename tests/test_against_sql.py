@@ -72,3 +72,24 @@ def test_scores_that_cancel_out(spark, tmp_path):
     spark.createDataFrame(made, EVENT).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     got, want = both(spark, str(tmp_path), "e10_bar_pipeline")
     assert got == want and len(want) == 4
+
+
+#: Ticks whose session average lies at the edge of a rounding step, so that the order of its sums decides the last place.
+AT_AN_EDGE = [
+    (80124, "2024-01-05 00:08:00.489590", 3164, 323.09, 75), (82204, "2024-01-05 02:38:17.216890", 3164, 191.36, 14),
+    (84127, "2024-01-05 04:56:50.956965", 3164, 3.58, 1), (85938, "2024-01-05 07:06:18.017682", 3164, 3.75, 70),
+    (99000, "2024-01-05 19:00:00.000000", 3164, 20.0, 3),
+]
+
+
+@pytest.mark.parametrize("name", ["e8_vwap_deviation", "e10_batch_bar_pipeline"])
+def test_bars_over_several_files(spark, tmp_path, name):
+    """A bar whose ticks lie in two files is that of its SQL over one file, to the last place."""
+    made = [(i, dt.datetime.fromisoformat(at), token, "view", price, f'{{"k": {n - 1}}}') for i, at, token, price, n in AT_AN_EDGE]
+    whole, split = f"{tmp_path}/whole", f"{tmp_path}/split"
+    spark.createDataFrame(made, EVENT).coalesce(1).write.parquet(f"{whole}/events.parquet")
+    for part in (made[:1], made[1:]):
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(f"{split}/events.parquet")
+    got, want = both(spark, whole, name)
+    apart = sorted(map(repr, map(tuple, contract.queries()[name](spark, split).collect())))
+    assert got == want == apart and len(want) == 2
